@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from almanac.llm import mixing, simhash
+from almanac.llm import html, langid, media, mixing, pii, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
+    "op3_media": media.op3_media,
+    "op4_langid": langid.op4_langid,
+    "op7_pii": pii.op7_pii,
+    "op8_html": html.op8_html,
 }
 
 ORACLE_SQL = {
