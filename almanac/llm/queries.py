@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import html, langid, media, mixing, pii, simhash
+from almanac.llm import html, langid, media, mixing, pii, simhash, tokenids
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op7_pii": pii.op7_pii,
     "op8_html": html.op8_html,
+    "op9_tokens": tokenids.op9_tokens,
 }
 
 ORACLE_SQL = {
