@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from almanac.llm import html, langid, media, mixing, pii, simhash, tokenids
+from almanac.llm import html, langid, media, mixing, pii, simhash, suffixtree, tokenids
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
     "op3_media": media.op3_media,
     "op4_langid": langid.op4_langid,
+    "op5_lm": suffixtree.op5_lm,
     "op7_pii": pii.op7_pii,
     "op8_html": html.op8_html,
     "op9_tokens": tokenids.op9_tokens,
