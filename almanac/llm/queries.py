@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import html, langid, media, mixing, pii, simhash, suffixtree, tokenids
+from almanac.llm import html, langid, media, mixing, pieces, pii, simhash, suffixtree, tokenids
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_html": html.op8_html,
     "op9_tokens": tokenids.op9_tokens,
+    "op10_pieces": pieces.op10_pieces,
 }
 
 ORACLE_SQL = {

@@ -1,24 +1,55 @@
-"""A corpus pipeline over documents: each stage works on all that the one before it kept."""
+"""A corpus pipeline over documents: each stage works on all that the one before it kept.
+
+Every stage returns the columns of ``documents``, except the last, which adds the pieces.  Rows
+with null texts leave in the first stage, as text without a language.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from almanac.llm import mixing, simhash
+from almanac.llm import langid, mixing, pieces, pii, simhash
 from almanac.llm.common import staged
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay; a null text and one without letters go.
+
+    The languages are learned from the rows that name theirs; if none does, no language can be told.
+    """
+    found = langid.identified(docs, langid.fit(docs), spans=False)
+    return found.where("lang_pred != 'und'").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest doc_id."""
     return simhash.deduplicated(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the text is replaced by the name of its kind, and n_chars follows the text."""
+    clean = pii.with_pii(docs, redacted="text").drop("pii")
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it."""
     return mixing.repeated(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mix", mix)]
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The text's pieces, the scores of its three best segmentations, and whether decoding gives the text back."""
+    return pieces.coded(docs).withColumn("n_pieces", F.size("pieces").cast("long"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mix", mix),
+    ("piece_ids", piece_ids),
+]
 
 #: No SQL: language models and fingerprints are beyond it.  The tests hold the rows against brute force.
 ORACLE_SQL = None
