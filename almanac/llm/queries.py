@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from almanac.llm import html, langid, media, mixing, pieces, pii, simhash, suffixtree, tokenids
+from almanac.llm import html, langid, media, mixing, neargraph, pieces, pii, simhash, suffixtree, tokenids
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op4_langid": langid.op4_langid,
     "op5_lm": suffixtree.op5_lm,
+    "op6_embeddings": neargraph.op6_embeddings,
     "op7_pii": pii.op7_pii,
     "op8_html": html.op8_html,
     "op9_tokens": tokenids.op9_tokens,
