@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -34,9 +35,11 @@ from almanac.llm.common import scratch_path, staged, text_blocks
 LONGEST, BLOCK = 16, 512
 MAGIC = b"ALMTOK1\n"
 END_ID = 1
-#: Chunks of text that a worker remembers the ids of: a young and an old generation of this many.
-REMEMBERED = 200_000
-TAIL = b".,;:!?"
+#: Words that a worker remembers the ids of, a young and an old generation of this many; bytes of text
+#: whose chunks are looked up together; ids that are packed together.
+REMEMBERED, TOGETHER, PACKED = 200_000, 8 << 20, 1 << 19
+#: ASCII punctuation that is cut from the end of a word; the tokenizer treats an apostrophe in its own way.
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def word_vocabulary() -> str:
@@ -50,7 +53,7 @@ class Encoder:
 
     The tokenizer drops white space and lower-cases, so a text's ids are those of its chunks, and
     the ids of letters with punctuation behind them those of either part; the tests hold this
-    against whole texts.  Ids of chunks are remembered within a bound.
+    against whole texts.  Ids of lower-case words are remembered within a bound.
     """
 
     def __init__(self, path: str):
@@ -64,70 +67,85 @@ class Encoder:
         self.ends = np.zeros(self.size, dtype=bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
-    def known(self, chunk: bytes) -> bytes | None:
-        found = self.young.get(chunk)
-        if found is None and (found := self.old.get(chunk)) is not None:
-            self.young[chunk] = found
-        return found
-
-    def one(self, chunk: bytes) -> bytes:
-        return self.raw(self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids)
+    def each(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        for chunk, found in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            yield chunk, self.raw(found.ids)
 
-    def letters(self, words: list[bytes]) -> None:
-        """Remembers words of letters only; a run of them is encoded at once and cut at word ends."""
+    def letters(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words of letters only: a run of them is encoded at once and cut at word ends."""
         for at in range(0, len(words), 1000):
             part = words[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode("utf-8"), add_special_tokens=False).ids, dtype=self.kind)
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(found[0].ids, dtype=self.kind)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part) or cuts[-1] != len(ids):
-                self.young.update((w, self.one(w)) for w in part)
+                yield from self.each(part)
                 continue
             raw, size = ids.tobytes(), self.kind.itemsize
             ends = (cuts * size).tolist()
-            for word, a, b in zip(part, [0, *ends], ends, strict=False):
-                self.young[word] = raw[a:b]
-
-    def learn(self, chunks: set[bytes]) -> None:
-        plain, forms, other = set(), [], []
-        for chunk in chunks:
-            low = chunk.lower()
-            core = low.rstrip(TAIL)
-            if core and (core.isalpha() or core.decode("utf-8").isalpha()):
-                if self.known(core) is None:
-                    plain.add(core)
-                if core != chunk:
-                    forms.append((chunk, core, low[len(core) :]))
-            else:
-                other.append(chunk)
-        self.letters(list(plain))
-        for chunk in other:
-            self.young[chunk] = self.one(chunk)
-        for chunk, core, tail in forms:
-            end = b""
-            if tail and (end := self.known(tail)) is None:
-                end = self.young[tail] = self.one(tail)
-            self.young[chunk] = self.known(core) + end
-
-    def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
+            yield from zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+
+    def looked_up(self, stems: pa.Array) -> list[bytes]:
+        """Ids of each stem: a lower-case word, remembered, or a chunk of anything else."""
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        out = []
-        for at in range(0, len(chunks), 100_000):
-            part = chunks[at : at + 100_000]
-            missing = {c for c in set(part) if self.known(c) is None}
-            if missing:
-                self.learn(missing)
-            out.extend(map(self.young.__getitem__, part))
-            if len(self.young) > 2 * REMEMBERED:
-                self.old, self.young = self.young, {}
-        return b"".join(out)
+        names, plain = stems.to_pylist(), pc.utf8_is_alpha(stems).to_pylist()
+        found = list(map(self.young.get, names))
+        missing, other, old = [], [], self.old.get
+        for i in [i for i, x in enumerate(found) if x is None]:
+            word = names[i]
+            if not plain[i]:
+                other.append(i)
+            elif (x := old(word)) is None:
+                missing.append(i)
+            else:
+                found[i] = self.young[word] = x
+        for at, encode in ((missing, self.letters), (other, self.each)):
+            for i, (word, ids) in zip(at, encode([names[i] for i in at]), strict=True):
+                found[i] = ids
+                if plain[i]:
+                    self.young[word] = ids
+        return found
+
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text (null: none) as little-endian numbers; a few texts at a time share a look-up."""
+        texts = texts.fill_null("")
+        share = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield from self.together(texts.slice(a, b - a))
+
+    def together(self, texts: pa.Array) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        chunks, at = coded.dictionary, coded.indices.to_numpy()
+        low = pc.ascii_lower(chunks)
+        core = pc.ascii_rtrim(low, characters=TAIL)
+        plain = pc.utf8_is_alpha(core)
+        stems = pc.if_else(plain, core, chunks).dictionary_encode()
+        behind = (pc.binary_length(low).to_numpy() - pc.binary_length(core).to_numpy()) * plain.to_numpy(zero_copy_only=False)
+        has = np.flatnonzero(behind)
+        tails = pa.array([x[-k:] for x, k in zip(low.take(pa.array(has)).to_pylist(), behind[has].tolist(), strict=True)], pa.string()).dictionary_encode()
+        # every chunk is a stem and what stands behind it, number 0 being nothing
+        parts = [b"", *self.looked_up(stems.dictionary), *(x for _, x in self.each(tails.dictionary.to_pylist()))]
+        size = np.array([len(x) for x in parts]) // self.kind.itemsize
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), dtype=self.kind)))
+        pair = np.zeros((len(chunks), 2), dtype=np.int64)
+        pair[:, 0] = stems.indices.to_numpy() + 1
+        pair[has, 1] = tails.indices.to_numpy() + 1 + len(stems.dictionary)
+        used = pair[at].ravel()
+        ids = table.take(pa.array(used)).flatten().to_numpy().tobytes()
+        ends = np.concatenate(([0], np.cumsum(size[used]))) * self.kind.itemsize
+        where = ends[2 * np.asarray(lists.offsets)].tolist()
+        for a, b in zip(where, where[1:], strict=False):
+            yield ids[a:b]
 
 
 @cache
@@ -180,16 +198,25 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def packed(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids`` in big-endian 16-bit words, and the bit at which each block starts."""
-    size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    total = int(at[-1] + size[-1]) if len(ids) else 0
-    word, shift = at >> 4, 48 - size - (at & 15)
-    wide = codes[ids].astype(np.int64) << shift  # three 16-bit words, so that codes may have up to 33 bits
-    out = np.zeros(total // 16 + 4)
-    for k in range(3):
-        out += np.bincount(word + k, weights=((wide >> (32 - 16 * k)) & 0xFFFF), minlength=len(out))
-    return out.astype(">u2").tobytes(), at[::BLOCK]
+    """The bits of ``ids`` in big-endian 16-bit words, and the bit at which each block starts.
+
+    Every PACKED ids start a new word, so that long parts are packed piece by piece.
+    """
+    words, starts, done = [], [], 0
+    for first in range(0, len(ids), PACKED):
+        part = ids[first : first + PACKED]
+        size = lengths[part].astype(np.int64)
+        at = np.cumsum(size) - size
+        total = -(-int(at[-1] + size[-1]) // 16)
+        wide = codes[part].astype(np.int64) << (48 - size - (at & 15))  # three words, for codes of up to 33 bits
+        at >>= 4
+        out = np.zeros(total + 3)
+        for k in range(3):
+            out += np.bincount(at + k, weights=(wide >> (32 - 16 * k)) & 0xFFFF, minlength=len(out))
+        words.append(out[:total].astype(">u2").tobytes())
+        starts.append((np.cumsum(size) - size)[::BLOCK] + 16 * done)
+        done += total
+    return b"".join([*words, bytes(8)]), np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
 
 
 def unpacked(bits: bytes, starts: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
@@ -279,8 +306,8 @@ def written(docs: DataFrame, folder: str, *, path: str, key: str = "doc_id", tex
         for batch in batches:
             keys.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-            for value in batch.column(1).cast(pa.binary()):
-                ids = encode(value.as_py() or b"") + ending
+            for ids in encode(batch.column(1)):
+                ids += ending
                 sizes.append(len(ids) // encode.kind.itemsize)
                 counts += np.bincount(np.frombuffer(ids, dtype=encode.kind), minlength=len(counts))
                 found.append(zlib.compress(ids, 1))
