@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse
-from almanac.operators import dedupe, links, matching, readmodel, reconcile, upsert
+from almanac.operators import dedupe, links, lookup, matching, readmodel, reconcile, upsert
 from almanac.plans.registry import query, tables
 from almanac.sources import feeds
 
@@ -418,3 +418,50 @@ def snapshot_new_pages(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
     rows = events.select("event_id", "user_id", "ts", F.datediff(F.lit("2024-02-01"), "ts").alias("page"))
     return feeds.new_pages(rows, rows.where("ts < '2024-01-16'"), "page", "event_id").select("event_id", "user_id")
+
+
+@query("""WITH p AS (SELECT l_suppkey AS provider, l_partkey AS record, l_returnflag AS label, min(l_orderkey) AS release_id FROM lineitem WHERE l_shipdate < '1999-01-01' GROUP BY 1, 2, 3),
+s AS (SELECT provider, record, min(release_id) AS one FROM p GROUP BY 1, 2 HAVING count(*) = 1),
+n AS (SELECT DISTINCT l_suppkey AS provider, l_partkey AS record, l_linestatus AS status, 'R' AS label FROM lineitem WHERE l_shipdate >= '1999-01-01')
+SELECT n.provider, n.record, n.status, coalesce(p.release_id, CASE WHEN n.status = 'F' THEN one END) AS previous_id FROM n LEFT JOIN p ON n.provider = p.provider AND n.record = p.record AND n.label = p.label LEFT JOIN s ON n.provider = s.provider AND n.record = s.record""")
+def previous_rows(spark, sf_dir):
+    (items,) = tables(spark, sf_dir, "lineitem")
+    rows = items.select(F.col("l_suppkey").alias("provider"), F.col("l_partkey").alias("record"), F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("status"), F.col("l_orderkey").alias("release_id"), "l_shipdate")
+    old = rows.where("l_shipdate < '1999-01-01'").groupBy("provider", "record", "label").agg(F.min("release_id").alias("release_id"))
+    new = rows.where("l_shipdate >= '1999-01-01'").select("provider", "record", "status", F.lit("R").alias("label")).distinct()
+    return lookup.with_previous(new, old, legacy=F.col("status") == "F").select("provider", "record", "status", "previous_id")
+
+
+@query("SELECT o_orderkey AS release_id, o_orderstatus != 'F' AND (o_orderpriority = '5-LOW' OR o_orderdate <= TIMESTAMP '1998-01-02' - INTERVAL 24 HOUR) AS due FROM orders")
+def retry_due(spark, sf_dir):
+    attempted = F.when(F.col("priority") != "5-LOW", F.col("ts").cast("timestamp"))
+    promised = F.array(F.lit("x"), F.when(F.col("source") == "F", "y"))
+    due = lookup.retry_due(attempted, F.lit("1998-01-02").cast("timestamp"), F.lit("u"), F.lit("u"), promised)
+    return releases(spark, sf_dir).select("release_id", due.alias("due"))
+
+
+@query("SELECT o_orderkey AS release_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def key_lookup(spark, sf_dir):
+    (customer,) = tables(spark, sf_dir, "customer")
+    keys = customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("label"))
+    return lookup.by_keys(releases(spark, sf_dir), keys, "label").select("release_id")
+
+
+@query("SELECT l_orderkey AS release_id, arg_min(url, (-width, url)) AS url FROM (SELECT l_orderkey, l_quantity::BIGINT AS width, concat_ws('/', l_partkey, l_suppkey) AS url FROM lineitem) GROUP BY 1")
+def widest_image(spark, sf_dir):
+    (items,) = tables(spark, sf_dir, "lineitem")
+    images = items.groupBy(F.col("l_orderkey").alias("release_id")).agg(F.collect_set(F.struct(F.col("l_quantity").cast("long").alias("width"), F.concat_ws("/", "l_partkey", "l_suppkey").alias("url"))).alias("images"))
+    return images.select("release_id", lookup.widest(F.col("images")).alias("url"))
+
+
+@query("SELECT p_type AS category, p_brand AS reason, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1, 2")
+def reason_counts(spark, sf_dir):
+    (part,) = tables(spark, sf_dir, "part")
+    return lookup.reason_counts(part.select(F.col("p_type").alias("category"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("reason")), "category", "reason")
+
+
+@query("SELECT 's' AS provider, c_mktsegment AS label, c_custkey::VARCHAR AS record, 's:' || c_custkey AS release_id, '{\"title\":\"' || c_name || '\"}' AS raw FROM customer")
+def json_backfill(spark, sf_dir):
+    (customer,) = tables(spark, sf_dir, "customer")
+    rows = customer.select(F.concat(F.lit("s:"), F.col("c_custkey").cast("string")).alias("release_id"), F.lit("s").alias("source_id"), F.col("c_mktsegment").alias("label_id"), F.col("c_name").alias("title"), F.lit(None).cast("string").alias("release_url"), F.lit("[]").alias("provenance"))
+    return lookup.backfilled(rows)
