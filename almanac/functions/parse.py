@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -98,7 +99,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def distinct_names(names: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(names, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def split_names(text: Column) -> Column:
@@ -109,7 +110,7 @@ def absolute_url(path: Column, base: str) -> Column:
     return F.when(path.rlike("(?i)^https?://"), path).when(path.startswith("//"), F.concat(F.lit("https:"), path)).when(path.startswith("/"), F.concat(F.lit(base), path))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _references(values: pd.Series) -> pd.Series:
     """Numeric character references; those that name no character vanish."""
 
@@ -176,7 +177,7 @@ def embedded_json(page: Column, attribute: str = "data-page") -> Column:
     return F.coalesce(F.when(F.try_parse_json(raw).isNotNull(), raw), F.when(F.try_parse_json(plain).isNotNull(), plain))
 
 
-@pandas_udf("name string, description string, date_published string, duration string, url string, actors array<string>")
+@pandas_udf(StructType([*(StructField(x, StringType()) for x in ("name", "description", "date_published", "duration", "url")), StructField("actors", ArrayType(StringType()))]))
 def json_ld(pages: pd.Series) -> pd.DataFrame:
     """First values of a video object found anywhere in a page's JSON-LD blocks."""
     fields = {"name": "name", "description": "description", "date_published": "datePublished", "duration": "duration", "url": "url"}

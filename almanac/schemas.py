@@ -1,12 +1,11 @@
-"""Table schemas and boundary validation with quarantine."""
+"""Table schemas (as DDL) and boundary validation with quarantine."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-RELEASES = StructType.fromDDL(
+RELEASES = (
     "id string not null, source_id string not null, source string not null, label_id string not null, label string, "
     "title string not null, contributors array<string>, release_date date not null, duration_sec int, "
     "duration_range struct<min_sec: int, max_sec: int>, duration_review boolean, thumbnail_url string, release_url string, "
@@ -19,11 +18,11 @@ RELEASES = StructType.fromDDL(
     "label_metadata_checked_at timestamp, checked_at timestamp, "
     "matching struct<lane: string, matched_at: timestamp, rule: string, confidence: string>"
 )
-OBSERVATIONS = StructType.fromDDL("provider_id string not null, label_id string not null, record_id string not null, release_id string, label string, record string, fetched_at timestamp")
-LINKS = StructType.fromDDL("release_id string not null, kind string not null, source string not null, url string not null, verified_at timestamp, verify_failures int, dead_at timestamp, dead_reason string, part int")
-FEEDS = StructType.fromDDL("source_id string not null, label_id string not null, label string, priority int, ok boolean, last_success_at timestamp, last_error string, releases long, live long")
-RUNS = StructType.fromDDL("run_id string not null, kind string, started_at timestamp, finished_at timestamp, ok boolean, error string, outcomes array<struct<source_id: string, label_id: string, ok: boolean, error: string, accepted: int>>")
-SNAPSHOTS = StructType.fromDDL("source_id string not null, saved_at timestamp, state string")
+OBSERVATIONS = "provider_id string not null, label_id string not null, record_id string not null, release_id string, label string, record string, fetched_at timestamp"
+LINKS = "release_id string not null, kind string not null, source string not null, url string not null, verified_at timestamp, verify_failures int, dead_at timestamp, dead_reason string, part int"
+FEEDS = "source_id string not null, label_id string not null, label string, priority int, ok boolean, last_success_at timestamp, last_error string, releases long, live long"
+RUNS = "run_id string not null, kind string, started_at timestamp, finished_at timestamp, ok boolean, error string, outcomes array<struct<source_id: string, label_id: string, ok: boolean, error: string, accepted: int>>"
+SNAPSHOTS = "source_id string not null, saved_at timestamp, state string"
 
 #: Rules of a release record; a rule that is not true names the reason for quarantine.
 RELEASE_RULES: dict[str, str] = {
