@@ -87,7 +87,7 @@ def account(text: str, at: int) -> tuple[int, int] | None:
     if m := IBAN.match(text, skip):
         end = m.end()
         while end - skip >= 15:  # the run may have taken in words that follow
-            if mod97(text[skip:end]):
+            if text[end - 1] != " " and mod97(text[skip:end]):
                 return skip, end
             end -= 1
     m = ACCOUNT.match(text, at)
