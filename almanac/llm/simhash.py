@@ -75,12 +75,11 @@ def embedding(fp: Column) -> Column:
 def manhattan(a: Column, b: Column) -> Column:
     """Manhattan distance of two packed embeddings: per segment |x - y|, summed over segments."""
     low = F.lit(0x5555555555555555)
-    ones = (F.shiftrightunsigned(a, 1).bitwiseXOR(a)).bitwiseAND(low)  # segments with count 1
-    other = (F.shiftrightunsigned(b, 1).bitwiseXOR(b)).bitwiseAND(low)
+    ones, other = a.bitwiseAND(low), b.bitwiseAND(low)  # segments with count 1
     twos, two = F.shiftrightunsigned(a, 1).bitwiseAND(low), F.shiftrightunsigned(b, 1).bitwiseAND(low)
-    # one step where the parity of the counts differs, two where 0 meets 2
-    parity = ones.bitwiseXOR(other)
-    return F.bit_count(parity) + 2 * F.bit_count(twos.bitwiseXOR(two).bitwiseAND(F.bitwise_not(ones.bitwiseOR(other))))
+    # one step where just one count is 1, two where 0 meets 2
+    odd = ones.bitwiseXOR(other)
+    return F.bit_count(odd) + 2 * F.bit_count(twos.bitwiseXOR(two).bitwiseAND(F.bitwise_not(odd)))
 
 
 def links(prints: DataFrame, *, bits: int = BITS) -> DataFrame:
