@@ -6,8 +6,10 @@ then extends suffixes by the piece before them, always the one whose score plus
 the rest is highest.  As that estimate is exact, complete paths come out best first.
 
 A piece has its space mark only at its front, so no piece crosses the start of a word and a text's
-lattice falls apart into those of its words.  Each distinct word is searched once; a text's N best
-follow from the few words whose second choice costs least.
+lattice falls apart into those of its words (and words into parts between characters that no piece
+has side by side).  Viterbi passes in either direction give each word's best way and what the second
+best costs; a text's N best differ from its best only in the few words where that costs least, and
+there the search runs.
 
 The file's scores are merge ranks, not probabilities, so a piece's score here is its log share
 under a rank-frequency law.  Scores are whole micro-nats: sums are exact and ties are ties.
@@ -18,12 +20,14 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -32,8 +36,10 @@ SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Added to ranks in the rank-frequency law; micro-nats of a nat; extra cost of a byte, in nats.
 FLAT, UNIT, BYTE_COST = 10, 1_000_000, 2.0
-#: Words that a worker remembers (a young and an old generation); characters that are looked up together.
-REMEMBERED, TOGETHER = 100_000, 6 << 20
+#: Words and parts that a worker remembers, a young and an old generation of each; characters looked up together.
+REMEMBERED, TOGETHER = 40_000, 4 << 20
+#: A cost that no choice has.
+NONE = 1 << 60
 BEST = 3
 
 
@@ -44,9 +50,11 @@ def piece_vocabulary() -> str:
 
 
 class Pieces:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
 
+        self.remembered = remembered
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain, self.bytes, self.table = [], {}, []
         for i in range(model.get_piece_size()):
@@ -72,30 +80,78 @@ class Pieces:
         self.lattice.make_automaton()
         self.pairs = {piece[k - 1 : k + 1] for piece in self.scores for k in range(1, len(piece))}
         self.byte = round(-UNIT * (math.log((len(plain) + FLAT) * total) + BYTE_COST))
-        self.young: dict[str, list] = {}
-        self.old: dict[str, list] = {}
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.parts: dict[str, tuple] = {}
+        self.parts_before: dict[str, tuple] = {}
 
-    def search(self, word: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` best ways to write a word: (score, ids), best first; equal scores in a fixed order.
+    def edges(self, part: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
+        """Pieces by the place where they end: (start, ids, score).
 
-        A character without a piece of its own is written in bytes.  Every suffix on the agenda
-        stands for at least one whole path of just its estimate, so those behind the n best ones
-        are let go.
+        A character without a piece of its own is written in bytes.
         """
-        size, scores = len(word), self.scores
-        edges: list[list] = [[] for _ in range(size + 1)]
-        for last, (length, i, score) in self.lattice.iter(word):
-            edges[last + 1].append((last + 1 - length, (i,), score))
-        best = [0]
-        for e in range(1, size + 1):
-            own = edges[e]
-            c = word[e - 1]
-            if c not in scores:
+        found: list[list] = [[] for _ in range(len(part) + 1)]
+        for last, (length, i, score) in self.lattice.iter(part):
+            found[last + 1].append((last + 1 - length, (i,), score))
+        for e, c in enumerate(part, 1):
+            if c not in self.scores:
                 raw = c.encode("utf-8", "surrogatepass")
-                own.append((e - 1, tuple(self.bytes[x] for x in raw), self.byte * len(raw)))
-            best.append(max([best[b] + score for b, _, score in own]))
+                found[e].append((e - 1, tuple(self.bytes[x] for x in raw), self.byte * len(raw)))
+        return found
+
+    def best(self, part: str) -> tuple[int, bytes, int]:
+        """(score, ids as bytes, cost of the second best way), by a Viterbi pass in either direction.
+
+        The second best way has a piece that the best one has not, so it is the best way through
+        one of those.
+        """
+        if part in self.scores and len(part) == 1:
+            i, score = self.scores[part]
+            return score, i.to_bytes(4, "little"), NONE
+        edges = self.edges(part)
+        ahead, via = [0], [None]
+        for own in edges[1:]:
+            top, best = -NONE, None
+            for edge in own:
+                score = ahead[edge[0]] + edge[2]
+                if score > top:
+                    top, best = score, edge
+            ahead.append(top)
+            via.append(best)
+        size = at = len(part)
+        ids, on = [], [None] * (size + 1)
+        while at:
+            edge = on[at] = via[at]
+            ids[:0] = edge[1]
+            at = edge[0]
+        behind, second = [-NONE] * size + [0], -NONE
+        for e in range(size, 0, -1):
+            rest, chosen = behind[e], on[e]
+            if rest == -NONE:
+                continue
+            for edge in edges[e]:
+                b = edge[0]
+                score = edge[2] + rest
+                if score > behind[b]:
+                    behind[b] = score
+                if edge is not chosen:
+                    score += ahead[b]
+                    if score > second:
+                        second = score
+        return ahead[size], struct.pack(f"<{len(ids)}i", *ids), ahead[size] - second if second > -NONE else NONE
+
+    def search(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` best ways to write a part: (score, ids), best first; equal scores in a fixed order.
+
+        Every suffix on the agenda stands for at least one whole path of just its estimate, so those
+        behind the n best ones are let go.
+        """
+        edges, size = self.edges(part), len(part)
+        ahead = [0]
+        for e in range(1, size + 1):
+            ahead.append(max([ahead[b] + score for b, _, score in edges[e]]))
         found: list[tuple[int, tuple[int, ...]]] = []
-        agenda = [(-best[size], (), size, 0)]
+        agenda = [(-ahead[size], (), size, 0)]
         while agenda:
             _, ids, at, after = agenda.pop(0)
             if not at:
@@ -103,7 +159,7 @@ class Pieces:
                 if len(found) == n:
                     break
                 continue
-            agenda += [(-(after + score + best[b]), i + ids, b, after + score) for b, i, score in edges[at]]
+            agenda += [(-(after + score + ahead[b]), i + ids, b, after + score) for b, i, score in edges[at]]
             agenda.sort()
             del agenda[n - len(found) :]
         return found
@@ -118,71 +174,88 @@ class Pieces:
         out.append(word[at:])
         return out
 
-    def part(self, part: str, n: int) -> list[tuple[int, bytes]]:
-        """The ``n`` best ways to write a part: (cost above the best, ids as bytes); the first with its score."""
-        key = (part, n)
-        known = self.young.get(key) or self.old.get(key)
-        if known is None:
-            found = self.search(part, n)
-            top = found[0][0]
-            known = [(top - score if k else top, np.array(ids, dtype="<i4").tobytes()) for k, (score, ids) in enumerate(found)]
-        if len(part) <= 32:
-            self.young[key] = known
-        return known
-
-    def word(self, word: str, n: int) -> tuple[int, bytes, float, list]:
-        """(score, ids as bytes, cost of the second choice, the parts with their choices)."""
-        parts = [self.part(x, n) for x in self.cut(word)]
-        if len(parts) == 1:
-            own = parts[0]
-            return own[0][0], own[0][1], own[1][0] if len(own) > 1 else math.inf, parts
-        return sum(x[0][0] for x in parts), b"".join([x[0][1] for x in parts]), min(x[1][0] if len(x) > 1 else math.inf for x in parts), parts
-
-    def words(self, words: set[str], n: int) -> dict[str, tuple]:
-        if len(self.young) > REMEMBERED:
+    def word(self, word: str) -> tuple[int, bytes, int]:
+        """(score, ids as bytes, cost of the second best way) of a word, from its parts."""
+        found = []
+        for part in self.cut(word):
+            own = self.parts.get(part)
+            if own is None:
+                own = self.parts_before.get(part) or self.best(part)
+                if len(part) <= 32:
+                    self.parts[part] = own
+            found.append(own)
+        if len(found) == 1:
+            return found[0]
+        return sum([x[0] for x in found]), b"".join([x[1] for x in found]), min([x[2] for x in found])
+
+    def words(self, words: set[str]) -> dict[str, tuple]:
+        if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        return {word: self.word(word, n) for word in words}
+        if len(self.parts) > self.remembered:
+            self.parts_before, self.parts = self.parts, {}
+        out, young, old = {}, self.young, self.old
+        for word in words:
+            found = young.get(word)
+            if found is None:
+                found = old.get(word)
+                if found is None:
+                    found = self.word(word)
+                if len(word) <= 32:
+                    young[word] = found
+            out[word] = found
+        return out
 
-    def choices(self, parts: list, n: int) -> list[tuple[int, bytes]]:
-        """The ``n`` best ways to write a word of these parts: (cost above the best, ids), the best with cost 0."""
+    def choices(self, word: str, n: int) -> list[tuple[int, bytes]]:
+        """The ``n`` best ways to write a word: (cost above the best, ids), the best with cost 0."""
         sums = [(0, b"")]
-        for own in parts:
-            sums = heapq.nsmallest(n, [(cost + (extra if j else 0), ids + more) for cost, ids in sums for j, (extra, more) in enumerate(own)])
+        for part in self.cut(word):
+            found = self.search(part, n)
+            own = [(found[0][0] - score, np.array(ids, dtype="<i4").tobytes()) for score, ids in found]
+            sums = heapq.nsmallest(n, [(cost + extra, ids + more) for cost, ids in sums for extra, more in own])
         return sums
 
     def encoded(self, texts: list[str], n: int = BEST) -> Iterator[tuple[bytes, list[int], list[bytes]]]:
         """Per text: ids of the best way as bytes, scores of the N best, ids of the others as bytes."""
         batch, size = [], 0
         for k, text in enumerate(texts):
-            batch.append(WORD.findall(SPACE + text.replace(" ", SPACE)) if SPACE not in text else None)
+            if SPACE in text:
+                batch.append(None)
+            elif "  " in text or text[:1] == " ":
+                batch.append(WORD.findall(SPACE + text.replace(" ", SPACE)))
+            else:  # every word has one space before it
+                batch.append([SPACE + word for word in text.split(" ")])
             size += len(text)
             if size >= TOGETHER or k + 1 == len(texts):
-                known = self.words(set().union(*(x for x in batch if x)), n)
+                known = self.words(set().union(*(x for x in batch if x)))
                 for j, words in enumerate(batch, k + 1 - len(batch)):
-                    yield self._text([known[w] for w in words] if words is not None else self._marked(texts[j], n), n)
+                    yield self._text(words, [known[w] for w in words], n) if words is not None else self._text(*self._marked(texts[j]), n)
                 batch, size = [], 0
 
-    def _marked(self, text: str, n: int) -> list[tuple]:
+    def _marked(self, text: str) -> tuple[list[str | None], list[tuple]]:
         """Words of a text that has the space mark itself as a character, which is written in bytes."""
-        out = []
+        names, out = [], []
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 raw = np.array([self.bytes[x] for x in SPACE.encode()], dtype="<i4").tobytes()
-                out.append((3 * self.byte, raw, math.inf, [[(3 * self.byte, raw)]]))
-            part = part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE)
-            out += [self.word(w, n) for w in WORD.findall(part)]
-        return out
-
-    def _text(self, words: list[tuple], n: int) -> tuple[bytes, list[int], list[bytes]]:
+                names.append(None)
+                out.append((3 * self.byte, raw, NONE))
+            own = WORD.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE))
+            names += own
+            out += [self.word(w) for w in own]
+        return names, out
+
+    def _text(self, names: list[str | None], words: list[tuple], n: int) -> tuple[bytes, list[int], list[bytes]]:
         top = sum([w[0] for w in words])
         best = b"".join([w[1] for w in words])
+        if n == 1:
+            return best, [top], []
         # only the n - 1 words whose second choice costs least can differ in one of the n best
         costs = [w[2] for w in words]
-        limit = sorted(costs)[: n - 1][-1:] if n > 1 else []
-        cheap = sorted((c, k) for k, c in enumerate(costs) if limit and c <= limit[0] and c < math.inf)[: n - 1]
+        limit = sorted(costs)[: n - 1][-1]
+        cheap = sorted([(c, k) for k, c in enumerate(costs) if c <= limit and c < NONE])[: n - 1]
         sums: list[tuple[int, tuple]] = [(0, ())]
         for _, k in cheap:
-            options = self.choices(words[k][3], n)[1:]
+            options = [x for x in self.choices(names[k], n) if x[1] != words[k][1]]  # of equal ones either may be first
             sums = heapq.nsmallest(n, sums + [(cost + extra, (*chosen, (k, ids))) for cost, chosen in sums for extra, ids in options])
         others = []
         for _, chosen in sums[1:]:
@@ -197,43 +270,59 @@ class Pieces:
 
 
 @cache
-def pieces(path: str) -> Pieces:
-    return Pieces(path)
+def pieces(path: str, remembered: int = REMEMBERED) -> Pieces:
+    return Pieces(path, remembered)
 
 
-def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text", n_best: int = BEST, alternatives: bool = False) -> DataFrame:
+def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text", n_best: int = BEST, alternatives: bool = False, verify: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Adds ``pieces`` (ids of the best segmentation), ``piece_scores`` (nats of the N best, best first)
-    and, if asked for, ``piece_alternatives`` (ids of the others) to all columns of ``docs``.
+    and, if asked for, ``piece_alternatives`` (ids of the others) and ``round_trip`` (whether the
+    pieces decode to the text) to all columns of ``docs``.
+
+    ``remembered`` bounds the words that a worker keeps: about 1 kB each in all, which it holds
+    while other operators use the same worker.
 
-    A text with fewer segmentations has fewer scores.  A null text has null in all three; an empty
-    one is the mark of its front alone.  Columns of these names are replaced.
+    A text with fewer segmentations has fewer scores.  A null text has null pieces, scores and
+    alternatives, and makes the round trip; an empty one is the mark of its front alone.  Columns of
+    these names are replaced.
     """
     path = path or piece_vocabulary()
-    names = ["pieces", "piece_scores", *(["piece_alternatives"] if alternatives else [])]
+    kinds = {"pieces": ArrayType(IntegerType()), "piece_scores": ArrayType(DoubleType())}
+    if alternatives:
+        kinds["piece_alternatives"] = ArrayType(ArrayType(IntegerType()))
+    if verify:
+        kinds["round_trip"] = BooleanType()
 
     def listed(raw: list[bytes | None]) -> pa.Array:
         sizes = np.cumsum([0, *(len(x or b"") // 4 for x in raw)])
         values = pa.array(np.frombuffer(b"".join(x or b"" for x in raw), dtype="<i4"))
         return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), values, mask=pa.array([x is None for x in raw]))
 
+    def encoded(own: Pieces, texts: list[str | None]) -> list[pa.Array]:
+        best, scores, others, same = [], [], [], []
+        for value, (ids, found, more) in zip(texts, own.encoded([x or "" for x in texts], n_best), strict=True):
+            ok = value is not None
+            best.append(ids if ok else None)
+            scores.append([x / UNIT for x in found] if ok else None)
+            if alternatives:
+                others.append([np.frombuffer(x, "<i4") for x in more] if ok else None)
+            if verify:
+                same.append(not ok or own.decoded(np.frombuffer(ids, "<i4").tolist()) == value)
+        made = [listed(best), pa.array(scores, pa.list_(pa.float64()))]
+        return made + [pa.array(others, pa.list_(pa.list_(pa.int32())))] * alternatives + [pa.array(same, pa.bool_())] * verify
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(path)
+        own = pieces(path, remembered)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            valid = [x.is_valid for x in column]
-            best, scores, others = [], [], []
-            for ok, (ids, found, more) in zip(valid, own.encoded([x or "" for x in column.to_pylist()], n_best), strict=True):
-                best.append(ids if ok else None)
-                scores.append([x / UNIT for x in found] if ok else None)
-                others.append([np.frombuffer(x, "<i4") for x in more] if ok and alternatives else None)
-            made = [listed(best), pa.array(scores, pa.list_(pa.float64()))]
-            if alternatives:
-                made.append(pa.array(others, pa.list_(pa.list_(pa.int32()))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+            share = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER
+            cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(column)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, *encoded(own, column.slice(a, b - a).to_pylist())], names=[*batch.schema.names, *kinds])
 
-    rows = docs.select(*(c for c in docs.columns if c not in names))
-    kinds = [ArrayType(IntegerType()), ArrayType(DoubleType()), ArrayType(ArrayType(IntegerType()))]
-    return rows.mapInArrow(encode, StructType([*rows.schema.fields, *(StructField(c, t) for c, t in zip(names, kinds, strict=False))]))
+    rows = docs.select(*(c for c in docs.columns if c not in kinds))
+    return rows.mapInArrow(encode, StructType([*rows.schema.fields, *(StructField(c, t) for c, t in kinds.items())]))
 
 
 def with_text(rows: DataFrame, *, path: str | None = None, column: str = "pieces", into: str = "text") -> DataFrame:
@@ -250,22 +339,7 @@ def with_text(rows: DataFrame, *, path: str | None = None, column: str = "pieces
     return kept.mapInArrow(decode, StructType([*kept.schema.fields, StructField(into, StringType())]))
 
 
-def coded(docs: DataFrame, *, path: str | None = None, n_best: int = BEST) -> DataFrame:
-    """``docs`` with pieces and scores; ``round_trip`` tells whether decoding gives the text back."""
-    path = path or piece_vocabulary()
-    rows = with_pieces(docs, path=path, n_best=n_best)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(path)
-        for batch in batches:
-            ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("pieces", "text"))
-            same = [y.as_py() is None if not x.is_valid else own.decoded(x.as_py()) == y.as_py() for x, y in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(same, pa.bool_())], names=[*batch.schema.names, "round_trip"])
-
-    rows = rows.drop("round_trip")
-    return rows.mapInArrow(verify, StructType([*rows.schema.fields, StructField("round_trip", BooleanType())]))
-
-
 def op10_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return coded(docs).select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "piece_scores", "round_trip")
+    found = with_pieces(docs, verify=True)
+    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "piece_scores", "round_trip")

@@ -57,8 +57,8 @@ def test_library_decodes_the_same(own, spark, small):
         assert model.decode(np.frombuffer(best, "<i4").tolist()) == text
 
 
-def test_memory_is_bounded(own, monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+def test_memory_is_bounded():
+    own = pieces.Pieces(pieces.piece_vocabulary(), 100)
     list(own.encoded([" ".join(f"w{i}{k}" for i in range(300)) for k in range(5)], 2))
     assert len(own.young) <= 1600 and len(own.parts) <= 3000
 
