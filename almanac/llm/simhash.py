@@ -132,7 +132,11 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
     Of several rows with that key the one with the smallest text hash stays.  In a group where
     every key is null one row per text stays.
     """
-    found = groups(docs, key=key, text=text, words=words, bits=bits)
+    return first_rows(docs, groups(docs, key=key, text=text, words=words, bits=bits), key=key, text=text)
+
+
+def first_rows(docs: DataFrame, found: DataFrame, *, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that name their group in ``found`` (``key``, text_hash, component), one a group."""
     keep = found.where(F.col(key).eqNullSafe(F.col("component"))).select(key, "text_hash").distinct()
     rows = docs.withColumn("_hash", F.xxhash64(text))
     rows = rows.join(keep, rows[key].eqNullSafe(keep[key]) & (rows["_hash"] == keep["text_hash"]), "left_semi")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import langid, mixing, pieces, pii, simhash
+from almanac.llm import langid, mixing, pieces, pii, shingles
 from almanac.llm.common import staged
 
 
@@ -23,8 +23,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of similar texts stays, the one with the smallest doc_id.
+
+    Texts are similar from 0.8 on, by the exact Jaccard index of their sets of five-word shingles.
+    """
+    return shingles.deduplicated(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
