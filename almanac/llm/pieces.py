@@ -269,6 +269,11 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+    def comes_back(self, text: str, ways: list[bytes]) -> bool:
+        """Whether each of these ways, ids as bytes, decodes to the text."""
+        return all(self.decoded(np.frombuffer(ids, "<i4").tolist()) == text for ids in ways)
+
+
 @cache
 def pieces(path: str, remembered: int = REMEMBERED) -> Pieces:
     return Pieces(path, remembered)
@@ -276,8 +281,8 @@ def pieces(path: str, remembered: int = REMEMBERED) -> Pieces:
 
 def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text", n_best: int = BEST, alternatives: bool = False, verify: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Adds ``pieces`` (ids of the best segmentation), ``piece_scores`` (nats of the N best, best first)
-    and, if asked for, ``piece_alternatives`` (ids of the others) and ``round_trip`` (whether the
-    pieces decode to the text) to all columns of ``docs``.
+    and, if asked for, ``piece_alternatives`` (ids of the others) and ``round_trip`` (whether each
+    of the N decodes to the text) to all columns of ``docs``.
 
     ``remembered`` bounds the words that a worker keeps: about 1 kB each in all, which it holds
     while other operators use the same worker.
@@ -305,11 +310,14 @@ def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text",
             best.append(ids if ok else None)
             scores.append([x / UNIT for x in found] if ok else None)
             if alternatives:
-                others.append([np.frombuffer(x, "<i4") for x in more] if ok else None)
+                others.append(more if ok else None)
             if verify:
-                same.append(not ok or own.decoded(np.frombuffer(ids, "<i4").tolist()) == value)
+                same.append(not ok or own.comes_back(value, [ids, *more]))
         made = [listed(best), pa.array(scores, pa.list_(pa.float64()))]
-        return made + [pa.array(others, pa.list_(pa.list_(pa.int32())))] * alternatives + [pa.array(same, pa.bool_())] * verify
+        if alternatives:
+            ends = pa.array(np.cumsum([0, *(len(x or ()) for x in others)]).astype(np.int32))
+            made.append(pa.ListArray.from_arrays(ends, listed([y for x in others for y in x or ()]), mask=pa.array([x is None for x in others])))
+        return made + [pa.array(same, pa.bool_())] * verify
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(path, remembered)
@@ -341,5 +349,5 @@ def with_text(rows: DataFrame, *, path: str | None = None, column: str = "pieces
 
 def op10_pieces(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = with_pieces(docs, verify=True)
-    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "piece_scores", "round_trip")
+    found = with_pieces(docs, alternatives=True, verify=True)
+    return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "piece_scores", "piece_alternatives", "round_trip")

@@ -42,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text's pieces, the scores of its three best segmentations, and whether decoding gives the text back."""
-    return pieces.with_pieces(docs, verify=True).withColumn("n_pieces", F.size("pieces").cast("long"))
+    """The text's three best segmentations, their scores, and whether decoding each gives the text back."""
+    return pieces.with_pieces(docs, alternatives=True, verify=True).withColumn("n_pieces", F.size("pieces").cast("long"))
 
 
 STAGES = [

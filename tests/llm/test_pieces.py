@@ -78,3 +78,18 @@ def test_decoding_frames(spark):
     assert all(r.back == r.text and r.round_trip == "kept" for r in back)
     other = pieces.with_text(df.where("size(piece_alternatives) > 0").selectExpr("text", "piece_alternatives[0] pieces"), into="back").collect()
     assert other and all(r.back == r.text for r in other)
+
+
+def test_query_returns_all_segmentations(own, spark, small, tmp_path):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in pieces.op10_pieces(spark, small).collect():
+        ways = [tuple(r.pieces), *map(tuple, r.piece_alternatives)]
+        assert len(set(ways)) == len(ways) == len(r.piece_scores) and all(own.decoded(list(x)) == texts[r.doc_id] for x in ways)
+    odds = pieces.op10_pieces(spark, folder(spark, tmp_path, odd(spark))).collect()
+    assert all((r.pieces is None) == (r.piece_alternatives is None) for r in odds)
+
+
+def test_round_trip_is_of_every_segmentation(own):
+    best, _, others = next(own.encoded(["the answer"], 3))
+    assert len(others) == 2 and own.comes_back("the answer", [best, *others])
+    assert not own.comes_back("the answer", [best, others[0], others[1] + best])
