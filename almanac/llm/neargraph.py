@@ -1,7 +1,8 @@
 """Embedding near-duplicates by a robust-pruned flat graph over overlapping cluster shards.
 
 1.  Equal vectors are collapsed.  The rest are split into clusters, level by level, from bounded
-    samples; each vector goes to its nearest few centres, so shards overlap.  A cluster that is too
+    samples; each vector goes to its nearest few centres, so shards overlap.  No two centres are
+    links of each other, so a group of mutual links is not cut up.  A cluster that is too
     dense to split is dealt into blocks, and every pair of blocks becomes a shard: no shard is ever
     larger than a fixed number of rows, and no pair inside a cluster is left out.
 2.  Each shard builds its part of the graph: every vector's nearest candidates and some far ones,
@@ -12,7 +13,7 @@
 4.  Shards hand on counts and a link of each vector to the smallest one of its local component,
     never pairs; Spark adds up counts and joins the components.
 5.  A bounded number of queries is held against all vectors; if the share of links found is too
-    low, everything is done again with more overlap.
+    low, everything is done again with more overlap, and at last by comparing all pairs of blocks.
 """
 
 from __future__ import annotations
@@ -87,8 +88,19 @@ def centres(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def routed(vectors: DataFrame, overlap: int) -> DataFrame:
-    """(id, unit, n, cluster): every vector in its clusters.  ``vectors``: id, unit, n."""
+def apart(c: np.ndarray, x: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the centres that are no links of a larger one, so that a group of mutual links has one centre."""
+    size = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+    close = c @ c.T >= threshold
+    kept: list[int] = []
+    for i in np.argsort(-size, kind="stable"):
+        if not close[i, kept].any():
+            kept.append(int(i))
+    return c[kept]
+
+
+def routed(vectors: DataFrame, overlap: int, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, unit, n, cluster, size): every vector in its clusters.  ``vectors``: id, unit, n."""
     done = None
     now = vectors.select("id", "unit", "n", F.octet_length("unit").cast("string").alias("cluster"))
     for level in range(LEVELS + 1):
@@ -113,7 +125,7 @@ def routed(vectors: DataFrame, overlap: int) -> DataFrame:
         def fit(rows: pa.Table) -> pa.Table:
             x = matrix(rows.column("unit"))
             k = min(FAN, max(2, -(-rows.column("size")[0].as_py() // TARGET)))
-            c = centres(x, k)
+            c = apart(centres(x, k), x, threshold)
             return pa.table({"cluster": pa.array([rows.column("cluster")[0].as_py()], pa.string()), "centres": pa.array([c.tobytes()], pa.binary())})
 
         fitted = staged(sample.groupBy("cluster").applyInArrow(fit, "cluster string, centres binary"), "centres")
@@ -240,12 +252,19 @@ def searched(x: np.ndarray, graph: np.ndarray, threshold: float) -> np.ndarray:
     return inside
 
 
-def linked(rows: pa.Table, threshold: float) -> pa.Table:
+def compared(x: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows each row has in range, by comparing all with all."""
+    inside = x @ x.T >= threshold - 1e-4  # single precision; verified later
+    np.fill_diagonal(inside, False)
+    return inside
+
+
+def linked(rows: pa.Table, threshold: float, exact: bool = False) -> pa.Table:
     """Per row of a shard: links counted here, and the smallest row of its component here."""
     rows = rows.sort_by("id")
     ids, unit, n_of = rows.column("id").to_numpy(), matrix(rows.column("unit")), rows.column("n").to_numpy()
     n = len(ids)
-    lists = rows.column("near").to_pylist()
+    lists = [None] * n if exact else rows.column("near").to_pylist()
     width = max(1, max((len(x or ()) for x in lists), default=1))
     graph = np.repeat(np.arange(n)[:, None], width, axis=1)
     for i, near in enumerate(lists):
@@ -253,9 +272,10 @@ def linked(rows: pa.Table, threshold: float) -> pa.Table:
             at = np.searchsorted(ids, near)
             at = at[(at < n) & (ids[np.minimum(at, n - 1)] == near)]
             graph[i, : len(at)] = at
-    a, b = np.nonzero(np.triu(searched(unit.astype(np.float32), graph, threshold)))
-    exact = np.concatenate([np.einsum("pd,pd->p", unit[a[k : k + 50_000]], unit[b[k : k + 50_000]]) for k in range(0, max(1, len(a)), 50_000)]) >= threshold
-    a, b = a[exact], b[exact]
+    single = unit.astype(np.float32)
+    a, b = np.nonzero(np.triu(compared(single, threshold) if exact else searched(single, graph, threshold)))
+    true = np.concatenate([np.einsum("pd,pd->p", unit[a[k : k + 50_000]], unit[b[k : k + 50_000]]) for k in range(0, max(1, len(a)), 50_000)]) >= threshold
+    a, b = a[true], b[true]
     root = np.arange(n)
     while len(a):  # smallest index of each component, by minima along links and jumps
         old = root.copy()
@@ -281,7 +301,7 @@ def linked(rows: pa.Table, threshold: float) -> pa.Table:
 
 def graph_links(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
     """(id, links, root) rows of all shards over distinct ``vectors`` (id, unit, n)."""
-    rows = staged(sharded(routed(vectors, overlap)), "shards")
+    rows = staged(sharded(routed(vectors, overlap, threshold)), "shards")
     parts = rows.groupBy("shard").applyInArrow(built, "id long, near array<long>")
     lists = parts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     clusters = rows.groupBy("id").agg(F.collect_set("cluster").alias("clusters"))
@@ -293,8 +313,23 @@ def graph_links(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap: in
     return staged(whole.groupBy("shard").applyInArrow(search, "id long, links long, root long"), "links")
 
 
+def exact_links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """The same rows as graph_links, by comparing all vectors of one length with all, in pairs of blocks."""
+    whole = vectors.select("id", "unit", "n", F.octet_length("unit").cast("string").alias("cluster"))
+    sizes = whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    rows = sharded(whole.join(sizes, "cluster").select("id", "unit", "n", "cluster", "size")).withColumn("clusters", F.array("cluster"))
+
+    def search(rows: pa.Table) -> pa.Table:
+        return linked(rows, threshold, exact=True)
+
+    return staged(rows.groupBy("shard").applyInArrow(search, "id long, links long, root long"), "links")
+
+
 def audited(vectors: DataFrame, counts: DataFrame, *, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
-    """Share of all links of some queries that ``counts`` (id, links) has; queries are compared with every vector."""
+    """Share of the links of some queries that ``counts`` (id, links) has: of all, or a query's on average if that is less.
+
+    Queries are compared with every vector.
+    """
     total = vectors.count()
     share = F.lit(1 << 20) * queries / max(1, total)
     asked = vectors.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 20)) < share).join(counts, "id", "left").toArrow()
@@ -305,7 +340,7 @@ def audited(vectors: DataFrame, counts: DataFrame, *, threshold: float = THRESHO
     blocks = vectors.sparkSession.sparkContext.broadcast([(asked.column("id").to_numpy()[at], matrix(asked.column("unit").take(pa.array(at)))) for at in groups.values()])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n: dict[int, int] = {}
         for batch in batches:
             own, ids, weight = batch.column(1).to_pylist(), batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for keys, q in blocks.value:
@@ -314,12 +349,15 @@ def audited(vectors: DataFrame, counts: DataFrame, *, threshold: float = THRESHO
                     part = at[k : k + 2000]
                     hit = q @ np.frombuffer(b"".join(own[i] for i in part), dtype=np.float64).reshape(-1, q.shape[1]).T >= threshold
                     hit &= keys[:, None] != ids[part][None, :]
-                    n += int((hit * weight[part]).sum())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+                    for key, more in zip(keys.tolist(), (hit @ weight[part]).tolist(), strict=True):
+                        n[key] = n.get(key, 0) + more
+        yield pa.RecordBatch.from_pydict({"id": pa.array(list(n), pa.int64()), "n": pa.array(list(n.values()), pa.int64())})
 
-    true = vectors.select("id", "unit", "n").mapInArrow(compare, "n long").agg(F.sum("n")).first()[0] or 0
-    found = sum(x or 0 for x in asked.column("links").to_pylist())
-    return found / true if true else 1.0
+    rows = vectors.select("id", "unit", "n").mapInArrow(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    found = {k: x or 0 for k, x in zip(asked.column("id").to_pylist(), asked.column("links").to_pylist(), strict=True)}
+    if not rows:
+        return 1.0
+    return min(sum(found[r.id] for r in rows) / sum(r.n for r in rows), sum(found[r.id] / r.n for r in rows) / len(rows))
 
 
 def near_duplicates(rows: DataFrame, *, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -337,7 +375,12 @@ def near_duplicates(rows: DataFrame, *, key: str = "vec_id", column: str = "embe
         parts = graph_links(distinct, threshold=threshold, overlap=overlap)
         counts = parts.groupBy("id").agg(F.sum("links").alias("links"))
         recall = audited(distinct, counts, threshold=threshold)
-        if recall >= RECALL or overlap >= OVERLAP_MOST:
+        if recall >= RECALL:
+            break
+        if overlap >= OVERLAP_MOST:
+            parts = exact_links(distinct, threshold=threshold)
+            counts = parts.groupBy("id").agg(F.sum("links").alias("links"))
+            recall = audited(distinct, counts, threshold=threshold)
             break
         overlap += 2
     member = connected(parts.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -64,3 +64,38 @@ def test_recall_on_the_table(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id < 1500").collect()]
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in neargraph.near_duplicates(table(spark, rows)).collect()), key=repr)
     assert got == brute(rows)
+
+
+def counted(rows, threshold=0.95):
+    """Links of each row, all distinct and of one length."""
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return {k: int(n) - 1 for (k, _), n in zip(rows, (x @ x.T >= threshold).sum(axis=1))}
+
+
+@pytest.mark.parametrize("noise", [0.03, 0.04])
+def test_a_tight_ball_is_not_cut_up(spark, monkeypatch, noise):
+    """Distinct vectors that are nearly all links of each other, enough for 40 centres."""
+    monkeypatch.setattr(neargraph, "LIMIT", 60)
+    monkeypatch.setattr(neargraph, "TARGET", 20)
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=32)
+    vectors = [*(centre / np.linalg.norm(centre) + noise * rng.normal(size=(500, 32))), *rng.normal(size=(300, 32))]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(vectors)]
+    want = counted(rows)
+    assert sum(want.values()) > 100_000
+    found = {r.vec_id: r.n_links for r in neargraph.near_duplicates(table(spark, rows)).collect()}
+    assert all(found[k] <= n for k, n in want.items()) and sum(found.values()) >= neargraph.RECALL * sum(want.values())
+
+
+def test_too_low_a_recall_ends_in_all_pairs(spark, monkeypatch):
+    for name, value in (("LIMIT", 60), ("TARGET", 20), ("OVERLAP", 6), ("RECALL", 1.1)):
+        monkeypatch.setattr(neargraph, name, value)
+    asked = []
+    whole = neargraph.exact_links
+    monkeypatch.setattr(neargraph, "exact_links", lambda *a, **k: asked.append(1) or whole(*a, **k))
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(4, 16))
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(centre[rng.integers(4, size=200)] + 0.2 * rng.normal(size=(200, 16)))]
+    check(spark, rows)
+    assert asked
