@@ -45,12 +45,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a staged table that nothing will read any more."""
-    spark, path = df.sparkSession, getattr(df, "_scratch", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := getattr(df, "_scratch", None):
+        removed(df.sparkSession, path)
 
 
 def connected(edges: DataFrame) -> DataFrame:

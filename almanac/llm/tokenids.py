@@ -1,6 +1,7 @@
 """Token ids as files: canonical length-limited Huffman codes in blocks that decode on their own.
 
-1.  Documents are dealt by ranges of their key and sorted; each range is tokenized into one raw
+1.  Documents are dealt by ranges of their key (rows of one key by a hash of their text and their
+    number, so that no key is too many for a task) and sorted; each range is tokenized into one raw
     part file, and the ids are counted.  Spark sums the counts; one count per vocabulary id reaches
     the driver, where package-merge gives code lengths.
 2.  Each part becomes one coded file: code lengths, keys, document lengths, the bit offset of every
@@ -8,7 +9,8 @@
 3.  Reading decodes all blocks of a file side by side with one table look-up a symbol.
 
 File names depend on the range only and a file appears when it is whole, so repeated tasks replace
-what they wrote.
+what they wrote.  The raw files go when all coded files are there, not before: a task of either step
+may run again at any time.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import os
 import posixpath
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,12 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import scratch_path, staged, text_blocks
+from almanac.llm.common import removed, scratch_path, staged, text_blocks
 
 #: Bits of the longest code (where the vocabulary allows it), symbols in a block.
 LONGEST, BLOCK = 16, 512
 MAGIC = b"ALMTOK1\n"
 END_ID = 1
+#: Bytes of text that one file holds on average.
+FILE = 32 << 20
 #: Words that a worker remembers the ids of, a young and an old generation of this many; bytes of text
 #: whose chunks are looked up together; ids that are packed together.
 REMEMBERED, TOGETHER, PACKED = 200_000, 8 << 20, 1 << 19
@@ -48,12 +53,22 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def stays_letters(word: str) -> bool:
+    """Whether a word is letters and nothing else after the tokenizer composed and lower-cased it.
+
+    A dotted capital I, for one, becomes an i and a combining dot, and the tokenizer puts that dot
+    together with the punctuation behind it.  Letters are those of an old version of Unicode, which
+    are letters in every later one, whatever version the tokenizer was built with.
+    """
+    return word.isascii() or all(unicodedata.ucd_3_2_0.category(c)[0] == "L" for c in unicodedata.normalize("NFC", word).lower())
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, one chunk between ASCII white space at a time.
 
     The tokenizer drops white space and lower-cases, so a text's ids are those of its chunks, and
-    the ids of letters with punctuation behind them those of either part; the tests hold this
-    against whole texts.  Ids of lower-case words are remembered within a bound.
+    the ids of what stays letters with punctuation behind it those of either part; the tests hold
+    this against whole texts.  Ids of lower-case words are remembered within a bound.
     """
 
     def __init__(self, path: str):
@@ -128,9 +143,12 @@ class Encoder:
         chunks, at = coded.dictionary, coded.indices.to_numpy()
         low = pc.ascii_lower(chunks)
         core = pc.ascii_rtrim(low, characters=TAIL)
-        plain = pc.utf8_is_alpha(core)
+        letters = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False).copy()
+        wide = np.flatnonzero(letters & ~pc.string_is_ascii(core).to_numpy(zero_copy_only=False))
+        letters[wide] = [stays_letters(x) for x in core.take(pa.array(wide)).to_pylist()]
+        plain = pa.array(letters)
         stems = pc.if_else(plain, core, chunks).dictionary_encode()
-        behind = (pc.binary_length(low).to_numpy() - pc.binary_length(core).to_numpy()) * plain.to_numpy(zero_copy_only=False)
+        behind = (pc.binary_length(low).to_numpy() - pc.binary_length(core).to_numpy()) * letters
         has = np.flatnonzero(behind)
         tails = pa.array([x[-k:] for x, k in zip(low.take(pa.array(has)).to_pylist(), behind[has].tolist(), strict=True)], pa.string()).dictionary_encode()
         # every chunk is a stem and what stands behind it, number 0 being nothing
@@ -285,20 +303,35 @@ def read_file(data: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return keys, nulls.astype(bool), sizes, unpacked(data[at:], starts, n, lengths)
 
 
+def coded_part(fs, raw: str, root: str, part: int, lengths: np.ndarray, codes: np.ndarray) -> None:
+    """One raw file as a coded one; it may be done again whenever a task is."""
+    data = take(fs, posixpath.join(raw, f"raw-{part:06d}"))
+    n, size = struct.unpack_from("<QQ", data)
+    keys = np.frombuffer(data, "<i8", n, 16)
+    nulls = np.frombuffer(data, "u1", n, 16 + 8 * n)
+    sizes, packs = (np.frombuffer(data, "<u8", n, 16 + k * n) for k in (9, 17))
+    ends = 16 + 25 * n + np.cumsum(packs)
+    ids = b"".join(zlib.decompress(data[a:b]) for a, b in zip((ends - packs).tolist(), ends.tolist(), strict=True))
+    put(fs, posixpath.join(root, f"tokens-{part:06d}.huf"), file_of(keys, nulls, sizes, np.frombuffer(ids, f"<u{size}"), lengths, codes))
+
+
 def written(docs: DataFrame, folder: str, *, path: str, key: str = "doc_id", text: str = "text", end: int = END_ID) -> DataFrame:
     """Writes all texts' ids as coded files in ascending order of ``key``; (part, docs, tokens) of each file.
 
     A null text has no ids but the end id; null keys come first; rows with equal keys are in order
-    of their texts.  Every document ends with ``end``.
+    of the front of their texts, then of a hash of them; equal rows are interchangeable.  Every document ends with ``end``.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    parts = text_blocks(rows)
-    ranged = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
+    parts = text_blocks(rows, target=FILE)
+    order = ["key", "front", "hash", "row"]
+    rows = rows.withColumns({"front": F.substring("text", 1, 64), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
+    drafts = scratch_path(docs.sparkSession, "raw-ids")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         ending = encode.raw([end])
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = pafs.FileSystem.from_uri(drafts)
         fs.create_dir(root, recursive=True)
         part = TaskContext.get().partitionId()
         keys, nulls, sizes, found = [], [], [], []
@@ -327,24 +360,20 @@ def written(docs: DataFrame, folder: str, *, path: str, key: str = "doc_id", tex
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        _, raw = pafs.FileSystem.from_uri(drafts)
         lengths, codes = shared.value
         for batch in batches:
             for part in batch.column("part").to_pylist():
-                data = take(fs, posixpath.join(root, f"raw-{part:06d}"))
-                n, size = struct.unpack_from("<QQ", data)
-                keys = np.frombuffer(data, "<i8", n, 16)
-                nulls = np.frombuffer(data, "u1", n, 16 + 8 * n)
-                sizes, packs = (np.frombuffer(data, "<u8", n, 16 + k * n) for k in (9, 17))
-                ends = 16 + 25 * n + np.cumsum(packs)
-                ids = b"".join(zlib.decompress(data[a:b]) for a, b in zip((ends - packs).tolist(), ends.tolist(), strict=True))
-                put(fs, posixpath.join(root, f"tokens-{part:06d}.huf"), file_of(keys, nulls, sizes, np.frombuffer(ids, f"<u{size}"), lengths, codes))
-                fs.delete_file(posixpath.join(root, f"raw-{part:06d}"))
+                coded_part(fs, raw, root, part, lengths, codes)
             yield batch
 
     per_part = counted.groupBy("part").agg(F.sum(F.when(F.col("id") < 0, F.col("n"))).alias("docs"), F.sum(F.when(F.col("id") >= 0, F.col("n"))).alias("tokens"))
     per_part = staged(per_part, "parts")
     coded = per_part.repartition(parts, "part").mapInArrow(code, per_part.schema)
-    return staged(coded, "files")
+    files = staged(coded, "files")
+    removed(docs.sparkSession, drafts)
+    return files
 
 
 def decoded(files: DataFrame, folder: str, *, tokens: bool = False) -> DataFrame:
@@ -371,6 +400,11 @@ def decoded(files: DataFrame, folder: str, *, tokens: bool = False) -> DataFrame
 
 
 def op9_tokens(spark, sf_dir: str) -> DataFrame:
+    """Every document's place, number and checksum of ids, as read back from the coded files.
+
+    A null or empty text has the end id alone.  Documents with equal ids and rows that repeat keep
+    a row each; documents with a null doc_id come first; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = scratch_path(spark, "tokens")
     files = written(docs, folder, path=word_vocabulary())

@@ -1,4 +1,5 @@
 import heapq
+import random
 import zlib
 
 import numpy as np
@@ -72,6 +73,50 @@ def test_encoder_equals_whole_texts(spark, small):
         assert np.frombuffer(raw, encode.kind).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_library_on_random_texts():
+    """Combining marks, capitals whose lower case is several characters, contractions, digits, symbols."""
+    encode, rng = tokenids.encoder(tokenids.word_vocabulary()), random.Random(11)
+    letters = "abcXYZéÉßẞİıÍŁłÑñŞşЖжΣσςΏἈἎǅǈﬁﬀŉǰΐẖẗẚKÅÅ한국ᄒ일本ªº"
+    marks = "̧̣́̇̈ͅ⃝‍️"
+    rest = ".,;:!?'\"()-_/@#%&*…“”’«»0123456789²½ⅣⅷＡａ１€ \t\n\u00a0\u3000\x1c\u0085"
+    pools = [letters, letters + marks, letters + marks + rest, "GAZİ Mİ?.,'s " + marks, rest]
+    texts = []
+    for k in range(10_000):
+        pool = pools[k % len(pools)]
+        texts.append("".join(rng.choice(pool) for _ in range(rng.randint(1, 40))))
+    texts += ["GAZİ.", "BELEDİYESİ,", "Mİ?", "don'T", "l'İ's", "e\u0301. E\u0301!", "ŉ. ŉ'"]
+    want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, raw, own in zip(texts, encode(pa.array(texts)), want, strict=True):
+        assert np.frombuffer(raw, encode.kind).tolist() == own.ids, text
+
+
+def test_a_repeated_task_finds_its_input(spark, tmp_path):
+    import pyarrow.fs as pafs
+
+    keys, ids = np.arange(3), np.array([5, 6, 1, 7, 1, 1], dtype="<u2")
+    packs = [zlib.compress(ids[a:b].tobytes()) for a, b in ((0, 3), (3, 5), (5, 6))]
+    head = [np.array([3, 2], "<u8"), keys.astype("<i8"), np.zeros(3, np.uint8), np.array([3, 2, 1], "<u8"), np.array([*map(len, packs)], "<u8")]
+    fs = pafs.LocalFileSystem()
+    tokenids.put(fs, str(tmp_path / "raw-000000"), [*(x.tobytes() for x in head), *packs])
+    lengths = tokenids.code_lengths(np.bincount(ids))
+    made = []
+    for _ in range(2):
+        tokenids.coded_part(fs, str(tmp_path), str(tmp_path), 0, lengths, tokenids.canonical(lengths))
+        made.append((tmp_path / "tokens-000000.huf").read_bytes())
+    assert made[0] == made[1] and tokenids.read_file(memoryview(made[0]))[3].tolist() == ids.tolist()
+
+
+def test_one_key_is_spread_over_files(spark, monkeypatch):
+    monkeypatch.setattr(tokenids, "FILE", 2000)
+    rows = [(7, "same words here")] * 600 + [(None, f"text {i}") for i in range(600)]
+    where = scratch_path(spark, "tokens-hot")
+    files = tokenids.written(spark.createDataFrame(rows, "doc_id long, text string"), where, path=tokenids.word_vocabulary())
+    docs = [r.docs for r in files.collect()]
+    assert sum(docs) == 1200 and max(docs) < 400
+    back = tokenids.decoded(files, where).orderBy("start").collect()
+    assert [r.key for r in back] == [None] * 600 + [7] * 600
+
+
 def check(spark, where, rows):
     own = tokenids.encoder(tokenids.word_vocabulary()).tokenizer
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenids.op9_tokens(spark, where).collect()), key=lambda r: r[1])
