@@ -1,9 +1,9 @@
 """Language identification of mixed-language text: scripts, trigram scores per word, Viterbi.
 
-A model holds, per language, log shares of hashed character trigrams (with word edges) and the
-scripts that the language writes.  In a text each word gets one score per language; languages that
-do not write the word's script are set far back.  Viterbi over the words, with a penalty for each
-change of language, labels spans.  A text's language is the one that labels most of its letters,
+A model holds, per language, log shares of the hashed character trigrams (with word edges) that it
+was seen with, and the scripts that it writes.  A word's script narrows the candidates: it is scored
+for the languages that write the script, and the others are set far behind the last of those.
+Viterbi over the words, with a penalty for each change of language, labels spans.  A text's language is the one that labels most of its letters,
 and its score is that share.
 
 Scores, windows and the Viterbi recursion run as numpy operations over many documents at once.
@@ -11,6 +11,7 @@ Scores, windows and the Viterbi recursion run as numpy operations over many docu
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,16 +25,17 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, Struc
 
 from almanac.llm.common import staged
 
-#: Hash buckets of trigrams; with MIN_SHARE this bounds the model: at most 1000 languages of 32768 floats.
+#: Hash buckets of trigrams: a language has at most as many log shares.
 BUCKETS = 1 << 15
-#: Share of the labelled letters from which on a language is learned.
-MIN_SHARE = 1e-3
+#: Sums that the driver gathers for a model at most (16 bytes each); with more it fails, as it drops no language.
+SUMS = 1 << 24
 #: Cost of changing the language between two words, in nats, and of a language not written in the word's script.
 SWITCH, FOREIGN = 12.0, 60.0
 #: Share of a language's letters from which on it writes a script.
 WRITES = 0.01
-#: Characters that are scored at a time.
+#: Characters that are scored at a time, fewer if there are many languages.
 CHUNK = 1 << 21
+GAP = re.compile(r"\s")
 
 #: First code points of script ranges and the script's number there (Unicode blocks).
 RANGES = [
@@ -99,14 +101,15 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def pieces(text: str) -> Iterator[tuple[int, str]]:
-    """Parts of a long text, cut at white space where there is any, with their offsets."""
+def pieces(text: str, size: int = CHUNK) -> Iterator[tuple[int, str]]:
+    """Parts of a long text with their offsets, cut at the first white space behind ``size`` characters.
+
+    No word is cut: what has no white space stays in one part.
+    """
     at = 0
     while at < len(text):
-        to = min(len(text), at + CHUNK)
-        if to < len(text):
-            gap = max(text.rfind(" ", at + 1, to), text.rfind("\n", at + 1, to))
-            to = gap if gap > at else to
+        gap = GAP.search(text, at + size)
+        to = gap.start() if gap else len(text)
         yield at, text[at:to]
         at = to
 
@@ -142,33 +145,48 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
 @dataclass
 class Model:
     langs: list[str]
-    logs: np.ndarray  #: languages x buckets, float32
+    at: list[np.ndarray]  #: per language the buckets it was seen with
+    logs: list[np.ndarray]  #: and their log shares
+    unseen: np.ndarray  #: log share of a bucket it was not seen with
     writes: np.ndarray  #: scripts x languages
 
+    def row(self, i: int) -> np.ndarray:
+        """A language's log shares of all buckets."""
+        out = np.full(BUCKETS, self.unseen[i], dtype=np.float32)
+        out[self.at[i]] = self.logs[i]
+        return out
+
     def scores(self, words: Words) -> np.ndarray:
         """Words x languages.  A word in a script that no learned language writes is neutral."""
-        out = np.empty((len(words.start), len(self.langs)), dtype=np.float32)
-        for i, logs in enumerate(self.logs):
-            out[:, i] = np.add.reduceat(logs[words.buckets], words.first) if len(words.first) else 0
-        can = self.writes[words.script]
-        none = ~can.any(axis=1)
-        out -= FOREIGN * ~can
-        out[none] = 0
+        n, windows = len(words.start), len(words.buckets)
+        out = np.zeros((n, len(self.langs)), dtype=np.float32)
+        size = np.diff(np.append(words.first, windows))
+        for script in np.flatnonzero(np.bincount(words.script)) if n else ():
+            candidates = np.flatnonzero(self.writes[script])
+            own = np.flatnonzero(words.script == script)
+            if not len(candidates):
+                continue
+            first = np.cumsum(size[own]) - size[own]
+            at = slice(None) if len(own) == n else np.repeat(words.first[own] - first, size[own]) + np.arange(size[own].sum())
+            found = np.stack([np.add.reduceat(self.row(i)[words.buckets[at]], first) for i in candidates], axis=1)
+            out[own] = found.min(axis=1, keepdims=True) - FOREIGN
+            out[np.ix_(own, candidates)] = found
         return out
 
     def labelled(self, texts: list[str], switch: float = SWITCH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Per text: its number and, per word, label, letters, start and end."""
+        most = CHUNK * 8 // max(8, len(self.langs)) + 1
         batch, size = [], 0
         for i, text in enumerate(texts):
             batch.append(i)
             size += len(text)
-            if size >= CHUNK or i + 1 == len(texts):
-                yield from self._labelled(texts, batch, switch)
+            if size >= most or i + 1 == len(texts):
+                yield from self._labelled(texts, batch, switch, most)
                 batch, size = [], 0
 
-    def _labelled(self, texts, batch, switch):
+    def _labelled(self, texts, batch, switch, most):
         scores, letters, starts, ends, sizes = [], [], [], [], []
-        short = sum(len(texts[i]) + 1 for i in batch) <= 2 * CHUNK
+        short = sum(len(texts[i]) + 1 for i in batch) <= 2 * most
         if short:  # all at once
             words = cut(codes_of("\n".join(texts[i] for i in batch)))
             at = np.cumsum([0, *(len(texts[i]) + 1 for i in batch)])
@@ -179,7 +197,7 @@ class Model:
         else:
             for i in batch:
                 n = 0
-                for offset, part in pieces(texts[i]):
+                for offset, part in pieces(texts[i], most):
                     words = cut(codes_of(part))
                     scores.append(self.scores(words))
                     letters.append(words.letters)
@@ -198,8 +216,9 @@ class Model:
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model | None:
     """Learns from all rows with a text and a language; None if there are none.
 
-    Trigrams are counted in the tasks and summed by Spark; at most languages x (buckets + scripts)
-    sums reach the driver.
+    Every language is learned, however few its texts; one whose texts have no letter has no candidate
+    word.  Trigrams are counted in the tasks and summed by Spark; the sums that are not zero reach
+    the driver, SUMS of them at most.
     """
     width = BUCKETS + SCRIPTS
 
@@ -226,21 +245,29 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model | N
 
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sums = known.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
-    letters = sums.where(F.col("at") >= BUCKETS).groupBy("lang").agg(F.sum("n").alias("letters"))
     sums = staged(sums, "trigrams")
-    letters = sums.where(F.col("at") >= BUCKETS).groupBy("lang").agg(F.sum("n").alias("letters"))
-    every = letters.agg(F.sum("letters")).first()[0] or 0
-    kept = letters.where(F.col("letters") >= MIN_SHARE * every).select("lang")
-    found = sums.join(kept, "lang").toArrow()
-    langs = sorted(set(found["lang"].to_pylist()))
-    if not langs:
+    if sums.count() > SUMS:
+        raise ValueError("the languages have more trigrams than one model holds")
+    found = sums.toArrow()
+    names = found["lang"].combine_chunks().dictionary_encode()
+    if not len(names):
         return None
-    counts = np.zeros((len(langs), width))
-    row = np.searchsorted(np.array(langs, dtype=object), np.array(found["lang"].to_pylist(), dtype=object))
-    counts[row, found["at"].to_numpy()] = found["n"].to_numpy()
-    grams, scripts = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:]
-    logs = np.log(grams / grams.sum(axis=1, keepdims=True)).astype(np.float32)
-    return Model(langs, logs, (scripts >= WRITES * scripts.sum(axis=1, keepdims=True)).T & (scripts > 0).T)
+    number, at, n = names.indices.to_numpy(), found["at"].to_numpy(), found["n"].to_numpy().astype(np.float64)
+    order = sorted(range(len(names.dictionary)), key=lambda i: names.dictionary[i].as_py())
+    bounds = np.argsort(number, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(np.bincount(number))))
+    seen, logs, unseen, scripts = [], [], [], np.zeros((len(order), SCRIPTS))
+    for k, i in enumerate(order):
+        own = bounds[ends[i] : ends[i + 1]]
+        grams = own[at[own] < BUCKETS]
+        total = n[grams].sum() + 0.5 * BUCKETS
+        seen.append(at[grams])
+        logs.append(np.log((n[grams] + 0.5) / total).astype(np.float32))
+        unseen.append(np.log(0.5 / total))
+        other = own[at[own] >= BUCKETS]
+        scripts[k, at[other] - BUCKETS] = n[other]
+    writes = (scripts >= WRITES * scripts.sum(axis=1, keepdims=True)) & (scripts > 0)
+    return Model([names.dictionary[i].as_py() for i in order], seen, logs, np.array(unseen), writes.T)
 
 
 def identified(docs: DataFrame, model: Model | None, *, text: str = "text", switch: float = SWITCH, spans: bool = True) -> DataFrame:
@@ -288,6 +315,11 @@ def remainder(key: str, by: int) -> Column:
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
+    """Every document's language by a model of the documents that are not held out.
+
+    A null or empty text, one without letters, and every text where nothing was learned: und, 0.0.
+    Rows that repeat keep a row each; a null doc_id counts as empty text; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs.where(remainder("doc_id", 3) != 1))
     found = identified(docs.select("doc_id", "text"), model, spans=False)
