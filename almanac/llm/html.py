@@ -3,7 +3,7 @@
 A page is cut into text blocks at block-level tags.  A block is described by its words and link
 density, those of its two neighbours, where it stands (in an article, in a part such as a menu,
 neither) and whether the page marks an article at all.  A decision tree, trained by Spark on the
-labelled table below, says which blocks are main text.
+blocks of the labelled pages below, says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -21,40 +21,38 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 FEATURES = ("words_before", "words", "words_after", "density_before", "density", "density_after", "place", "marked")
 
-#: Hand-labelled blocks: the features in order, then 1 for main text.  ``place``: 1 in an article,
-#: -1 in a menu, header, footer, sidebar, notice, advert, form or comment, 0 elsewhere.
+#: Hand-labelled pages, the small table that the tree learns from.  ``{n}`` stands for n words, and a
+#: block that is main text begins with ``§``.
 LABELLED = [
-    # blocks of a marked article, whatever their length or links
-    (0, 8, 40, 0.0, 0.0, 0.0, 1, 1, 1), (8, 40, 3, 0.0, 0.0, 0.0, 1, 1, 1), (40, 3, 55, 0.0, 0.0, 0.0, 1, 1, 1),
-    (60, 1, 70, 0.0, 0.0, 0.0, 1, 1, 1), (7, 9, 12, 0.0, 1.0, 0.0, 1, 1, 1), (30, 25, 20, 0.1, 0.4, 0.1, 1, 1, 1),
-    (12, 2, 4, 1.0, 1.0, 1.0, 1, 1, 1), (0, 120, 0, 0.0, 0.05, 0.0, 1, 1, 1), (5, 60, 9, 1.0, 0.0, 0.0, 1, 1, 1),
-    (2, 6, 90, 1.0, 0.0, 0.0, 1, 1, 1), (90, 5, 11, 0.0, 0.0, 0.2, 1, 1, 1), (3, 14, 33, 0.0, 0.6, 0.0, 1, 1, 1),
-    (300, 250, 4, 0.0, 0.0, 0.5, 1, 1, 1), (1, 1, 1, 0.0, 0.0, 0.0, 1, 1, 1), (45, 52, 61, 0.0, 0.02, 0.0, 1, 1, 1),
-    # blocks of menus, headers, footers, sidebars, notices, adverts, forms, comments
-    (0, 1, 1, 0.0, 1.0, 1.0, -1, 1, 0), (1, 1, 2, 1.0, 1.0, 1.0, -1, 1, 0), (2, 7, 8, 1.0, 0.0, 0.0, -1, 1, 0),
-    (80, 12, 0, 0.0, 0.0, 0.0, -1, 1, 0), (40, 45, 38, 0.0, 0.0, 0.0, -1, 1, 0), (3, 70, 2, 0.0, 0.0, 0.0, -1, 1, 0),
-    (9, 30, 25, 0.0, 0.3, 0.2, -1, 1, 0), (2, 2, 2, 1.0, 1.0, 1.0, -1, 0, 0), (60, 11, 0, 0.0, 0.1, 0.0, -1, 0, 0),
-    (50, 40, 60, 0.0, 0.0, 0.0, -1, 0, 0), (4, 150, 6, 0.0, 0.0, 0.0, -1, 0, 0), (1, 5, 90, 1.0, 0.0, 0.0, -1, 0, 0),
-    (7, 20, 30, 0.2, 0.0, 0.0, -1, 0, 0), (0, 35, 8, 0.0, 0.2, 0.0, -1, 1, 0), (25, 6, 33, 0.0, 0.0, 0.0, -1, 0, 0),
-    # blocks outside the article of a page that marks one
-    (0, 3, 8, 0.0, 1.0, 0.0, 0, 1, 0), (5, 20, 30, 1.0, 0.0, 0.0, 0, 1, 0), (40, 60, 0, 0.0, 0.0, 0.0, 0, 1, 0),
-    (90, 8, 2, 0.0, 0.0, 1.0, 0, 1, 0), (1, 25, 50, 1.0, 0.1, 0.0, 0, 1, 0), (20, 110, 7, 0.0, 0.0, 0.0, 0, 1, 0),
-    # pages that mark no article: long blocks with few links, and short ones among them, are text
-    (3, 60, 50, 1.0, 0.0, 0.0, 0, 0, 1), (60, 50, 45, 0.0, 0.0, 0.0, 0, 0, 1), (50, 45, 3, 0.0, 0.05, 1.0, 0, 0, 1),
-    (45, 6, 70, 0.0, 0.0, 0.0, 0, 0, 1), (2, 9, 80, 1.0, 0.0, 0.0, 0, 0, 1), (9, 22, 30, 0.0, 0.1, 0.0, 0, 0, 1),
-    (30, 18, 25, 0.0, 0.2, 0.0, 0, 0, 1), (35, 4, 28, 0.1, 0.0, 0.0, 0, 0, 1), (70, 3, 40, 0.0, 0.0, 0.0, 0, 0, 1),
-    (0, 200, 0, 0.0, 0.1, 0.0, 0, 0, 1), (0, 25, 0, 0.0, 0.0, 0.0, 0, 0, 1), (15, 30, 2, 0.0, 0.0, 1.0, 0, 0, 1),
-    (0, 2, 2, 0.0, 1.0, 1.0, 0, 0, 0), (2, 2, 1, 1.0, 1.0, 1.0, 0, 0, 0), (50, 3, 2, 0.0, 1.0, 1.0, 0, 0, 0),
-    (1, 20, 2, 1.0, 0.9, 1.0, 0, 0, 0), (30, 25, 10, 0.0, 0.8, 0.9, 0, 0, 0), (2, 4, 3, 1.0, 0.5, 1.0, 0, 0, 0),
-    (3, 5, 0, 1.0, 0.0, 0.0, 0, 0, 0), (0, 4, 2, 0.0, 0.0, 1.0, 0, 0, 0), (6, 6, 5, 0.0, 0.0, 0.2, 0, 0, 0),
-    (60, 7, 4, 0.0, 0.6, 1.0, 0, 0, 0), (5, 3, 60, 1.0, 1.0, 0.0, 0, 0, 0), (4, 5, 4, 0.5, 0.0, 0.5, 0, 0, 0),
-]
+    # pages that mark their article: all of it is text, short blocks and lists of links too
+    "<nav><a>{1}</a><a>{1}</a></nav><article><h1>§{8}</h1><p>§{60}</p><p>§{3}</p><p>§{55}</p></article><footer>{9}</footer>",
+    "<div class=ad>{7}</div><article><h1>§{4}</h1><p>§{120}</p></article><footer>{12} <a>{1}</a></footer>",
+    "<nav><ul><li><a>{1}</a><li><a>{2}</a></ul></nav><main><h2>§{6}</h2><ul><li>§<a>{9}</a></li><li>§<a>{7}</a></li></ul><p>§{30} <a>{20}</a></p></main><aside><p>{45}</p></aside>",
+    "<header><h1><a>{3}</a></h1></header><article><p>§{1}</p><p>§{2}</p><p>§{1}</p></article><div class=comments><p>{40}</p><p>{70}</p></div>",
+    "<article><h1>§{12}</h1><p>§{90}</p><form><p>{11}</p></form><p>§{45}</p><aside>{30}</aside><blockquote>§{14}</blockquote></article><p>{60}</p>",
+    "<p>{25}</p><div>{20}</div><article><div>§{250}</div><div>§{5} <a>{5}</a></div></article><div>{110}</div><div>{8}</div><div>{2} <a>{1}</a></div>",
+    "<div class=cookie>{35}</div><article><p>§<a>{2}</a></p><p>§{33}</p><p>§{61} <a>{1}</a></p></article><div><a>{3}</a></div><div>{30}</div>",
+    "<div>{3}</div><article><p>§{8}</p><p>§{80}</p><section id=comments><p>{150}</p><p>{6}</p></section></article><section class=related><p>{50}</p></section>",
+    # pages that mark none: long blocks with few links, and short ones among them
+    "<div><a>{1}</a></div><div><a>{2}</a></div><p>§{60}</p><p>§{50}</p><p>§{45}</p><div><a>{2}</a></div><div><a>{1}</a></div>",
+    "<div><a>{2}</a></div><h1>§{9}</h1><p>§{80}</p><h2>§{4}</h2><p>§{45}</p><p>§{6}</p><p>§{70}</p><div>{3} <a>{4}</a></div><div><a>{2}</a></div>",
+    "<p>§{200} <a>{20}</a></p>",
+    "<p>§{25}</p>",
+    "<div><a>{3}</a></div><p>§{30}</p><p>§{18} <a>{4}</a></p><p>§{25}</p><div>{5}</div><div><a>{1}</a></div>",
+    "<div>{1} <a>{1}</a></div><div><a>{20}</a></div><div><a>{2}</a></div><p>§{70}</p><p>§{3}</p><p>§{40}</p><div><a>{3}</a></div><div>{4}</div>",
+    "<div class=sidebar><p>{40}</p><p>{60}</p></div><p>§{35}</p><p>§{4} <a>{1}</a></p><p>§{28}</p><div class=footer>{11} <a>{1}</a></div>",
+    "<div><a>{6}</a></div><div><a>{6}</a></div><div>{6} <a>{30}</a></div><p>§{15}</p><p>§{30}</p><div><a>{5}</a></div><div>{2}</div>",
+    "<div>{4}</div><div>{5}</div><div>{4} <a>{4}</a></div><p>§{9}</p><p>§{22} <a>{2}</a></p><p>§{30}</p><form>{20}</form><div>{3}</div><div><a>{2}</a></div>",
+    "<div><a>{2}</a></div><div>{5}</div><div><a>{3}</a></div><div>{3} <a>{3}</a></div>",
+    "<div>{6}</div><div>{6}</div><div>{5}</div><div><a>{2}</a></div>",
+    "<table><tr><td><a>{1}</a></td><td><a>{2}</a></td></tr></table><p>§{48}</p><ul><li>§{7}</li><li>§{9}</li><li>§{6}</li></ul><p>§{52}</p><div><a>{7}</a></div><div><a>{8}</a></div><div class=newsletter>{25}</div>",
+]
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose whole content is no text of the page.
-SKIPPED = "script|style|noscript|template|title|svg|math|iframe|object|canvas|textarea|select|button|option|head"
+#: Elements whose whole content is no text of the page; those that are raw text run to their end tag or the page's end.
+RAW, SKIPPED = "script|style|title|textarea|noscript|iframe", "template|svg|math|object|canvas|select|button"
 BOILER = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
 ARTICLE = frozenset(("article", "main"))
 #: Elements that are followed until they close; others need no stack.
@@ -65,8 +63,12 @@ PARTS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 COMMENTS = frozenset("comment comments disqus respond replies".split())
 
+ATTRIBUTES = r"(?:[^>\"'/]+|/(?!>)|\"[^\"]*\"|'[^']*')*+"
+#: Comments; skipped elements, whole (closed in themselves or without an end tag they hold nothing);
+#: options up to the next tag, as their end tags may be left out; all other tags.
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})\b[^>]*>.*?(?:</(?P=skip)\s*>|(?=<body\b)|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|(?=<body\b)|\Z)|<(?P<skip>{SKIPPED})\b{ATTRIBUTES}>.*?</(?P=skip)\s*>|<option\b[^>]*>[^<]*"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(?P<close2>/?)(?P<name2>[a-zA-Z][a-zA-Z0-9:-]*)[^>]*>",
     re.I | re.S,
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -116,9 +118,7 @@ def blocks(page: str) -> list[tuple[str, int, float, int]]:
         text(page[at : m.start()])
         at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
-        if not name:
-            if m["skip"]:  # a form's fields end a block as little as a comment does
-                continue
+        if not name:  # a form's fields end a block as little as a comment does
             continue
         closing = m["close"] or m["close2"]
         if name in BLOCKS:
@@ -153,9 +153,18 @@ def features(found: list[tuple[str, int, float, int]]) -> list[tuple]:
     return [(a[1], b[1], c[1], a[2], b[2], c[2], b[3], marked) for a, b, c in zip(around, around[1:], around[2:], strict=False)]
 
 
-def grown(spark: SparkSession, labelled: list[tuple] = LABELLED, depth: int = 6) -> tuple | float:
-    """The tree that Spark learns from labelled blocks, as nested (feature, threshold, low, high)."""
-    rows = spark.createDataFrame([(*map(float, x),) for x in labelled], [*FEATURES, "label"]).coalesce(1)
+def labelled_blocks(pages: list[str] = LABELLED) -> list[tuple]:
+    """The features of every block of labelled pages, then 1.0 for main text."""
+    out = []
+    for page in pages:
+        found = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), page))
+        out += [(*map(float, row), float(block[0].startswith("§"))) for block, row in zip(found, features(found), strict=True)]
+    return out
+
+
+def grown(spark: SparkSession, pages: list[str] = LABELLED, depth: int = 8) -> tuple | float:
+    """The tree that Spark learns from labelled pages, as nested (feature, threshold, low, high)."""
+    rows = spark.createDataFrame(labelled_blocks(pages), [*FEATURES, "label"]).coalesce(1)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     model = DecisionTreeClassifier(maxDepth=depth, seed=1).fit(rows)
 
@@ -180,18 +189,26 @@ def main_text(page: str | None, tree: tuple | float) -> str:
 
 
 def extracted(pages: DataFrame, *, column: str = "html", into: str = "text", tree: tuple | float | None = None) -> DataFrame:
-    """Adds ``into``, the main text of ``column``; empty for null, empty and text-free pages."""
+    """Adds ``into``, the main text of ``column``; empty for null, empty and text-free pages.
+
+    A column of that name is replaced, be it ``column`` itself; all others are kept.
+    """
     tree = grown(pages.sparkSession) if tree is None else tree
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([main_text(x.as_py(), tree) for x in batch.column(batch.schema.get_field_index(column))], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, into])
 
-    rows = pages.drop(into)
-    return rows.mapInArrow(extract, StructType([*rows.schema.fields, StructField(into, StringType())]))
+    rows = pages if into == column else pages.drop(into)
+    kept = [c for c in pages.columns if c != into]
+    return rows.mapInArrow(extract, StructType([*pages.select(*kept).schema.fields, StructField(into, StringType())]))
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:
+    """Every page's main text, empty for null and empty pages and those without any.
+
+    Pages that repeat keep a row each, null keys and addresses stay null; an empty table gives no rows.
+    """
     found = extracted(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -25,10 +25,36 @@ def test_parts(tree):
 
 
 def test_labelled_table_is_learned(tree):
-    assert all(html.is_text(tree, x[:-1]) == bool(x[-1]) for x in html.LABELLED)
+    rows = html.labelled_blocks()
+    assert len(rows) > 100 and all(html.is_text(tree, x[:-1]) == bool(x[-1]) for x in rows)
 
 
-@pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("<script>x", ""), ("plain &am", None), ("<article><p>a<p>b", "a\n\nb"), ('<article><p title=\'a>b\' class="x>y">c</p>', "c"), ("<article>\x00 <p>&#x41;&bogus;</p>", None), ("<article>" + "<div>" * 3000 + "deep", "deep")])
+#: Pages that the tree has not seen, labelled in the same way.
+HELD_OUT = [
+    "<div><a>{2}</a></div><div><a>{1}</a></div><div><a>{2}</a></div><h1>§{7}</h1><p>§{65}</p><p>§{40}</p><p>§{8}</p><p>§{75}</p><div><a>{3}</a></div><div><a>{4}</a></div>",
+    "<div>{2}</div><article><h2>§{5}</h2><p>§{12}</p><ul><li>§<a>{3}</a></li><li>§<a>{4}</a></li></ul></article><div class=share>{6}</div><div>{50}</div>",
+    "<div class=banner>{30}</div><p>§{44}</p><p>§{51} <a>{3}</a></p><div id=comments><p>{33}</p><p>{20}</p></div><div><a>{2}</a></div>",
+    "<table><tr><td><a>{1}</a></td><td><a>{1}</a></td></tr></table><p>§{100}</p><p>§{5}</p><p>§{64}</p><div><a>{6}</a></div>",
+    "<ul><li><a>{2}</a></li><li><a>{3}</a></li></ul><div>§{38}</div><div>§{29} <a>{2}</a></div><div>§{47}</div><ul><li><a>{8}</a></li><li><a>{9}</a></li></ul>",
+]
+
+
+def test_held_out_blocks(tree):
+    rows = html.labelled_blocks(HELD_OUT)
+    assert sum(html.is_text(tree, x[:-1]) == bool(x[-1]) for x in rows) >= 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("inside", ["<svg class='x'/>", "<svg><text>no</text></svg>", "<datalist><option value=a><option value=b>no</datalist>", "<select><option>no</select>", "<button>", "<canvas>", "<object data='a/>b'/>", "<option>no<option>no", "<template>", "<math/>", "<textarea>no</textarea>", "<iframe src=x></iframe>"])
+def test_no_element_swallows_the_rest(tree, inside):
+    assert html.main_text(f"<head><meta charset=x><body><article><p>Hello there</p>{inside}<p>World text</p></article>", tree) == "Hello there\n\nWorld text"
+
+
+def test_column_in_place(spark, tree):
+    rows = html.extracted(spark.createDataFrame([(1, PAGE)], "page_id long, html string"), into="html", tree=tree)
+    assert rows.columns == ["page_id", "html"] and rows.first().html.startswith("The & title")
+
+
+@pytest.mark.parametrize("page, text", [(None, ""), ("", ""), ("<p>", ""), ("<script>x", ""), ("plain &am", None), ("<article><p>a<p>b", "a\n\nb"), ("<html><head><title>t</title><article>a", "a"), ('<article><p title=\'a>b\' class="x>y">c</p>', "c"), ("<article>\x00 <p>&#x41;&bogus;</p>", None), ("<article>" + "<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(tree, page, text):
     got = html.main_text(page, tree)
     assert text is None or got == text
