@@ -5,11 +5,12 @@ pieces form a lattice.  A forward pass finds the best score of every prefix; a s
 then extends suffixes by the piece before them, always the one whose score plus the best score of
 the rest is highest.  As that estimate is exact, complete paths come out best first.
 
-A piece has its space mark only at its front, so no piece crosses the start of a word and a text's
-lattice falls apart into those of its words (and words into parts between characters that no piece
-has side by side).  Viterbi passes in either direction give each word's best way and what the second
-best costs; a text's N best differ from its best only in the few words where that costs least, and
-there the search runs.
+The lattice of a text falls into parts at every place that no piece crosses: at the start of each
+word, as a piece has its space mark only at its front, and often inside words.  Two facts about the
+search make it cheap for many texts at once.  The first path it completes never leaves the chain of
+best estimates, so for all parts of a batch it is followed side by side, as numpy operations.  And a
+text's N best differ from its best only in the N - 1 parts whose second best way costs least (a pass
+from the other end gives that cost), so the agenda of the search is kept for those parts alone.
 
 The file's scores are merge ranks, not probabilities, so a piece's score here is its log share
 under a rank-frequency law.  Scores are whole micro-nats: sums are exact and ties are ties.
@@ -20,11 +21,10 @@ from __future__ import annotations
 import heapq
 import math
 import re
-import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Words of a text that has several spaces in a row or the mark itself, which is a word's first character then.
+WORD = re.compile(f" +[^ {SPACE}]*|{SPACE}[^ {SPACE}]*")
 #: Added to ranks in the rank-frequency law; micro-nats of a nat; extra cost of a byte, in nats.
 FLAT, UNIT, BYTE_COST = 10, 1_000_000, 2.0
-#: Words and parts that a worker remembers, a young and an old generation of each; characters looked up together.
-REMEMBERED, TOGETHER = 40_000, 4 << 20
+#: Bytes of text whose words are looked up together; characters of distinct words in one lattice.
+TOGETHER, LATTICE = 4 << 20, 1 << 18
 #: A cost that no choice has.
 NONE = 1 << 60
 BEST = 3
@@ -49,12 +50,81 @@ def piece_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Trie:
+    """All pieces as a trie in arrays; the child of many nodes at once is one look-up in a hash table."""
+
+    BITS, MULTIPLIER = 19, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[str]):
+        chars = sorted({c for piece in pieces for c in piece})
+        self.number = np.zeros(0x110000, dtype=np.int32)  # of characters; 0: in no piece
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        edges: dict[tuple[int, str], int] = {}
+        ends: dict[int, int] = {}
+        for i, piece in enumerate(pieces):
+            node = 0
+            for c in piece:
+                node = edges.setdefault((node, c), len(edges) + 1)
+            ends[node] = i
+        self.piece = np.full(len(edges) + 1, -1, dtype=np.int32)  # that ends in a node, if any
+        self.piece[list(ends)] = list(ends.values())
+        self.first = np.zeros(self.width, dtype=np.int32)
+        above = np.array([node for node, _ in edges], dtype=np.int64)
+        number = self.number[[ord(c) for _, c in edges]]
+        below = np.arange(1, len(edges) + 1, dtype=np.int32)
+        self.first[number[above == 0]] = below[above == 0]
+        if len(edges) > 1 << (self.BITS - 1):
+            self.BITS = len(edges).bit_length() + 1
+        self.keys, self.nodes = np.full(1 << self.BITS, -1, dtype=np.int64), np.zeros(1 << self.BITS, dtype=np.int32)
+        key = above * self.width + number
+        slot = self.slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            took = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[took]], self.nodes[slot[took]] = key[took], below[took]
+            left = np.ones(len(key), dtype=bool)
+            left[took] = False
+            key, below, slot = key[left], below[left], (slot[left] + 1) & ((1 << self.BITS) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * self.MULTIPLIER) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def child(self, node: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The node below each node by a character; 0 if there is none."""
+        key = node.astype(np.int64) * self.width + number
+        slot = self.slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.nodes[slot], 0)
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+            found = self.keys[slot[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.nodes[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return out
+
+
+@dataclass
+class Solved:
+    """The best way to write each of some words, and where the second best costs least."""
+
+    score: np.ndarray  #: of each word
+    ids: np.ndarray  #: of all words
+    size: np.ndarray  #: ids of each word
+    cost: np.ndarray  #: words x choices: what the second best way of its cheapest parts costs, least first; NONE if there is none
+    part: np.ndarray  #: words x choices: number of that part
+    text: list  #: per part the word's number, and start and end in the spelled word
+    at: np.ndarray  #: per part its first id in the word
+    count: np.ndarray  #: per part its ids
+    spelled: list[str]
+
+
 class Pieces:
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str):
         import sentencepiece
 
-        self.remembered = remembered
-
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain, self.bytes, self.table = [], {}, []
         for i in range(model.get_piece_size()):
@@ -72,18 +142,20 @@ class Pieces:
         if len(self.bytes) < 256:
             raise ValueError("a vocabulary with pieces for all bytes is needed")
         total = sum(1 / (rank + FLAT) for rank in range(len(plain)))
-        self.scores, self.lattice = {}, ahocorasick.Automaton()
+        self.scores: dict[str, tuple[int, int]] = {}
         for rank, (_, i, piece) in enumerate(sorted(plain)):
-            score = round(-UNIT * math.log((rank + FLAT) * total))
-            self.scores[piece] = (i, score)
-            self.lattice.add_word(piece, (len(piece), i, score))
-        self.lattice.make_automaton()
-        self.pairs = {piece[k - 1 : k + 1] for piece in self.scores for k in range(1, len(piece))}
+            self.scores[piece] = (i, round(-UNIT * math.log((rank + FLAT) * total)))
         self.byte = round(-UNIT * (math.log((len(plain) + FLAT) * total) + BYTE_COST))
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-        self.parts: dict[str, tuple] = {}
-        self.parts_before: dict[str, tuple] = {}
+        self.longest = max(map(len, self.scores))
+        self.trie = Trie(list(self.scores))
+        self.ids = np.array([i for i, _ in self.scores.values()], dtype=np.int32)
+        self.logs = np.array([x for _, x in self.scores.values()], dtype=np.int64)
+        self.spelled = pa.array(self.table, pa.binary())
+
+    def spell(self, c: str) -> list[int]:
+        return [self.bytes[x] for x in c.encode("utf-8", "surrogatepass")]
+
+    # --- one part
 
     def edges(self, part: str) -> list[list[tuple[int, tuple[int, ...], int]]]:
         """Pieces by the place where they end: (start, ids, score).
@@ -91,55 +163,16 @@ class Pieces:
         A character without a piece of its own is written in bytes.
         """
         found: list[list] = [[] for _ in range(len(part) + 1)]
-        for last, (length, i, score) in self.lattice.iter(part):
-            found[last + 1].append((last + 1 - length, (i,), score))
-        for e, c in enumerate(part, 1):
-            if c not in self.scores:
-                raw = c.encode("utf-8", "surrogatepass")
-                found[e].append((e - 1, tuple(self.bytes[x] for x in raw), self.byte * len(raw)))
+        for e in range(1, len(part) + 1):
+            for b in range(max(0, e - self.longest), e):
+                own = self.scores.get(part[b:e])
+                if own:
+                    found[e].append((b, (own[0],), own[1]))
+            if part[e - 1] not in self.scores:
+                ids = tuple(self.spell(part[e - 1]))
+                found[e].append((e - 1, ids, self.byte * len(ids)))
         return found
 
-    def best(self, part: str) -> tuple[int, bytes, int]:
-        """(score, ids as bytes, cost of the second best way), by a Viterbi pass in either direction.
-
-        The second best way has a piece that the best one has not, so it is the best way through
-        one of those.
-        """
-        if part in self.scores and len(part) == 1:
-            i, score = self.scores[part]
-            return score, i.to_bytes(4, "little"), NONE
-        edges = self.edges(part)
-        ahead, via = [0], [None]
-        for own in edges[1:]:
-            top, best = -NONE, None
-            for edge in own:
-                score = ahead[edge[0]] + edge[2]
-                if score > top:
-                    top, best = score, edge
-            ahead.append(top)
-            via.append(best)
-        size = at = len(part)
-        ids, on = [], [None] * (size + 1)
-        while at:
-            edge = on[at] = via[at]
-            ids[:0] = edge[1]
-            at = edge[0]
-        behind, second = [-NONE] * size + [0], -NONE
-        for e in range(size, 0, -1):
-            rest, chosen = behind[e], on[e]
-            if rest == -NONE:
-                continue
-            for edge in edges[e]:
-                b = edge[0]
-                score = edge[2] + rest
-                if score > behind[b]:
-                    behind[b] = score
-                if edge is not chosen:
-                    score += ahead[b]
-                    if score > second:
-                        second = score
-        return ahead[size], struct.pack(f"<{len(ids)}i", *ids), ahead[size] - second if second > -NONE else NONE
-
     def search(self, part: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` best ways to write a part: (score, ids), best first; equal scores in a fixed order.
 
@@ -164,129 +197,218 @@ class Pieces:
             del agenda[n - len(found) :]
         return found
 
-    def cut(self, word: str) -> list[str]:
-        """Parts of a word between characters that no piece has next to each other."""
-        pairs, at, out = self.pairs, 0, []
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in pairs:
-                out.append(word[at:k])
-                at = k
-        out.append(word[at:])
-        return out
+    # --- many words
 
-    def word(self, word: str) -> tuple[int, bytes, int]:
-        """(score, ids as bytes, cost of the second best way) of a word, from its parts."""
-        found = []
-        for part in self.cut(word):
-            own = self.parts.get(part)
-            if own is None:
-                own = self.parts_before.get(part) or self.best(part)
-                if len(part) <= 32:
-                    self.parts[part] = own
-            found.append(own)
-        if len(found) == 1:
-            return found[0]
-        return sum([x[0] for x in found]), b"".join([x[1] for x in found]), min([x[2] for x in found])
-
-    def words(self, words: set[str]) -> dict[str, tuple]:
-        if len(self.young) > self.remembered:
-            self.old, self.young = self.young, {}
-        if len(self.parts) > self.remembered:
-            self.parts_before, self.parts = self.parts, {}
-        out, young, old = {}, self.young, self.old
-        for word in words:
-            found = young.get(word)
-            if found is None:
-                found = old.get(word)
-                if found is None:
-                    found = self.word(word)
-                if len(word) <= 32:
-                    young[word] = found
-            out[word] = found
-        return out
+    def lattice(self, codes: np.ndarray, literal: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end, number and score of all pieces in words put one after another; numbers from
+        len(self.ids) on are characters that are written in bytes, and these characters come last.
 
-    def choices(self, word: str, n: int) -> list[tuple[int, bytes]]:
-        """The ``n`` best ways to write a word: (cost above the best, ids), the best with cost 0."""
-        sums = [(0, b"")]
-        for part in self.cut(word):
-            found = self.search(part, n)
-            own = [(found[0][0] - score, np.array(ids, dtype="<i4").tobytes()) for score, ids in found]
-            sums = heapq.nsmallest(n, [(cost + extra, ids + more) for cost, ids in sums for extra, more in own])
-        return sums
+        ``stop``: for each character the end of its word; ``literal``: space marks that are text.
+        """
+        trie = self.trie
+        number = trie.number[codes]
+        number[literal] = 0
+        node = trie.first[number]
+        alone = np.flatnonzero(trie.piece[node] < 0)
+        chars, which = np.unique(codes[alone], return_inverse=True)
+        wide = np.array([len(self.spell(chr(c))) for c in chars.tolist()], dtype=np.int64)
+        starts, sizes, numbers = [alone.astype(np.int32)], [np.ones(len(alone), dtype=np.int8)], [(which + len(self.ids)).astype(np.int32)]
+        live = np.flatnonzero(node).astype(np.int32)
+        node, size = node[live], 1
+        while len(live):
+            piece = trie.piece[node]
+            has = piece >= 0
+            starts.append(live[has])
+            sizes.append(np.full(len(starts[-1]), size, dtype=np.int8))
+            numbers.append(piece[has])
+            more = live + size < stop[live]
+            live, node = live[more], node[more]
+            node = trie.child(node, number[live + size])
+            more = node > 0
+            live, node = live[more], node[more]
+            size += 1
+        start, size, piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(numbers)
+        return start, start + size, piece, np.concatenate((self.logs, self.byte * wide))[piece], chars
+
+    def solve(self, words: pa.Array, choices: int) -> Solved:
+        """Best ways of distinct words.  A word is known by its text without the one space before it."""
+        marked = pc.starts_with(words, SPACE)
+        spelled = pc.if_else(marked, words, pc.binary_join_element_wise(SPACE, pc.replace_substring(words, " ", SPACE), ""))
+        chars = pc.utf8_length(spelled).to_numpy().astype(np.int64)
+        codes = np.frombuffer("".join(spelled.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        first = np.cumsum(chars) - chars
+        word = np.repeat(np.arange(len(chars), dtype=np.int32), chars)
+        n, stop = len(codes), np.repeat((first + chars).astype(np.int32), chars)
+        start, end, piece, score, alone = self.lattice(codes, first[marked.to_numpy(zero_copy_only=False)], stop)
+        # parts: a piece of several characters covers the places inside it
+        wide = end - start > 1
+        cover = np.cumsum(np.bincount(start[wide] + 1, minlength=n + 1) - np.bincount(end[wide], minlength=n + 1))
+        opens = np.flatnonzero(cover[:n] == 0)
+        part = np.zeros(n, dtype=np.int32)
+        part[opens[1:]] = 1
+        part = np.cumsum(part, dtype=np.int32)
+        parts, closes = len(opens), np.append(opens[1:], n)
+        # a part of k characters has k + 1 places; pieces in order of where they end, of equal ones the longest first
+        own = part[start]
+        rank = end - opens[own]
+        order = np.argsort(((rank * (n + parts) + end + own) << 6) | (63 - np.minimum(end - start, 63)))
+        source, target, piece, score, rank = (start + own)[order], (end + own)[order], piece[order], score[order], rank[order]
+        group = np.flatnonzero(np.diff(target, prepend=-1))
+        place = target[group]
+        top_rank = int(rank[-1])
+        at_edge, at_group = np.searchsorted(rank, np.arange(1, top_rank + 2)).tolist(), np.searchsorted(rank[group], np.arange(1, top_rank + 2)).tolist()
+        ahead = np.zeros(n + parts, dtype=np.int64)
+        for r in range(top_rank):
+            a, b, c, d = at_edge[r], at_edge[r + 1], at_group[r], at_group[r + 1]
+            ahead[place[c:d]] = np.maximum.reduceat(ahead[source[a:b]] + score[a:b], group[c:d] - a)
+        way = ahead[source] + score
+        best = np.flatnonzero(way == ahead[target])
+        best = best[np.flatnonzero(np.diff(target[best], prepend=-1))]
+        # back from the ends: the chain of best estimates, and the best score of every suffix
+        last = closes + np.arange(parts)
+        on = np.zeros(n + parts, dtype=bool)
+        behind = np.full(n + parts, -NONE)
+        on[last], behind[last] = True, 0
+        for r in range(top_rank - 1, -1, -1):
+            a, b, c, d = at_edge[r], at_edge[r + 1], at_group[r], at_group[r + 1]
+            chosen = best[c:d][on[place[c:d]]]
+            on[source[chosen]] = True
+            behind[source[a:b]] = np.maximum(behind[source[a:b]], score[a:b] + behind[target[a:b]])
+        chosen = best[on[place]]
+        other = np.ones(len(source), dtype=bool)
+        other[chosen] = False
+        second = np.full(parts, -NONE)
+        np.maximum.at(second, own[order[other]], (way + behind[target])[other])
+        top = ahead[last]
+        cost = np.where(second > -NONE, top - second, NONE)
+        # ids of the chains, in order of the text
+        chosen = chosen[np.argsort(target[chosen])]
+        spells = [self.spell(chr(c)) for c in alone.tolist()]
+        sizes = np.concatenate((np.ones(len(self.ids), dtype=np.int64), np.array([len(x) for x in spells], dtype=np.int64)))
+        flat = np.concatenate((self.ids, np.array([i for x in spells for i in x], dtype=np.int32)))
+        used = piece[chosen]
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+        ids = table.take(pa.array(used)).flatten().to_numpy() if len(spells) else self.ids[used]
+        count = np.bincount(own[order[chosen]], weights=sizes[used], minlength=parts).astype(np.int64)
+        words_of = word[opens]
+        size = np.bincount(words_of, weights=count, minlength=len(chars)).astype(np.int64)
+        before = np.cumsum(count) - count
+        whole = np.add.reduceat(top, np.searchsorted(words_of, np.arange(len(chars))))
+        # the cheapest parts of each word
+        order = np.lexsort((cost, words_of))
+        nth = np.arange(parts) - np.searchsorted(words_of, words_of)
+        costs, which = np.full((len(chars), choices), NONE), np.zeros((len(chars), choices), dtype=np.int64)
+        keep = nth < choices
+        costs[words_of[keep], nth[keep]], which[words_of[keep], nth[keep]] = cost[order[keep]], order[keep]
+        return Solved(whole, ids, size, costs, which, [words_of, opens - first[words_of], closes - first[words_of]], before - (np.cumsum(size) - size)[words_of], count, spelled)
 
     def encoded(self, texts: list[str], n: int = BEST) -> Iterator[tuple[bytes, list[int], list[bytes]]]:
         """Per text: ids of the best way as bytes, scores of the N best, ids of the others as bytes."""
-        batch, size = [], 0
+        first, size = 0, 0
         for k, text in enumerate(texts):
-            if SPACE in text:
-                batch.append(None)
-            elif "  " in text or text[:1] == " ":
-                batch.append(WORD.findall(SPACE + text.replace(" ", SPACE)))
-            else:  # every word has one space before it
-                batch.append([SPACE + word for word in text.split(" ")])
             size += len(text)
             if size >= TOGETHER or k + 1 == len(texts):
-                known = self.words(set().union(*(x for x in batch if x)))
-                for j, words in enumerate(batch, k + 1 - len(batch)):
-                    yield self._text(words, [known[w] for w in words], n) if words is not None else self._text(*self._marked(texts[j]), n)
-                batch, size = [], 0
-
-    def _marked(self, text: str) -> tuple[list[str | None], list[tuple]]:
-        """Words of a text that has the space mark itself as a character, which is written in bytes."""
-        names, out = [], []
-        for k, part in enumerate(text.split(SPACE)):
-            if k:
-                raw = np.array([self.bytes[x] for x in SPACE.encode()], dtype="<i4").tobytes()
-                names.append(None)
-                out.append((3 * self.byte, raw, NONE))
-            own = WORD.findall(part.replace(" ", SPACE) if k else SPACE + part.replace(" ", SPACE))
-            names += own
-            out += [self.word(w) for w in own]
-        return names, out
-
-    def _text(self, names: list[str | None], words: list[tuple], n: int) -> tuple[bytes, list[int], list[bytes]]:
-        top = sum([w[0] for w in words])
-        best = b"".join([w[1] for w in words])
-        if n == 1:
-            return best, [top], []
-        # only the n - 1 words whose second choice costs least can differ in one of the n best
-        costs = [w[2] for w in words]
-        limit = sorted(costs)[: n - 1][-1]
-        cheap = sorted([(c, k) for k, c in enumerate(costs) if c <= limit and c < NONE])[: n - 1]
-        sums: list[tuple[int, tuple]] = [(0, ())]
-        for _, k in cheap:
-            options = [x for x in self.choices(names[k], n) if x[1] != words[k][1]]  # of equal ones either may be first
-            sums = heapq.nsmallest(n, sums + [(cost + extra, (*chosen, (k, ids))) for cost, chosen in sums for extra, ids in options])
-        others = []
-        for _, chosen in sums[1:]:
-            change = dict(chosen)
-            others.append(b"".join([change.get(k, w[1]) for k, w in enumerate(words)]))
-        return best, [top - cost for cost, _ in sums], others
+                yield from self.together(texts[first : k + 1], n)
+                first, size = k + 1, 0
+
+    def together(self, texts: list[str], n: int) -> list[tuple[bytes, list[int], list[bytes]]]:
+        plain = [SPACE not in x and "  " not in x and x[:1] != " " for x in texts]
+        out: list = [None] * len(texts)
+        for kind in (True, False):
+            own = [i for i, x in enumerate(plain) if x is kind]
+            if not own:
+                continue
+            if kind:  # every word has one space before it
+                lists = pc.split_pattern(pa.array([texts[i] for i in own], pa.string()), " ")
+            else:
+                lists = pa.array([[w[1:] if w[0] == " " else w for w in WORD.findall(" " + texts[i])] for i in own], pa.list_(pa.string()))
+            coded = lists.flatten().dictionary_encode()
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            for i, found in zip(own, self.written(coded.dictionary, coded.indices.to_numpy(), bounds - bounds[0], n), strict=True):
+                out[i] = found
+        return out
+
+    def written(self, words: pa.Array, at: np.ndarray, bounds: np.ndarray, n: int) -> Iterator[tuple[bytes, list[int], list[bytes]]]:
+        """Texts from their words: ``at`` numbers the words of all texts, ``bounds`` are those of each."""
+        choices = max(1, n - 1)
+        share = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64)) // LATTICE
+        cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(words)]
+        solved = [self.solve(words.slice(a, b - a), choices) for a, b in zip(cuts, cuts[1:], strict=False)]
+        size = np.concatenate([x.size for x in solved])
+        table = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(np.concatenate([x.ids for x in solved])))
+        ids = table.take(pa.array(at)).flatten().to_numpy().tobytes()
+        where = np.concatenate(([0], np.cumsum(size[at])))
+        ends = (4 * where[bounds]).tolist()
+        top = np.add.reduceat(np.concatenate([x.score for x in solved])[at], bounds[:-1]).tolist()
+        changes: list[list] = [[] for _ in top]
+        if n > 1:
+            costs, parts = np.concatenate([x.cost for x in solved]), np.concatenate([x.part for x in solved])
+            level, now, per = np.zeros(len(at), dtype=np.int64), costs[:, 0][at], np.diff(bounds)
+            for _ in range(choices):
+                least = np.minimum.reduceat(now, bounds[:-1])
+                hit = np.flatnonzero(now == np.repeat(least, per))
+                text = np.searchsorted(bounds, hit, side="right") - 1
+                new = np.flatnonzero(np.diff(text, prepend=-1))
+                hit, text = hit[new], text[new]
+                some = least[text] < NONE
+                hit, text = hit[some], text[some]
+                for i, word, where_, part in zip(text.tolist(), at[hit].tolist(), where[hit].tolist(), parts[at[hit], level[hit]].tolist(), strict=True):
+                    changes[i].append((word, where_, part))
+                level[hit] += 1
+                now[hit] = np.where(level[hit] < choices, costs[at[hit], np.minimum(level[hit], choices - 1)], NONE)
+        known: dict[tuple[int, int], list] = {}
+        for i, score in enumerate(top):
+            best = ids[ends[i] : ends[i + 1]]
+            sums: list[tuple[int, tuple]] = [(0, ())]
+            for word, first, part in changes[i]:
+                block = int(np.searchsorted(cuts, word, side="right")) - 1
+                options = known.get((block, part))
+                if options is None:
+                    options = known[block, part] = self.choices(solved[block], part, n)
+                a = 4 * (first + int(solved[block].at[part]))
+                b = a + 4 * int(solved[block].count[part])
+                own = ids[a:b]
+                sums = heapq.nsmallest(n, sums + [(cost + extra, (*chosen, (a - ends[i], b - ends[i], way))) for cost, chosen in sums for extra, way in options if way != own])
+            others = []
+            for _, chosen in sums[1:]:
+                made, done = [], 0
+                for a, b, way in sorted(chosen):
+                    made += [best[done:a], way]
+                    done = b
+                others.append(b"".join([*made, best[done:]]))
+            yield best, [score - cost for cost, _ in sums], others
+
+    def choices(self, solved: Solved, part: int, n: int) -> list[tuple[int, bytes]]:
+        """The ``n`` best ways to write a part: (cost above the best, ids as bytes)."""
+        word, a, b = (int(x[part]) for x in solved.text)
+        found = self.search(solved.spelled[word].as_py()[a:b], n)
+        return [(found[0][0] - score, np.array(ids, dtype="<i4").tobytes()) for score, ids in found]
 
     def decoded(self, ids: list[int]) -> str:
         """The text of pieces; the space before the first word is none of the text's."""
         raw = b"".join(map(self.table.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
-
     def comes_back(self, text: str, ways: list[bytes]) -> bool:
         """Whether each of these ways, ids as bytes, decodes to the text."""
-        return all(self.decoded(np.frombuffer(ids, "<i4").tolist()) == text for ids in ways)
+        want = b" " + text.encode("utf-8", "surrogatepass")
+        for ids in ways:
+            made = self.spelled.take(pa.array(np.frombuffer(ids, "<i4")))
+            if (made.buffers()[2] or pa.py_buffer(b""))[: pc.sum(pc.binary_length(made)).as_py() or 0].to_pybytes() != want:
+                return False
+        return True
 
 
 @cache
-def pieces(path: str, remembered: int = REMEMBERED) -> Pieces:
-    return Pieces(path, remembered)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
-def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text", n_best: int = BEST, alternatives: bool = False, verify: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text", n_best: int = BEST, alternatives: bool = False, verify: bool = False) -> DataFrame:
     """Adds ``pieces`` (ids of the best segmentation), ``piece_scores`` (nats of the N best, best first)
     and, if asked for, ``piece_alternatives`` (ids of the others) and ``round_trip`` (whether each
     of the N decodes to the text) to all columns of ``docs``.
 
-    ``remembered`` bounds the words that a worker keeps: about 1 kB each in all, which it holds
-    while other operators use the same worker.
-
     A text with fewer segmentations has fewer scores.  A null text has null pieces, scores and
     alternatives, and makes the round trip; an empty one is the mark of its front alone.  Columns of
     these names are replaced.
@@ -320,7 +442,7 @@ def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text",
         return made + [pa.array(same, pa.bool_())] * verify
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = pieces(path, remembered)
+        own = pieces(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             share = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // TOGETHER

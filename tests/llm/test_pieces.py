@@ -57,10 +57,21 @@ def test_library_decodes_the_same(own, spark, small):
         assert model.decode(np.frombuffer(best, "<i4").tolist()) == text
 
 
-def test_memory_is_bounded():
-    own = pieces.Pieces(pieces.piece_vocabulary(), 100)
-    list(own.encoded([" ".join(f"w{i}{k}" for i in range(300)) for k in range(5)], 2))
-    assert len(own.young) <= 1600 and len(own.parts) <= 3000
+def test_bounds_of_work_change_nothing(own, monkeypatch):
+    texts = ["the answer  is 42", "", "▁ x", " ".join(f"w{i}" for i in range(300)), "ab" * 3000 + " é日"] * 3
+    whole = list(own.encoded(texts, 3))
+    monkeypatch.setattr(pieces, "TOGETHER", 50)
+    monkeypatch.setattr(pieces, "LATTICE", 7)
+    assert list(own.encoded(texts, 3)) == whole
+
+
+def test_search_finds_the_chain_of_best_estimates(own):
+    rng = random.Random(5)
+    for _ in range(100):
+        word = "".join(rng.choice("thean") for _ in range(rng.randint(1, 12)))
+        score, ids = own.search("▁" + word, 1)[0]
+        best, scores, _ = next(own.encoded([word], 1))
+        assert scores == [score] and len(best) == 4 * len(ids)
 
 
 def test_query_and_odd_rows(spark, small, tmp_path):
