@@ -57,13 +57,24 @@ def discard(df: DataFrame) -> None:
         removed(df.sparkSession, path)
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """All columns under private names, and those names: what an operator adds clashes with none of them."""
+    names = {c: f"_in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def shown(names: dict[str, str], but: tuple[str, ...] = ()) -> list:
+    """The columns of ``hidden`` under their own names, without those in ``but``."""
+    return [F.col(own).alias(c) for c, own in names.items() if c not in but]
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, component), the smallest node each.
 
     Alternates large-star and small-star steps.  Every step is an aggregation with map-side
-    combining and an equi-join; no group is gathered in one place, so a hub with very many
-    neighbours is split by the skew handling of the join.  Only a row count and a checksum reach
-    the driver.  Self loops and repeated edges are allowed; nulls are dropped.
+    combining and an equi-join that streams over the neighbours of a node, two longs each; a hub
+    whose neighbours exceed the byte threshold of adaptive execution is split between tasks, and
+    below that it is one task's stream.  Only a row count and a checksum reach the driver.  Self loops and repeated edges are allowed; nulls are dropped.
     """
 
     def lowest(pairs: DataFrame) -> DataFrame:

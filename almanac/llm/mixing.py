@@ -9,7 +9,7 @@ that any stretch of the order holds its fair share of words and the sum of taken
 target closely.
 
 No source is gathered in one task.  Its order is cut into strata (leading digits of the size, then
-256 hash classes of the key); documents are counted inside their stratum, and the strata of a
+256 hash classes of key and text); documents are counted inside their stratum, and the strata of a
 source, at most a few hundred thousand however large the source is, are added up in between.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import indexed, staged
+from almanac.llm.common import hidden, indexed, shown, staged
 
 #: Weights of the sources in order of their names, repeating; times its size a source gives at most.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -61,40 +61,57 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return weighed.withColumn("target", target).select("_source", "source_size", "target", rate.alias("rate"))
 
 
-def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """Adds size, source_size, target and copies (how often the mix takes the row) to ``docs``.
+#: What a mix adds to the columns of its input.
+ADDED = ("size", "source_size", "target", "copies")
 
-    Null texts and texts without words have size 0; they are counted in their stratum like others.
-    Rows with equal keys are told apart by their text's hash, and equal rows are interchangeable,
-    so a rerun takes the same rows.  A null source is a source of its own, the last one.  An empty
-    table gives an empty mix.  Columns named _source, _digits or _class are replaced.
-    """
+
+def taken(docs: DataFrame, key: str, text: str, source: str, weights: tuple[int, ...], most: int, seed: str) -> tuple[DataFrame, dict[str, str]]:
+    """Every row with size, source_size, target and copies, its own columns hidden (see common.hidden)."""
+    rows, names = hidden(docs)
+    key, text, source = (F.col(names[c]) for c in (key, text, source))
     digits = F.length(F.col("size").cast("string"))
     stratum = F.concat(F.lpad(digits.cast("string"), 2, "0"), F.substring(F.col("size").cast("string"), 1, 2))
-    name = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    rows = docs.withColumn("size", word_count(F.col(text))).withColumn("_source", source_key(F.col(source)))
+    name = F.md5(F.concat_ws("/", F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    rows = rows.withColumn("size", word_count(text)).withColumn("_source", source_key(source))
     rows = rows.withColumn("_digits", stratum).withColumn("_name", name).withColumn("_class", F.substring("_name", 1, 2))
     parts = ["_source", "_digits", "_class"]
     counted = staged(rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "strata")
     shares = targets(counted.select("_source", "size"), weights, most)
     before = Window.partitionBy("_source").orderBy("_digits", "_class").rowsBetween(Window.unboundedPreceding, -1)
     strata = counted.select(*parts, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")).join(shares, "_source")
-    inside = Window.partitionBy(*parts).orderBy("size", "_name", F.xxhash64(text))
+    inside = Window.partitionBy(*parts).orderBy("size", "_name")
     placed = rows.withColumn("_nth", F.row_number().over(inside).cast("long")).join(strata, parts)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "_source")), 1, PLACES // 4), 16, 10).cast("long")
     upto = lambda n: F.shiftright(n * F.col("rate") + offset, PLACES)
     nth = F.col("_start") + F.col("_nth")
-    return placed.withColumn("copies", upto(nth) - upto(nth - 1)).drop(*parts, "_name", "_nth", "_start", "rate")
+    return placed.withColumn("copies", upto(nth) - upto(nth - 1)), names
+
+
+def mixed(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """Adds size, source_size, target and copies (how often the mix takes the row) to ``docs``.
+
+    Null texts and texts without words have size 0; they are counted in their stratum like others.
+    Rows with equal keys are told apart by their text's hash, and equal rows are interchangeable,
+    so a rerun takes the same rows.  A null source is a source of its own, the last one.  An empty
+    table gives an empty mix.  Columns of the four added names are replaced, all others kept.
+    """
+    rows, names = taken(docs, key, text, source, weights, most, seed)
+    return rows.select(*shown(names, ADDED), *ADDED)
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    rows = mixed(docs, **options)
+def repeated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns as they are."""
+    rows, names = taken(docs, key, text, source, weights, most, seed)
     copies = F.explode(F.expr("filter(sequence(0L, copies), x -> x > 0)"))
-    return rows.where("copies > 0").withColumn("_copy", copies).select(*docs.columns)
+    return rows.where("copies > 0").withColumn("_copy", copies).select(*shown(names))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document with its size, its source's size and target, and the words that the mix takes of it.
+
+    Null texts have size 0 and a null source is the last one (see mixed).  Rows that repeat keep a
+    row each; an empty table gives no rows.
+    """
     rows = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -103,7 +120,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS name
+         md5(coalesce(doc_id::VARCHAR, '') || '/' || md5(coalesce(text, ''))) AS name
   FROM documents),
 s AS (SELECT src, sum(size)::BIGINT AS source_size,
              [1, 2, 3][(row_number() OVER (ORDER BY src) - 1) % 3 + 1] AS w FROM d GROUP BY src),

@@ -23,14 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from almanac.llm.common import connected, staged
+from almanac.llm.common import connected, hidden, shown, staged
 
 #: Words in a shingle, and bits in which linked fingerprints may differ.
 WORDS, BITS = 3, 3
 #: Hashes that are held at once while a document's bits are counted.
 CHUNK = 1 << 16
-#: Fingerprints of one cell that one task compares at a time.
-BLOCK = 2048
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
@@ -54,7 +52,8 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, *, text: str = "text", words: int = WORDS) -> DataFrame:
-    """Adds ``fp``, the fingerprint as a signed long, to all columns of ``docs``."""
+    """Adds ``fp``, the fingerprint as a signed long, to all columns of ``docs``; a column of that name is replaced."""
+    docs = docs.select(*(c for c in docs.columns if c != "fp"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,13 +116,13 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
     belong to their group and never name it (a group of such rows alone has a null component).
     Repeated rows stay repeated.
     """
-    slim = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    slim = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     slim = staged(with_fingerprint(slim, text="_text", words=words).drop("_text"), "prints")
-    prints = staged(slim.groupBy("fp").agg(F.min(key).alias("first")), "distinct-prints")
+    prints = staged(slim.groupBy("fp").agg(F.min("_key").alias("first")), "distinct-prints")
     member = connected(links(prints, bits=bits))
     rooted = prints.join(member, prints["fp"] == member["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return slim.join(rooted.join(named, "root").select("fp", "component"), "fp").select(key, "text_hash", "fp", "component")
+    return slim.join(rooted.join(named, "root").select("fp", "component"), "fp").select(F.col("_key").alias(key), "text_hash", "fp", "component")
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, bits: int = BITS) -> DataFrame:
@@ -137,15 +136,21 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", wo
 
 def first_rows(docs: DataFrame, found: DataFrame, *, key: str, text: str) -> DataFrame:
     """The rows of ``docs`` that name their group in ``found`` (``key``, text_hash, component), one a group."""
-    keep = found.where(F.col(key).eqNullSafe(F.col("component"))).select(key, "text_hash").distinct()
-    rows = docs.withColumn("_hash", F.xxhash64(text))
-    rows = rows.join(keep, rows[key].eqNullSafe(keep[key]) & (rows["_hash"] == keep["text_hash"]), "left_semi")
-    first = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col("_hash"))).orderBy("_hash")
-    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_hash")
+    keep = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("_key"), F.col("text_hash").alias("_keep")).distinct()
+    rows, names = hidden(docs)
+    own = F.col(names[key])
+    rows = rows.withColumn("_hash", F.xxhash64(names[text]))
+    rows = rows.join(keep, own.eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_keep")), "left_semi")
+    first = Window.partitionBy(own, F.when(own.isNull(), F.col("_hash"))).orderBy("_hash")
+    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*shown(names))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
-    """Every document with its fingerprint (16 hex digits) and its group's smallest doc_id."""
+    """Every document with its fingerprint (16 hex digits) and its group's smallest doc_id.
+
+    Null and empty texts have fingerprint 0 and link like any other.  Rows that repeat keep a row
+    each; a row with a null doc_id never names its group; an empty table gives no rows.
+    """
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", hex16.alias("fingerprint"), F.col("component").alias("component_id"))

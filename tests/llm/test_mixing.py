@@ -60,3 +60,21 @@ def test_one_hot_source(spark):
     assert all(abs(r.taken - r.target) <= 4 for r in rows)
     plan = mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_clashing_columns_are_kept(spark):
+    extra = ["rate", "target", "source_size", "_start", "_nth", "_name", "size", "copies", "_copy", "_source", "_in0"]
+    rows = mixing.repeated(odd(spark, extra=extra))
+    assert rows.columns == [*odd(spark).columns, *extra] and rows.schema == odd(spark, extra=extra).schema
+    found = rows.collect()
+    assert found and all(r[c] == "kept" for r in found for c in extra)
+    assert sorted(str(r[:5]) for r in found) == sorted(str(r[:5]) for r in mixing.repeated(odd(spark)).collect())
+    added = mixing.mixed(odd(spark, extra=extra)).collect()
+    assert len(added) == 12 and all(r[c] == "kept" for r in added for c in set(extra) - set(mixing.ADDED)) and all(r.size != "kept" for r in added)
+
+
+def test_null_keys_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit("a").alias("source"))
+    name = F.md5(F.concat_ws("/", F.lit(""), F.md5("text")))
+    assert docs.groupBy(F.substring(name, 1, 2)).count().agg(F.max("count")).first()[0] < 60
+    assert mixing.mixed(docs).agg(F.sum("copies")).first()[0] == 4000

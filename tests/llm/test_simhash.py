@@ -84,6 +84,9 @@ def test_query_and_deduplication(spark, tmp_path):
     kept = simhash.deduplicated(odd(spark, extra=["fp", "component", "_hash"]))
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 2, 5, 7, 8]
     assert {"fp", "component"} <= set(kept.columns)
+    extra = ["fp", "component", "_hash", "_nth", "text_hash", "_key", "_keep", "root"]
+    rows = simhash.deduplicated(odd(spark, extra=extra))
+    assert rows.columns == [*odd(spark).columns, *extra] and all(r[c] == "kept" for r in rows.collect() for c in extra)
     assert simhash.deduplicated(none(spark)).count() == 0
 
 
