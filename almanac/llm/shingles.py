@@ -1,4 +1,10 @@
-"""Near-duplicates by exact similarity: the Jaccard index of sets of word shingles, by a prefix filter.
+"""Near-duplicates on five-word shingles: SimHash groups, and every pair that SimHash may miss.
+
+SimHash (almanac/llm/simhash.py) links texts whose fingerprints differ in three bits or less, which
+texts of 0.95 and more mostly do and texts at 0.8 hardly ever.  So its links are united with those of
+an exact search by the Jaccard index of the sets of shingles, and a group is what either connects.
+The fingerprint is that of the set: a line that repeats in a text has the weight of one.  The exact
+search is a prefix filter:
 
 1.  A text is known by the hash of its lower-cased words, so exact copies are one text from the
     start.  Its set of shingle hashes is dealt by hash into parts; a part counts in how many texts
@@ -12,7 +18,7 @@
     becomes a shard: all pairs of a shard are counted out exactly, and it hands on a link of each
     text to the first one of its group there, never pairs.
 
-Nothing is estimated: two texts are linked just if their similarity reaches the threshold.
+There nothing is estimated: two texts are linked if their similarity reaches the threshold.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.llm import simhash
 from almanac.llm.common import connected, staged, text_blocks
 from almanac.llm.simhash import first_rows
 
@@ -80,17 +87,38 @@ def numbers(column: pa.ChunkedArray, kind: str = "i8") -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
 
-def with_node(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``node``, the hash of the text's words, in place of the text."""
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed long; 0 for none."""
+    bits = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), simhash.CHUNK):
+        flags = np.unpackbits(hashes[at : at + simhash.CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits += flags.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def with_node(rows: DataFrame, text: str, words: int) -> DataFrame:
+    """Adds ``node``, the hash of the text's words, and ``fp``, its fingerprint, in place of the text."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            found = [xxhash.xxh64_intdigest(b" ".join(tokens_of(x.as_py()))) for x in batch.column(at)]
+            found = np.zeros((batch.num_rows, 2), dtype=np.int64)
+            for i, x in enumerate(batch.column(at)):
+                tokens = tokens_of(x.as_py())
+                found[i] = np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens))).astype(np.int64), fingerprint(shingles(tokens, words))
             kept = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=[*(batch.schema.names[i] for i in kept), "node"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*(batch.schema.names[i] for i in kept), "node", "fp"])
+
+    return rows.mapInArrow(add, rows.drop(text).withColumns({"node": F.lit(0).cast("long"), "fp": F.lit(0).cast("long")}).schema)
+
 
-    return rows.mapInArrow(add, rows.drop(text).withColumn("node", F.lit(0).cast("long")).schema)
+def print_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between texts of one or of linked fingerprints, of ``nodes`` (node, fp): copies are never paired."""
+    lows = staged(nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
+    pairs = simhash.links(lows.select("fp"))
+    a, b = lows.select(F.col("fp").alias("a"), F.col("low").alias("low_a")), lows.select(F.col("fp").alias("b"), F.col("low").alias("low_b"))
+    across = pairs.join(a, "a").join(b, "b").select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
+    return across.unionByName(nodes.join(lows, "fp").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")))
 
 
 def candidates(docs: DataFrame, text: str, words: int) -> DataFrame:
@@ -227,13 +255,14 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
 
     Texts without a word are alike.  Rows with a null key belong to their group and never name it.
     """
-    slim = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
-    slim = staged(with_node(slim, "_text"), "nodes")
-    nodes = slim.groupBy("node").agg(F.min(key).alias("first"))
-    member = connected(links(candidates(docs.select(F.col(text)), text, words))).withColumnRenamed("node", "a")
+    slim = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    slim = staged(with_node(slim, "_text", words), "nodes")
+    nodes = staged(slim.groupBy("node").agg(F.min("_key").alias("first"), F.first("fp").alias("fp")), "texts")
+    edges = links(candidates(docs.select(F.col(text)), text, words)).unionByName(print_links(nodes.select("node", "fp")))
+    member = connected(edges).withColumnRenamed("node", "a")
     rooted = staged(nodes.join(member, nodes["node"] == member["a"], "left").select("node", "first", F.coalesce("component", "node").alias("root")), "roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    return slim.join(rooted.join(named, "root").select("node", "component"), "node").select(key, "text_hash", "component")
+    return slim.join(rooted.join(named, "root").select("node", "component"), "node").select(F.col("_key").alias(key), "text_hash", "component")
 
 
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
