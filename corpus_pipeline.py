@@ -14,18 +14,23 @@ from almanac.llm.common import staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay; a null text and one without letters go.
+    """Documents whose language can be told stay, and a null lang becomes the language found.
 
-    The languages are learned from the rows that name theirs; if none does, no language can be told.
+    A null text and one without letters go.  The languages are learned from the rows that name
+    theirs; where none does there is nothing to tell them by, and every text with a letter stays.
     """
-    found = langid.identified(docs, langid.fit(docs), spans=False)
-    return found.where("lang_pred != 'und'").select(*docs.columns)
+    model = langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = langid.identified(docs, model, spans=False).where("lang_pred != 'und'")
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays, the one with the smallest doc_id.
 
-    Texts are similar from 0.8 on, by the exact Jaccard index of their sets of five-word shingles.
+    Texts are linked by SimHash over five-word shingles, and from a Jaccard index of 0.8 of their
+    sets of shingles on, which SimHash alone would miss.
     """
     return shingles.deduplicated(docs)
 
