@@ -1,19 +1,24 @@
 """Embedding near-duplicates by a robust-pruned flat graph over overlapping cluster shards.
 
 1.  Equal vectors are collapsed.  The rest are split into clusters, level by level, from bounded
-    samples; each vector goes to its nearest few centres, so shards overlap.  No two centres are
-    links of each other, so a group of mutual links is not cut up.  A cluster that is too
-    dense to split is dealt into blocks, and every pair of blocks becomes a shard: no shard is ever
-    larger than a fixed number of rows, and no pair inside a cluster is left out.
+    samples; each vector goes to its nearest few centres, so clusters overlap.  No two centres are
+    links of each other, so a group of mutual links is not cut up.  In a cluster that is too dense
+    to split, all vectors within half the threshold's angle of its centre are links of each other:
+    these, its core, are counted by one sum and never compared.  The others of such a cluster are
+    dealt into blocks, and every block meets every other one and those of the core, so that no
+    shard is larger than a fixed number of rows and no pair inside a cluster is left out.
 2.  Each shard builds its part of the graph: every vector's nearest candidates and some far ones,
     pruned robustly.  The adjacency lists of a vector from all its shards are united.
-3.  Each shard searches for all its vectors over the united lists: greedily from the medoid, then
-    expanding from everything in range until nothing new is in range.  Pairs are verified in double
-    precision and counted in one shard only, the first cluster that both share.
+3.  An edge of the united lists between links that leaves a cluster takes its far end there as a
+    visitor.  Each shard then searches for all its vectors over the united lists, members and
+    visitors: greedily from the medoid, then expanding from everything in range until nothing new
+    is in range.  Pairs are verified in double precision and counted once, in the first cluster in
+    which both stand and one is at home.
 4.  Shards hand on counts and a link of each vector to the smallest one of its local component,
     never pairs; Spark adds up counts and joins the components.
-5.  A bounded number of queries is held against all vectors; if the share of links found is too
-    low, everything is done again with more overlap, and at last by comparing all pairs of blocks.
+5.  A bounded number of queries, half of them vectors that a probe apart from the graph found to
+    have links, is held against all vectors; if the share of links found is too low, everything is
+    done again with more overlap, and at last by comparing all pairs of blocks.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ NEAR, FAR, EDGES, ALPHA = 32, 16, 14, 1.2
 BEAM = 24
 #: Nearest centres of a vector at first and at most; queries of the audit; share of links to be found.
 OVERLAP, OVERLAP_MOST, AUDIT, RECALL = 2, 6, 400, 0.98
+#: Vectors that the audit's probe looks at, about; random planes that it deals them by; rows of a deal.
+PROBED, PLANES, DEAL = 20_000, 12, 2000
 
 
 def unit_rows(lists: pa.Array) -> list[bytes | None]:
@@ -146,13 +153,64 @@ def routed(vectors: DataFrame, overlap: int, threshold: float = THRESHOLD) -> Da
     return done
 
 
-def sharded(routes: DataFrame) -> DataFrame:
-    """Adds shard and salt: a cluster within the limit is one shard, a larger one a shard for each pair of blocks."""
-    blocks = F.when(F.col("size") > LIMIT, F.ceil(F.col("size") / F.lit(LIMIT * 0.4)).cast("int")).otherwise(1)
-    rows = routes.withColumn("blocks", blocks).withColumn("salt", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def cored(routes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Adds core: the first dense cluster in whose core a vector is, or null; all vectors of a core are links.
+
+    Two vectors within half the threshold's angle of one direction are within the whole angle of
+    each other, whatever the direction, so a sample is enough to choose it by.
+    """
+    half = np.cos(np.arccos(threshold) / 2 - 1e-6) if 0 < threshold < 1 else 2.0
+    dense = routes.where(F.col("size") > LIMIT)
+    sizes = staged(dense.select("cluster", "size").distinct(), "dense")
+    if sizes.isEmpty():
+        return routes.drop("size").withColumn("core", F.lit(None).cast("string"))
+    share = F.lit(float(SAMPLE)) / F.col("size")
+    sample = dense.where(F.pmod(F.xxhash64(F.lit("core"), "id"), F.lit(1 << 20)) < share * (1 << 20))
+
+    def centre(rows: pa.Table) -> pa.Table:
+        c = matrix(rows.column("unit")).mean(axis=0)
+        c /= np.linalg.norm(c) or 1.0
+        return pa.table({"cluster": pa.array([rows.column("cluster")[0].as_py()], pa.string()), "centre": pa.array([c.tobytes()], pa.binary())})
+
+    fitted = staged(sample.groupBy("cluster").applyInArrow(centre, "cluster string, centre binary"), "cores")
+    dealt = F.ceil(F.col("size") / F.lit(DEALT)).cast("int")
+    rows = dense.withColumn("salt", F.pmod(F.xxhash64("id"), dealt).cast("int")).select("id", "unit", "cluster", "salt")
+    spread = sizes.join(fitted, "cluster").select("cluster", "centre", F.explode(F.sequence(F.lit(0), dealt - 1)).alias("salt"))
+
+    def inside(rows: pa.Table, fitted: pa.Table) -> pa.Table:
+        near = np.zeros(0, dtype=np.int64)
+        if rows.num_rows and fitted.num_rows:
+            near = np.flatnonzero(matrix(rows.column("unit")) @ np.frombuffer(fitted.column("centre")[0].as_py(), dtype=np.float64) >= half)
+        return rows.select(["id", "cluster"]).take(pa.array(near))
+
+    own = rows.groupBy("cluster", "salt").cogroup(spread.groupBy("cluster", "salt")).applyInArrow(inside, "id long, cluster string")
+    first = own.groupBy("id").agg(F.min("cluster").alias("core"))
+    return routes.drop("size").join(staged(first, "core"), "id", "left")
+
+
+def core_links(vectors: DataFrame, cores: DataFrame) -> DataFrame:
+    """(id, links, root) of the vectors in cores, each linked with all others of its core; ``cores``: id, core."""
+    own = cores.where("core is not null").select("id", "core").distinct().join(vectors.select("id", "n"), "id")
+    sums = own.groupBy("core").agg(F.sum("n").alias("total"), F.min("id").alias("root"))
+    return own.join(sums, "core").select("id", (F.col("total") - F.col("n")).alias("links"), "root")
+
+
+def sharded(rows: DataFrame) -> DataFrame:
+    """Adds shard and salt: a cluster within the limit is one shard; the rows of a larger one that are not
+    its core are dealt into blocks, its core into others, and every pair of blocks but two of the core is a shard."""
+    rows = rows.withColumn("inside", F.coalesce(F.col("core") == F.col("cluster"), F.lit(False)))
+    sizes = rows.groupBy("cluster").agg(F.count_if("inside").alias("core_size"), F.count_if(~F.col("inside")).alias("rest_size"))
+    blocks = lambda size: F.ceil(F.col(size) / F.lit(LIMIT * 0.4)).cast("int")
+    large = F.col("core_size") + F.col("rest_size") > LIMIT
+    sizes = sizes.select("cluster", F.when(large, blocks("rest_size")).otherwise(1).alias("rest"), F.when(large, blocks("core_size")).otherwise(0).alias("cores"))
+    rows = rows.join(sizes, "cluster")
+    parted = F.col("inside") & (F.col("cores") > 0)
+    hash_ = F.xxhash64("id", F.lit("block"))
+    salt = F.when(parted, F.col("rest") + F.pmod(hash_, F.col("cores"))).otherwise(F.pmod(hash_, F.greatest("rest", F.lit(1))))
+    others = F.when(parted, F.col("rest")).otherwise(F.col("rest") + F.col("cores"))
+    rows = rows.withColumn("salt", salt.cast("int")).where(others > 0).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     pair = F.concat_ws("/", "cluster", F.least("salt", "other"), F.greatest("salt", "other"))
-    return rows.withColumn("shard", pair).drop("other", "size", "blocks")
+    return rows.withColumn("shard", pair).drop("other", "inside", "rest", "cores")
 
 
 def pruned(x: np.ndarray, i: int, candidates: np.ndarray) -> list[int]:
@@ -170,12 +228,13 @@ def pruned(x: np.ndarray, i: int, candidates: np.ndarray) -> list[int]:
     return out
 
 
-def built(rows: pa.Table) -> pa.Table:
-    """Adjacency lists of one shard's graph, in both directions."""
+def built(rows: pa.Table, threshold: float = THRESHOLD) -> pa.Table:
+    """Adjacency lists of one shard's graph, in both directions: all edges, and those between links."""
     ids, x = rows.column("id").to_numpy(), matrix(rows.column("unit")).astype(np.float32)
     n = len(ids)
     if n < 2:
-        return pa.table({"id": pa.array(ids), "near": pa.array([[]] * n, pa.list_(pa.int64()))})
+        none = pa.array([[]] * n, pa.list_(pa.int64()))
+        return pa.table({"id": pa.array(ids), "near": none, "close": none})
     rng = np.random.default_rng(n)
     edges: list[set[int]] = [set() for _ in range(n)]
     for at in range(0, n, 500):
@@ -189,7 +248,9 @@ def built(rows: pa.Table) -> pa.Table:
             for j in pruned(x, i, candidates):
                 edges[i].add(j)
                 edges[j].add(i)
-    return pa.table({"id": pa.array(ids), "near": pa.array([ids[sorted(e)] for e in edges], pa.list_(pa.int64()))})
+    lists = [np.array(sorted(e), dtype=np.int64) for e in edges]
+    close = [e[x[e] @ x[i] >= threshold - 1e-4] for i, e in enumerate(lists)]
+    return pa.table({"id": pa.array(ids), **{name: pa.array([ids[e] for e in own], pa.list_(pa.int64())) for name, own in (("near", lists), ("close", close))}})
 
 
 def searched(x: np.ndarray, graph: np.ndarray, threshold: float) -> np.ndarray:
@@ -209,7 +270,7 @@ def searched(x: np.ndarray, graph: np.ndarray, threshold: float) -> np.ndarray:
     seen[:, medoid] = True
     inside[:, medoid] = sims[:, 0] >= slack
     live = every
-    for _ in range(4 * BEAM + 64):
+    while len(live):  # every step opens a row for each query and none twice
         shut = np.where(opened[live], -9, sims[live])
         pick = shut.argmax(axis=1)
         going = shut[np.arange(len(live)), pick] > -9
@@ -287,37 +348,64 @@ def linked(rows: pa.Table, threshold: float, exact: bool = False) -> pa.Table:
     cluster, shard = rows.column("cluster")[0].as_py(), rows.column("shard")[0].as_py().split("/")
     salt = rows.column("salt").to_numpy()
     here = salt[a] != salt[b] if shard[1] != shard[2] else np.ones(len(a), dtype=bool)
-    clusters = rows.column("clusters").to_pylist()
+    core = rows.column("core").to_pylist()
+    cores = {c: i for i, c in enumerate(sorted({c for c in core if c is not None}))}
+    core = np.array([-1 if c is None else cores[c] for c in core])
+    here &= (core[a] < 0) | (core[a] != core[b])  # counted with their core
+    # the clusters in which each row stands, and in which of them it is at home
+    clusters, homes = rows.column("clusters").to_pylist(), rows.column("homes").to_pylist()
     number = {c: i for i, c in enumerate(sorted({c for own in clusters for c in own}))}
     most = max(map(len, clusters))
-    own = np.array([[number[c] for c in sorted(x)] + [-1 - i] * (most - len(x)) for i, x in enumerate(clusters)])
-    for k in range(0, len(a), 100_000):
-        left, right = own[a[k : k + 100_000]], own[b[k : k + 100_000]]
-        both = (left[:, :, None] == right[:, None, :]) & (left[:, :, None] >= 0) & (left[:, :, None] < number[cluster])
-        here[k : k + 100_000] &= ~both.any(axis=(1, 2))
+    own, home = np.full((n, most), -1), np.zeros((n, most), dtype=bool)
+    for i, (stands, at_home) in enumerate(zip(clusters, homes, strict=True)):
+        own[i, : len(stands)] = [number[c] for c in stands]
+        home[i, : len(stands)] = [c in at_home for c in stands]
+    this = (home & (own == number[cluster])).any(axis=1)
+    here &= this[a] | this[b]
+    step = max(1, 4_000_000 // most**2)
+    for k in range(0, len(a), step):
+        p, q = a[k : k + step], b[k : k + step]
+        both = (own[p][:, :, None] == own[q][:, None, :]) & (own[p][:, :, None] >= 0) & (own[p][:, :, None] < number[cluster]) & (home[p][:, :, None] | home[q][:, None, :])
+        here[k : k + step] &= ~both.any(axis=(1, 2))
     links = np.bincount(a[here], weights=n_of[b[here]], minlength=n) + np.bincount(b[here], weights=n_of[a[here]], minlength=n)
     return pa.table({"id": pa.array(ids), "links": pa.array(links.astype(np.int64)), "root": pa.array(ids[root])})
 
 
+def visitors(lists: DataFrame, homes: DataFrame) -> DataFrame:
+    """(id, cluster): the clusters that a vector is not in, but at the end of an edge between links from there."""
+    edges = lists.select("id", F.explode("close").alias("to"))
+    left = edges.join(homes.select("id", F.col("homes").alias("from")), "id")
+    both = left.join(homes.select(F.col("id").alias("to"), "homes"), "to")
+    return both.select(F.col("to").alias("id"), F.explode(F.array_except("from", "homes")).alias("cluster")).distinct()
+
+
 def graph_links(vectors: DataFrame, *, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> DataFrame:
-    """(id, links, root) rows of all shards over distinct ``vectors`` (id, unit, n)."""
-    rows = staged(sharded(routed(vectors, overlap, threshold)), "shards")
-    parts = rows.groupBy("shard").applyInArrow(built, "id long, near array<long>")
-    lists = parts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    clusters = rows.groupBy("id").agg(F.collect_set("cluster").alias("clusters"))
-    whole = rows.join(staged(lists.join(clusters, "id"), "adjacency"), "id")
+    """(id, links, root) rows of all shards and cores over distinct ``vectors`` (id, unit, n)."""
+    members = staged(cored(routed(vectors, overlap, threshold), threshold), "members")
+
+    def build(rows: pa.Table) -> pa.Table:
+        return built(rows, threshold)
 
     def search(rows: pa.Table) -> pa.Table:
         return linked(rows, threshold)
 
-    return staged(whole.groupBy("shard").applyInArrow(search, "id long, links long, root long"), "links")
+    parts = sharded(members).groupBy("shard").applyInArrow(build, "id long, near array<long>, close array<long>")
+    united = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    lists = staged(parts.groupBy("id").agg(united("near"), united("close")), "adjacency")
+    homes = staged(members.groupBy("id").agg(F.sort_array(F.collect_set("cluster")).alias("homes"), F.first("unit").alias("unit"), F.first("n").alias("n"), F.first("core").alias("core")), "homes")
+    guests = staged(visitors(lists, homes), "visitors")
+    stands = guests.groupBy("id").agg(F.collect_set("cluster").alias("visits"))
+    known = homes.join(stands, "id", "left").join(lists.select("id", "near"), "id", "left")
+    known = staged(known.withColumn("clusters", F.concat("homes", F.coalesce("visits", F.array().cast("array<string>")))).drop("visits"), "united")
+    rows = sharded(known.select("*", F.explode("clusters").alias("cluster")))
+    found = rows.groupBy("shard").applyInArrow(search, "id long, links long, root long")
+    return staged(found.unionByName(core_links(vectors, members)), "links")
 
 
 def exact_links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """The same rows as graph_links, by comparing all vectors of one length with all, in pairs of blocks."""
-    whole = vectors.select("id", "unit", "n", F.octet_length("unit").cast("string").alias("cluster"))
-    sizes = whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    rows = sharded(whole.join(sizes, "cluster").select("id", "unit", "n", "cluster", "size")).withColumn("clusters", F.array("cluster"))
+    whole = vectors.select("id", "unit", "n", F.octet_length("unit").cast("string").alias("cluster"), F.lit(None).cast("string").alias("core"))
+    rows = sharded(whole).withColumns({"clusters": F.array("cluster"), "homes": F.array("cluster")})
 
     def search(rows: pa.Table) -> pa.Table:
         return linked(rows, threshold, exact=True)
@@ -325,15 +413,47 @@ def exact_links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFram
     return staged(rows.groupBy("shard").applyInArrow(search, "id long, links long, root long"), "links")
 
 
-def audited(vectors: DataFrame, counts: DataFrame, *, threshold: float = THRESHOLD, queries: int = AUDIT) -> float:
+def probed(vectors: DataFrame, total: int, threshold: float) -> DataFrame:
+    """Ids of vectors with links, found apart from the graph: some of the buckets that random planes deal
+    the vectors into are compared in themselves, of a large bucket one deal."""
+
+    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        for batch in batches:
+            made = []
+            for x in batch.column(1).to_pylist():
+                v = np.frombuffer(x, dtype=np.float64)
+                if len(v) not in planes:
+                    planes[len(v)] = np.random.default_rng(len(v)).normal(size=(PLANES, len(v)))
+                made.append((len(v) << PLANES) + int((planes[len(v)] @ v > 0) @ (1 << np.arange(PLANES))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.int64())], names=["id", "unit", "bucket"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        x = matrix(rows.column("unit"))
+        hit = (x @ x.T >= threshold).sum(axis=1) > 1
+        return rows.select(["id"]).filter(pa.array(hit))
+
+    rows = vectors.select("id", "unit").mapInArrow(bucket, "id long, unit binary, bucket long")
+    rows = staged(rows.where(F.pmod(F.xxhash64(F.lit("probe"), "bucket"), F.lit(1 << 20)) < F.lit((1 << 20) * PROBED / max(1, total))), "probe")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(DEAL)).alias("deals"))
+    one = rows.join(sizes, "bucket").where(F.pmod(F.xxhash64("id"), F.col("deals")) == 0).select("id", "unit", "bucket")
+    return one.groupBy("bucket").applyInArrow(compare, "id long")
+
+
+def audited(vectors: DataFrame, counts: DataFrame, *, threshold: float = THRESHOLD, queries: int = AUDIT) -> float | None:
     """Share of the links of some queries that ``counts`` (id, links) has: of all, or a query's on average if that is less.
 
-    Queries are compared with every vector.
+    Half of the queries are any vectors, half are vectors that the probe found to have links.  They
+    are compared with every vector.  None if not one of them has a link: then nothing was measured.
     """
     total = vectors.count()
-    share = F.lit(1 << 20) * queries / max(1, total)
-    asked = vectors.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 20)) < share).join(counts, "id", "left").toArrow()
-    asked = asked.slice(0, 4 * queries)
+    known = staged(probed(vectors, total, threshold), "probed")
+
+    def some(rows: DataFrame, n: int) -> DataFrame:
+        return rows.where(F.pmod(F.xxhash64(F.lit("audit"), "id"), F.lit(1 << 30)) < F.lit((1 << 30) * queries / 2 / max(1, n))).select("id")
+
+    chosen = some(vectors, total).unionByName(some(known, known.count())).distinct()
+    asked = vectors.join(chosen, "id", "left_semi").join(counts, "id", "left").toArrow()
     groups: dict[int, list[int]] = {}
     for i, x in enumerate(asked.column("unit").to_pylist()):
         groups.setdefault(len(x), []).append(i)
@@ -356,12 +476,12 @@ def audited(vectors: DataFrame, counts: DataFrame, *, threshold: float = THRESHO
     rows = vectors.select("id", "unit", "n").mapInArrow(compare, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()
     found = {k: x or 0 for k, x in zip(asked.column("id").to_pylist(), asked.column("links").to_pylist(), strict=True)}
     if not rows:
-        return 1.0
+        return None
     return min(sum(found[r.id] for r in rows) / sum(r.n for r in rows), sum(found[r.id] / r.n for r in rows) / len(rows))
 
 
 def near_duplicates(rows: DataFrame, *, key: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: ``key``, n_links, component_id, kept, recall (of the audit).
+    """Per row: ``key``, n_links, component_id, kept, recall (of the audit; null if no query had a link).
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null
     key, link with nothing and are their own component.  Vectors of different lengths never link.
@@ -375,7 +495,7 @@ def near_duplicates(rows: DataFrame, *, key: str = "vec_id", column: str = "embe
         parts = graph_links(distinct, threshold=threshold, overlap=overlap)
         counts = parts.groupBy("id").agg(F.sum("links").alias("links"))
         recall = audited(distinct, counts, threshold=threshold)
-        if recall >= RECALL:
+        if recall is None or recall >= RECALL:
             break
         if overlap >= OVERLAP_MOST:
             parts = exact_links(distinct, threshold=threshold)
@@ -389,8 +509,13 @@ def near_duplicates(rows: DataFrame, *, key: str = "vec_id", column: str = "embe
     out = every.join(known, "unit", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     # a row with a null key may hold a vector that others have: it links with nothing all the same
     own = F.col("id").isNull()
-    return out.select(F.col("id").alias(key), F.when(own, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(~own, F.col("component_id")).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("recall"))
+    return out.select(F.col("id").alias(key), F.when(own, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(~own, F.col("component_id")).alias("component_id"), F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 def op6_embeddings(spark, sf_dir: str) -> DataFrame:
+    """Every vector with the number of its links and the smallest vector that links reach.
+
+    Null, empty, zero and non-finite vectors and those with a null component link with nothing;
+    equal ones and rows that repeat are links of each other; an empty table gives no rows.
+    """
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))

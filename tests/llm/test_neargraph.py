@@ -99,3 +99,43 @@ def test_too_low_a_recall_ends_in_all_pairs(spark, monkeypatch):
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(centre[rng.integers(4, size=200)] + 0.2 * rng.normal(size=(200, 16)))]
     check(spark, rows)
     assert asked
+
+
+def units_of(spark, vectors):
+    v = np.array(vectors, dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, x.tobytes(), 1) for i, x in enumerate(v)], "id long, unit binary, n long")
+
+
+def test_a_core_is_counted_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neargraph, "LIMIT", 50)
+    rng = np.random.default_rng(1)
+    vectors = units_of(spark, np.ones(16) + 0.01 * rng.normal(size=(200, 16)))
+    routes = vectors.selectExpr("id", "unit", "n", "'c' as cluster", "200L as size")
+    members = neargraph.cored(routes)
+    assert members.where("core = 'c'").count() == 200 and neargraph.sharded(members).count() == 0
+    assert {(r.links, r.root) for r in neargraph.core_links(vectors, members).collect()} == {(199, 0)}
+
+
+def test_edges_that_leave_a_cluster_are_followed(spark):
+    """1 and 3 share no cluster; 2 is in both, so 3 visits where 1 is, and the link is counted once."""
+    x = np.array([[np.cos(t), np.sin(t)] for t in (0.0, 0.15, 0.3)])
+    vectors = units_of(spark, x)
+    lists = spark.createDataFrame([(0, [1], [1]), (1, [0, 2], [0, 2]), (2, [1], [1])], "id long, near array<long>, close array<long>")
+    homes = spark.createDataFrame([(0, ["a"]), (1, ["a", "b"]), (2, ["b"])], "id long, homes array<string>").join(vectors, "id").selectExpr("*", "cast(null as string) core")
+    guests = {(r.id, r.cluster) for r in neargraph.visitors(lists, homes).collect()}
+    assert guests == {(0, "b"), (2, "a")}
+    stands = spark.createDataFrame([(0, ["a", "b"]), (1, ["a", "b"]), (2, ["b", "a"])], "id long, clusters array<string>")
+    rows = neargraph.sharded(homes.join(stands, "id").join(lists, "id").selectExpr("*", "explode(clusters) cluster"))
+    found = rows.groupBy("shard").applyInArrow(lambda t: neargraph.linked(t, 0.95), "id long, links long, root long")
+    assert {r.id: r.n for r in found.groupBy("id").agg({"links": "sum"}).toDF("id", "n").collect()} == {0: 2, 1: 2, 2: 2}
+
+
+def test_nothing_to_measure_is_no_recall(spark):
+    rng = np.random.default_rng(2)
+    vectors = units_of(spark, rng.normal(size=(300, 32)))
+    none = spark.createDataFrame([], "id long, links long")
+    assert neargraph.audited(vectors, none) is None
+    pairs = np.repeat(rng.normal(size=(30, 32)), 2, axis=0) + 1e-3 * rng.normal(size=(60, 32))
+    vectors = units_of(spark, np.concatenate((rng.normal(size=(2000, 32)), pairs)))
+    assert neargraph.audited(vectors, none, queries=20) == 0.0
