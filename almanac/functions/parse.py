@@ -127,22 +127,54 @@ def html_text(page: Column) -> Column:
     &amp; is decoded before quotes and brackets, so text that was escaped twice is decoded twice.
     Only fragments with numeric references leave the JVM.
     """
-    text = F.coalesce(page, F.lit(""))
-    for pattern in (r"(?is)<script\b[^>]*>.*?</script>", r"(?is)<style\b[^>]*>.*?</style>", r"<[^>]+>"):
-        text = F.regexp_replace(text, pattern, " ")
-    numeric = text.rlike(r"&#(\d+|[xX][0-9a-fA-F]+);")
+    shown = F.regexp_replace(F.coalesce(page, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
+    text = F.regexp_replace(shown, "<[^>]+>", " ")
+    numeric = text.rlike("&#([0-9]+|[xX][0-9a-fA-F]+);")
     text = F.when(numeric, _references(F.when(numeric, text))).otherwise(text)
-    for pattern, to in ((r"(?i)&nbsp;", " "), ("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")):
-        text = F.regexp_replace(text, pattern, to)
-    return F.trim(F.regexp_replace(text, r"[\s ﻿]+", " "))
+    text = F.regexp_replace(text, "(?i)&nbsp;", " ")
+    for name, char in (("amp", "&"), ("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return F.trim(F.regexp_replace(text, "[\\s\u00a0\ufeff]+", " "))
 
 
 def html_title(page: Column) -> Column:
     return F.trim(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+def without_comments(page: Column) -> Column:
+    return F.regexp_replace(page, "(?s)<!--.*?-->", " ")
+
+
 def html_heading(page: Column) -> Column:
-    return html_text(F.regexp_extract(F.regexp_replace(page, r"(?s)<!--.*?-->", ""), r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+    return html_text(F.regexp_extract(without_comments(page), r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
+
+
+def block_account(page: Column, mark: str = "vit-uploader", path: str = "profile") -> Column:
+    """The account that the first list item of class ``mark`` links to; cards and menus elsewhere do not count."""
+    block = F.regexp_extract(without_comments(page), rf"(?is)<li\b[^>]*\bclass=[\"'][^\"']*\b{mark}\b[^\"']*[\"'][^>]*>(.*?)</li>", 1)
+    return found(block, rf"(?is)\bhref=[\"'][^\"']*/{path}/([\w.~-]+)/")
+
+
+def page_seconds(page: Column) -> Column:
+    """The page's own duration: og:duration of its first such tag, positive seconds."""
+    value = try_key(meta_tags(without_comments(page)), "og:duration")
+    return F.when(value.rlike("^[0-9]+$"), positive_number(value))
+
+
+def try_key(values: Column, key: str) -> Column:
+    return F.try_element_at(values, F.lit(key))
+
+
+def filled_by_recipe(page: Column, host: Column, recipes: dict[str, dict[str, str]], known: dict[str, Column]) -> dict[str, Column]:
+    """The fields in ``known``, blank ones filled by the pattern that the page's host has for them.
+
+    ``recipes``: per host a pattern with one group for each field it can fill.  What is known stays.
+    """
+    out = {}
+    for field, value in known.items():
+        tries = [F.when(host == name, F.nullif(html_text(F.regexp_extract(page, fields[field], 1)), F.lit(""))) for name, fields in recipes.items() if field in fields]
+        out[field] = F.coalesce(F.nullif(value, F.lit("")), *tries)
+    return out
 
 
 def meta_tags(page: Column) -> Column:
@@ -160,9 +192,14 @@ def meta_tags(page: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda x: x["key"] == k), 1)["value"]))
 
 
+def attribute(tag: Column, name: str) -> Column:
+    return found(tag, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']")
+
+
 def canonical_url(page: Column) -> Column:
-    """The canonical link of a page, else its og:url."""
-    return F.coalesce(found(page, r"(?is)<link\b[^>]*\brel=[\"']canonical[\"'][^>]*\bhref=[\"']([^\"']+)[\"']"), found(page, r"(?is)<meta\b[^>]*\bproperty=[\"']og:url[\"'][^>]*\bcontent=[\"']([^\"']+)[\"']"))
+    """The canonical link of a page, else its og:url; attributes in any order."""
+    links = F.filter(F.regexp_extract_all(page, F.lit(r"(?is)(<link\b[^>]*>)"), 1), lambda t: (F.lower(attribute(t, "rel")) == "canonical") & attribute(t, "href").isNotNull())
+    return F.coalesce(attribute(F.try_element_at(links, F.lit(1)), "href"), try_key(meta_tags(page), "og:url"))
 
 
 def related_ids(page: Column, pattern: str, most: int) -> Column:
@@ -170,10 +207,15 @@ def related_ids(page: Column, pattern: str, most: int) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(page, F.lit(pattern), 1)), 1, most)
 
 
-def embedded_json(page: Column, attribute: str = "data-page") -> Column:
-    """JSON in an attribute: as it is, else with its entities decoded; null if neither parses."""
-    raw = found(page, rf"(?is)\b{attribute}=\"([^\"]*)\"")
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, "&quot;", '"'), "&#0?39;", "'"), "&amp;", "&")
+def embedded_json(page: Column, attribute_name: str = "data-page") -> Column:
+    """The JSON body of the first JSON script that carries an attribute: as it is, else with its entities
+    decoded; null if neither parses."""
+    scripts = F.regexp_extract_all(page, F.lit(r"(?is)(<script\b[^>]*>.*?</script>)"), 1)
+    own = F.filter(scripts, lambda x: x.rlike(rf"(?is)^<script\b[^>]*\b{attribute_name}\s*=") & x.rlike(r"(?is)^<script\b[^>]*\btype=[\"']application/json[\"']"))
+    raw = F.regexp_extract(F.try_element_at(own, F.lit(1)), r"(?is)^<script\b[^>]*>(.*)</script>$", 1)
+    plain = raw
+    for name, char in (("&quot;", '"'), ("&#039;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        plain = F.replace(plain, F.lit(name), F.lit(char))
     return F.coalesce(F.when(F.try_parse_json(raw).isNotNull(), raw), F.when(F.try_parse_json(plain).isNotNull(), plain))
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.operators.staging import connected, staged
+
 SECONDS, DAYS, SIMILAR = 3, 2, 0.8
 
 
@@ -17,23 +17,29 @@ def fuzzy_pairs(records: DataFrame, *, seconds: int = SECONDS, days: int | None
     ``records``: id, provider, duration, words (distinct), and released if ``days`` is given.
     Records meet on a duration bucket and on one of their rarest words: two word sets of Jaccard
     similarity s share a word among the first (1 - s) * n + 1 of each in order of rarity.  So a
-    common duration or a common word alone brings nothing together.
+    common duration or a common word alone brings nothing together.  What meets is ids and sizes;
+    the words follow once for each pair that is near.
     """
     n_words = records.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     spread = records.where("duration is not null").select("id", F.explode("words").alias("word")).join(n_words, "word")
     sized = F.sort_array(F.collect_list(F.struct("df", "word")))
-    rare = spread.groupBy("id").agg(sized.alias("all")).select("id", F.explode(F.slice("all", 1, (F.size("all") - F.ceil(F.size("all") * F.lit(similar)) + 1).cast("int"))).alias("x")).select("id", F.col("x.word").alias("word"))
+    rare = spread.groupBy("id").agg(sized.alias("all")).select("id", F.explode(F.slice("all", 1, (F.size("all") - F.ceil(F.size("all") * F.lit(similar)) + 1).cast("int"))).alias("x"))
+    rare = rare.where("x.df > 1").select("id", F.xxhash64("x.word").alias("word"))
     wide = seconds + 1
-    keyed = records.join(rare, "id").withColumn("bucket", F.floor(F.col("duration") / wide))
-    own = keyed.select(*(F.col(c).alias(f"{c}_1") for c in records.columns), "word", "bucket")
-    other = keyed.select(*(F.col(c).alias(f"{c}_2") for c in records.columns), "word", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
+    slim = records.select("id", "provider", "duration", F.size("words").alias("size"), *(["released"] if days is not None else []))
+    keyed = slim.join(rare, "id").withColumn("bucket", F.floor(F.col("duration") / wide))
+    own = keyed.select(*(F.col(c).alias(f"{c}_1") for c in slim.columns), "word", "bucket")
+    other = keyed.select(*(F.col(c).alias(f"{c}_2") for c in slim.columns), "word", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     near = (F.col("provider_1") < F.col("provider_2")) & (F.abs(F.col("duration_1") - F.col("duration_2")) <= seconds)
+    near = near & (F.least("size_1", "size_2") >= F.lit(similar) * F.greatest("size_1", "size_2") - 1e-9)
     if days is not None:
         near = near & (F.abs(F.datediff("released_1", "released_2")) <= days)
-    shared = F.size(F.array_intersect("words_1", "words_2"))
-    jaccard = shared / (F.size("words_1") + F.size("words_2") - shared)
-    pairs = own.join(other, ["word", "bucket"]).where(near).where(jaccard >= similar)
-    return pairs.select("id_1", "provider_1", "id_2", "provider_2").distinct()
+    met = own.join(other, ["word", "bucket"]).where(near).select("id_1", "provider_1", "id_2", "provider_2").distinct()
+    words = lambda n: records.select(F.col("id").alias(f"id_{n}"), F.col("words").alias(f"words_{n}"))
+    both = met.join(words(1), "id_1").join(words(2), "id_2")
+    common = F.size(F.array_intersect("words_1", "words_2"))
+    share = common / (F.size("words_1") + F.size("words_2") - common)
+    return both.where(share >= similar).select("id_1", "provider_1", "id_2", "provider_2")
 
 
 def unambiguous(pairs: DataFrame) -> DataFrame:
@@ -44,18 +50,35 @@ def unambiguous(pairs: DataFrame) -> DataFrame:
     return both.where("n_1 = 1 and n_2 = 1").select(*pairs.columns)
 
 
-def complete_groups(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """(id, group) by complete link inside components (id, component): pairs in order join two
-    groups only if all their members are paired.
+def complete_groups(pairs: DataFrame, providers: list[str] | None = None) -> DataFrame:
+    """(id, group) by complete link: unambiguous pairs, in order, join two groups only if every record
+    of one is paired with every record of the other, be those pairs ambiguous or not.
 
-    A component holds one record of each provider that is mutually unique, so it is as small as the
-    number of providers allows in practice.
+    ``pairs``: all fuzzy pairs.  The order is that of ``providers`` (their names' where not given),
+    then of ids.  A group lies inside a component of the unambiguous pairs; each is folded by one
+    task that holds its ids and pairs.  A record has at most one such partner in a provider, so
+    components are chains of those, and only a chain that comes back to a provider again and again
+    makes a long one.
     """
+    pairs = staged(pairs, "fuzzy-pairs")
+    plain = staged(unambiguous(pairs).select("id_1", "id_2"), "plain-pairs")
+    node = (lambda c: F.col(c).cast("long")) if dict(pairs.dtypes)["id_1"] in ("int", "bigint") else F.xxhash64
+    member = connected(plain.select(node("id_1").alias("a"), node("id_2").alias("b")))
+    member = member.unionByName(member.select(F.col("component").alias("node"), "component")).distinct()
+    one, two = (member.select(F.col("node").alias(f"node_{n}"), F.col("component").alias(f"component_{n}")) for n in (1, 2))
+    own = pairs.join(plain.withColumn("plain", F.lit(True)), ["id_1", "id_2"], "left").withColumns({f"node_{n}": node(f"id_{n}") for n in (1, 2)})
+    own = own.join(one, "node_1").join(two, "node_2").where("component_1 = component_2")
+    place = lambda n: F.array_position(F.array(*map(F.lit, providers)), F.col(f"provider_{n}")) if providers else F.col(f"provider_{n}")
+    # of two records the one of the earlier provider comes first
+    turned = place(1) > place(2)
+    ends = {f"{c}_{n}": F.when(turned, F.col(f"{c}_{3 - n}")).otherwise(F.col(f"{c}_{n}")) for c in ("id", "provider") for n in (1, 2)}
+    own = own.select(*(c.alias(name) for name, c in ends.items()), "plain", F.col("component_1").alias("component"))
+    own = own.withColumns({"at_1": place(1), "at_2": place(2)})
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         linked = {frozenset(x) for x in zip(rows["id_1"], rows["id_2"], strict=True)}
         group = {x: {x} for pair in linked for x in pair}
-        for row in rows.sort_values(["provider_1", "id_1", "provider_2", "id_2"]).itertuples():
+        for row in rows[rows["plain"].notna()].sort_values(["at_1", "id_1", "at_2", "id_2"]).itertuples():
             a, b = group[row.id_1], group[row.id_2]
             if a is not b and all(frozenset((x, y)) in linked for x in a for y in b):
                 a |= b
@@ -63,23 +86,14 @@ def complete_groups(pairs: DataFrame, components: DataFrame) -> DataFrame:
                     group[x] = a
         return pd.DataFrame([(x, min(g)) for x, g in group.items()], columns=["id", "group"])
 
-    keyed = pairs.join(components.withColumnRenamed("id", "id_1"), "id_1")
-    return keyed.groupBy("component").applyInPandas(link, f"id {dict(pairs.dtypes)['id_1']}, group {dict(pairs.dtypes)['id_1']}")
-
-
-def components_of(pairs: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, component) by spreading the smallest id along pairs until nothing changes."""
-    both = pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).unionByName(pairs.select(F.col("id_2").alias("a"), F.col("id_1").alias("b"))).distinct()
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        new = label.join(near, "a").select("a", F.least("component", "m").alias("component"))
-        new = new.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else new.persist()
-        changed = new.join(label.withColumnRenamed("component", "old"), "a").where("component != old").limit(1).count()
-        label = new
-        if not changed:
-            break
-    return label.withColumnRenamed("a", "id")
+    return own.groupBy("component").applyInPandas(link, f"id {dict(pairs.dtypes)['id_1']}, group {dict(pairs.dtypes)['id_1']}")
+
+
+def totals(records: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: groups of all records (a record without one is its own), and pairs that are ambiguous."""
+    merged = groups.agg(F.count(F.lit(1)) - F.count_distinct("group")).first()[0]
+    plain = unambiguous(pairs).count()
+    return records.agg((F.count(F.lit(1)) - F.lit(merged or 0)).cast("long").alias("union_count")).withColumn("ambiguous_pairs", F.lit(pairs.count() - plain).cast("long"))
 
 
 def shares(records: DataFrame, groups: DataFrame, available: list[str] | None = None) -> DataFrame:

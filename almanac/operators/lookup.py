@@ -27,6 +27,21 @@ def with_previous(rows: DataFrame, previous: DataFrame, *, legacy: Column | None
     return out.withColumn("previous_id", F.coalesce("_exact", F.when(legacy, F.col("_single")))).drop("_exact", "_single")
 
 
+def carried_over(rows: DataFrame, previous: DataFrame, columns: list[str], key: str = "release_id") -> DataFrame:
+    """Rows with the columns that the resolver owns taken from the earlier row; null for new ones."""
+    return rows.drop(*columns).join(previous.select(key, *columns), key, "left")
+
+
+def in_window_of(rows: DataFrame, releases: DataFrame, date: str, start: Column, end: Column, key: str = "release_id") -> DataFrame:
+    """Rows whose release is dated inside a window."""
+    return rows.join(releases.where(F.col(date).between(start, end)).select(key), key, "left_semi")
+
+
+def exact_details(rows: DataFrame, details: DataFrame, slug: str = "slug") -> DataFrame:
+    """Rows with the details of exactly their slug; a row without such details has nulls."""
+    return rows.join(details, slug, "left")
+
+
 def retry_due(attempted: Column, now: Column, url: Column, old_url: Column, promised: Column, hours: int = 24) -> Column:
     """Whether a detail page is due: a promised field is missing, and it was never tried, a day ago, or elsewhere."""
     missing = ~F.forall(promised, lambda x: F.coalesce(x, F.lit("")) != "")

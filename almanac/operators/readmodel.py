@@ -111,3 +111,37 @@ def health_summary(feeds: DataFrame) -> DataFrame:
 def numbered_links(links: DataFrame, keys: tuple[str, ...] = ("release_id", "source"), order: str = "url") -> DataFrame:
     """Live links of a release counted from 1 within each source."""
     return links.where("not dead").withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def of_label(rows: DataFrame, column: str, label: str) -> DataFrame:
+    """Rows of one label, or all rows for ``all``."""
+    return rows if label == "all" else rows.where(F.col(column) == label)
+
+
+def errors_only(rows: DataFrame) -> DataFrame:
+    return rows.where(~F.col("ok"))
+
+
+def sorted_page(rows: DataFrame, order: str, date: str, title: str, key: str, page: int = 1, size: int = 120) -> DataFrame:
+    """The first ``page`` pages in an order: newest, oldest or title; ties by key."""
+    by = {"newest": [F.desc_nulls_last(date)], "oldest": [F.asc_nulls_last(date)], "title": [F.asc(F.lower(title))]}[order]
+    return rows.orderBy(*by, F.asc(key)).limit(page * size)
+
+
+def feed_order(feeds: DataFrame, source: str = "source_id", label: str = "label_id") -> DataFrame:
+    return feeds.orderBy(source, label)
+
+
+def observation_order(rows: DataFrame) -> DataFrame:
+    return rows.orderBy("provider", "label", "record")
+
+
+def capped_samples(samples: Column, most: int = 5) -> Column:
+    """The first few entries of a diagnostic list."""
+    return F.slice(samples, 1, most)
+
+
+def winner_split(winners: DataFrame, first: str, second: str) -> DataFrame:
+    """One row: winners by the rung that found them; whatever is neither second nor fallback is the first's."""
+    rung = F.coalesce(F.col("rung"), F.lit(first))
+    return winners.agg(F.count_if(~rung.isin(second, "fallback")).alias(f"winner_{first}"), F.count_if(rung == second).alias(f"winner_{second}"), F.count_if(rung == "fallback").alias("winner_fallback"))

@@ -39,11 +39,12 @@ def mergeable(rows: DataFrame, key: str = "cluster", provider: str = "provider")
     return sizes.where("providers >= 2 and n = providers").select(key)
 
 
-def merged(rows: DataFrame, fields: dict[str, str], *, key: str = "cluster", order: tuple[str, ...] = ("priority", "provider", "record"), date: str | None = None) -> DataFrame:
+def merged(rows: DataFrame, fields: dict[str, str], *, key: str = "cluster", order: tuple[str, ...] = ("priority", "provider", "record"), date: str | None = None, more: list[Column] = []) -> DataFrame:
     """One row per cluster: each field from the first observation in ``order`` that has it.
 
     ``fields`` maps names to types.  ``<field>_from`` names the provider that won.  With ``date`` the
-    oldest date wins instead.  A grouping with map-side combining; no cluster is gathered.
+    oldest date wins instead.  ``more`` are further aggregates to take along.  A grouping with map-side
+    combining; no cluster is gathered.
     """
     rank = F.struct(*order)
     values = []
@@ -53,9 +54,10 @@ def merged(rows: DataFrame, fields: dict[str, str], *, key: str = "cluster", ord
             by = F.struct(F.col(name), *order)
         best = F.min(F.when(has, F.struct(by.alias("by"), F.col(name).alias("value"), F.col("provider").alias("who"))))
         values += [best.alias(f"_{name}")]
-    out = rows.groupBy(key).agg(*values, F.array_join(F.array_sort(F.collect_set("provider")), ", ").alias("providers"))
+    out = rows.groupBy(key).agg(*values, F.array_join(F.array_sort(F.collect_set("provider")), ", ").alias("providers"), *more)
+    rest = [c for c in out.columns if c not in (key, "providers") and c.removeprefix("_") not in fields]
     picked = [c for name in fields for c in (F.col(f"_{name}.value").alias(name), F.col(f"_{name}.who").alias(f"{name}_from"))]
-    return out.select(key, *picked, "providers")
+    return out.select(key, *picked, "providers", *rest)
 
 
 def consensus(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -81,12 +83,36 @@ def merged_history(links: DataFrame, key: str = "cluster") -> DataFrame:
     return urls.groupBy(key).agg(F.count_if(~F.col("dead")).alias("live"), F.count_if("dead").alias("tombstones"), F.min("checked_at").alias("checked_at"))
 
 
+def history_links(links: DataFrame, key: str = "cluster") -> DataFrame:
+    """One row per cluster and address: dead anywhere is dead everywhere, earliest check, first matching.
+
+    ``links``: key, url, dead, checked_at, matching, ordinal.
+    """
+    return links.groupBy(key, "url").agg(F.max("dead").alias("dead"), F.min("checked_at").alias("checked_at"), F.min_by("matching", F.when(F.col("matching").isNotNull(), F.col("ordinal"))).alias("matching"))
+
+
+def reconciled_store(rows: DataFrame, links: DataFrame, fields: dict[str, str], *, date: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(releases, observations, links, deleted ids) of a store after all clusters that may merge are merged.
+
+    A merged release replaces the canonical one; observations and links of the others move to it,
+    links by the rule of their history; the others' ids are deleted.  What merges with nothing is
+    in observations and links as it was.
+    """
+    merged_rows, ids = reconciled(rows, fields, date=date)
+    moves = ids.where("release_id != canonical_id")
+    releases = merged_rows.withColumn("release_id", F.col("canonical_id")).drop("canonical_id")
+    own = ids.select("release_id", "canonical_id")
+    moved = lambda x: x.join(own, "release_id", "left").withColumn("release_id", F.coalesce("canonical_id", "release_id")).drop("canonical_id")
+    return releases, moved(rows), history_links(moved(links), "release_id"), moves.select("release_id").distinct()
+
+
 def reconciled(rows: DataFrame, fields: dict[str, str], *, date: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(merged releases by canonical id, id map old -> canonical) of all clusters that may merge.
 
     Observations of clusters that may not merge stay as they are and are in neither.
     """
-    own = rows.join(mergeable(rows), "cluster", "left_semi")
-    picked = canonical_pick(own)
-    out = merged(own, fields, date=date).join(picked, "cluster")
-    return out, own.select("cluster", "release_id").distinct().join(picked, "cluster").select("release_id", "canonical_id")
+    order = F.struct((~F.col("established")).alias("a"), (-F.col("live")).alias("b"), F.col("priority").alias("c"), F.col("release_id").alias("d"))
+    guard = [F.count(F.lit(1)).alias("_guard_n"), F.count_distinct("provider").alias("_guard_providers"), F.min_by("release_id", order).alias("canonical_id")]
+    out = merged(rows, fields, date=date, more=guard).where("_guard_providers >= 2 and _guard_n = _guard_providers").drop("_guard_n", "_guard_providers")
+    ids = rows.select("cluster", "release_id").distinct().join(out.select("cluster", "canonical_id"), "cluster")
+    return out, ids.select("release_id", "canonical_id")

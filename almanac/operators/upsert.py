@@ -11,6 +11,22 @@ from pyspark.sql.types import ArrayType, MapType, StringType
 from almanac.operators.dedupe import first_by
 
 
+def links_replaced(old: DataFrame, new: DataFrame, releases: DataFrame, key: str = "release_id") -> DataFrame:
+    """The links of ``releases`` are those of ``new`` alone, none left over; other links stay."""
+    ids = releases.select(key).distinct()
+    return old.join(ids, key, "left_anti").unionByName(new.join(ids, key, "left_semi"))
+
+
+def run_ledger(events: DataFrame, key: str = "run_id") -> DataFrame:
+    """One row per run from its appended rows: started when the first says so, closed by the latest that is closed.
+
+    ``events``: run_id, at, closed, ok, error.  A run without a closing row is running (ok null).
+    """
+    end = F.max_by(F.struct("at", "ok", "error"), F.when(F.col("closed"), F.col("at")))
+    rows = events.groupBy(key).agg(F.min("at").alias("started_at"), F.when(F.bool_or("closed"), end).alias("end"))
+    return rows.select(key, "started_at", F.col("end.at").alias("finished_at"), F.col("end.ok").alias("ok"), F.col("end.error").alias("error"))
+
+
 def blank_to_null(value: Column, kind) -> Column:
     if isinstance(kind, StringType):
         return F.nullif(value, F.lit(""))
@@ -117,10 +133,11 @@ def merged_provenance(old: Column, new: Column) -> Column:
 
 
 class VersionedTable:
-    """A table whose versions are whole folders; a pointer file names the one that counts.
+    """A table whose versions are whole folders, each named by a pointer file once it is whole.
 
-    A version is written beside the others and becomes visible when the pointer is replaced, so
-    readers never see half a version and a failed write leaves the old one.
+    The highest pointer counts.  A version is written beside the others and its pointer is made
+    after it and never changed, so readers never see half a version, and a crash at any moment
+    leaves the last whole one in force.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -129,10 +146,8 @@ class VersionedTable:
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        pointer = self._path(f"{self.root}/current.json")
-        if not self._fs.exists(pointer):
-            return 0
-        return json.loads(self.spark.read.text(f"{self.root}/current.json").first()[0])["version"]
+        found = self._fs.globStatus(self._path(f"{self.root}/current-*.json")) or []
+        return max((int(x.getPath().getName()[len("current-") : -len(".json")]) for x in found), default=0)
 
     def read(self) -> DataFrame | None:
         n = self.version()
@@ -142,11 +157,9 @@ class VersionedTable:
         n = self.version() + 1
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/v{n}")
-        draft = self._path(f"{self.root}/current-{n}.json")
+        draft = self._path(f"{self.root}/draft-{n}.json")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": n}).encode()))
         out.close()
-        pointer = self._path(f"{self.root}/current.json")
-        self._fs.delete(pointer, False)
-        self._fs.rename(draft, pointer)
+        self._fs.rename(draft, self._path(f"{self.root}/current-{n}.json"))
         return n

@@ -84,10 +84,18 @@ def coverage_unambiguous(spark, sf_dir):
     return coverage.unambiguous(coverage.fuzzy_pairs(coverage_records(spark, sf_dir), days=None))
 
 
+def dated_records(spark, sf_dir) -> DataFrame:
+    return coverage_records(spark, sf_dir).withColumn("released", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 6).cast("int")))
+
+
+@query(f"{COVERAGE} SELECT * FROM pairs WHERE abs(id_1 % 6 - id_2 % 6) <= 2")
+def coverage_dated_pairs(spark, sf_dir):
+    return coverage.fuzzy_pairs(dated_records(spark, sf_dir))
+
+
 @query()
 def coverage_groups(spark, sf_dir):
-    pairs = coverage.unambiguous(coverage.fuzzy_pairs(coverage_records(spark, sf_dir), days=None)).persist()
-    return coverage.complete_groups(pairs, coverage.components_of(pairs))
+    return coverage.complete_groups(coverage.fuzzy_pairs(coverage_records(spark, sf_dir), days=None))
 
 
 @query()
@@ -95,6 +103,13 @@ def coverage_shares(spark, sf_dir):
     return coverage.shares(coverage_records(spark, sf_dir), coverage_groups(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
+@query()
+def coverage_totals(spark, sf_dir):
+    records = coverage_records(spark, sf_dir)
+    pairs = coverage.fuzzy_pairs(records, days=None)
+    return coverage.totals(records, pairs, coverage.complete_groups(pairs))
+
+
 RULES = classify.Cascade(
     safety=[("secret", "(?i)BEGIN [A-Z ]*PRIVATE KEY")],
     positive=[("license", r"\bLicense\b"), ("rights", "All rights reserved")],
@@ -134,29 +149,6 @@ def html_heading(spark, sf_dir):
     return pages.select("page_id", parse.html_heading(F.col("html")).alias("heading"))
 
 
-def headed(spark, sf_dir) -> DataFrame:
-    (pages,) = tables(spark, sf_dir, "pages")
-    head = F.concat(F.lit('<meta property="og:title" content="Page '), F.col("page_id").cast("string"), F.lit('"><link rel="canonical" href="'), F.col("url"), F.lit('"><script type="application/ld+json">{"@graph":[{"@type":"VideoObject","name":"Page '), F.col("page_id").cast("string"), F.lit('","duration":"PT5M","actor":[{"name":"A"},{"name":"B"}]}]}</script>'))
-    return pages.select("page_id", "url", F.concat(head, "html").alias("page"))
-
-
-@query("SELECT page_id, 'Page ' || page_id AS title, 'utf-8' IS NULL AS other FROM pages")
-def html_meta(spark, sf_dir):
-    rows = headed(spark, sf_dir).withColumn("m", parse.meta_tags(F.col("page")))
-    return rows.select("page_id", F.try_element_at("m", F.lit("og:title")).alias("title"), F.map_contains_key("m", "description").alias("other"))
-
-
-@query("SELECT page_id, url AS canonical FROM pages")
-def html_canonical(spark, sf_dir):
-    return headed(spark, sf_dir).select("page_id", parse.canonical_url(F.col("page")).alias("canonical"))
-
-
-@query("SELECT page_id, 'Page ' || page_id AS name, 300::BIGINT AS seconds, 'A, B' AS actors FROM pages")
-def html_jsonld(spark, sf_dir):
-    rows = headed(spark, sf_dir).withColumn("v", parse.json_ld(F.col("page")))
-    return rows.select("page_id", F.col("v.name").alias("name"), parse.duration_seconds(F.col("v.duration")).alias("seconds"), F.array_join("v.actors", ", ").alias("actors"))
-
-
 TOKENS = "regexp_extract_all(lower(strip_accents({})), '[a-z0-9]+')"
 
 
@@ -166,12 +158,6 @@ def title_tokens(spark, sf_dir):
     return docs.select("doc_id", text.normalized(F.col("text")).alias("tokens"))
 
 
-@query("SELECT doc_id, array_to_string([x FOR x IN " + TOKENS.format(r"regexp_replace(regexp_replace(split_part(text, chr(10), 1), '(\s+#[\p{L}\p{N}_-]+)+\s*$', ' '), '(?i)https?://\S+', ' ', 'g')") + " IF x NOT IN ('new', 'full', 'hd')], ' ') AS stem FROM documents")
-def title_stem(spark, sf_dir):
-    (docs,) = tables(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.title_stem(F.element_at(F.split("text", "\n"), 1)).alias("stem"))
-
-
 @query("SELECT doc_id, text AS repaired FROM documents")
 def mojibake_repair(spark, sf_dir):
     (docs,) = tables(spark, sf_dir, "documents")
@@ -188,7 +174,8 @@ def text_marks(spark, sf_dir):
 @query("""SELECT p_partkey, array_to_string([q FOR q IN [lower(p_type), array_to_string(list_slice([x FOR x IN string_split(p_name, ' ') IF x != lower(p_type)], 1, 5), ' '), p_brand] IF q != ''], '|') AS queries FROM part""")
 def token_queries(spark, sf_dir):
     (part,) = tables(spark, sf_dir, "part")
-    return part.select("p_partkey", F.array_join(text.search_queries(F.col("p_name"), F.array("p_type"), F.lit(None).cast("string"), F.col("p_brand")), "|").alias("queries"))
+    part = part.withColumn("names", text.tokens_each(F.array("p_type")))
+    return part.select("p_partkey", F.array_join(text.search_queries(F.col("p_name"), F.col("names"), F.lit(None).cast("string"), F.col("p_brand")), "|").alias("queries"))
 
 
 CANDIDATE = "CASE l_linenumber % 5 WHEN 0 THEN 'see ' || p_name || ' again' WHEN 1 THEN p_type || ' thing' WHEN 2 THEN lower(p_type) || '2024 thing' WHEN 3 THEN 'brand thing ' || substr(p_brand, 7) ELSE 'nothing' END"
@@ -197,9 +184,10 @@ CANDIDATE = "CASE l_linenumber % 5 WHEN 0 THEN 'see ' || p_name || ' again' WHEN
 @query(f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber % 5 = 0 OR l_linenumber % 5 = 3 THEN 3 WHEN l_linenumber % 5 = 1 THEN 2 WHEN l_linenumber % 5 = 2 THEN 1 ELSE 0 END AS tier FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def identity_tier(spark, sf_dir):
     items, part = tables(spark, sf_dir, "lineitem", "part")
-    rows = items.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("candidate", F.expr(CANDIDATE))
     t = text.tokens
-    tier = matching.identity_tier(t(F.col("p_name")), t(F.col("p_brand")), F.array(t(F.col("p_type"))), t(F.col("candidate")))
+    known = part.select("*", t(F.col("p_name")).alias("title"), t(F.col("p_brand")).alias("code"), F.array(t(F.col("p_type"))).alias("names"))
+    rows = items.join(known, F.col("l_partkey") == F.col("p_partkey")).withColumn("candidate", t(F.expr(CANDIDATE)))
+    tier = matching.identity_tier(F.col("title"), F.col("code"), F.col("names"), F.col("candidate"))
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", tier.alias("tier"))
 
 
@@ -228,19 +216,6 @@ def term_exclusions(spark, sf_dir):
     return docs.select("doc_id", text.term_hit(F.col("text"), ["rights reserved"], ["mit"]).alias("term"))
 
 
-@query("SELECT page_id, 'div' AS marker, len(regexp_extract_all(html, '<li><a href=\"/([^\"]*)\"')) AS links FROM pages")
-def menu_links(spark, sf_dir):
-    (pages,) = tables(spark, sf_dir, "pages")
-    return pages.select("page_id", F.lit("div").alias("marker"), F.size(F.regexp_extract_all("html", F.lit('<li><a href="/([^"]*)"'), 1)).cast("long").alias("links"))
-
-
-@query("SELECT conv_id, count(*) AS turns, min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS whole FROM conversations GROUP BY 1")
-def page_invariants(spark, sf_dir):
-    (turns,) = tables(spark, sf_dir, "conversations")
-    n = F.count(F.lit(1))
-    return turns.groupBy("conv_id").agg(n.alias("turns"), ((F.min("turn") == 0) & (F.max("turn") + 1 == n) & (F.count_distinct("turn") == n)).alias("whole"))
-
-
 @query("SELECT doc_id, substr(sha, 1, 8) AS record, CASE WHEN quality = 1 THEN 'admit' ELSE 'review' END AS decision FROM (SELECT d.doc_id, md5(source) AS sha, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)")
 def category_verdicts(spark, sf_dir):
     docs, labels = tables(spark, sf_dir, "documents", "labels")

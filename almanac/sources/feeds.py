@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.parse import clock_seconds_lenient, embedded_json, found
-from almanac.operators.dedupe import by_precedence, first_seen
+from almanac.operators.dedupe import by_precedence, first_seen, last_write
+from almanac.operators.staging import staged
 
 
 def json_records(spark: SparkSession, path: str, schema: str, field: str | None = None) -> DataFrame:
@@ -121,19 +122,28 @@ def verified_empty(results: DataFrame) -> DataFrame:
     return results.withColumn("error", F.coalesce(F.col("error"), verdict)).withColumn("ok", F.col("error").isNull())
 
 
-def related_walk(candidates: DataFrame, edges: DataFrame, *, depth: int = 6) -> DataFrame:
+def related_walk(candidates: DataFrame, edges: DataFrame, *, depth: int = 6, most: int | None = None) -> DataFrame:
     """Candidates reached over ``edges`` (id, related) from those given, each once, with its distance.
 
-    One join a level over the new ones only; a level without new ones ends the walk.
+    One join a level over the new ones only; a level without new ones ends the walk, as does one
+    with which there are more than ``most``.
     """
     seen = candidates.select("id", F.lit(0).alias("distance")).distinct()
     front = seen
     for step in range(1, depth + 1):
         front = front.join(edges, "id").select(F.col("related").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(step).alias("distance"))
+        front = staged(front, "walk")
+        if front.isEmpty() or most is not None and seen.count() + front.count() > most:
+            break
         seen = seen.unionByName(front)
     return seen
 
 
+def hydrated(found: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:
+    """Candidates with their details; one without details is left out."""
+    return found.join(details, key)
+
+
 def csv_safe(value: Column) -> Column:
     """A cell that no spreadsheet takes for a formula."""
     text = F.coalesce(value.cast("string"), F.lit(""))
@@ -149,5 +159,42 @@ def json_lines(rows: DataFrame) -> DataFrame:
 
 
 def page_gaps(rows: DataFrame, page: str) -> DataFrame:
-    """Pages that do not follow the one before."""
-    return rows.withColumn("before", F.lag(page).over(Window.orderBy(page))).where(F.col(page) != F.col("before") + 1)
+    """Pages whose predecessor is missing, but for the first one; an equi-join of distinct pages."""
+    pages = rows.select(F.col(page).alias("_page")).distinct()
+    low = pages.agg(F.min("_page").alias("_low"))
+    gaps = pages.join(pages.select((F.col("_page") + 1).alias("_page")), "_page", "left_anti")
+    return gaps.join(F.broadcast(low), F.col("_page") != F.col("_low")).select(F.col("_page").alias(page))
+
+
+def whole_cursors(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """Pages (cursor, next_cursor) of one walk: no cursor twice, not too many, and one that ends it."""
+    facts = pages.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cursor").alias("distinct"), F.count_if(F.col("next_cursor").isNull()).alias("ends"))
+    problem = F.when(F.col("n") > most, "too many pages").when(F.col("n") != F.col("distinct"), "a cursor is repeated").when(F.col("ends") != 1, "the walk does not end")
+    ensure(facts, problem)
+    return pages
+
+
+def ingest_window(rows: DataFrame, date: str, start: Column, now: Column) -> DataFrame:
+    """Records with a readable date from ``start`` to this instant."""
+    at = F.try_to_timestamp(F.col(date).cast("string"))
+    return rows.where((at >= start) & (at <= now))
+
+
+def search_union(results: DataFrame, answers: DataFrame, key: str = "url", ordinal: str = "ordinal") -> DataFrame:
+    """Candidates of all queries that succeeded, each address once; fails if every query failed.
+
+    ``results``: query, ok, error; ``answers``: query, ``key`` and more.
+    """
+    facts = results.agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"))
+    ensure(facts, F.when((F.col("n") > 0) & (F.col("good") == 0), "all queries failed"))
+    return last_write(answers.join(results.where("ok").select("query"), "query", "left_semi"), [key], ordinal)
+
+
+def registry(feeds: DataFrame, ordinal: str = "ordinal") -> DataFrame:
+    """Feeds with their merge priority, their place in the list from 0; a small table by nature."""
+    return feeds.withColumn("priority", F.row_number().over(Window.orderBy(ordinal)) - 1)
+
+
+def with_priority(rows: DataFrame, feeds: DataFrame, source: str = "source_id") -> DataFrame:
+    """Rows with their feed's priority; rows of feeds that are not listed come last."""
+    return rows.join(feeds.select(source, "priority"), source, "left").withColumn("priority", F.coalesce("priority", F.lit((1 << 31) - 1)))

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from almanac.operators.dedupe import last_write
 from almanac.operators.links import STRIKES
+from almanac.operators.upsert import VersionedTable, expired, upserted
+from almanac.sources.feeds import refreshed
 
 STRIKE_STATE = "strikes int, dead_at long"
 STRIKE_ROWS = "link long, strikes int, dead boolean, dead_at long"
@@ -54,3 +57,28 @@ def run_cycle(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, in
     after a failure keeps its number.
     """
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
+def retention(table: VersionedTable, keys: list[str], date: str, days: int) -> Callable[[DataFrame, int], None]:
+    """A batch function: rows of the batch replace those of their keys, and what is older than ``days``
+    before the newest date goes.  Repeating a batch changes nothing."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        old = table.read()
+        new = last_write(batch, keys, date)
+        rows = new if old is None else upserted(old, new, keys)
+        newest = rows.agg(F.max(date)).first()[0]
+        if newest is not None:
+            table.write(expired(rows, date, F.lit(newest) - F.make_dt_interval(F.lit(days)))[0])
+
+    return apply
+
+
+def snapshots(table: VersionedTable, page: str, key: str, full: bool = False) -> Callable[[DataFrame, int], None]:
+    """A batch function: each batch is one listing, laid over the snapshot before it (see feeds.refreshed)."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        old = table.read()
+        table.write(refreshed(batch.drop(page).limit(0) if old is None else old, batch, page, key, full))
+
+    return apply

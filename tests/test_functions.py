@@ -23,7 +23,7 @@ def test_mojibake(spark, value, to):
 
 @pytest.mark.parametrize(
     "value, stem",
-    [("{new} Big House https://x.y/z #tag #two", "big house"), ("House 2024-03-04 Full HD", "house"), ("", ""), ("#only", "only"), ("Clip 24.03.04 end", "clip end")],
+    [("{new} Big House https://x.y/z #tag #two", "big house"), ("House 2024-03-04 watch Full HD download", "house full hd"), ("", ""), ("#only", "only"), ("Clip 24.03.04 end", "clip end")],
 )
 def test_title_stem(spark, value, stem):
     assert one(spark, text.title_stem, value) == stem
@@ -34,7 +34,7 @@ def test_release_code(spark, value, code):
     assert one(spark, text.release_code, value) == code
 
 
-@pytest.mark.parametrize("value, part", [("Show part 2", 2), ("Show part 2 and part 3", None), ("[4979341]_3 x", None), ("4979341-3", 3), ("none", None)])
+@pytest.mark.parametrize("value, part", [("Show part 2", 2), ("Show part 2 and part 3", None), ("[4979341]_3 x", None), ("4979341-3", 3), ("動画パート 4", 4), ("none", None)])
 def test_part_number(spark, value, part):
     assert one(spark, lambda x: text.part_number(x, F.lit("4979341")), value) == part
 
@@ -68,6 +68,13 @@ def test_redacted_error(spark):
     ):
         assert one(spark, text.redacted_error, value) == to
     assert len(one(spark, text.redacted_error, "x" * 999)) == 240
+    assert one(spark, lambda x: text.redacted_error(x, ["s3cret", ""]), "key s3cret <b>s3cret") == "key [redacted] [response body omitted]"
+
+
+def test_scene_code(spark):
+    code = lambda x: text.scene_code(x, F.lit("mine"), {"mine": r"\bOB\d{3,}\b"})
+    assert [one(spark, code, x) for x in ("See OB123 here", "OB12", None)] == ["ob123", None, None]
+    assert one(spark, lambda x: text.scene_code(x, F.lit("other"), {"mine": "OB"}), "OB123") is None
 
 
 @pytest.mark.parametrize("value, seconds", [("4:05", 245), ("1:02:03", 3723), ("4:60", None), ("0:00", None), ("x", None), (None, None)])
@@ -96,9 +103,18 @@ def test_timestamps(spark, value, at):
 def test_html(spark):
     assert one(spark, parse.html_text, "<p>a&amp;lt;b &#39;c&#x41; &#xD800;&nbsp;d</p><script>x</script>") == "a<b 'cA d"
     assert one(spark, parse.html_text, None) == ""
-    page = '<div data-page="{&quot;props&quot;:{&quot;articles&quot;:{&quot;data&quot;:[{&quot;id&quot;:1}]}}}">'
+    page = '<script type="text/javascript">x</script><script data-page="app" type="application/json">{"props":{"articles":{"data":[{"id":1}]}}}</script>'
     assert one(spark, parse.embedded_json, page) == '{"props":{"articles":{"data":[{"id":1}]}}}'
-    assert one(spark, parse.embedded_json, '<div data-page="{broken">') is None
+    assert one(spark, parse.embedded_json, '<script data-page="a" type="application/json">{&quot;a&quot;: 1}</script>') == '{"a": 1}'
+    assert one(spark, parse.embedded_json, '<script data-page="a" type="application/json">{broken</script>') is None
+    assert one(spark, parse.canonical_url, '<link href="https://x.y/a" rel="canonical">') == "https://x.y/a"
+    assert one(spark, parse.canonical_url, '<meta content="https://x.y/b" property="og:url">') == "https://x.y/b"
+    block = '<!-- <li class="vit-uploader"><a href="/profile/no/1">x</a></li> --><li class="a vit-uploader b"><a href="/profile/Ann.Lee/2">y</a></li>'
+    assert one(spark, parse.block_account, block) == "Ann.Lee"
+    assert one(spark, parse.page_seconds, '<meta content="95" property="og:duration">') == 95
+    recipes = {"x.y": {"title": r"<b>(.*?)</b>", "date": r"<i>(.*?)</i>"}}
+    fill = lambda x: F.to_json(F.struct(*(c.alias(k) for k, c in parse.filled_by_recipe(x, F.lit("x.y"), recipes, {"title": F.lit("kept"), "date": F.lit(""), "other": F.lit("")}).items())))
+    assert one(spark, fill, "<b>new</b><i>2024 &amp; on</i>") == '{"title":"kept","date":"2024 & on"}'
     assert one(spark, parse.meta_tags, '<meta name="a" content="1"><meta content="2" property="a">') == {"a": "1"}
 
 

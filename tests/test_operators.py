@@ -44,7 +44,8 @@ def test_identity_tiers(spark):
 
     rows = [("see big house now", 3), ("x1 code", 3), ("ann lee there", 2), ("ann there", 1), ("ann2024 there", 1), ("ann20245 there", 0), ("nothing", 0)]
     df = spark.createDataFrame(rows, "c string, t int")
-    tier = matching.identity_tier(tokens(F.lit("Big House")), tokens(F.lit("X1")), F.array(tokens(F.lit("Ann Lee"))), tokens(F.col("c")))
+    df = df.select("t", tokens(F.lit("Big House")).alias("title"), tokens(F.lit("X1")).alias("code"), F.array(tokens(F.lit("Ann Lee"))).alias("names"), tokens(F.col("c")).alias("candidate"))
+    tier = matching.identity_tier(*(F.col(c) for c in ("title", "code", "names", "candidate")))
     assert all(r[0] == r[1] for r in df.select("t", tier).collect())
 
 
@@ -91,6 +92,30 @@ def test_versioned_table(spark, tmp_path):
     table.write(spark.range(3))
     table.write(spark.range(5))
     assert table.version() == 2 and table.read().count() == 5
+    (tmp_path / "t" / "v3").mkdir()  # a write that died before its pointer
+    assert table.version() == 2 and table.read().count() == 5
+    assert table.write(spark.range(7)) == 3 and table.read().count() == 7
+
+
+def test_cycles_of_retention_and_snapshots(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "id long, at timestamp, page int"
+    kept, listed = upsert.VersionedTable(spark, str(tmp_path / "kept")), upsert.VersionedTable(spark, str(tmp_path / "listed"))
+    for rows in ([(1, D(2026, 1, 1), 1), (2, D(2026, 1, 9), 1)], [(2, D(2026, 1, 10), 1), (3, D(2026, 1, 20), 1)]):
+        spark.createDataFrame([(a, str(b), c) for a, b, c in rows], "id long, at string, page int").selectExpr("id", "cast(at as timestamp) at", "page").coalesce(1).write.mode("append").parquet(source)
+        for name, apply in (("k", cycle.retention(kept, ["id"], "at", 15)), ("s", cycle.snapshots(listed, "page", "id"))):
+            cycle.run_cycle(spark.readStream.schema(schema).parquet(source), str(tmp_path / name), apply).awaitTermination(120)
+    assert {r.id for r in kept.read().collect()} == {2, 3} and {r.id for r in listed.read().collect()} == {1, 2, 3}
+
+
+def test_streams_drop_repeats_and_count_windows(spark, tmp_path):
+    source, out = str(tmp_path / "in"), {}
+    spark.sql("select * from values (1, timestamp'2026-01-01 10:00', 'a'), (1, timestamp'2026-01-01 10:05', 'a'), (2, timestamp'2026-01-02 10:00', 'b'), (3, timestamp'2026-01-09 10:00', 'b') t(id, at, kind)").coalesce(1).write.parquet(source)
+    stream = lambda: spark.readStream.schema("id int, at timestamp, kind string").parquet(source)
+    for name, df, mode in (("first", cycle.first_records(stream(), "id", "at"), "append"), ("windows", cycle.windowed_counts(stream(), "at", "kind"), "complete")):
+        query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        out[name] = spark.table(name).collect()
+    assert sorted(r.id for r in out["first"]) == [1, 2, 3] and sorted((r["kind"], r.n) for r in out["windows"]) == [("a", 2), ("b", 1), ("b", 1)]
 
 
 CHECKS = [(1, 1, "dead"), (1, 2, "inconclusive"), (1, 3, "dead"), (1, 4, "live"), (2, 1, "dead"), (2, 2, "live"), (2, 3, "dead"), (3, 1, "inconclusive"), (4, 1, "live")]
@@ -130,10 +155,55 @@ def test_struck_and_requeued(spark):
 
 def test_coverage_chain_is_not_transitive(spark):
     pairs = spark.createDataFrame([(1, "a", 2, "b"), (2, "b", 3, "c")], "id_1 long, provider_1 string, id_2 long, provider_2 string")
-    groups = coverage.complete_groups(pairs, coverage.components_of(pairs)).collect()
+    groups = coverage.complete_groups(pairs).collect()
     assert {r.id: r.group for r in groups} == {1: 1, 2: 1, 3: 3}
 
 
+def folded(pairs, providers):
+    """Complete-link groups by definition: all pairs in order of provider and id."""
+    rank = {p: i for i, p in enumerate(providers)}
+    provider = {i: p for a, p, b, q in pairs for i, p in ((a, p), (b, q))}
+    linked = {frozenset((a, b)) for a, _, b, _ in pairs}
+    near = lambda x, p: [y for y in provider if provider[y] == p and frozenset((x, y)) in linked]
+    groups = {x: {x} for x in provider}
+    order = sorted(tuple(sorted(pair, key=lambda x: (rank[provider[x]], x))) for pair in linked)
+    order.sort(key=lambda ab: [(rank[provider[x]], x) for x in ab])
+    for a, b in order:
+        if len(near(a, provider[b])) == len(near(b, provider[a])) == 1 and groups[a] is not groups[b] and all(frozenset((x, y)) in linked for x in groups[a] for y in groups[b]):
+            groups[a] |= groups[b]
+            for x in groups[b]:
+                groups[x] = groups[a]
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_ambiguous_pairs_count_as_agreement(spark):
+    """2 is paired with 3 and with 4, so neither pair joins groups, but 3 agrees with both 1 and 2."""
+    rows = [(1, "a", 2, "b"), (1, "a", 3, "c"), (2, "b", 3, "c"), (2, "b", 4, "c")]
+    pairs = spark.createDataFrame(rows, "id_1 long, provider_1 string, id_2 long, provider_2 string")
+    assert {r.id: r.group for r in coverage.complete_groups(pairs).collect() if r.id < 4} == {1: 1, 2: 1, 3: 1}
+
+
+def test_groups_equal_the_definition(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = sorted({(a, "abcd"[a % 4], b, "abcd"[b % 4]) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(60)) if "abcd"[a % 4] < "abcd"[b % 4]})
+    pairs = spark.createDataFrame(rows, "id_1 long, provider_1 string, id_2 long, provider_2 string")
+    for providers in ("abcd", "dbca"):
+        found = {}
+        for r in coverage.complete_groups(pairs, list(providers)).collect():
+            found.setdefault(r.group, set()).add(r.id)
+        want = {g for g in folded(rows, providers) if len(g) > 1}
+        assert {frozenset(g) for g in found.values() if len(g) > 1} == want
+
+
+def test_long_chains_are_one_component(spark):
+    from almanac.operators.staging import connected
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(150)], "a long, b long")
+    assert {r.component for r in connected(edges).collect()} == {0}
+
+
 def test_coverage_ambiguity_and_shares(spark):
     rows = [(1, "a", 10, ["x", "y", "z", "w", "v"]), (2, "b", 11, ["x", "y", "z", "w", "v"]), (3, "b", 12, ["x", "y", "z", "w", "v"]), (4, "a", None, ["q"]), (5, "b", 99, [])]
     df = spark.createDataFrame(rows, "id long, provider string, duration int, words array<string>")
@@ -169,6 +239,10 @@ def test_feeds(spark, tmp_path):
     snapshot = spark.createDataFrame([("b", 0), ("c", 0)], "id string, v int")
     listing = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("b", 1, 2), ("c", 1, 2), ("d", 1, 3)], "id string, v int, page int")
     assert {(r.id, r.v) for r in feeds.refreshed(snapshot, listing, "page", "id", False).collect()} == {("a", 1), ("b", 1), ("c", 0)}
+    with pytest.raises(feeds.FeedError):
+        feeds.whole_cursors(spark.createDataFrame([("a", "b"), ("a", None)], "cursor string, next_cursor string"))
+    with pytest.raises(feeds.FeedError):
+        feeds.search_union(spark.createDataFrame([(1, False)], "query int, ok boolean"), spark.createDataFrame([(1, "u", 1)], "query int, url string, ordinal int"))
     results = spark.createDataFrame([("a", 0, 0, False, None), ("b", 0, 0, True, None), ("c", 3, 0, False, None), ("d", 3, 1, False, None)], "f string, fetched int, valid int, verified_empty boolean, error string")
     assert {r.f: r.ok for r in feeds.verified_empty(results).collect()} == {"a": False, "b": True, "c": False, "d": True}
     (tmp_path / "in.json").write_text('{"scenes": [{"id": 1}, {"id": 2}]}')
