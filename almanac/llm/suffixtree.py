@@ -1,295 +1,352 @@
-"""Language-model scoring by a probabilistic suffix tree over the bytes of normalized text.
-
-A text is its lower-cased words joined by single spaces, then an end symbol; one token sequence
-has one such string, so the probability of the string is that of the tokens.  A node of the tree is
-a context of up to DEPTH bytes.  It is kept if it makes up a given share of the training symbols
-and its next-symbol distribution diverges enough from that of its parent (the context without its
-oldest byte), or if a context that ends in it is kept.  Next-symbol distributions are smoothed into
-the parent's, and a symbol is scored in the longest kept context that the text before it ends in.
-
-Everything is counted over all training documents.  Tasks count n-grams and words, Spark sums them
-up, tests the contexts level by level, and only the kept part of the tree, which the least share
-bounds, reaches the driver.  Word counts, which nothing bounds, never do: they are joined to the
-distinct words of blocks of documents, and each block meets its own words.
+"""Language-model scoring by a probabilistic suffix tree over words.
+
+A text is its lower-cased words and one end.  A node of the tree is a context, the last one, two or
+more words (a text's start counts as one).  It is kept if it occurs LEAST times in training texts
+and its next-word distribution diverges enough from that of its longest kept suffix: its gain in log
+likelihood must pay for its distinct next words.  Next-word distributions are smoothed into the
+suffix's, the shortest one being all words, and a word is scored in the longest kept context that
+the text before it ends in.  Counts are absolute, so the tree grows with the corpus.
+
+Nothing of the tree reaches the driver or any one task.  The texts are cut into blocks; each is
+written once, as word numbers, into the shared folder.  Then blocks and parts take turns: a block
+sends the words, n-grams or contexts that it has, each once and dealt by hash into parts, with its
+own sums; a part adds up what all blocks sent and answers each block, entry by entry in the order
+sent.  Keys are dealt by the hash of the whole n-gram, so a word that a third of all n-grams start
+with is spread over all parts, and what repeats inside a block is sent once.  A block works with
+its own numbers and the answers only, so any task can be done again.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+import pickle
+import struct
+import zlib
+from collections.abc import Callable, Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from almanac.llm.common import staged, text_blocks, with_block
+from almanac.llm.common import scratch_path, staged, text_blocks
 from almanac.llm.langid import remainder
+from almanac.llm.tokenids import put, take
 
-#: Bytes of the longest context; 6 at most, as a context and its next symbol are one long.
-DEPTH = 5
-#: Least share of all symbols that a context needs: a level has at most 1 / LEAST contexts, and an
-#: entry that holds less than LEAST / 16 of all symbols is left to the parent: at most 16 / LEAST a level.
-LEAST = 1e-6
-#: Gain in log likelihood (nats) that a context needs for each distinct next symbol.
-GAIN = 0.5
-#: The symbol before and after each text, a byte that UTF-8 never has.
-EDGE = b"\xff"
-#: Symbols that are worked on at a time; rows that a task gathers before it passes them on.
-CHUNK, GATHERED = 1 << 20, 1_000_000
+#: Words of the longest context; occurrences that a context needs; gain in log likelihood (nats) that
+#: it needs for each distinct next word.
+DEPTH, LEAST, GAIN = 2, 2, 0.5
+#: Bytes of text of a block.
+BLOCK = 16 << 20
+#: What stands for a text's end among its words, as no word holds white space, and the hash of its start.
+END, START = b"\n", np.uint64(0x5851F42D4C957F2D)
+#: Bits of an n-gram's hash that are dropped: 56 stay.
+DROPPED = np.uint64(8)
 
+MESSAGE = "block long, part int, keys binary, sums binary"
+ANSWER = "block long, part int, answer binary, tokens long, distinct long"
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
+# --- what is sent
 
-def grams(texts: list[bytes], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes of (context, next symbol) of every symbol of the texts, ends included, and the text of each.
 
-    Code: the context's bytes, oldest first, and then the symbol, as one number.
-    """
-    edge = EDGE * depth
-
-    def pieces():
-        for i, text in enumerate(texts):
-            whole = text + EDGE
-            for at in range(0, len(whole), CHUNK):
-                yield i, (edge + whole[:at])[-depth:] if at < depth else whole[at - depth : at], whole[at : at + CHUNK]
-
-    def coded(part: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        joined = np.frombuffer(b"".join(before + piece for _, before, piece in part), dtype=np.uint8).astype(np.int64)
-        code = np.zeros(len(joined), dtype=np.int64)
-        for k in range(depth + 1):
-            code[depth:] |= joined[depth - k : len(joined) - k] << (8 * k)
-        sizes = np.array([len(piece) for _, _, piece in part])
-        keep = np.ones(len(joined), dtype=bool)
-        starts = np.cumsum(sizes + depth) - sizes - depth
-        keep[(starts[:, None] + np.arange(depth)).ravel()] = False
-        return code[keep], np.repeat([i for i, _, _ in part], sizes)
-
-    part, size = [], 0
-    for piece in pieces():
-        part.append(piece)
-        size += len(piece[2])
-        if size >= CHUNK:
-            yield coded(part)
-            part, size = [], 0
-    if part:
-        yield coded(part)
-
-
-def merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], n[order]
-    first = np.flatnonzero(np.diff(every, prepend=-1))
-    return every[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def counted(docs: DataFrame, train: str, blocks: int, depth: int) -> DataFrame:
-    """(block, word, code, n): per block its words, each with its count in training texts (0 if none
-    has it), and per task the n-grams of training texts.  A word's row may be split in several.
-
-    The end symbol counts as a word of its own, the empty one.
-    """
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in as few bytes each as the largest needs, compressed."""
+    size = next(s for s in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << (8 * s))
+    return bytes([size]) + zlib.compress(values.astype(f"<u{size}").tobytes(), 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[int, tuple[Counter, set]] = {}
-        codes, counts, texts, size = [], [], [], 0
-
-        def passed_on():
-            for block, (found, seen) in words.items():
-                names = [*found, *(seen - found.keys())]
-                n = [*found.values(), *([0] * (len(names) - len(found)))]
-                yield rows(block, pa.array(names, pa.binary()), None, n)
-            words.clear()
-
-        def rows(block, names, codes, n):
-            m = len(n)
-            return pa.RecordBatch.from_pydict({"block": pa.array([block] * m, pa.int32()), "word": pa.nulls(m, pa.binary()) if names is None else names, "code": pa.nulls(m, pa.int64()) if codes is None else pa.array(codes), "n": pa.array(n, pa.int64())})
-
-        def gathered():
-            for code, _ in grams(texts, depth):
-                found, n = np.unique(code, return_counts=True)
-                codes.append(found)
-                counts.append(n)
-            texts.clear()
-            if codes:
-                found, n = merged(codes, counts)
-                codes[:], counts[:] = [found], [n]
 
-        for batch in batches:
-            for block, text, learn in zip(batch.column("_block").to_pylist(), batch.column("_text"), batch.column("_train").to_pylist(), strict=True):
-                tokens = words_of(text.as_py())
-                found, seen = words.setdefault(block, (Counter(), set()))
-                if learn:
-                    found.update(tokens)
-                    found[b""] += 1
-                    texts.append(b" ".join(tokens))
-                    size += len(texts[-1])
-                    if size >= 4 * CHUNK:
-                        gathered()
-                        size = 0
-                        if len(codes[0]) >= GATHERED:
-                            yield rows(0, None, codes[0], counts[0])
-                            codes.clear()
-                            counts.clear()
-                else:
-                    seen.update(tokens)
-                    seen.add(b"")
-            if sum(len(a) + len(b) for a, b in words.values()) >= GATHERED // 2:
-                yield from passed_on()
-        yield from passed_on()
-        gathered()
-        if codes:
-            yield rows(0, None, codes[0], counts[0])
-
-    rows = docs.select("_block", "_text", F.col(train).alias("_train")).repartition(blocks, "_block")
-    return staged(rows.mapInArrow(count, "block int, word binary, code long, n long"), "counts")
-
-
-@dataclass
-class Tree:
-    """Kept contexts by length: sorted contexts with total and kinds of next symbols, and sorted entries."""
-
-    depth: int
-    root: np.ndarray
-    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    entries: list[tuple[np.ndarray, np.ndarray]]
-
-    def probability(self, codes: np.ndarray) -> np.ndarray:
-        """Of each code's symbol in its longest kept context, smoothed into every shorter one."""
-        p = self.root[codes & 255]
-        for k in range(1, self.depth + 1):
-            own = codes & ((1 << 8 * (k + 1)) - 1)
-            keys, total, kinds = self.contexts[k]
-            if not len(keys):
-                break
-            at = np.minimum(np.searchsorted(keys, own >> 8), len(keys) - 1)
-            kept = keys[at] == own >> 8
-            entry, n = self.entries[k]
-            to = np.minimum(np.searchsorted(entry, own), len(entry) - 1)
-            seen = np.where(entry[to] == own, n[to], 0)
-            p = np.where(kept, (seen + kinds[at] * p) / (total[at] + kinds[at]), p)
-        return p
-
-
-def learned(counts: DataFrame, depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> Tree:
-    """The tree from (code, n) rows, contexts tested level by level in Spark."""
-    level = staged(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "grams")
-    symbols = level.agg(F.sum("n")).first()[0] or 0
-    floor, small = least * symbols, least * symbols / 16
-    levels = {depth: level}
-    for k in range(depth - 1, -1, -1):
-        own = F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
-        levels[k] = staged(levels[k + 1].groupBy(own.alias("code")).agg(F.sum("n").alias("n")), "grams")
-    sums = {k: x.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")) for k, x in levels.items()}
-    kept, longer = {}, None
-    for k in range(depth, 0, -1):
-        parent = F.lit((1 << 8 * k) - 1)
-        frequent = levels[k].withColumn("context", F.shiftright("code", 8)).join(sums[k].where(F.col("total") >= floor), "context")
-        above = levels[k - 1].select(F.col("code").alias("up"), F.col("n").alias("n_up")).join(sums[k - 1].select(F.col("context").alias("c_up"), F.col("total").alias("total_up")), F.shiftright("up", 8) == F.col("c_up"))
-        both = frequent.join(above, F.col("code").bitwiseAND(parent) == F.col("up"))
-        ratio = F.col("n") * (F.log(F.col("n") / F.col("total")) - F.log(F.col("n_up") / F.col("total_up")))
-        apart = both.groupBy("context").agg(F.sum(ratio).alias("gain"), F.first("kinds").alias("kinds")).where(F.col("gain") >= gain * F.col("kinds")).select("context")
-        if longer is not None:  # contexts that a kept longer one ends in
-            apart = apart.unionByName(longer.select(F.col("context").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("context"))).distinct()
-        kept[k] = longer = staged(apart, "contexts")
-    contexts, entries = [()], [()]
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), dtype=f"<u{data[0]}").astype(np.int64)
+
+
+def joined(*parts: bytes) -> bytes:
+    return struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
+
+
+def split(data: bytes, n: int) -> list[bytes]:
+    at, out = 8 * n, []
+    for size in struct.unpack_from(f"<{n}Q", data):
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return joined((steps & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), packed(steps >> np.uint64(32)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    low, high = split(data, 2)
+    return np.cumsum(np.frombuffer(low, "<u4").astype(np.uint64) + (unpacked(high).astype(np.uint64) << np.uint64(32)), dtype=np.uint64)
+
+
+def rounded(values: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on with ten binary places of their own, as whole numbers."""
+    return (np.maximum(values, 0).astype(np.float32).view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13)
+
+
+def restored(values: np.ndarray) -> np.ndarray:
+    return (values.astype(np.uint32) << np.uint32(13)).view(np.float32).astype(np.float64)
+
+
+def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = (context ^ (context >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def dealt(keys: np.ndarray, sums: list[np.ndarray], parts: int) -> list[tuple[int, bytes, bytes]]:
+    """(part, keys, sums) of ascending keys; a part is a range of keys."""
+    part = ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
+    cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    return [(p, packed_keys(keys[a:b]), joined(*(packed(x[a:b]) for x in sums))) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a]
+
+
+# --- what parts answer
+
+
+def rows_of(block: list[int], part: int, answers: list[bytes], tokens: int = 0, distinct: int = 0) -> pa.Table:
+    n = len(block)
+    return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array([part] * n, pa.int32()), "answer": pa.array(answers, pa.binary()), "tokens": pa.array([tokens] + [0] * (n - 1), pa.int64()), "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64())})
+
+
+def word_sums(rows: pa.Table) -> pa.Table:
+    """Answers how often training texts have each word, and adds up tokens and distinct words."""
+    rows = rows.sort_by("block")
+    lists = [x.split(b" ") for x in rows.column("keys").to_pylist()]
+    counts = [unpacked(x) for x in rows.column("sums").to_pylist()]
+    at = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode().indices.to_numpy()
+    sums = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)
+    ends = np.cumsum([0, *map(len, lists)])
+    answers = [packed(sums[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
+    return rows_of(rows.column("block").to_pylist(), rows.column("part")[0].as_py(), answers, int(sums.sum()), int((sums > 0).sum()))
+
+
+def key_sums(rows: pa.Table, answer: Callable) -> pa.Table:
+    rows = rows.sort_by("block")
+    keys = [unpacked_keys(x) for x in rows.column("keys").to_pylist()]
+    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([0, *map(len, keys)])
+    found = answer([split(x, 2) for x in rows.column("sums").to_pylist()], len(every), which)
+    answers = [joined(*(packed(x[a:b]) for x in found)) for a, b in zip(ends, ends[1:], strict=False)]
+    return rows_of(rows.column("block").to_pylist(), rows.column("part")[0].as_py(), answers)
+
+
+def gram_sums(rows: pa.Table) -> pa.Table:
+    """Answers an n-gram's training count, whether it occurs just once in all texts, and to one block with
+    a training occurrence that the n-gram is its to account for."""
+
+    def answer(sums: list[list[bytes]], n: int, which: np.ndarray) -> list[np.ndarray]:
+        train, every = (np.concatenate([unpacked(x[k]) for x in sums]) for k in (0, 1))
+        total, seen = (np.bincount(which, weights=x, minlength=n).astype(np.int64) for x in (train, every))
+        has = np.flatnonzero(train)
+        owner = np.zeros(len(which), dtype=np.int64)
+        owner[has[np.unique(which[has], return_index=True)[1]]] = 1
+        return [total[which], 2 * owner + (seen == 1)[which]]
+
+    return key_sums(rows, answer)
+
+
+def context_sums(rows: pa.Table) -> pa.Table:
+    """Answers a context's distinct next words and its sum of n (log n - log of the suffix's probability)."""
+
+    def answer(sums: list[list[bytes]], n: int, which: np.ndarray) -> list[np.ndarray]:
+        kinds = np.bincount(which, weights=np.concatenate([unpacked(x[0]) for x in sums]), minlength=n)
+        gains = np.bincount(which, weights=np.concatenate([restored(unpacked(x[1])) for x in sums]), minlength=n)
+        return [kinds.astype(np.int64)[which], rounded(gains).astype(np.int64)[which]]
+
+    return key_sums(rows, answer)
+
+
+# --- blocks
+
+
+def block_of(texts: pa.Array, train: np.ndarray) -> dict:
+    """A block's words (the end is the last one), their hashes, and the number of each token's word."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat = lists.flatten()
+    there = pc.binary_length(flat).to_numpy() > 0
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    before = np.concatenate(([0], np.cumsum(there)))
+    size = np.diff(before[bounds]) + 1
+    coded = flat.filter(pa.array(there)).dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    ends = np.cumsum(size) - 1
+    at = np.full(int(size.sum()), len(words) - 1, dtype=np.int32)
+    inside = np.ones(len(at), dtype=bool)
+    inside[ends] = False
+    at[inside] = coded.indices.to_numpy()
+    return {"words": words, "hashes": np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64), "at": at, "size": size, "train": train}
+
+
+def word_message(block: dict, parts: int) -> list[tuple[int, bytes, bytes]]:
+    part = (block["hashes"] % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    counts = np.bincount(block["at"], weights=np.repeat(block["train"], block["size"]), minlength=len(part)).astype(np.int64)
+    cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+    return [(p, b" ".join([block["words"][i] for i in order[a:b]]), packed(counts[order[a:b]])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+
+
+def scoring(block: dict, parts: int, spread: float, depth: int, least: int, gain: float) -> Generator[list, list[bytes], tuple[np.ndarray, ...]]:
+    """Yields a block's messages after that of its words, is sent the answers, returns per text: tokens,
+    known ones, base score, score."""
+    at, size, hashes = block["at"], block["size"], block["hashes"]
+    n = len(at)
+    train, text = np.repeat(block["train"], size), np.repeat(np.arange(len(size)), size)
+    first = np.zeros(n, dtype=bool)
+    first[np.cumsum(size) - size] = True
+    order = np.argsort((hashes % np.uint64(parts)).astype(np.int64), kind="stable")
+    count = np.zeros(len(hashes), dtype=np.int64)
+    count[order] = np.concatenate([unpacked(x) for x in (yield [])])
+    known = count[at] > 0
+    p = (count[at] + 0.1) / spread
+    base = np.bincount(text, weights=np.log10(p), minlength=len(size))
+    word = hashes[at]
+    gram, seen, alone = word, count[at], np.zeros(n, dtype=bool)  # of the last k words: hash, training count, whether it is the only one
     for k in range(1, depth + 1):
-        found = levels[k].where(F.col("n") >= small).join(kept[k], F.shiftright("code", 8) == F.col("context"), "left_semi").toArrow()
-        code, n = found["code"].to_numpy(), found["n"].to_numpy()
-        order = np.argsort(code)
-        code, n = code[order], n[order].astype(np.float64)
-        first = np.flatnonzero(np.diff(code >> 8, prepend=-1))
-        total = np.add.reduceat(n, first) if len(first) else n
-        contexts.append(((code >> 8)[first], total, np.diff(np.append(first, len(code))).astype(np.float64)))
-        entries.append((code, n))
-    top = levels[0].toArrow()
-    root = np.full(256, 0.1)
-    root[top["code"].to_numpy()] += top["n"].to_numpy()
-    return Tree(depth, root / root.sum(), contexts, entries)
-
-
-class Scorer:
-    """Log10 probabilities of texts under a tree; codes met before are remembered in a fixed table."""
-
-    BITS = 20
-
-    def __init__(self, tree: Tree):
-        self.tree = tree
-        self.codes = np.full(1 << self.BITS, -1, dtype=np.int64)
-        self.logs = np.zeros(1 << self.BITS)
-
-    def slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        total = np.zeros(len(texts))
-        for codes, text in grams(texts, self.tree.depth):
-            slot = self.slot(codes)
-            logs = self.logs[slot]
-            new = np.flatnonzero(self.codes[slot] != codes)
-            if len(new):
-                found = np.unique(codes[new])
-                value = np.log10(self.tree.probability(found))
-                logs[new] = value[np.searchsorted(found, codes[new])]
-                at = self.slot(found)
-                last = np.full(1 << self.BITS, -1, dtype=np.int32)
-                last[at] = np.arange(len(found))  # of codes with one slot the same one for code and value
-                own = last[at] == np.arange(len(found))
-                self.codes[at[own]], self.logs[at[own]] = found[own], value[own]
-            total += np.bincount(text, weights=logs, minlength=len(texts))
-        return total
-
-
-def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: float = LEAST, gain: float = GAIN) -> DataFrame:
+        context = np.where(first, START, np.concatenate(([START], gram[:-1])))
+        times = np.where(first, count[-1] if k == 1 else 0, np.concatenate(([0], seen[:-1])))
+        valid = times >= least
+        gram = mixed(context, word)
+        sent = np.flatnonzero(valid & ~alone)
+        keys, one, which = np.unique(gram[sent] >> DROPPED, return_index=True, return_inverse=True)
+        own, every = np.bincount(which, weights=train[sent], minlength=len(keys)).astype(np.int64), np.bincount(which, minlength=len(keys))
+        answer = yield dealt(keys, [own, every], parts)
+        found = [split(x, 2) for x in answer]
+        total, marks = (np.concatenate([unpacked(x[i]) for x in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        # what was alone with one word less is alone
+        lone = np.flatnonzero(valid & alone & train)
+        seen = np.zeros(n, dtype=np.int64)
+        seen[valid & alone] = train[valid & alone]
+        seen[sent] = total[which]
+        alone = alone.copy()
+        alone[sent] = (marks & 1)[which] > 0
+        held = np.flatnonzero(marks >= 2)
+        places = sent[one[held]]
+        contexts, of = np.unique(context[valid] >> DROPPED, return_inverse=True)
+        kinds, gains = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts))
+        for where, times_ in ((places, total[held]), (lone, np.ones(len(lone), dtype=np.int64))):
+            to = np.searchsorted(contexts, context[where] >> DROPPED)
+            np.add.at(kinds, to, 1)
+            np.add.at(gains, to, times_ * (np.log(np.maximum(times_, 1)) - np.log(p[where])))
+        answer = yield dealt(contexts, [kinds, rounded(gains).astype(np.int64)], parts)
+        found = [split(x, 2) for x in answer]
+        kinds, gains = (np.concatenate([unpacked(x[i]) for x in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
+        total_, kinds_, gains_ = times[valid], kinds[of], restored(gains)[of]
+        kept = gains_ - total_ * np.log(total_) >= gain * kinds_
+        p = p.copy()
+        p[valid] = np.where(kept, (seen[valid] + kinds_ * p[valid]) / (total_ + kinds_), p[valid])
+    return size, np.bincount(text, weights=known, minlength=len(size)).astype(np.int64), base, np.bincount(text, weights=np.log10(p), minlength=len(size))
+
+
+def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
     """Per row: ``key``, ``train``, n_tokens, n_known, train_tokens, base_score, score.
 
-    ``train`` names a boolean column: the rows to learn from.  Tokens are the words and one end.
-    A null text is an empty one: its only token is the end.  Repeated rows stay repeated.  With no
-    training rows at all every symbol is equally likely and the base score is 0.
+    ``train`` names a boolean column: the rows to learn from (null: not).  Tokens are the words and
+    one end.  A null text is an empty one: its only token is the end.  Repeated rows stay repeated.
+    With no training rows every token has probability 1 in the base model, and in the tree's.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.col(train), F.lit(False)).alias(train), F.col(text).cast("string").alias("_text"))
-    blocks = text_blocks(rows, text="_text")
-    rows = with_block(rows, blocks, key, "_text")
-    counts = counted(rows, train, blocks, depth)
-    words = counts.where("word is not null")
-    vocabulary = staged(words.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    tree = docs.sparkSession.sparkContext.broadcast(learned(counts, depth, least, gain))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(train), F.lit(False)).alias("train"), F.col(text).cast("string").alias("text"))
+    parts, folder, most = text_blocks(rows, text="text", target=BLOCK), scratch_path(spark, "blocks"), BLOCK
+    kind = StructType([StructField(key, docs.schema[key].dataType), StructField(train, rows.schema["train"].dataType), *(StructField(x, LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(StructField(x, DoubleType()) for x in ("base_score", "score"))])
+
+    def messages(block: int, found: list[tuple[int, bytes, bytes]]) -> pa.Table:
+        part, keys, sums = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"block": pa.array([block] * len(part), pa.int64()), "part": pa.array(part, pa.int32()), "keys": pa.array(keys, pa.binary()), "sums": pa.array(sums, pa.binary())})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        held: list[pa.RecordBatch] = []
+        size = number = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            block = block_of(table.column("text").combine_chunks(), table.column("train").to_numpy().astype(bool))
+            name = (TaskContext.get().partitionId() << 24) + number
+            kept = {**block, "words": None, "key": table.column("key").combine_chunks()}
+            put(fs, f"{root}/{name}", [zstandard.compress(pickle.dumps(kept, protocol=5), 1)])
+            yield from messages(name, word_message(block, parts)).to_batches()
+
+        for batch in batches:
+            share = (size + np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))) // most
+            cuts = [0, *(np.flatnonzero(np.diff(share, prepend=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(a, b - a)
+                if part.num_rows:
+                    held.append(part)
+                    size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if size >= most:
+                    yield from flushed()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield from flushed()
+
+    def turn(step: int, spread: float) -> Callable[[pa.Table], tuple]:
+        """A block's state after the answers of ``step``: its id, keys, and its next message or its results."""
+
+        def run(rows: pa.Table) -> tuple:
+            rows = rows.sort_by("part")
+            fs, root = pafs.FileSystem.from_uri(folder)
+            name = rows.column("block")[0].as_py()
+            block = pickle.loads(zstandard.decompress(take(fs, f"{root}/{name}")))
+            own = rows.column("answer").to_pylist()
+            put(fs, f"{root}/{name}-{step}", [pickle.dumps(own, protocol=5)])
+            state = scoring(block, parts, spread, depth, least, gain)
+            next(state)
+            try:
+                for past in range(step):
+                    state.send(pickle.loads(take(fs, f"{root}/{name}-{past}")))
+                return name, block, state.send(own)
+            except StopIteration as done:
+                return name, block, done.value
+
+        return run
+
+    answers = staged(rows.mapInArrow(cut, MESSAGE).groupBy("part").applyInArrow(word_sums, ANSWER), "answers")
+    tokens, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     spread = tokens + 0.1 * (distinct + 1)
-    unknown = float(np.log10(0.1 / spread))
-    own = words.select(F.col("block").alias("_block"), "word").join(vocabulary, "word").select("_block", "word", "c")
-    kind = StructType([rows.schema[key], rows.schema[train], *(StructField(x, LongType()) for x in ("n_tokens", "n_known", "train_tokens")), *(StructField(x, DoubleType()) for x in ("base_score", "score"))])
-
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        c = known.column("c").to_numpy().astype(np.float64)
-        value = dict(zip(known.column("word").to_pylist(), np.log10((c + 0.1) / spread).tolist(), strict=True))
-        scorer, end = Scorer(tree.value), [b""]
-        sizes, knowns, bases, strings, scores = [], [], [], [], []
-        held = 0
-        for one in texts.column("_text").combine_chunks() if texts.num_rows else ():
-            tokens_ = words_of(one.as_py())
-            logs = np.fromiter(map(value.__getitem__, tokens_ + end), dtype=np.float64, count=len(tokens_) + 1)
-            sizes.append(len(logs))
-            knowns.append(int((logs != unknown).sum()))
-            bases.append(float(logs.sum()))
-            strings.append(b" ".join(tokens_))
-            held += len(strings[-1])
-            if held >= CHUNK:
-                scores.extend(scorer(strings).tolist())
-                strings, held = [], 0
-        scores.extend(scorer(strings).tolist())
-        made = [pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array([tokens] * len(sizes), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())]
-        return pa.Table.from_arrays([texts.column(key), texts.column(train), *made], names=[x.name for x in kind])
-
-    return rows.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(score, kind)
+
+    def sending(step: int) -> Callable[[pa.Table], pa.Table]:
+        run = turn(step, spread)
+
+        def send(rows: pa.Table) -> pa.Table:
+            name, _, found = run(rows)
+            # a block that has nothing to send still waits for an answer
+            return messages(name, found or [(name % parts, packed_keys(np.zeros(0, np.uint64)), joined(*[packed(np.zeros(0, np.int64))] * 2))])
+
+        return send
+
+    for step in range(2 * depth):
+        sums = gram_sums if step % 2 == 0 else context_sums
+        sent = answers.select("block", "part", "answer").groupBy("block").applyInArrow(sending(step), MESSAGE)
+        answers = staged(sent.groupBy("part").applyInArrow(sums, ANSWER), "answers")
+    last = turn(2 * depth, spread)
+
+    def finish(rows: pa.Table) -> pa.Table:
+        _, block, (size, known, base, score) = last(rows)
+        n = len(size)
+        made = [block["key"], pa.array(block["train"]), pa.array(size, pa.int64()), pa.array(known), pa.array([tokens] * n, pa.int64()), pa.array(base), pa.array(score)]
+        return pa.Table.from_arrays(made, names=kind.names)
+
+    return answers.select("block", "part", "answer").groupBy("block").applyInArrow(finish, kind)
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:
+    """Every document's base score and score, by a model of the documents that are not held out.
+
+    A null or empty text has the end alone; rows that repeat keep a row each; a null doc_id counts as
+    empty text in the choice of what is held out; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = scored(docs.withColumn("train", remainder("doc_id", 10) != 0), "train")
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

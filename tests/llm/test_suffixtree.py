@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from almanac.llm import suffixtree
 from tests.llm.common import folder, none, odd
@@ -45,62 +46,82 @@ def test_empty_table(spark, tmp_path):
     assert suffixtree.op5_lm(spark, folder(spark, tmp_path, none(spark))).count() == 0
 
 
-def tree_by_hand(texts, depth, least, gain):
-    """Kept contexts with their next-symbol counts, straight from the definition."""
+def by_hand(texts, depth, least, gain):
+    """Log10 probabilities by the definition; ``texts``: (text, whether to learn from it)."""
+    start, end = object(), object()
+    rows = [((t or "").encode().lower().split() + [end], learn) for t, learn in texts]
     counts = {}
-    for text in texts:
-        s = suffixtree.EDGE * depth + text + suffixtree.EDGE
-        for i in range(depth, len(s)):
-            for k in range(depth + 1):
-                counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
-    total = sum(counts[b""].values())
-    kept = set()
-    for c, own in counts.items():
-        n, up = sum(own.values()), counts[c[1:]] if c else None
-        if c and n >= least * total:
-            m = sum(up.values())
-            if sum(x * (math.log(x / n) - math.log(up[s] / m)) for s, x in own.items()) >= gain * len(own):
-                kept |= {c[i:] for i in range(len(c))}
-    return counts, kept, total
-
-
-def test_tree_equals_definition(spark):
-    texts = [b"abra cadabra abra", b"abab abab cab", b"", b"a b a b", b"cadabra"] * 4
-    depth, least, gain = 3, 0.01, 0.5
-    counts, kept, total = tree_by_hand(texts, depth, least, gain)
-    found = Counter()
-    for codes, _ in suffixtree.grams(texts, depth):
-        found.update(codes.tolist())
-    tree = suffixtree.learned(spark.createDataFrame(list(found.items()), "code long, n long"), depth, least, gain)
-    assert {int(c).to_bytes(k, "big") for k in range(1, depth + 1) for c in tree.contexts[k][0]} == kept
-
-    def p(context, symbol):
-        value = (counts[b""][symbol] + 0.1) / (total + 25.6)
-        for k in range(1, depth + 1):
-            c = context[-k:]
-            if c not in kept:
-                break
-            own = {s: x for s, x in counts[c].items() if x >= least * total / 16}
-            n, kinds = sum(own.values()), len(own)
-            value = (own.get(symbol, 0) + kinds * value) / (n + kinds)
-        return value
-
-    scorer = suffixtree.Scorer(tree)
-    for text in (b"abra", b"zz top", b"", b"cab cadabra"):
-        s = suffixtree.EDGE * depth + text + suffixtree.EDGE
-        want = sum(math.log10(p(s[i - depth : i], s[i])) for i in range(depth, len(s)))
-        assert abs(scorer([text])[0] - want) < 1e-9 and abs(scorer([text])[0] - want) < 1e-9
-    for context in (b"abr", b"\xff\xffa", b"zzz"):
-        code = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)])
-        assert abs(tree.probability(code).sum() - 1) < 1e-9
-
-
-def test_pieces_of_long_texts(monkeypatch):
-    texts = [b"abcdefghij" * 30, b"", b"xy"]
-    whole = [np.concatenate(x) for x in zip(*suffixtree.grams(texts, 4))]
-    monkeypatch.setattr(suffixtree, "CHUNK", 7)
-    parts = [np.concatenate(x) for x in zip(*suffixtree.grams(texts, 4))]
-    assert all((a == b).all() for a, b in zip(whole, parts))
+    for words, learn in rows:
+        for i, w in enumerate(words) if learn else ():
+            for k in range(min(depth, i + 1) + 1):
+                context = ((start,) + tuple(words[:i]))[i + 1 - k :]
+                counts.setdefault(context, Counter())[w] += 1
+    top = counts.get((), Counter())
+    spread = sum(top.values()) + 0.1 * (len(top) + 1)
+
+    def p(context, w):
+        if not context:
+            return (top[w] + 0.1) / spread
+        below = p(context[1:], w)
+        own = counts.get(context, Counter())
+        n = sum(own.values())
+        if n < least:
+            return below
+        gains = sum(x * (math.log(x / n) - math.log(p(context[1:], s))) for s, x in own.items())
+        return (own[w] + len(own) * below) / (n + len(own)) if gains >= gain * len(own) else below
+
+    return [sum(math.log10(p(((start,) + tuple(words[:i]))[-depth:], w)) for i, w in enumerate(words)) for words, _ in rows], p, (start, end, top)
+
+
+TEXTS = [("the cat sat on the mat and the cat ran", True), ("the cat sat on the hat", True), ("a dog sat on the mat", False), ("", True), (None, False), ("the dog ran and the cat ran", True), ("x", True), ("x", True), ("zz top zz", False), ("on the mat and the cat", True), ("of the of the of the of a of b", True)] * 2
+
+
+@pytest.mark.parametrize("depth, least, gain, block", [(1, 2, 0.5, 1 << 20), (2, 2, 0.5, 1 << 20), (2, 2, 0.5, 30), (3, 1, 0.0, 30), (2, 3, 1.5, 60)])
+def test_scores_equal_the_definition(spark, monkeypatch, depth, least, gain, block):
+    monkeypatch.setattr(suffixtree, "BLOCK", block)
+    docs = spark.createDataFrame([(i, t, learn) for i, (t, learn) in enumerate(TEXTS)], "doc_id long, text string, train boolean").repartition(3)
+    want, _, _ = by_hand(TEXTS, depth, least, gain)
+    got = {r.doc_id: r for r in suffixtree.scored(docs, "train", depth=depth, least=least, gain=gain).collect()}
+    assert len(got) == len(TEXTS) and all(abs(got[i].score - want[i]) < 1e-6 for i in got)
+
+
+def test_distributions_add_up():
+    _, p, (start, _, top) = by_hand(TEXTS, 2, 2, 0.5)
+    for context in ((), (b"the",), (b"on", b"the"), (start,), (b"of",), (b"zz", b"top")):
+        assert abs(sum(p(context, w) for w in top) + p(context, b"never seen") - 1) < 1e-9
+
+
+def test_messages_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (suffixtree.unpacked_keys(suffixtree.packed_keys(keys)) == keys).all()
+        parts = suffixtree.dealt(keys, [np.arange(len(keys))], 7)
+        assert np.concatenate([np.zeros(0, np.uint64), *(suffixtree.unpacked_keys(k) for _, k, _ in parts)]).tolist() == keys.tolist()
+        values = rng.integers(0, 1 << 40, n)
+        assert (suffixtree.unpacked(suffixtree.packed(values)) == values).all()
+    values = rng.random(1000) * 10.0 ** rng.integers(-3, 9, 1000)
+    assert np.allclose(suffixtree.restored(suffixtree.rounded(values)), values, rtol=1e-3)
+
+
+def test_one_hot_word_is_dealt_over_all_parts():
+    words = np.random.default_rng(0).integers(0, 1 << 63, 4000).astype(np.uint64)
+    keys = np.unique(suffixtree.mixed(np.full(4000, 7, np.uint64), words) >> suffixtree.DROPPED)
+    sizes = [len(suffixtree.unpacked_keys(k)) for _, k, _ in suffixtree.dealt(keys, [np.zeros(len(keys), int)], 8)]
+    assert len(sizes) == 8 and max(sizes) < 600
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    """What is learned grows with the corpus: a text that occurs twice is likelier than its like."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:10])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "true as train")
+    got = {r.doc_id: r.score - r.base_score for r in suffixtree.scored(docs, "train").collect()}
+    assert min(got[i] for i in range(10)) > max(got[i] for i in range(10, 120))
 
 
 def test_gain_on_held_out_documents(spark):
