@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,15 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+def give_back() -> None:
+    """Hands memory that a Python worker has freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_blocks(docs: DataFrame, *, text: str = "text", target: int = BLOCK_BYTES) -> int:
     """How many blocks of about ``target`` bytes of text a table needs (one at least)."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

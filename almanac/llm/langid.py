@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from almanac.llm.common import staged
+from almanac.llm.common import give_back, staged
 
 #: Hash buckets of trigrams: a language has at most as many log shares.
 BUCKETS = 1 << 15
@@ -242,6 +242,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model | N
                 if len(sums) > 100:
                     yield from rows()
         yield from rows()
+        give_back()
 
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sums = known.mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
@@ -304,6 +305,7 @@ def identified(docs: DataFrame, model: Model | None, *, text: str = "text", swit
             if spans:
                 made.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
+            give_back()
 
     rows = docs.select(*kept)
     return rows.mapInArrow(label, StructType([*rows.schema.fields, *extra]))

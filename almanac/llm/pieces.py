@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from almanac.llm.common import give_back
+
 SPACE = "▁"
 #: Words of a text that has several spaces in a row or the mark itself, which is a word's first character then.
 WORD = re.compile(f" +[^ {SPACE}]*|{SPACE}[^ {SPACE}]*")
@@ -450,6 +452,7 @@ def with_pieces(docs: DataFrame, *, path: str | None = None, text: str = "text",
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *encoded(own, column.slice(a, b - a).to_pylist())], names=[*batch.schema.names, *kinds])
+            give_back()
 
     rows = docs.select(*(c for c in docs.columns if c not in kinds))
     return rows.mapInArrow(encode, StructType([*rows.schema.fields, *(StructField(c, t) for c, t in kinds.items())]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm import simhash
-from almanac.llm.common import connected, staged, text_blocks
+from almanac.llm.common import connected, give_back, staged, text_blocks
 from almanac.llm.simhash import first_rows
 
 #: Words in a shingle; least similarity of linked texts, as a fraction.
@@ -108,6 +108,7 @@ def with_node(rows: DataFrame, text: str, words: int) -> DataFrame:
                 found[i] = np.uint64(xxhash.xxh64_intdigest(b" ".join(tokens))).astype(np.int64), fingerprint(shingles(tokens, words))
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found[:, 0]), pa.array(found[:, 1])], names=[*(batch.schema.names[i] for i in kept), "node", "fp"])
+        give_back()
 
     return rows.mapInArrow(add, rows.drop(text).withColumns({"node": F.lit(0).cast("long"), "fp": F.lit(0).cast("long")}).schema)
 
@@ -153,6 +154,7 @@ def candidates(docs: DataFrame, text: str, words: int) -> DataFrame:
                         held = 0
         if own:
             yield from rows()
+        give_back()
 
     def counted(rows: pa.Table) -> pa.Table:
         if rows.column("part")[0].as_py() < 0:
@@ -167,7 +169,10 @@ def candidates(docs: DataFrame, text: str, words: int) -> DataFrame:
         times = np.diff(np.append(first, len(h)))
         f = np.repeat(times, times).astype(np.int32)
         h, d, f = h[f > 1], d[f > 1], f[f > 1]
-        return table_of(list(packed((d.view(np.uint64) % parts).astype(np.int64), h, d, f)))
+        made = table_of(list(packed((d.view(np.uint64) % parts).astype(np.int64), h, d, f)))
+        del rows, h, d, f, order, new, first, times
+        give_back()
+        return made
 
     def gathered(rows: pa.Table) -> pa.Table:
         plain = pc.equal(pc.binary_length(rows.column("f")), 0)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.llm.common import removed, scratch_path, staged, text_blocks
+from almanac.llm.common import give_back, removed, scratch_path, staged, text_blocks
 
 #: Bits of the longest code (where the vocabulary allows it), symbols in a block.
 LONGEST, BLOCK = 16, 512
@@ -344,6 +344,7 @@ def written(docs: DataFrame, folder: str, *, path: str, key: str = "doc_id", tex
                 sizes.append(len(ids) // encode.kind.itemsize)
                 counts += np.bincount(np.frombuffer(ids, dtype=encode.kind), minlength=len(counts))
                 found.append(zlib.compress(ids, 1))
+        give_back()
         if not sizes:
             return
         head = struct.pack("<QQ", len(sizes), encode.kind.itemsize)
