@@ -1,64 +1,19 @@
-"""What the operators of this subpackage share: scratch tables, components, text digests."""
+"""What the operators of this subpackage share: hidden columns, blocks of text, order over a whole table."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from almanac.operators.staging import connected, discard, removed, scratch_path, shared_dir, staged  # noqa: F401
+
 #: Bytes of text that one block of documents holds on average (see text_blocks).
 BLOCK_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
-
-    Only where neither the setting nor a checkpoint directory exists (a local test session) is a
-    temporary folder made and set.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/almanac-{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back, which cuts the lineage.
-
-    The table outlives any executor, so a lost one costs only the tasks that were running.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared one."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a staged table that nothing will read any more."""
-    if path := getattr(df, "_scratch", None):
-        removed(df.sparkSession, path)
-
-
 def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """All columns under private names, and those names: what an operator adds clashes with none of them."""
     names = {c: f"_in{i}" for i, c in enumerate(df.columns)}
@@ -70,47 +25,6 @@ def shown(names: dict[str, str], but: tuple[str, ...] = ()) -> list:
     return [F.col(own).alias(c) for c, own in names.items() if c not in but]
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges`` (a, b long) as (node, component), the smallest node each.
-
-    Alternates large-star and small-star steps.  Every step is an aggregation with map-side
-    combining and an equi-join that streams over the neighbours of a node, two longs each; a hub
-    whose neighbours exceed the byte threshold of adaptive execution is split between tasks, and
-    below that it is one task's stream.  Only a row count and a checksum reach the driver.  Self loops and repeated edges are allowed; nulls are dropped.
-    """
-
-    def lowest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a").agg(F.min("b").alias("low"))
-
-    def large(e: DataFrame) -> DataFrame:
-        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = lowest(both).withColumn("low", F.least("low", "a"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-
-    def small(e: DataFrame) -> DataFrame:
-        # every edge has a > b here
-        low = lowest(e)
-        moved = e.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        return moved.unionByName(low.select("a", F.col("low").alias("b"))).where("a != b")
-
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-
-    whole = edges.where("a is not null and b is not null").select(F.col("a").cast("long"), F.col("b").cast("long"))
-    ordered = whole.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = staged(ordered.distinct(), "edges")
-    seen = state(now)
-    while seen[0]:
-        new = staged(small(large(now)).distinct(), "edges")
-        after = state(new)
-        discard(now)
-        now = new
-        if after == seen:
-            break
-        seen = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
 def give_back() -> None:
     """Hands memory that a Python worker has freed back to the system, as workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
@@ -126,11 +40,6 @@ def text_blocks(docs: DataFrame, *, text: str = "text", target: int = BLOCK_BYTE
     return max(1, -(-total // target))
 
 
-def with_block(docs: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Adds ``_block``, a number from 0 to n - 1 that depends on the row's own values only."""
-    return docs.withColumn("_block", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
-
-
 def indexed(df: DataFrame, order: list, name: str, value: str | None = None) -> DataFrame:
     """Adds ``_before``: how many rows (or how much of ``value``) stand before each row in ``order``.
 

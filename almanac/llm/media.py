@@ -205,29 +205,35 @@ def read(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def examined(media: DataFrame) -> DataFrame:
-    """Per member its key (as text) and FACTS from the stored bytes; members in error have nulls."""
+    """Per member its key (as text), FACTS from the stored bytes, and its error; members in error have no facts."""
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for name, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, value, error in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 key = unquote(name[10:-4]) if name[9] == "-" else None
                 if not value.is_valid:
-                    rows.append((key, *[None] * 7))
+                    rows.append((key, *[None] * 7, error))
                     continue
                 stored_form = value.as_py()
                 payload, n_bytes = samples(stored_form)
-                rows.append((key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored_form), hashlib.sha256(stored_form).hexdigest(), feature(payload)))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", *(x.split()[0] for x in FACTS.split(", "))])
+                rows.append((key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored_form), hashlib.sha256(stored_form).hexdigest(), feature(payload), None))
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["key", *(x.split()[0] for x in FACTS.split(", ")), "error"])
 
-    return media.select("member", "media").mapInArrow(facts, f"key string, {FACTS}")
+    return media.select("member", "media", "error").mapInArrow(facts, f"key string, {FACTS}, error string")
 
 
 def op3_media(spark, sf_dir: str) -> DataFrame:
+    """Every text as a media member, read back and examined; a member that cannot be read fails the query.
+
+    A null or empty text is 64 bytes 0; rows that repeat are members of their own, a null doc_id
+    stays null; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     folder = scratch_path(spark, "media")
     stored(docs, folder)
     found = examined(read(spark, folder))
-    return found.withColumn("doc_id", F.col("key").cast(docs.schema["doc_id"].dataType)).select("doc_id", *(x.split()[0] for x in FACTS.split(", ")))
+    key = F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("a member cannot be read: "), "error"))).otherwise(F.col("key"))
+    return found.withColumn("doc_id", key.cast(docs.schema["doc_id"].dataType)).select("doc_id", *(x.split()[0] for x in FACTS.split(", ")))

@@ -473,6 +473,12 @@ def with_text(rows: DataFrame, *, path: str | None = None, column: str = "pieces
 
 
 def op10_pieces(spark, sf_dir: str) -> DataFrame:
+    """Every document's three best segmentations, their scores, and whether each decodes to the text.
+
+    A null text has null pieces, an empty one the mark of its front; of segmentations with equal
+    scores any may be first, the same one in every run; rows that repeat keep a row each; an empty
+    table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_pieces(docs, alternatives=True, verify=True)
     return found.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", "piece_scores", "piece_alternatives", "round_trip")

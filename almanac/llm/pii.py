@@ -181,6 +181,11 @@ def counted(spans: Column, kind: str) -> Column:
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
+    """Every document's base spans, counted and digested, and all its spans.
+
+    A null or empty text has none; rows that repeat keep a row each, a null doc_id stays null; an
+    empty table gives no rows.
+    """
     found = with_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "pii")
     counts = [counted(F.col("pii"), kind).alias(f"n_{kind}") for kind in BASE]
     base = listed(F.filter("pii", lambda x: x["kind"].isin(*BASE)))

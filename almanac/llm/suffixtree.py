@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from almanac.llm.common import scratch_path, staged, text_blocks
+from almanac.llm.common import discard, scratch_path, staged, text_blocks
 from almanac.llm.langid import remainder
 from almanac.llm.tokenids import put, take
 
@@ -329,7 +329,9 @@ def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "tex
     for step in range(2 * depth):
         sums = gram_sums if step % 2 == 0 else context_sums
         sent = answers.select("block", "part", "answer").groupBy("block").applyInArrow(sending(step), MESSAGE)
-        answers = staged(sent.groupBy("part").applyInArrow(sums, ANSWER), "answers")
+        found = staged(sent.groupBy("part").applyInArrow(sums, ANSWER), "answers")
+        discard(answers)
+        answers = found
     last = turn(2 * depth, spread)
 
     def finish(rows: pa.Table) -> pa.Table:
