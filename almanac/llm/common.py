@@ -34,6 +34,11 @@ def give_back() -> None:
         pass
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries that are over: it does when their plans are collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_blocks(docs: DataFrame, *, text: str = "text", target: int = BLOCK_BYTES) -> int:
     """How many blocks of about ``target`` bytes of text a table needs (one at least)."""
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

@@ -34,7 +34,7 @@ SWITCH, FOREIGN = 12.0, 60.0
 #: Share of a language's letters from which on it writes a script.
 WRITES = 0.01
 #: Characters that are scored at a time, fewer if there are many languages.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 GAP = re.compile(r"\s")
 
 #: First code points of script ranges and the script's number there (Unicode blocks).

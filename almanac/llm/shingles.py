@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm import simhash
-from almanac.llm.common import connected, give_back, staged, text_blocks
+from almanac.llm.common import connected, give_back, settled, staged, text_blocks
 from almanac.llm.simhash import first_rows
 
 #: Words in a shingle; least similarity of linked texts, as a fraction.
@@ -263,7 +263,9 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: i
     slim = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     slim = staged(with_node(slim, "_text", words), "nodes")
     nodes = staged(slim.groupBy("node").agg(F.min("_key").alias("first"), F.first("fp").alias("fp")), "texts")
-    edges = links(candidates(docs.select(F.col(text)), text, words)).unionByName(print_links(nodes.select("node", "fp")))
+    found = candidates(docs.select(F.col(text)), text, words)
+    settled(docs.sparkSession)
+    edges = links(found).unionByName(print_links(nodes.select("node", "fp")))
     member = connected(edges).withColumnRenamed("node", "a")
     rooted = staged(nodes.join(member, nodes["node"] == member["a"], "left").select("node", "first", F.coalesce("component", "node").alias("root")), "roots")
     named = rooted.groupBy("root").agg(F.min("first").alias("component"))

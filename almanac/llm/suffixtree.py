@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from almanac.llm.common import discard, scratch_path, staged, text_blocks
+from almanac.llm.common import discard, give_back, scratch_path, settled, staged, text_blocks
 from almanac.llm.langid import remainder
 from almanac.llm.tokenids import put, take
 
@@ -42,11 +42,11 @@ from almanac.llm.tokenids import put, take
 #: it needs for each distinct next word.
 DEPTH, LEAST, GAIN = 2, 2, 0.5
 #: Bytes of text of a block.
-BLOCK = 16 << 20
+BLOCK = 12 << 20
 #: What stands for a text's end among its words, as no word holds white space, and the hash of its start.
 END, START = b"\n", np.uint64(0x5851F42D4C957F2D)
-#: Bits of an n-gram's hash that are dropped: 56 stay.
-DROPPED = np.uint64(8)
+#: Bits of an n-gram's hash that are dropped: 52 stay, so that of 10**13 n-grams one in 450 meets another.
+DROPPED = np.uint64(12)
 
 MESSAGE = "block long, part int, keys binary, sums binary"
 ANSWER = "block long, part int, answer binary, tokens long, distinct long"
@@ -89,12 +89,12 @@ def unpacked_keys(data: bytes) -> np.ndarray:
 
 
 def rounded(values: np.ndarray) -> np.ndarray:
-    """Numbers from 0 on with ten binary places of their own, as whole numbers."""
-    return (np.maximum(values, 0).astype(np.float32).view(np.uint32) + np.uint32(1 << 12)) >> np.uint32(13)
+    """Numbers from 0 on with seven binary places of their own, as whole numbers of two bytes."""
+    return (np.maximum(values, 0).astype(np.float32).view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)
 
 
 def restored(values: np.ndarray) -> np.ndarray:
-    return (values.astype(np.uint32) << np.uint32(13)).view(np.float32).astype(np.float64)
+    return (values.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.float64)
 
 
 def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -103,9 +103,20 @@ def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, one place of each, and for every place its key's number."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    which = np.empty(len(keys), dtype=np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return ranked[new], order[new], which
+
+
 def dealt(keys: np.ndarray, sums: list[np.ndarray], parts: int) -> list[tuple[int, bytes, bytes]]:
     """(part, keys, sums) of ascending keys; a part is a range of keys."""
-    part = ((keys >> np.uint64(24)) * np.uint64(parts)) >> np.uint64(32)
+    part = ((keys >> np.uint64(20)) * np.uint64(parts)) >> np.uint64(32)
     cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     return [(p, packed_keys(keys[a:b]), joined(*(packed(x[a:b]) for x in sums))) for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)) if b > a]
 
@@ -133,7 +144,7 @@ def word_sums(rows: pa.Table) -> pa.Table:
 def key_sums(rows: pa.Table, answer: Callable) -> pa.Table:
     rows = rows.sort_by("block")
     keys = [unpacked_keys(x) for x in rows.column("keys").to_pylist()]
-    every, which = np.unique(np.concatenate(keys), return_inverse=True)
+    every, _, which = grouped(np.concatenate(keys))
     ends = np.cumsum([0, *map(len, keys)])
     found = answer([split(x, 2) for x in rows.column("sums").to_pylist()], len(every), which)
     answers = [joined(*(packed(x[a:b]) for x in found)) for a, b in zip(ends, ends[1:], strict=False)]
@@ -145,12 +156,15 @@ def gram_sums(rows: pa.Table) -> pa.Table:
     a training occurrence that the n-gram is its to account for."""
 
     def answer(sums: list[list[bytes]], n: int, which: np.ndarray) -> list[np.ndarray]:
-        train, every = (np.concatenate([unpacked(x[k]) for x in sums]) for k in (0, 1))
-        total, seen = (np.bincount(which, weights=x, minlength=n).astype(np.int64) for x in (train, every))
+        train, other = (np.concatenate([unpacked(x[k]) for x in sums]) for k in (0, 1))
+        total = np.bincount(which, weights=train, minlength=n).astype(np.int64)
+        seen = total + np.bincount(which, weights=other, minlength=n).astype(np.int64)
         has = np.flatnonzero(train)
+        first = np.full(n, -1)
+        first[which[has[::-1]]] = has[::-1]  # of several the last one written, which is the first
         owner = np.zeros(len(which), dtype=np.int64)
-        owner[has[np.unique(which[has], return_index=True)[1]]] = 1
-        return [total[which], 2 * owner + (seen == 1)[which]]
+        owner[first[first >= 0]] = 2
+        return [total[which], owner + (seen == 1)[which]]
 
     return key_sums(rows, answer)
 
@@ -200,51 +214,54 @@ def scoring(block: dict, parts: int, spread: float, depth: int, least: int, gain
     known ones, base score, score."""
     at, size, hashes = block["at"], block["size"], block["hashes"]
     n = len(at)
-    train, text = np.repeat(block["train"], size), np.repeat(np.arange(len(size)), size)
+    train, text = np.repeat(block["train"], size), np.repeat(np.arange(len(size), dtype=np.int32), size)
     first = np.zeros(n, dtype=bool)
     first[np.cumsum(size) - size] = True
     order = np.argsort((hashes % np.uint64(parts)).astype(np.int64), kind="stable")
     count = np.zeros(len(hashes), dtype=np.int64)
     count[order] = np.concatenate([unpacked(x) for x in (yield [])])
-    known = count[at] > 0
-    p = (count[at] + 0.1) / spread
-    base = np.bincount(text, weights=np.log10(p), minlength=len(size))
-    word = hashes[at]
-    gram, seen, alone = word, count[at], np.zeros(n, dtype=bool)  # of the last k words: hash, training count, whether it is the only one
+    chance = (count + 0.1) / spread
+    known = np.bincount(text, weights=(count > 0)[at], minlength=len(size)).astype(np.int64)
+    base = np.bincount(text, weights=np.log10(chance)[at], minlength=len(size))
+    p = chance[at]
+    # of the last k words: hash, training count, whether there is just this one
+    gram, seen, alone = hashes[at], count[at], np.zeros(n, dtype=bool)
     for k in range(1, depth + 1):
-        context = np.where(first, START, np.concatenate(([START], gram[:-1])))
-        times = np.where(first, count[-1] if k == 1 else 0, np.concatenate(([0], seen[:-1])))
+        context, times = np.roll(gram, 1), np.roll(seen, 1)
+        context[first], times[first] = START, count[-1] if k == 1 else 0
+        gram = mixed(context, hashes[at])
         valid = times >= least
-        gram = mixed(context, word)
         sent = np.flatnonzero(valid & ~alone)
-        keys, one, which = np.unique(gram[sent] >> DROPPED, return_index=True, return_inverse=True)
-        own, every = np.bincount(which, weights=train[sent], minlength=len(keys)).astype(np.int64), np.bincount(which, minlength=len(keys))
-        answer = yield dealt(keys, [own, every], parts)
+        keys, one, which = grouped(gram[sent] >> DROPPED)
+        own, other = (np.bincount(which, weights=x, minlength=len(keys)).astype(np.int64) for x in (train[sent], ~train[sent]))
+        answer = yield dealt(keys, [own, other], parts)
+        del keys, own, other
         found = [split(x, 2) for x in answer]
         total, marks = (np.concatenate([unpacked(x[i]) for x in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
         # what was alone with one word less is alone
-        lone = np.flatnonzero(valid & alone & train)
-        seen = np.zeros(n, dtype=np.int64)
-        seen[valid & alone] = train[valid & alone]
+        old = valid & alone
+        lone = np.flatnonzero(old & train)
+        seen = np.where(old, train, 0)
         seen[sent] = total[which]
-        alone = alone.copy()
         alone[sent] = (marks & 1)[which] > 0
         held = np.flatnonzero(marks >= 2)
-        places = sent[one[held]]
-        contexts, of = np.unique(context[valid] >> DROPPED, return_inverse=True)
-        kinds, gains = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(contexts))
-        for where, times_ in ((places, total[held]), (lone, np.ones(len(lone), dtype=np.int64))):
-            to = np.searchsorted(contexts, context[where] >> DROPPED)
-            np.add.at(kinds, to, 1)
-            np.add.at(gains, to, times_ * (np.log(np.maximum(times_, 1)) - np.log(p[where])))
+        inside = np.flatnonzero(valid)
+        contexts, _, of = grouped(context[inside] >> DROPPED)
+        number = np.zeros(n, dtype=np.int32)
+        number[inside] = of
+        # the n-grams that this block accounts for, and those that nobody else has
+        where, n_of = np.concatenate((sent[one[held]], lone)), np.concatenate((total[held], np.ones(len(lone), dtype=np.int64)))
+        kinds = np.bincount(number[where], minlength=len(contexts))
+        gains = np.bincount(number[where], weights=n_of * (np.log(n_of) - np.log(p[where])), minlength=len(contexts))
+        del which, one, total, marks, held, where, n_of, number, context
         answer = yield dealt(contexts, [kinds, rounded(gains).astype(np.int64)], parts)
         found = [split(x, 2) for x in answer]
         kinds, gains = (np.concatenate([unpacked(x[i]) for x in found]) if found else np.zeros(0, dtype=np.int64) for i in (0, 1))
-        total_, kinds_, gains_ = times[valid], kinds[of], restored(gains)[of]
-        kept = gains_ - total_ * np.log(total_) >= gain * kinds_
-        p = p.copy()
-        p[valid] = np.where(kept, (seen[valid] + kinds_ * p[valid]) / (total_ + kinds_), p[valid])
-    return size, np.bincount(text, weights=known, minlength=len(size)).astype(np.int64), base, np.bincount(text, weights=np.log10(p), minlength=len(size))
+        total, kinds, gains = times[inside], kinds[of], restored(gains)[of]
+        kept = np.flatnonzero(gains - total * np.log(total) >= gain * kinds)
+        to, kinds = inside[kept], kinds[kept]
+        p[to] = (seen[to] + kinds * p[to]) / (total[kept] + kinds)
+    return size, known, base, np.bincount(text, weights=np.log10(p), minlength=len(size))
 
 
 def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "text", depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
@@ -309,6 +326,9 @@ def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "tex
                 return name, block, state.send(own)
             except StopIteration as done:
                 return name, block, done.value
+            finally:
+                state.close()
+                give_back()
 
         return run
 
@@ -332,6 +352,7 @@ def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "tex
         found = staged(sent.groupBy("part").applyInArrow(sums, ANSWER), "answers")
         discard(answers)
         answers = found
+        settled(spark)
     last = turn(2 * depth, spread)
 
     def finish(rows: pa.Table) -> pa.Table:

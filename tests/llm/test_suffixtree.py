@@ -94,14 +94,14 @@ def test_distributions_add_up():
 def test_messages_come_back():
     rng = np.random.default_rng(1)
     for n in (0, 1, 1000):
-        keys = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        keys = np.unique(rng.integers(0, 1 << 52, n, dtype=np.uint64))
         assert (suffixtree.unpacked_keys(suffixtree.packed_keys(keys)) == keys).all()
         parts = suffixtree.dealt(keys, [np.arange(len(keys))], 7)
         assert np.concatenate([np.zeros(0, np.uint64), *(suffixtree.unpacked_keys(k) for _, k, _ in parts)]).tolist() == keys.tolist()
         values = rng.integers(0, 1 << 40, n)
         assert (suffixtree.unpacked(suffixtree.packed(values)) == values).all()
     values = rng.random(1000) * 10.0 ** rng.integers(-3, 9, 1000)
-    assert np.allclose(suffixtree.restored(suffixtree.rounded(values)), values, rtol=1e-3)
+    assert np.allclose(suffixtree.restored(suffixtree.rounded(values)), values, rtol=4e-3)
 
 
 def test_one_hot_word_is_dealt_over_all_parts():
