@@ -20,6 +20,7 @@ def fuzzy_pairs(records: DataFrame, *, seconds: int = SECONDS, days: int | None
     common duration or a common word alone brings nothing together.  What meets is ids and sizes;
     the words follow once for each pair that is near.
     """
+    records = staged(records.select("id", "provider", "duration", "words", *(["released"] if days is not None else [])), "records")
     n_words = records.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     spread = records.where("duration is not null").select("id", F.explode("words").alias("word")).join(n_words, "word")
     sized = F.sort_array(F.collect_list(F.struct("df", "word")))
