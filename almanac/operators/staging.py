@@ -54,28 +54,37 @@ def discard(df: DataFrame) -> None:
         removed(df.sparkSession, path)
 
 
+#: Neighbours from which on a node is a hub, where a thousandth of all edges is not more: there are 2,000 hubs at most.
+HUB = 1000
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b long) as (node, component), the smallest node each.
 
     Alternates large-star and small-star steps until nothing changes.  Every step is an aggregation
-    with map-side combining and an equi-join that streams over the neighbours of a node, two longs
-    each; a hub whose neighbours exceed the byte threshold of adaptive execution is split between
-    tasks, and below that it is one task's stream.  Only a row count and a checksum reach the
-    driver.  Self loops and repeated edges are allowed; nulls are dropped.
+    with map-side combining and an equi-join.  The smallest neighbours of hubs, a bounded number,
+    are broadcast to their edges, so no task gathers a hub's.  Only a row count and a checksum reach
+    the driver.  Self loops and repeated edges are allowed; nulls are dropped.
     """
 
     def lowest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("a").agg(F.min("b").alias("low"))
+        return pairs.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+
+    def met(pairs: DataFrame, low: DataFrame, n: int) -> DataFrame:
+        hub = F.col("n") > max(HUB, n // 1000)
+        hubs = F.broadcast(low.where(hub).select("a", "low"))
+        rest = pairs.join(hubs.select("a"), "a", "left_anti").join(low.where(~hub).select("a", "low"), "a")
+        return pairs.join(hubs, "a").unionByName(rest)
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, n: int) -> DataFrame:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = lowest(both).withColumn("low", F.least("low", "a"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        return met(both, low, n).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
-    def small(e: DataFrame) -> DataFrame:
+    def small(e: DataFrame, n: int) -> DataFrame:
         # every edge has a > b here
         low = lowest(e)
-        moved = e.join(low, "a").where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        moved = met(e, low, n).where("b != low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         return moved.unionByName(low.select("a", F.col("low").alias("b"))).where("a != b")
 
     def state(e: DataFrame) -> tuple:
@@ -86,9 +95,11 @@ def connected(edges: DataFrame) -> DataFrame:
     now = staged(ordered.distinct(), "edges")
     seen = state(now)
     while seen[0]:
-        new = staged(small(large(now)).distinct(), "edges")
+        wide = staged(large(now, seen[0]), "wide")
+        new = staged(small(wide, seen[0]).distinct(), "edges")
         after = state(new)
         discard(now)
+        discard(wide)
         now = new
         if after == seen:
             break
