@@ -42,7 +42,7 @@ from almanac.llm.tokenids import put, take
 #: it needs for each distinct next word.
 DEPTH, LEAST, GAIN = 2, 2, 0.5
 #: Bytes of text of a block.
-BLOCK = 12 << 20
+BLOCK = 10 << 20
 #: What stands for a text's end among its words, as no word holds white space, and the hash of its start.
 END, START = b"\n", np.uint64(0x5851F42D4C957F2D)
 #: Bits of an n-gram's hash that are dropped: 52 stay, so that of 10**13 n-grams one in 450 meets another.
@@ -317,7 +317,8 @@ def scored(docs: DataFrame, train: str, *, key: str = "doc_id", text: str = "tex
             name = rows.column("block")[0].as_py()
             block = pickle.loads(zstandard.decompress(take(fs, f"{root}/{name}")))
             own = rows.column("answer").to_pylist()
-            put(fs, f"{root}/{name}-{step}", [pickle.dumps(own, protocol=5)])
+            if step < 2 * depth:  # a later turn needs them
+                put(fs, f"{root}/{name}-{step}", [pickle.dumps(own, protocol=5)])
             state = scoring(block, parts, spread, depth, least, gain)
             next(state)
             try:
