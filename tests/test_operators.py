@@ -214,10 +214,9 @@ def test_coverage_ambiguity_and_shares(spark):
     assert {r.provider: (r.records, r.covered, r.share) for r in coverage.shares(df, none, ["a"]).collect()} == {"a": (2, 2, 0.4), "b": (3, 3, None)}
 
 
-def test_hubs_and_chains(spark, monkeypatch):
+def test_hubs_and_chains(spark):
     from almanac.operators import staging
 
-    monkeypatch.setattr(staging, "HUB", 5)
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(i, 500) for i in range(200, 240)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.component for r in staging.connected(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     assert all(got[i] == 0 for i in range(1, 31)) and all(got[i] == 100 for i in range(101, 140))
