@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Buckets that Spark allows a table.
+MOST_BUCKETS = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
@@ -42,6 +46,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
+    """Writes a table into the shared folder dealt by ``by``, and reads it back: grouping or joining it by that column moves none of its rows again."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = f"almanac_{uuid.uuid4().hex}"
+    dealt = df.repartition(min(buckets, MOST_BUCKETS), by)
+    dealt.write.format("parquet").bucketBy(min(buckets, MOST_BUCKETS), by).option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
