@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.operators.staging import connected, staged
+from almanac.operators.staging import staged
 
 SECONDS, DAYS, SIMILAR = 3, 2, 0.8
 
@@ -56,45 +55,53 @@ def complete_groups(pairs: DataFrame, providers: list[str] | None = None) -> Dat
     of one is paired with every record of the other, be those pairs ambiguous or not.
 
     ``pairs``: all fuzzy pairs.  The order is that of ``providers`` (their names' where not given),
-    then of ids.  A group lies inside a component of the unambiguous pairs; each is folded by one
-    task that holds its ids and pairs.  A record has at most one such partner in a provider, so
-    components are chains of those, and only a chain that comes back to a provider again and again
-    makes a long one.
+    then of ids.  A group's name is its smallest id.
+
+    The ordered fold runs in rounds.  Groups only grow, so two groups between which a pair is missing
+    never join: what remains of the waiting pairs are those whose groups have as many pairs between
+    them as the product of their sizes.  A waiting pair that comes first for both of its groups is the
+    next one for either whatever happens elsewhere, so all such pairs join theirs at once.  A round is
+    a few equi-joins and aggregates over pairs of groups; no group is gathered.
     """
     pairs = staged(pairs, "fuzzy-pairs")
-    plain = staged(unambiguous(pairs).select("id_1", "id_2"), "plain-pairs")
-    node = (lambda c: F.col(c).cast("long")) if dict(pairs.dtypes)["id_1"] in ("int", "bigint") else F.xxhash64
-    member = connected(plain.select(node("id_1").alias("a"), node("id_2").alias("b")))
-    member = member.unionByName(member.select(F.col("component").alias("node"), "component")).distinct()
-    one, two = (member.select(F.col("node").alias(f"node_{n}"), F.col("component").alias(f"component_{n}")) for n in (1, 2))
-    own = pairs.join(plain.withColumn("plain", F.lit(True)), ["id_1", "id_2"], "left").withColumns({f"node_{n}": node(f"id_{n}") for n in (1, 2)})
-    own = own.join(one, "node_1").join(two, "node_2").where("component_1 = component_2")
+    kind = dict(pairs.dtypes)["id_1"]
     place = lambda n: F.array_position(F.array(*map(F.lit, providers)), F.col(f"provider_{n}")) if providers else F.col(f"provider_{n}")
-    # of two records the one of the earlier provider comes first
-    turned = place(1) > place(2)
-    ends = {f"{c}_{n}": F.when(turned, F.col(f"{c}_{3 - n}")).otherwise(F.col(f"{c}_{n}")) for c in ("id", "provider") for n in (1, 2)}
-    own = own.select(*(c.alias(name) for name, c in ends.items()), "plain", F.col("component_1").alias("component"))
-    own = own.withColumns({"at_1": place(1), "at_2": place(2)})
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        linked = {frozenset(x) for x in zip(rows["id_1"], rows["id_2"], strict=True)}
-        group = {x: {x} for pair in linked for x in pair}
-        for row in rows[rows["plain"].notna()].sort_values(["at_1", "id_1", "at_2", "id_2"]).itertuples():
-            a, b = group[row.id_1], group[row.id_2]
-            if a is not b and all(frozenset((x, y)) in linked for x in a for y in b):
-                a |= b
-                for x in b:
-                    group[x] = a
-        return pd.DataFrame([(x, min(g)) for x, g in group.items()], columns=["id", "group"])
-
-    return own.groupBy("component").applyInPandas(link, f"id {dict(pairs.dtypes)['id_1']}, group {dict(pairs.dtypes)['id_1']}")
+    end = lambda n: F.struct(place(n).alias("at"), F.col(f"id_{n}").alias("id"))
+    sides = lambda a, b: (F.least(a, b).alias("g_1"), F.greatest(a, b).alias("g_2"))
+    nth = F.struct(F.least(end(1), end(2)).alias("first"), F.greatest(end(1), end(2)).alias("second"))
+    waiting = staged(unambiguous(pairs).select(*sides("id_1", "id_2"), nth.alias("nth")).distinct(), "waiting")
+    member = staged(waiting.select(F.explode(F.array("g_1", "g_2")).alias("id")).distinct().withColumn("group", F.col("id")), "members")
+    size = staged(member.select(F.col("group").alias("g"), F.lit(1).cast("long").alias("n")), "sizes")
+    # pairs between groups; those of records that no unambiguous pair names can join nothing
+    named = lambda n: member.select(F.col("id").alias(f"id_{n}"))
+    between = pairs.select(*(c.alias(f"id_{n}") for n, c in enumerate(sides("id_1", "id_2"), 1))).distinct().join(named(1), "id_1").join(named(2), "id_2")
+    between = staged(between.select(F.col("id_1").alias("g_1"), F.col("id_2").alias("g_2"), F.lit(1).cast("long").alias("n")), "between")
+    while True:
+        sized = lambda n: size.select(F.col("g").alias(f"g_{n}"), F.col("n").alias(f"n_{n}"))
+        whole = between.join(sized(1), "g_1").join(sized(2), "g_2").where("n = n_1 * n_2").select("g_1", "g_2")
+        waiting = staged(waiting.groupBy("g_1", "g_2").agg(F.min("nth").alias("nth")).join(whole, ["g_1", "g_2"], "left_semi"), "waiting")
+        if waiting.isEmpty():
+            break
+        best = waiting.select(F.explode(F.array("g_1", "g_2")).alias("g"), "nth").groupBy("g").agg(F.min("nth").alias("best"))
+        first = lambda n: best.select(F.col("g").alias(f"g_{n}"), F.col("best").alias("nth"))
+        joined = staged(waiting.join(first(1), ["g_1", "nth"], "left_semi").join(first(2), ["g_2", "nth"], "left_semi").select("g_1", "g_2"), "joined")
+        moves = joined.select(F.col("g_2").alias("g"), F.col("g_1").alias("to"))
+        moved = lambda rows, c: rows.join(moves.withColumnRenamed("g", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        apart = lambda rows: moved(moved(rows, "g_1"), "g_2").where("g_1 != g_2")
+        member, size = staged(moved(member, "group"), "members"), staged(moved(size, "g").groupBy("g").agg(F.sum("n").alias("n")), "sizes")
+        between = staged(apart(between).groupBy(*sides("g_1", "g_2")).agg(F.sum("n").alias("n")), "between")
+        waiting = apart(waiting).select(*sides("g_1", "g_2"), "nth")
+    return member.select(F.col("id").cast(kind).alias("id"), F.col("group").cast(kind).alias("group"))
 
 
 def totals(records: DataFrame, pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """One row: groups of all records (a record without one is its own), and pairs that are ambiguous."""
-    merged = groups.agg(F.count(F.lit(1)) - F.count_distinct("group")).first()[0]
-    plain = unambiguous(pairs).count()
-    return records.agg((F.count(F.lit(1)) - F.lit(merged or 0)).cast("long").alias("union_count")).withColumn("ambiguous_pairs", F.lit(pairs.count() - plain).cast("long"))
+    one = lambda rows, name, n: rows.agg(n.alias("n")).select(F.lit(name).alias("of"), F.col("n").cast("long"))
+    every = F.count(F.lit(1))
+    facts = one(records, "records", every).unionByName(one(groups, "merged", every - F.count_distinct("group")))
+    facts = facts.unionByName(one(pairs, "pairs", every)).unionByName(one(unambiguous(pairs), "plain", every))
+    n = lambda name: F.sum(F.when(F.col("of") == name, F.col("n")))
+    return facts.agg((n("records") - n("merged")).alias("union_count"), (n("pairs") - n("plain")).alias("ambiguous_pairs"))
 
 
 def shares(records: DataFrame, groups: DataFrame, available: list[str] | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse, text, urls
 from almanac.operators import coverage, matching, readmodel, reconcile
+from almanac.operators.staging import staged
 from almanac.plans.registry import query, tables
 from almanac.sources import feeds
 
@@ -93,20 +94,32 @@ def coverage_dated_pairs(spark, sf_dir):
     return coverage.fuzzy_pairs(dated_records(spark, sf_dir))
 
 
-@query()
+PLAIN = """SELECT id_1 AS a, id_2 AS b, row_number() OVER (ORDER BY provider_1, id_1, provider_2, id_2) AS k
+FROM (SELECT *, count(*) OVER (PARTITION BY id_1, provider_2) AS n, count(*) OVER (PARTITION BY id_2, provider_1) AS m FROM pairs) WHERE n = 1 AND m = 1"""
+#: One pair a step: two groups become one if each id of either is paired with each of the other.
+GROUPS = COVERAGE.replace("WITH w AS", "WITH RECURSIVE w AS") + f""", o AS ({PLAIN}),
+l AS (SELECT list(id_1 || '-' || id_2) || list(id_2 || '-' || id_1) AS l FROM pairs),
+f AS (SELECT 0::BIGINT AS k, (SELECT list([id]) FROM (SELECT DISTINCT unnest([a, b]) AS id FROM o)) AS g
+UNION ALL SELECT k, CASE WHEN x = y OR list_contains(flatten([[list_contains(l, i || '-' || j) FOR j IN y] FOR i IN x]), false) THEN g ELSE list_append([z FOR z IN g IF z != x AND z != y], list_concat(x, y)) END
+FROM (SELECT o.k, l, g, [z FOR z IN g IF list_contains(z, a)][1] AS x, [z FOR z IN g IF list_contains(z, b)][1] AS y FROM f JOIN o ON o.k = f.k + 1, l)),
+gs AS (SELECT unnest(z) AS id, list_min(z) AS "group" FROM (SELECT unnest(g) AS z FROM f WHERE k = (SELECT coalesce(max(k), 0) FROM o)))"""
+
+
+@query(f"{GROUPS} SELECT * FROM gs")
 def coverage_groups(spark, sf_dir):
     return coverage.complete_groups(coverage.fuzzy_pairs(coverage_records(spark, sf_dir), days=None))
 
 
-@query()
+@query(f"""{GROUPS}, s AS (SELECT provider, id, coalesce("group", id) AS "group" FROM w LEFT JOIN gs USING (id))
+SELECT provider, count(*) AS records, count(DISTINCT "group") AS covered, round(count(DISTINCT "group")::DOUBLE / (SELECT count(DISTINCT "group") FROM s), 9) AS share FROM s GROUP BY 1""")
 def coverage_shares(spark, sf_dir):
     return coverage.shares(coverage_records(spark, sf_dir), coverage_groups(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
-@query()
+@query(f"""{GROUPS} SELECT (SELECT count(*) FROM w) - (SELECT count(*) - count(DISTINCT "group") FROM gs) AS union_count, (SELECT count(*) FROM pairs) - (SELECT count(*) FROM o) AS ambiguous_pairs""")
 def coverage_totals(spark, sf_dir):
     records = coverage_records(spark, sf_dir)
-    pairs = coverage.fuzzy_pairs(records, days=None)
+    pairs = staged(coverage.fuzzy_pairs(records, days=None), "fuzzy-pairs")
     return coverage.totals(records, pairs, coverage.complete_groups(pairs))
 
 

@@ -197,6 +197,20 @@ def test_groups_equal_the_definition(spark):
         assert {frozenset(g) for g in found.values() if len(g) > 1} == want
 
 
+def test_groups_of_dense_pairs_equal_the_definition(spark):
+    """Cliques with holes over seven providers: groups grow over rounds, and holes keep them apart."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(7 * c + i, "abcdefg"[i], 7 * c + j, "abcdefg"[j]) for c in range(12) for i in range(7) for j in range(i + 1, 7) if rng.random() < (0.75 if c % 3 else 1.0)]
+    pairs = spark.createDataFrame(rows, "id_1 long, provider_1 string, id_2 long, provider_2 string")
+    found = {}
+    for r in coverage.complete_groups(pairs).collect():
+        found.setdefault(r.group, set()).add(r.id)
+    assert {frozenset(g) for g in found.values()} == folded(rows, "abcdefg")
+    assert all(name == min(g) for name, g in found.items()) and max(map(len, found.values())) == 7
+
+
 def test_long_chains_are_one_component(spark):
     from almanac.operators.staging import connected
 
