@@ -423,13 +423,28 @@ def timeline_media(spark, sf_dir):
     return feeds.posts_with_media(posts, media).select("o_orderkey", C("media_id").alias("l_partkey"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS id, l_suppkey * 3 AS related FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40), w AS (SELECT 0::BIGINT AS id, 0 AS distance UNION SELECT related, distance + 1 FROM w JOIN e USING (id) WHERE distance < 4)
-SELECT id, min(distance) AS distance, any_value(p_size) AS p_size FROM w JOIN part ON p_partkey = id GROUP BY id""")
+WALK_BOUND = 12
+#: One record a step: the starts' own pages first, then the records named, each start with its queue and what it has followed.
+WALK = f"""WITH RECURSIVE e AS (SELECT l_partkey AS id, l_suppkey * 3 AS related, min(l_orderkey * 10 + l_linenumber) AS place FROM lineitem WHERE l_partkey != l_suppkey * 3 GROUP BY 1, 2),
+adj AS (SELECT id, list(related ORDER BY place, related) AS names FROM e GROUP BY 1),
+w AS (SELECT s_suppkey AS start, CASE WHEN s_nationkey % 2 = 0 THEN [s_suppkey * 3, s_suppkey * 5] ELSE [s_suppkey * 7] END AS s, []::BIGINT[] AS q, []::BIGINT[] AS walked, 0 AS f, 0 AS root, NULL::BIGINT AS id, NULL::BOOLEAN AS new, NULL::BOOLEAN AS ok, 0 AS step FROM supplier
+UNION ALL SELECT start, s[2:], CASE WHEN is_root THEN CASE WHEN ok THEN q || names[1:greatest({WALK_BOUND} - len(q), 0)] ELSE q END
+  WHEN NOT new THEN q[2:] WHEN ok THEN q[2:] || [x FOR x IN names IF NOT list_contains(walked, x)][1:{WALK_BOUND} - f - len(q)] ELSE q[2:] END,
+  CASE WHEN new AND (ok OR NOT is_root) THEN list_append(walked, own) ELSE walked END, f + CASE WHEN new AND NOT is_root THEN 1 ELSE 0 END, CASE WHEN is_root THEN 1 ELSE 0 END, own, new, ok, step + 1
+FROM (SELECT w.* EXCLUDE (id, new, ok, root), len(s) > 0 AS is_root, CASE WHEN len(s) > 0 THEN s[1] ELSE q[1] END AS own, len(s) > 0 OR NOT list_contains(walked, q[1]) AS new, coalesce((p_size + start) % 4 != 0, false) AS ok, coalesce(names, []) AS names
+  FROM w LEFT JOIN adj ON adj.id = CASE WHEN len(s) > 0 THEN s[1] ELSE q[1] END LEFT JOIN part ON p_partkey = CASE WHEN len(s) > 0 THEN s[1] ELSE q[1] END WHERE len(s) > 0 OR len(q) > 0 AND f < {WALK_BOUND}))
+SELECT start, id, row_number() OVER (PARTITION BY start, root ORDER BY step)::INT AS nth, root = 1 AS own, ok AS admitted FROM w WHERE new"""
+
+
+@query(WALK)
 def related_walk(spark, sf_dir):
-    items, part = tables(spark, sf_dir, "lineitem", "part")
-    edges = items.where("l_returnflag = 'R' and l_quantity > 40").select(C("l_partkey").alias("id"), (C("l_suppkey") * 3).alias("related")).distinct()
-    start = part.where("p_partkey = 0").select(C("p_partkey").alias("id"))
-    return feeds.hydrated(feeds.related_walk(start, edges, depth=4), part.select(C("p_partkey").alias("id"), "p_size"))
+    """For every supplier the records that its walk follows: a bound of 12 cuts inside the first or second level."""
+    items, part, suppliers = tables(spark, sf_dir, "lineitem", "part", "supplier")
+    edges = items.select(C("l_partkey").alias("id"), (C("l_suppkey") * 3).alias("related"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("place"))
+    ids = F.when(C("s_nationkey") % 2 == 0, F.array(C("s_suppkey") * 3, C("s_suppkey") * 5)).otherwise(F.array(C("s_suppkey") * 7))
+    starts = suppliers.select(C("s_suppkey").alias("start"), F.posexplode(ids).alias("place", "id"))
+    walk = feeds.related_walk(starts, edges, bound=WALK_BOUND, nodes=part.select(C("p_partkey").alias("id"), "p_size"), admits=(C("p_size") + C("start")) % 4 != 0)
+    return walk.select("start", "id", "nth", (C("level") == 0).alias("own"), "admitted")
 
 
 @query("SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'purchase') = 0 AND user_id % 2 = 0 THEN 'empty without proof' WHEN count(*) FILTER (event_type = 'purchase') > 0 AND count(*) FILTER (event_type = 'purchase' AND value > 200) = 0 THEN 'all records invalid' END AS error FROM events GROUP BY 1")

@@ -122,21 +122,74 @@ def verified_empty(results: DataFrame) -> DataFrame:
     return results.withColumn("error", F.coalesce(F.col("error"), verdict)).withColumn("ok", F.col("error").isNull())
 
 
-def related_walk(candidates: DataFrame, edges: DataFrame, *, depth: int = 6, most: int | None = None) -> DataFrame:
-    """Candidates reached over ``edges`` (id, related) from those given, each once, with its distance.
-
-    One join a level over the new ones only; a level without new ones ends the walk, as does one
-    with which there are more than ``most``.
+def related_walk(starts: DataFrame, edges: DataFrame, *, bound: int, nodes: DataFrame | None = None, admits: Column | None = None) -> DataFrame:
+    """(start, id, level, nth, admitted): what a walk over related records follows for each start.
+
+    ``starts``: start, id, place, the records a walk begins with, in order.  ``edges``: id, related,
+    place, related records in the order of their page.  A record is admitted if ``admits`` holds over
+    start and the columns of ``nodes`` (id and more); a record that ``nodes`` lacks is not, and without
+    ``admits`` all are.  Admitted records alone are asked for related ones.
+
+    A start follows ``bound`` records at most, in the order in which pages name them, level by level;
+    what was followed before is neither followed nor named again.  The places left are shared in that
+    order too: a page of which only a part fits gives its first ones, and a name that turns out to
+    have been followed frees its place for later pages.  Level 0 are the starts themselves, which
+    count as followed if admitted.
+
+    One round a level.  All steps inside a level follow from sums and minima over its order: the
+    places left after each page are max(left - named, 0), a running sum reflected at zero.
     """
-    seen = candidates.select("id", F.lit(0).alias("distance")).distinct()
-    front = seen
-    for step in range(1, depth + 1):
-        front = front.join(edges, "id").select(F.col("related").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(step).alias("distance"))
-        front = staged(front, "walk")
-        if front.isEmpty() or most is not None and seen.count() + front.count() > most:
+    entry, every = Window.partitionBy("start", "pos"), Window.partitionBy("start").orderBy("pos")
+    starts = staged(first_seen(starts, ["start", "id"], "place"), "starts")
+    held = starts.groupBy("start").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    # no page needs more of its names than there are places and records followed
+    named = first_seen(edges, ["id", "related"], "place").withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("place", "related")))
+    named = staged(named.where(F.col("_nth") <= 2 * bound + held).select("id", "related", F.col("_nth").alias("place")), "named")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        if admits is None:
+            return rows.withColumn("admitted", F.lit(True))
+        known = rows.join(nodes.withColumn("_known", F.lit(True)), "id", "left")
+        return known.withColumn("admitted", F.coalesce(F.col("_known") & admits, F.lit(False))).select(*rows.columns, "admitted")
+
+    def expanded(level: DataFrame, walked: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(next level, places left) after the entries of ``level`` (start, pos, id, new, admitted)."""
+        asking = level.where("new and admitted").select("start", "pos", "id")
+        before = walked.select("start", F.col("id").alias("related"), F.col("pos").alias("_at"))
+        found = asking.join(named, "id").where("related != id").select("start", "pos", "related", "place").join(before, ["start", "related"], "left")
+        fresh = found.where("_at is null or _at > pos").withColumn("rank", F.row_number().over(entry.orderBy("place"))).where(F.col("rank") <= bound)
+        fresh = staged(fresh.select("start", "pos", "related", "rank"), "fresh")
+        change = level.join(fresh.groupBy("start", "pos").agg(F.count(F.lit(1)).alias("k")), ["start", "pos"], "left").join(left, "start")
+        sums = change.withColumn("sum", F.col("left") + F.sum(F.when(F.col("new"), -F.coalesce("k", F.lit(0))).otherwise(1)).over(every))
+        after = sums.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(every)))
+        spans = staged(after.select("start", "pos", "after", F.coalesce(F.lag("after").over(every), "left").alias("free")), "places")
+        taken = fresh.join(spans, ["start", "pos"]).where("rank <= free")
+        onward = Window.partitionBy("start").orderBy("pos", "rank")
+        rest = left.join(spans.groupBy("start").agg(F.max_by("after", "pos").alias("after")), "start", "left").select("start", F.coalesce("after", "left").alias("left"))
+        return taken.select("start", F.col("related").alias("id"), F.row_number().over(onward).alias("pos")), rest
+
+    roots = judged(starts.withColumn("pos", F.row_number().over(Window.partitionBy("start").orderBy("place", "id"))).select("start", "id", "pos"))
+    roots = staged(roots.withColumns({"new": F.lit(True), "level": F.lit(0)}), "level")
+    left = staged(starts.select("start").distinct().withColumn("left", F.lit(bound).cast("long")), "left")
+    # a start excludes itself alone, so nothing counts as followed yet
+    queue, left = expanded(roots, roots.where("false"), left)
+    levels, walked, n = [roots], roots.where("admitted").select("start", "id", F.lit(0).alias("pos")), 0
+    while True:
+        n, queue, left = n + 1, staged(queue, "queue"), staged(left, "left")
+        if queue.isEmpty():
             break
-        seen = seen.unionByName(front)
-    return seen
+        own = Window.partitionBy("start", "id").orderBy("pos")
+        seen = queue.withColumn("_nth", F.row_number().over(own)).join(walked.select("start", "id", F.lit(True).alias("_old")), ["start", "id"], "left")
+        level = staged(judged(seen.select("start", "id", "pos", (F.col("_old").isNull() & (F.col("_nth") == 1)).alias("new"))).withColumn("level", F.lit(n)), "level")
+        new = level.where("new").select("start", "id", "pos")
+        queue, left = expanded(level, walked.unionByName(new), left)
+        walked = staged(walked.unionByName(new.withColumn("pos", F.lit(0))), "walked")
+        levels.append(level.where("new"))
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    order = Window.partitionBy("start", F.col("level") > 0).orderBy("level", "pos")
+    return out.select("start", "id", "level", F.row_number().over(order).alias("nth"), "admitted")
 
 
 def hydrated(found: DataFrame, details: DataFrame, key: str = "id") -> DataFrame:

@@ -273,8 +273,9 @@ def test_feeds(spark, tmp_path):
     assert feeds.json_records(spark, str(tmp_path / "in.json"), "id: long", "scenes").count() == 2
     feeds.write_csv(spark.createDataFrame([('=1+"x"', 2)], "a string, b int"), str(tmp_path / "csv"))
     assert any('"\'=1+""x""","2"' in f.read_text() for f in (tmp_path / "csv").glob("*.csv"))
-    walk = feeds.related_walk(spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "id int, related int"))
-    assert {(r.id, r.distance) for r in walk.collect()} == {(1, 0), (2, 1), (3, 2)}
+    starts = spark.createDataFrame([("s", 1, 1)], "start string, id int, place int")
+    walk = feeds.related_walk(starts, spark.createDataFrame([(1, 2, 1), (2, 3, 1), (3, 1, 1)], "id int, related int, place int"), bound=9)
+    assert {(r.id, r.level) for r in walk.collect()} == {(1, 0), (2, 1), (3, 2)}
     posts = spark.createDataFrame([(1, [10, 11, 12])], "post int, attachments array<int>")
     media = spark.createDataFrame([(10, "video", True, None), (11, "image", True, None), (12, "video", True, 5)], "media_id int, kind string, accessible boolean, price int")
     assert [r.media_id for r in feeds.posts_with_media(posts, media).collect()] == [10]
@@ -285,3 +286,47 @@ def test_window_edge_scan(spark):
     df = spark.createDataFrame(rows, "page int, d date")
     got = feeds.until_window_edge(df, "page", "d", F.lit("2026-03-05").cast("date"), size=2)
     assert {(r.page, r.d.day) for r in got.collect()} == {(1, 9), (1, 8), (2, 7)}
+
+
+def queued(starts, edges, bound, admits):
+    """The walk by definition: one queue a start."""
+    out = []
+    for start, first in starts.items():
+        names = lambda i, without: list(dict.fromkeys(x for x in edges.get(i, []) if x not in without))
+        queue, walked, followed = [], set(), 0
+        for nth, i in enumerate(first, 1):
+            out.append((start, i, 0, nth, admits(start, i)))
+            if admits(start, i):
+                walked.add(i)
+                queue += [(x, 1) for x in names(i, {i})][: max(0, bound - len(queue))]
+        while queue and followed < bound:
+            i, level = queue.pop(0)
+            if i in walked:
+                continue
+            walked.add(i)
+            followed += 1
+            out.append((start, i, level, followed, admits(start, i)))
+            if admits(start, i):
+                queue += [(x, level + 1) for x in names(i, walked)][: max(0, bound - followed - len(queue))]
+    return sorted(out)
+
+
+def test_walk_fills_its_budget_in_page_order(spark):
+    import random
+
+    from almanac.sources import feeds
+
+    edges = {1: [2, 3, 4, 5, 6], 2: [7, 8], 7: [1]}
+    frame = spark.createDataFrame([(a, b, n) for a, x in edges.items() for n, b in enumerate(x)], "id long, related long, place long")
+    walk = feeds.related_walk(spark.createDataFrame([(0, 1, 0)], "start long, id long, place long"), frame, bound=3).where("level > 0")
+    assert [(r.id, r.level) for r in walk.orderBy("nth").collect()] == [(2, 1), (3, 1), (4, 1)]
+    rng = random.Random(6)
+    edges = {i: [rng.randrange(30) for _ in range(rng.randrange(7))] for i in range(30)}
+    starts = {s: rng.sample(range(30), rng.randint(1, 4)) for s in range(25)}
+    frame = spark.createDataFrame([(a, b, n) for a, x in edges.items() for n, b in enumerate(x)], "id long, related long, place long")
+    first = spark.createDataFrame([(s, i, n) for s, x in starts.items() for n, i in enumerate(x)], "start long, id long, place long")
+    nodes = spark.createDataFrame([(i,) for i in range(28)], "id long")
+    admits = lambda s, i: i < 28 and (s + i) % 5 != 0
+    for bound in (0, 4, 11):
+        got = feeds.related_walk(first, frame, bound=bound, nodes=nodes, admits=(F.col("start") + F.col("id")) % 5 != 0)
+        assert sorted(tuple(r) for r in got.collect()) == queued(starts, edges, bound, admits)
