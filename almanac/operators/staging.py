@@ -47,11 +47,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
-    """Writes a table into the shared folder dealt by ``by``, and reads it back: grouping or joining it by that column moves none of its rows again."""
+    """Writes a table into the shared folder dealt by ``by``, and reads it back: grouping or joining it by that column moves none of its rows again.
+
+    A task writes a file for each bucket that it has rows of, so ``df`` should hold the rows of a bucket together.
+    """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     table = f"almanac_{uuid.uuid4().hex}"
-    dealt = df.repartition(min(buckets, MOST_BUCKETS), by)
-    dealt.write.format("parquet").bucketBy(min(buckets, MOST_BUCKETS), by).option("compression", "zstd").option("path", path).saveAsTable(table)
+    df.write.format("parquet").bucketBy(min(buckets, MOST_BUCKETS), by).option("compression", "zstd").option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
