@@ -11,9 +11,9 @@ documents share meets in one task more than once a block:
 3.  A block cuts the stretches of windows that have such an anchor.  Stretches of equal words are sent
     once, with all places where the block has them, to the part of their anchor, so equal windows of
     all blocks meet in one part.
-4.  A part confirms which windows recur, compiles them into an Aho-Corasick automaton over words,
-    and streams all stretches through it: every occurrence is located by its words, and is a repeat
-    unless it is the first one in the order of documents.
+4.  A part confirms which windows recur, compiles them into an Aho-Corasick automaton over phrases of
+    a few words, and streams all stretches through it: every occurrence is located by its words, and
+    is a repeat unless it is the first one in the order of documents.
 5.  The places go back to their blocks, which drop the covered words.
 
 Work between blocks and parts is an exchange of one row a pair, packed in binary columns; a block
@@ -39,8 +39,10 @@ from almanac.operators.staging import bucketed
 #: Words of a window.
 WINDOW = 20
 #: Bytes of text of a block, and of text for which there is one part; anchors that a task gathers before it
-#: sends them; bytes of a text whose words are found at once; words that the automaton is given at once.
+#: sends them; bytes of a text whose words are found at once; phrases that the automaton is given at once.
 BLOCK, PART, GATHERED, PIECE, STREAMED = 16 << 20, 8 << 20, 1 << 19, 1 << 20, 1 << 17
+#: Letters that stand for one digit of a phrase's code.
+DIGITS = 64
 #: Odd factors of the hashes.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -226,65 +228,110 @@ def sent_stretches(docs: pa.Table, replies: pa.Table, column: str, parts: int, w
     return pa.table([part, pa.array([block] * len(made), pa.int32()), *rest], names=[x.split()[0] for x in STRETCHES.split(", ")])
 
 
+def symbols_of(words: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+    """(codes, length): a code for the phrase of so many words from each place on, 0 where it would cross a gap (0).
+
+    Phrases are coded exactly, by pairs of codes of half their length.  The length is a power of two
+    that divides the window and goes into it four times at least.
+    """
+    length = 1
+    while window % (2 * length) == 0 and 8 * length <= window:
+        left, right = words[:-length], words[length:]
+        pairs, whole = (left << 32) | right, (left > 0) & (right > 0)
+        words = np.zeros(len(words), dtype=np.int64)
+        words[:-length][whole] = np.unique(pairs[whole], return_inverse=True)[1] + 1
+        length *= 2
+    return words, length
+
+
+def letters(symbols: np.ndarray, most: int) -> tuple[str, int]:
+    """(text, letters): each phrase's code as so many letters of DIGITS each, other ones in each place; a gap is none of them.
+
+    A node of the automaton finds its children one by one, so there must be few.
+    """
+    digits = 1
+    while DIGITS**digits <= most:
+        digits += 1
+    places = np.arange(digits)
+    out = symbols[:, None] // DIGITS**places % DIGITS + 1 + DIGITS * places
+    out[symbols == 0] = 0
+    return out.astype("<u4").tobytes().decode("utf-32-le"), digits
+
+
 def located(rows: pa.Table, window: int) -> pa.Table:
-    """(of, rows, starts, masks): places of a block, and which of the windows from there on start earlier, too."""
+    """(of, rows, starts, masks): places of a block, and which of the windows from there on start earlier, too.
+
+    The automaton reads phrases, so a window is a few of them, and the stream goes by once for each
+    phase.  Equal stretches of several blocks are read once: all but the first repeat it whole.
+    """
     code: dict[bytes, int] = {}
+    known: dict[bytes, int] = {}
+    own, stretches_of = [], []  # the stretch of each entry, the entries of each row
+    for texts in rows.column("texts").to_pylist():
+        entries = texts.split(b"\n")
+        own.extend([known.setdefault(x, len(known)) for x in entries])
+        stretches_of.append(len(entries))
     flat: list[int] = []  # words of all stretches as numbers from 1 on, and 0 between stretches
     sizes: list[int] = []
-    stretches_of = []
-    for texts in rows.column("texts").to_pylist():
-        own = texts.split(b"\n")
-        stretches_of.append(len(own))
-        for words in map(bytes.split, own):
-            flat.extend([code.setdefault(w, len(code) + 1) for w in words])
-            flat.append(0)
-            sizes.append(len(words))
-    size = np.array(sizes)
+    for words in map(bytes.split, known):
+        flat.extend([code.setdefault(w, len(code) + 1) for w in words])
+        flat.append(0)
+        sizes.append(len(words))
+    size, own = np.array(sizes), np.array(own)
     times = np.concatenate([numbers(x, "i4") for x in rows.column("times").to_pylist()])
     every_row = np.concatenate([numbers(x, "i8") for x in rows.column("rows").to_pylist()])
     every_start = np.concatenate([numbers(x, "i4") for x in rows.column("starts").to_pylist()])
-    place = np.cumsum(times) - times  # where each stretch's first place stands in these
-    row, start = every_row[place], every_start[place]
+    place = np.cumsum(times) - times  # where each entry's first place stands in these
+    order, cuts = groups_of(own, every_row[place], every_start[place])
+    first = place[order[cuts[:-1]]]  # of each stretch
+    row, start = every_row[first], every_start[first]
+    often = np.add.reduceat(times[order], cuts[:-1]) > 1
 
     # windows of all stretches, equal ones together, the first in the order of documents ahead
     windows = size - window + 1
     of = np.repeat(np.arange(len(size)), windows)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    begin = (np.cumsum(size + 1) - size - 1)[of] + nth
-    digest = spans(mixed(np.array(flat, dtype=np.uint64)), begin, begin + window, WORDS)
+    base = np.cumsum(size + 1) - size - 1
+    begin = base[of] + nth
+    numbered = np.array(flat, dtype=np.int64)
+    digest = spans(mixed(numbered.astype(np.uint64)), begin, begin + window, WORDS)
     order, cuts = groups_of(digest, row[of], start[of] + nth)
-    home = order[cuts[:-1]]
-    recurs = (np.diff(cuts) > 1) | (np.maximum.reduceat(times[of][order], cuts[:-1]) > 1)
+    recurs = (np.diff(cuts) > 1) | np.maximum.reduceat(often[of][order], cuts[:-1])
+    home = order[cuts[:-1]][recurs]
+    home_row, home_start = row[of[home]], start[of[home]] + nth[home]
 
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for number, at in enumerate(begin[home[recurs]].tolist()):
-        machine.add_word(tuple(flat[at : at + window]), number)
+    symbols, length = symbols_of(numbered, window)
+    count = window // length
+    most = int(symbols.max(initial=0))
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    phrases, digits = letters(symbols[begin[home][:, None] + length * np.arange(count)].ravel(), most)
+    for number in range(len(home)):
+        machine.add_word(phrases[number * count * digits : (number + 1) * count * digits], number)
     machine.make_automaton()
-    home = home[recurs]
-    home_row, home_start = row[of[home]], start[of[home]] + nth[home]
     masks = np.zeros(len(size), dtype=np.uint64)
     stretch_at = np.repeat(np.arange(len(size)), size + 1)
-    base = np.cumsum(size + 1) - size - 1
-    for at in range(0, len(flat) if len(home) else 0, STREAMED):
-        # windows that begin in this part of the stream
-        hits = np.array(list(machine.iter(tuple(flat[at : at + STREAMED + window - 1]))), dtype=np.int64).reshape(-1, 2)
-        begun, number = hits[:, 0] + at - window + 1, hits[:, 1]
-        s = stretch_at[begun]
-        k = begun - base[s]
-        here = start[s] + k
-        later = (row[s] > home_row[number]) | ((row[s] == home_row[number]) & (here > home_start[number]))
-        np.bitwise_or.at(masks, s[later], np.uint64(1) << k[later].astype(np.uint64))
-
-    # all windows of a stretch that the block has had before start earlier
-    whole = ~np.uint64(0) >> (np.uint64(64) - windows.astype(np.uint64))
-    mask = np.repeat(whole, times)
-    mask[place] = masks
+    for phase in range(length if len(home) else 0):
+        stream = symbols[phase::length]
+        for at in range(0, len(stream), STREAMED):
+            # windows that begin in this part of the stream
+            text, _ = letters(stream[at : at + STREAMED + count - 1], most)
+            hits = np.array(list(machine.iter(text)), dtype=np.int64).reshape(-1, 2)
+            begun, number = ((hits[:, 0] + 1) // digits - count + at) * length + phase, hits[:, 1]
+            s = stretch_at[begun]
+            k = begun - base[s]
+            here = start[s] + k
+            later = (row[s] > home_row[number]) | ((row[s] == home_row[number]) & (here > home_start[number]))
+            np.bitwise_or.at(masks, s[later], np.uint64(1) << k[later].astype(np.uint64))
+
+    # all windows of a stretch that has been there before start earlier
+    mask = np.repeat((~np.uint64(0) >> (np.uint64(64) - windows.astype(np.uint64)))[own], times)
+    mask[first] = masks
     block = np.repeat(np.repeat(rows.column("block").to_numpy(), stretches_of), times)
     keep = np.flatnonzero(mask)
     order, cuts = groups_of(block[keep], every_row[keep], every_start[keep])
     keep = keep[order]
     made = [(int(block[keep[a]]), *(x[keep[a:b]].tobytes() for x in (every_row, every_start, mask))) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-    del machine, flat, code
+    del machine, flat, code, known
     give_back()
     kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.table([pa.array([x[i] for x in made], k) for i, k in enumerate(kinds)], names="of rows starts masks".split())
