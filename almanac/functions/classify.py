@@ -55,21 +55,37 @@ def verdict_audit(verdict: Column) -> Column:
     return F.create_map(F.lit("decision"), verdict["decision"], F.lit("reason"), F.coalesce(verdict["reason"], F.lit("")), F.lit("keywords"), F.array_join(verdict["keywords"], ","), F.lit("snippet"), verdict["snippet"])
 
 
-#: Names of what gives access, and what is said of them when they do not.
+#: Phrases of a refusal; pairs of what is said first and what follows in the same sentence,
+#: each with how a word must agree (its end, its whole with or without a plural s, its beginning).
 ACCESS, LACKING = ("key", "token", "secret", "credential"), ("missing", "required", "invalid", "expired", "absent")
-REFUSED = ("not configured", "env variable", "environment variable", "unauthorized", "forbidden", "http 401", "http 403")
+REFUSALS = ("not configured", "unauthorized", "forbidden", "http 401", "http 403")
+SETTINGS = ("env variable", "environment variable")
+SENTENCES = ((("missing",), "end", ACCESS), (ACCESS, "whole", LACKING))
 
 
 def error_class(error: Column) -> Column:
     """ok, unimplemented, config or failing.
 
-    An error is one of configuration if it speaks of a refusal, or of missing access in one sentence.
+    An error is one of configuration if it speaks of a refusal, of a setting of the environment, or of
+    missing access in one sentence.
     """
-    low, access, lacking = F.lower(error), "|".join(ACCESS), "|".join(LACKING)
-    refused = F.exists(F.array(*map(F.lit, REFUSED)), lambda x: low.contains(x))
-    sentences = F.split(low, "[.]")
-    lacks = F.exists(sentences, lambda x: x.rlike(rf"\bmissing\b.*\b(?:{access})|\b(?:{access})s?\b.*\b(?:{lacking})"))
-    return F.when(error.isNull() | (error == ""), "ok").when(low.rlike(r"\bnot implemented\b"), "unimplemented").when(refused | lacks, "config").otherwise("failing")
+    low = F.lower(error)
+    words = lambda x: F.regexp_extract_all(x, F.lit("([a-z0-9_]+)"), 1)
+    spoken = F.concat(F.lit(" "), F.array_join(words(low), " "))
+    refused = F.exists(F.array(*map(F.lit, REFUSALS)), low.contains) | F.exists(F.array(*(F.lit(f" {x}") for x in SETTINGS)), spoken.contains)
+
+    def follows(own: Column, first: tuple[str, ...], how: str, then: tuple[str, ...]) -> Column:
+        ending = lambda w: F.exists(F.array(*map(F.lit, first)), w.endswith)
+        whole = lambda w: F.regexp_replace(w, "s$", "").isin(*first)
+        at = F.array_position(F.transform(own, ending if how == "end" else whole), True)
+        return (at > 0) & F.exists(F.slice(own, (at + 1).cast("int"), F.size(own)), lambda w: F.exists(F.array(*map(F.lit, then)), w.startswith))
+
+    def lacks(sentence: Column) -> Column:
+        said = [follows(words(sentence), *rule) for rule in SENTENCES]
+        return said[0] | said[1]
+
+    config = refused | F.exists(F.split(low, "[.]"), lacks)
+    return F.when(error.isNull() | (error == ""), "ok").when(F.array_contains(words(low), "implemented") & spoken.rlike(" not implemented( |$)"), "unimplemented").when(config, "config").otherwise("failing")
 
 
 def card_state(error_kind: Column, releases: Column) -> Column:
@@ -81,16 +97,21 @@ def http_class(status: Column) -> Column:
     return F.when(status.isin(404, 410), "definitive").when(status.between(200, 299), "ok").otherwise("inconclusive")
 
 
-def link_outcome(kind: Column, status: Column, content_type: Column, body: Column) -> Column:
-    """live, dead or inconclusive for a checked link.
+def link_outcome(kind: Column, status: Column, content_type: Column, body: Column, record: Column) -> Column:
+    """live, dead or inconclusive for a checked link to ``record``.
 
     A page answers by its status alone.  An API answers only with JSON: a challenge page with status
-    200 says nothing, an empty list says that the record is gone.
+    200 says nothing, an empty list says that the record is gone, and only the record itself, alone or
+    first in a list, under the id asked for, says that it is there.
     """
     api_json = content_type.isNull() | (content_type == "") | F.lower(content_type).contains("json")
     parsed = F.try_parse_json(body)
+    listed = F.schema_of_variant(parsed).startswith("ARRAY")
+    own = F.when(listed, F.try_variant_get(parsed, "$[0].id", "variant")).otherwise(F.try_variant_get(parsed, "$.id", "variant"))
+    same = (F.schema_of_variant(own) == "STRING") & (F.try_variant_get(own, "$", "string") == record)
     page = F.when(status.isin(404, 410), "dead").when(status.between(200, 299), "live").otherwise("inconclusive")
-    api = F.when(~status.between(200, 299) | ~api_json | parsed.isNull(), "inconclusive").when(F.regexp_replace(body, r"\s", "") == "[]", "dead").when(F.trim(body).startswith("{") | F.trim(body).startswith("["), "live").otherwise("inconclusive")
+    silent = ~status.between(200, 299) | ~api_json | parsed.isNull()
+    api = F.when(silent, "inconclusive").when(F.regexp_replace(body, r"\s", "") == "[]", "dead").when(same, "live").otherwise("inconclusive")
     return F.when(status.isNull(), "inconclusive").when(kind == "page", page).otherwise(api)
 
 

@@ -18,28 +18,30 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def number(text: Column, pattern: str) -> Column:
-    return F.coalesce(found(text, pattern).try_cast("double"), F.lit(0.0))
-
-
 def calendar_date(text: Column) -> Column:
     """A real calendar date written YYYY-MM-DD; null for month 19 or 30 February."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def parsed_timestamp(text: Column) -> Column:
-    """UTC for texts without a zone, dates as midnight, offsets honoured; null if unreadable."""
+    """The instant that a text names: UTC without a zone, dates as midnight, offsets honoured; null if unreadable.
+
+    Each form is completed to one with a zone first, so the session's own never counts.
+    """
     text = F.trim(text)
-    zoneless = F.try_to_timestamp(F.concat(F.regexp_replace(text, "T", " "), F.when(text.rlike(r"^\S+[T ]\d{2}:\d{2}$"), ":00").otherwise("")), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return F.coalesce(
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?$"), zoneless),
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))),
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$"), text.try_cast("timestamp")),
-    )
+    zoneless = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.concat(text, F.lit("Z")))
+    zoned = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([Zz]|[+-]\d{2}:?\d{2})$"), F.regexp_replace(F.regexp_replace(text, "z$", "Z"), r"([+-]\d{2})(\d{2})$", "$1:$2"))
+    whole = F.coalesce(zoneless, zoned)
+    return F.regexp_replace(whole, r"^(.{10}[T ]\d{2}:\d{2})(?!:)", "$1:00").try_cast("timestamp")
 
 
 def iso_utc(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """The instant in UTC to the millisecond, whatever the session's zone."""
+    millis = F.unix_millis(ts)
+    day, rest = F.floor(millis / 86_400_000), F.pmod(millis, F.lit(86_400_000))
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    clock = F.concat_ws(":", two(F.floor(rest / 3_600_000)), two(F.floor(rest / 60_000) % 60), two(F.floor(rest / 1_000) % 60))
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit("T"), clock, F.lit("."), F.lpad((rest % 1_000).cast("string"), 3, "0"), F.lit("Z"))
 
 
 def clock_seconds(text: Column) -> Column:
@@ -58,16 +60,40 @@ def clock_seconds_lenient(text: Column) -> Column:
     return F.when(text.rlike(r"^\d+(:\d+){1,2}$"), folded)
 
 
+#: Seconds of a unit, and the names that texts give it.
+UNIT_SECONDS = {"d": 86400, "h": 3600, "m": 60, "s": 1}
+UNIT_NAMES = {"h": ("hours", "hour", "hrs", "hr", "h"), "m": ("minutes", "minute", "mins", "min", "m"), "s": ("seconds", "second", "secs", "sec", "s")}
+
+
+def amounts(text: Column, names: dict[str, tuple[str, ...]]) -> Column:
+    """Map of units to the first number that stands before one of their names."""
+    pairs = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?\s*[a-z]+)(?![a-z0-9_])"), 1)
+    number, name = (lambda x: F.regexp_extract(x, "^[0-9.]+", 0).cast("double")), (lambda x: F.regexp_extract(x, "[a-z]+$", 0))
+    first = lambda own: F.try_element_at(F.filter(pairs, lambda x: name(x).isin(*own)), F.lit(1))
+    return F.create_map(*(c for unit, own in names.items() for c in (F.lit(unit), number(first(own)))))
+
+
+def seconds_of(amounts: Column) -> Column:
+    return sum((F.coalesce(F.try_element_at(amounts, F.lit(unit)), F.lit(0.0)) * n for unit, n in UNIT_SECONDS.items()), F.lit(0.0))
+
+
 def duration_seconds(text: Column) -> Column:
-    """Seconds of an ISO 8601 duration, a clock, or words such as 1h 20m; rounded, null if not positive."""
-    text = F.trim(text)
-    n = r"(\d+(?:\.\d+)?)"
-    iso = rf"(?i)^P(?:{n}D)?T(?:{n}H)?(?:{n}M)?(?:{n}S)?$"
-    part = lambda k: F.coalesce(found(text, iso, k).try_cast("double"), F.lit(0.0))
-    clock = r"^(?:(\d+):)?(\d{1,2}):(\d{2})$"
-    at = lambda k: F.coalesce(found(text, clock, k).try_cast("double"), F.lit(0.0))
-    words = number(text, rf"(?i){n}\s*(?:hours?|hrs?|h)\b") * 3600 + number(text, rf"(?i){n}\s*(?:minutes?|mins?|m)\b") * 60 + number(text, rf"(?i){n}\s*(?:seconds?|secs?|s)\b")
-    total = F.when(text.rlike(iso), part(1) * 86400 + part(2) * 3600 + part(3) * 60 + part(4)).when(text.rlike(clock), at(1) * 3600 + at(2) * 60 + at(3)).otherwise(F.coalesce(F.when(text.rlike(rf"^{n}$"), text.try_cast("double")), words))
+    """Seconds of an ISO 8601 duration, a clock, a number, or words such as 1h 20m; rounded, null if not positive."""
+    low = F.lower(F.trim(text))
+    # P, days, T, then hours, minutes and seconds, each at most once and in this order
+    days, clock = F.regexp_extract(low, "^p([^t]*)t", 1), F.regexp_extract(low, "^p[^t]*t(.*)$", 1)
+    well = lambda part, units: F.regexp_replace(part, r"[0-9]+(\.[0-9]+)?(?=[a-z])", "").isin(*units)
+    iso = low.rlike("^p[^t]*t") & well(days, ("", "d")) & well(clock, ("", "h", "m", "s", "hm", "hs", "ms", "hms"))
+    spaced = F.regexp_replace(F.concat(days, clock), "([a-z])", "$1 ")
+    parts = F.split(low, ":")
+    shaped = F.forall(parts, lambda x: x.rlike("^[0-9]+$")) & (F.length(F.element_at(parts, -1)) == 2) & (F.length(F.element_at(parts, -2)) <= 2)
+    on_clock = F.size(parts).between(2, 3) & F.when(F.size(parts) >= 2, shaped)
+    total = (
+        F.when(iso, seconds_of(amounts(spaced, {unit: (unit,) for unit in UNIT_SECONDS})))
+        .when(on_clock, clock_seconds_lenient(low).cast("double"))
+        .when(low.rlike(r"^[0-9]+(\.[0-9]+)?$"), low.try_cast("double"))
+        .otherwise(seconds_of(amounts(low, UNIT_NAMES)))
+    )
     return F.when(total > 0, F.round(total).cast("long"))
 
 
@@ -83,10 +109,10 @@ def positive_number(text: Column) -> Column:
 
 def view_count(text: Column) -> Column:
     """Views from 1,234 views, 12k or 1.2M; null if unreadable."""
-    plain = F.regexp_replace(text, r"[,\s]", "")
-    digits = F.regexp_replace(plain, r"(?i)(?:views?|k|m)$", "")
-    scale = F.when(F.trim(text).rlike("(?i)m$"), 1_000_000).when(F.trim(text).rlike("(?i)k$"), 1_000).otherwise(1)
-    return F.when(digits.rlike(r"^\d+(\.\d+)?$"), digits.try_cast("double") * scale)
+    plain = F.lower(F.regexp_replace(text, r"[,\s]", ""))
+    pattern = r"^([0-9]+(?:\.[0-9]+)?)(k|m|views?)?$"
+    scale = F.create_map(F.lit("k"), F.lit(1_000), F.lit("m"), F.lit(1_000_000))
+    return F.when(plain.rlike(pattern), F.regexp_extract(plain, pattern, 1).try_cast("double") * F.coalesce(F.try_element_at(scale, F.regexp_extract(plain, pattern, 2)), F.lit(1)))
 
 
 def elapsed_text(seconds: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STRIKES = 2
+#: Fixed value: why a link is dead that nobody gave a reason for.
+LOST = "Link not found"
 
 
 def folded(checks: DataFrame, *, key: str = "link", at: list[str] = ["at"], outcome: str = "outcome") -> DataFrame:
@@ -28,13 +30,25 @@ def folded(checks: DataFrame, *, key: str = "link", at: list[str] = ["at"], outc
 def struck(links: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
     """Links after one round of checks; links that were not checked stay as they are.
 
-    ``links``: release_id, url, verify_failures, verified_at, dead_at; ``outcomes``: release_id, url, outcome.
+    ``links``: release_id, url, verify_failures, verified_at, dead_at, dead_reason; ``outcomes``:
+    release_id, url, outcome and, where known, reason.  A live link alone is verified now: one with a
+    strike stays as stale as it was, so it is checked again first.  The second strike buries it.
     """
-    out = links.join(outcomes, ["release_id", "url"], "left")
-    failures = F.when(F.col("outcome") == "live", 0).when(F.col("outcome") == "dead", F.col("verify_failures") + 1).otherwise(F.col("verify_failures"))
-    seen = F.when(F.col("outcome").isin("live", "dead"), now).otherwise(F.col("verified_at"))
-    dead = F.when(F.col("dead_at").isNotNull(), F.col("dead_at")).when((F.col("outcome") == "dead") & (failures >= STRIKES), now)
-    return out.select("release_id", "url", failures.cast("int").alias("verify_failures"), seen.alias("verified_at"), dead.alias("dead_at"))
+    known = {"dead_reason": links, "reason": outcomes}
+    for name, rows in known.items():
+        known[name] = rows if name in rows.columns else rows.withColumn(name, F.lit(None).cast("string"))
+    out = known["dead_reason"].join(known["reason"].select("release_id", "url", "outcome", "reason"), ["release_id", "url"], "left")
+    live, dead = F.col("outcome") == "live", F.col("outcome") == "dead"
+    failures = F.when(live, 0).when(dead, F.col("verify_failures") + 1).otherwise(F.col("verify_failures"))
+    buried, old = dead & (failures >= STRIKES), F.col("dead_at").isNotNull()
+    return out.select(
+        "release_id",
+        "url",
+        failures.cast("int").alias("verify_failures"),
+        F.when(live, now).otherwise(F.col("verified_at")).alias("verified_at"),
+        F.when(old, F.col("dead_at")).when(buried, now).alias("dead_at"),
+        F.when(old, F.col("dead_reason")).when(buried, F.coalesce("reason", F.lit(LOST))).alias("dead_reason"),
+    )
 
 
 def requeued(releases: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.functions.parse import canonical_url
+from almanac.functions.urls import same_page
+
 
 def by_keys(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose key is listed; a list of any length."""
@@ -83,3 +86,12 @@ def roster(text: Column) -> Column:
     """Entities of a roster in JSON: slug, name, count; entries without a slug are left out."""
     parsed = F.from_json(text, "array<struct<slug: string, name: string, count: long>>")
     return F.filter(parsed, lambda x: F.coalesce(x["slug"], F.lit("")) != "")
+
+
+def of_release(pages: DataFrame, asked: str, page: str, reached: str) -> DataFrame:
+    """Detail pages that are of the release asked for: by the address that they claim, else by the one that was reached.
+
+    A page that claims another address is refused, as is one without a claim that a request was led away to.
+    """
+    claim = canonical_url(F.col(page))
+    return pages.where(F.when(claim.isNotNull(), same_page(F.col(asked), claim)).otherwise(F.coalesce(same_page(F.col(asked), F.col(reached)), F.lit(True))))

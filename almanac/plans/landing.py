@@ -208,10 +208,29 @@ def rosters(spark, sf_dir):
     return entries.join(region, "r_regionkey").select("r_regionkey", F.inline(lookup.roster(C("roster")))).withColumnRenamed("count", "n")
 
 
-@query("SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '')) AS loose, starts_with(url, 'https://') AND regexp_matches(url, '^https://[^/?#]*example\\.(org|com)([/?#]|$)') AS allowed, false AS shaped FROM pages")
+@query(r"""SELECT page_id, form, CASE WHEN form = 2 THEN 'a.' ELSE '' END || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/$', '')) AS loose,
+form <= 1 AND regexp_matches(url, '^https://(www\.)?example\.(org|com)([/?#]|$)') AS allowed, false AS shaped FROM (SELECT page_id, url, unnest(range(5))::INT AS form FROM (SELECT page_id, regexp_replace(url, '://(?:[^/?#]*\.)?(example\.[a-z]+)', '://\1') AS url FROM pages))""")
 def url_checks(spark, sf_dir):
+    """Addresses as they are, on the usual port, and, never allowed, on a sub-domain, under a user's name, on another port."""
     (pages,) = tables(spark, sf_dir, "pages")
-    return pages.select("page_id", urls.loose_url(C("url")).alias("loose"), urls.allowed_host(C("url"), ["example.org", "example.com"]).alias("allowed"), urls.has_shape(C("url"), "other.example", "/.*").alias("shaped"))
+    pages = pages.withColumn("url", F.regexp_replace("url", r"://(?:[^/?#]*\.)?(example\.[a-z]+)", "://$1"))
+    spelled = lambda host: F.regexp_replace("url", "^([a-z]+)://([^/?#]+)", f"$1://{host}")
+    port = F.when(C("url").startswith("https"), spelled("$2:443")).otherwise(C("url"))
+    rows = pages.select("page_id", F.posexplode(F.array(C("url"), port, spelled("a.$2"), spelled("me@$2"), spelled("$2:8443"))).alias("form", "url"))
+    return rows.select("page_id", "form", urls.loose_url(C("url")).alias("loose"), urls.allowed_host(C("url"), ["example.org", "example.com"]).alias("allowed"), urls.has_shape(C("url"), "other.example", "/.*").alias("shaped"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'accepted' WHEN 1 THEN 'accepted' WHEN 2 THEN 'refused' WHEN 3 THEN 'accepted' ELSE 'refused' END = 'accepted' AS accepted FROM pages""")
+def detail_pages(spark, sf_dir):
+    """Detail pages that say they are the release asked for, another one, or nothing, where the address reached counts."""
+    (pages,) = tables(spark, sf_dir, "pages")
+    n = C("page_id") % 5
+    head = F.when(n == 0, F.concat(F.lit('<link rel="canonical" href="'), "url", F.lit('">'))).when(n == 1, F.concat(F.lit("<meta property='og:url' content='"), F.upper("url"), F.lit("'>"))).when(n == 2, '<link rel="canonical" href="https://other.example/x">').otherwise("")
+    reached = F.when(n == 4, F.concat(F.lit("https://away.example/"), C("page_id").cast("string"))).otherwise(C("url"))
+    bare = F.regexp_replace("html", "(?is)<(link|meta)\\b[^>]*>", "")
+    rows = pages.select("page_id", "url", F.concat(head, bare).alias("page"), reached.alias("reached"))
+    kept = lookup.of_release(rows, "url", "page", "reached").select("page_id", F.lit(True).alias("accepted"))
+    return pages.select("page_id").join(kept, "page_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
 # --- classification
@@ -226,15 +245,17 @@ def verdict_audits(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'definitive' WHEN 'view' THEN 'ok' ELSE 'inconclusive' END AS http, CASE WHEN event_type = 'error' THEN 'attention' WHEN event_id % 2 = 0 THEN 'waiting' ELSE 'healthy' END AS card,
-CASE WHEN event_id % 3 = 0 AND event_type = 'view' THEN 'live' WHEN event_id % 3 = 1 AND event_type = 'view' THEN 'dead' ELSE 'inconclusive' END AS api FROM events""")
+CASE WHEN event_id % 5 = 0 AND event_type = 'view' THEN 'live' WHEN event_id % 5 = 1 AND event_type = 'view' THEN 'dead' WHEN event_id % 5 = 4 AND event_type = 'view' AND user_id = 1 THEN 'live' ELSE 'inconclusive' END AS api FROM events""")
 def event_states(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
     status = F.when(C("event_type") == "error", 410).when(C("event_type") == "view", 200).otherwise(503)
     kind = F.when(C("event_type") == "error", "failing").otherwise("ok")
-    n = C("event_id") % 3
-    body = F.when(n == 0, C("props")).when(n == 1, " [ ] ").otherwise("<html>")
+    n = C("event_id") % 5
+    record = lambda x: F.to_json(F.struct(F.concat(F.lit("u"), x.cast("string")).alias("id"), "props"))
+    # the record itself, none, a challenge page, a number for an id, the record of user 1
+    body = F.when(n == 0, F.concat(F.lit("["), record(C("user_id")), F.lit(', {"id":"x"}]'))).when(n == 1, " [ ] ").when(n == 2, "<html>").when(n == 3, F.to_json(F.struct(C("user_id").alias("id")))).otherwise(record(F.lit(1)))
     content = F.when(n == 2, "text/html").otherwise("application/json")
-    return events.select("event_id", classify.http_class(status).alias("http"), classify.card_state(kind, C("event_id") % 2).alias("card"), classify.link_outcome(F.lit("api"), status, content, body).alias("api"))
+    return events.select("event_id", classify.http_class(status).alias("http"), classify.card_state(kind, C("event_id") % 2).alias("card"), classify.link_outcome(F.lit("api"), status, content, body, F.concat(F.lit("u"), C("user_id").cast("string"))).alias("api"))
 
 
 # --- lookups and the store
@@ -500,16 +521,18 @@ def snapshot_refresh(spark, sf_dir):
     return feeds.refreshed(old, listing, "page", "id", False)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS verify_failures, l_returnflag = 'R' AS dead FROM lineitem")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'A' THEN 0 WHEN l_returnflag = 'N' THEN k ELSE k + 1 END AS verify_failures, CASE WHEN l_returnflag = 'A' THEN '2024-01-02' ELSE '2024-01-01' END AS verified_at,
+l_returnflag = 'R' AND k = 1 AS dead, CASE WHEN l_returnflag = 'R' AND k = 1 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'gone' ELSE 'Link not found' END END AS dead_reason FROM (SELECT *, l_linenumber % 2 AS k FROM lineitem)""")
 def struck_links(spark, sf_dir):
+    """One round over links with no strike or one: a live link alone counts as verified today."""
     (items,) = tables(spark, sf_dir, "lineitem")
     url = F.concat_ws("/", "l_partkey", "l_suppkey", "l_linenumber")
-    none = F.lit(None).cast("timestamp")
+    none = F.lit(None)
     keys = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", C("l_orderkey").alias("release_id"), url.alias("url"))
-    own = keys.dropDuplicates(["release_id", "url"]).select("release_id", "url", F.lit(1).alias("verify_failures"), none.alias("verified_at"), none.alias("dead_at"))
-    outcomes = keys.groupBy("release_id", "url").agg(F.max(F.when(C("l_returnflag") == "R", "dead").when(C("l_returnflag") == "A", "live").otherwise("inconclusive")).alias("outcome"))
-    out = links.struck(own, outcomes, F.lit("2024-01-01").cast("timestamp"))
-    return keys.join(out, ["release_id", "url"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verify_failures", C("dead_at").isNotNull().alias("dead"))
+    own = keys.select("release_id", "url", (C("l_linenumber") % 2).alias("verify_failures"), F.lit("2024-01-01").cast("timestamp").alias("verified_at"), none.cast("timestamp").alias("dead_at"), none.cast("string").alias("dead_reason")).dropDuplicates(["release_id", "url"])
+    outcomes = keys.groupBy("release_id", "url").agg(F.max(F.when(C("l_returnflag") == "R", "dead").when(C("l_returnflag") == "A", "live").otherwise("inconclusive")).alias("outcome"), F.max(F.when(C("l_suppkey") % 2 == 0, "gone")).alias("reason"))
+    out = links.struck(own, outcomes, F.lit("2024-01-02").cast("timestamp"))
+    return keys.join(out, ["release_id", "url"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "verify_failures", F.date_format("verified_at", "yyyy-MM-dd").alias("verified_at"), C("dead_at").isNotNull().alias("dead"), "dead_reason")
 
 
 @query("SELECT o_orderkey, CASE WHEN count(*) FILTER (l_returnflag != 'R') = 0 AND count(l_orderkey) > 0 THEN NULL ELSE o_orderstatus END AS checked_at FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderstatus")

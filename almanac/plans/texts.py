@@ -13,14 +13,17 @@ from almanac.sources import feeds
 
 
 def variants(spark, sf_dir) -> DataFrame:
-    """Pages under their own address and under three other spellings of it."""
+    """Pages under their own address and under five other spellings of it."""
     (pages,) = tables(spark, sf_dir, "pages")
     bare = F.regexp_replace("url", "#.*$", "")
-    forms = F.array(F.col("url"), F.concat(bare, F.lit("#part")), F.regexp_replace(bare, "^https?:", "http:"), F.upper(bare))
+    known = F.regexp_replace(bare, "^(https)://([^/?#]+)", "$1://user:word@$2:443")
+    around = F.regexp_replace(bare, "^([a-z]+://[^/?#]+)", "$1/x/y/./../%2e%2e")
+    forms = F.array(F.col("url"), F.concat(bare, F.lit("#part")), F.regexp_replace(bare, "^https?:", "http:"), F.upper(bare), known, around)
     return pages.select("page_id", F.posexplode(forms).alias("form", "release_url"))
 
 
-VARIANTS = """SELECT page_id, unnest([0, 1, 2, 3]) AS form, unnest([url, regexp_replace(url, '#.*$', '') || '#part', regexp_replace(regexp_replace(url, '#.*$', ''), '^https?:', 'http:'), upper(regexp_replace(url, '#.*$', ''))]) AS release_url FROM pages"""
+#: Forms 4 and 5 name a user, the usual port, and segments that lead back: for SQL they are the bare address.
+VARIANTS = """SELECT page_id, unnest([0, 1, 2, 3, 4, 5]) AS form, unnest([url, regexp_replace(url, '#.*$', '') || '#part', regexp_replace(regexp_replace(url, '#.*$', ''), '^https?:', 'http:'), upper(regexp_replace(url, '#.*$', '')), regexp_replace(url, '#.*$', ''), regexp_replace(url, '#.*$', '')]) AS release_url FROM pages"""
 IDENTITY = r"""SELECT page_id, form, lower(h || CASE WHEN ahead != '' THEN ahead || regexp_replace(slug, '[^A-Za-z0-9]', '', 'g') || substr(p, length(ahead) + length(slug) + 1) ELSE p END || CASE WHEN q = '?' THEN '' ELSE q END) AS identity FROM (
 SELECT *, regexp_extract(p, '^(/(?:[^/]*[^0-9/][^/]*/)*[0-9]+/)([^/]*)', 1) AS ahead, regexp_extract(p, '^(/(?:[^/]*[^0-9/][^/]*/)*[0-9]+/)([^/]*)', 2) AS slug FROM (
 SELECT page_id, form, regexp_extract(release_url, '^[A-Za-z]+://([^/?#]+)', 1) AS h, regexp_replace(regexp_extract(release_url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS p,
@@ -208,7 +211,7 @@ def identity_tier(spark, sf_dir):
 def link_outcomes(spark, sf_dir):
     (events,) = tables(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", 404).when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 503)
-    return events.select("user_id", "event_id", classify.link_outcome(F.lit("page"), status, F.lit(None).cast("string"), F.lit("")).alias("outcome"))
+    return events.select("user_id", "event_id", classify.link_outcome(F.lit("page"), status, F.lit(None).cast("string"), F.lit(""), F.lit("")).alias("outcome"))
 
 
 @query("SELECT p_partkey, lower(replace(p_name, ' ', '-')) AS slug, upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS initials FROM part")
