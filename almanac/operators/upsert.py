@@ -161,5 +161,8 @@ class VersionedTable:
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": n}).encode()))
         out.close()
-        self._fs.rename(draft, self._path(f"{self.root}/current-{n}.json"))
+        # a name that is taken means that another writer was first: its version counts, and this one never does
+        pointer = self._path(f"{self.root}/current-{n}.json")
+        if self._fs.exists(pointer) or not self._fs.rename(draft, pointer):
+            raise FileExistsError(f"version {n} of {self.root} was written by another, or its pointer cannot be made")
         return n

@@ -294,11 +294,15 @@ def order_observations(spark, sf_dir) -> DataFrame:
     return orders.select(C("o_custkey").alias("cluster"), C("o_orderstatus").alias("provider"), C("o_orderkey").alias("record"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), C("o_totalprice").alias("price"), F.to_date("o_orderdate").alias("released"))
 
 
-@query("""SELECT o_custkey AS cluster, arg_min(o_totalprice, (left(o_orderpriority, 1)::INT, o_orderstatus, o_orderkey)) AS price, arg_min(o_orderstatus, (left(o_orderpriority, 1)::INT, o_orderstatus, o_orderkey)) AS price_from,
-strftime(min(o_orderdate), '%Y-%m-%d') AS released, arg_min(o_orderstatus, (o_orderdate::DATE, left(o_orderpriority, 1)::INT, o_orderstatus, o_orderkey)) AS released_from, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ', ') AS providers FROM orders GROUP BY 1""")
+@query("""WITH o AS (SELECT o_custkey AS cluster, o_orderstatus AS provider, o_orderdate::DATE AS released, (left(o_orderpriority, 1)::INT, o_orderstatus, o_orderkey) AS r, o_totalprice AS price, o_custkey % 3 != 0 AS titled, o_custkey % 7 + CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE o_orderkey % 2 END AS seconds FROM orders),
+c AS (SELECT *, titled AND min(nullif(seconds, 0)) OVER w = max(nullif(seconds, 0)) OVER w AS old FROM o WINDOW w AS (PARTITION BY cluster))
+SELECT cluster, arg_min(price, r) AS price, arg_min(provider, r) AS price_from, strftime(CASE WHEN bool_and(old) THEN min(released) ELSE arg_min(released, r) END, '%Y-%m-%d') AS released, CASE WHEN bool_and(old) THEN arg_min(provider, (released, r)) ELSE arg_min(provider, r) END AS released_from FROM c GROUP BY 1""")
 def oldest_dates(spark, sf_dir):
-    out = reconcile.merged(order_observations(spark, sf_dir), {"price": "double", "released": "date"}, date="released")
-    return out.withColumn("released", C("released").cast("string"))
+    """Clusters of which some are titled and some of those agree on the duration: only there the oldest date counts."""
+    n = C("cluster")
+    rows = order_observations(spark, sf_dir).withColumns({"titled": n % 3 != 0, "seconds": n % 7 + F.when(n % 2 == 0, 1).otherwise(C("record") % 2)})
+    out = reconcile.merged(rows, {"price": "double", "released": "date", "seconds": "bigint"}, duration="seconds", oldest="released")
+    return out.select("cluster", "price", "price_from", C("released").cast("string").alias("released"), "released_from")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'page' WHEN o_orderkey % 5 = 1 THEN 'prior' ELSE 'current' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS sources FROM orders")
@@ -367,7 +371,7 @@ def history_links(spark, sf_dir):
 
 
 STORE = """WITH o AS (SELECT n_regionkey * 100 + s_suppkey % 40 AS cluster, CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS provider, s_suppkey AS record, s_acctbal AS price FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-m AS (SELECT cluster, min(record) AS canonical FROM o GROUP BY 1 HAVING count(*) >= 2 AND count(*) = count(DISTINCT provider)),
+m AS (SELECT cluster, min(record) AS canonical FROM o GROUP BY 1 HAVING count(*) = 1 OR cluster % 4 = 0 OR cluster % 4 = 1 AND count(DISTINCT provider) >= 2 AND count(*) = count(DISTINCT provider) OR cluster % 4 > 1 AND bool_and(record % 3 > 0) OR count(*) = count(DISTINCT provider) AND count(*) >= 2),
 i AS (SELECT record, coalesce(canonical, record) AS release FROM o LEFT JOIN m USING (cluster))"""
 
 
@@ -377,6 +381,8 @@ def reconciled_store(spark, sf_dir):
     suppliers, nation = tables(spark, sf_dir, "supplier", "nation")
     key = C("s_suppkey")
     rows = suppliers.join(nation, C("s_nationkey") == C("n_nationkey")).select((C("n_regionkey") * 100 + key % 40).alias("cluster"), F.when(key % 3 == 0, "a").when(key % 3 == 1, "b").otherwise("c").alias("provider"), key.alias("record"), key.alias("release_id"), F.lit(0).alias("priority"), C("s_acctbal").alias("price"), F.lit(True).alias("established"), F.lit(0).alias("live"))
+    # clusters by URL, by title, and such of which some records have no URL
+    rows = rows.withColumns({"titled": C("cluster") % 4 == 1, "linked": (C("cluster") % 4 < 2) | (C("record") % 3 > 0)})
     releases, observations, found, deleted = reconcile.reconciled_store(rows, histories(spark, sf_dir), {"price": "double"})
     part = lambda df, kind, n: df.select(F.lit(kind).alias("kind"), C("release_id").cast("long").alias("id"), n.cast("double").alias("n"))
     counted = lambda df: df.groupBy("release_id").agg(F.count(F.lit(1)).alias("n"))

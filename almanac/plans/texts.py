@@ -45,20 +45,30 @@ def url_clusters(spark, sf_dir):
 def observations(spark, sf_dir) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), 1)
-    return docs.select(F.md5(F.array_join(words, " ")).alias("cluster"), F.col("source").alias("provider"), F.col("doc_id").alias("record"), F.col("doc_id").cast("string").alias("release_id"), F.substring("source", 4, 9).cast("int").alias("priority"), F.nullif("lang", F.lit("en")).alias("lang"), F.col("n_chars").alias("duration"), (F.col("n_chars") > 2000).alias("established"), F.lit(0).alias("live"))
+    return docs.select(F.md5(F.array_join(words, " ")).alias("cluster"), F.col("source").alias("provider"), F.col("doc_id").alias("record"), F.col("doc_id").cast("string").alias("release_id"), F.substring("source", 4, 9).cast("int").alias("priority"), F.nullif("lang", F.lit("en")).alias("lang"), F.col("n_chars").alias("duration"), (F.col("n_chars") > 2000).alias("established"), F.lit(0).alias("live"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 40).cast("int")).alias("released"))
 
 
-OBSERVATIONS = """SELECT md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS cluster, source AS provider, doc_id AS record, substr(source, 4)::INT AS priority, nullif(lang, 'en') AS lang, n_chars AS duration, n_chars > 2000 AS established FROM documents"""
+OBSERVATIONS = """SELECT md5(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ')) AS cluster, source AS provider, doc_id AS record, substr(source, 4)::INT AS priority, nullif(lang, 'en') AS lang, n_chars AS duration, n_chars > 2000 AS established, DATE '2024-01-01' + (doc_id % 40)::INT AS released, (substr(source, 4)::INT, source, doc_id) AS r FROM documents"""
 
 
-@query(f"""WITH o AS ({OBSERVATIONS}), m AS (SELECT cluster FROM o GROUP BY 1 HAVING count(DISTINCT provider) >= 2 AND count(*) = count(DISTINCT provider))
-SELECT cluster, arg_min(lang, (priority, provider, record)) FILTER (lang IS NOT NULL) AS lang, arg_min(provider, (priority, provider, record)) FILTER (lang IS NOT NULL) AS lang_from,
-arg_min(duration, (priority, provider, record)) AS duration, arg_min(provider, (priority, provider, record)) AS duration_from,
-array_to_string(list_sort(list(DISTINCT provider)), ', ') AS providers,
-arg_min(record, (NOT established, priority, record::VARCHAR)) ::VARCHAR AS canonical_id FROM o JOIN m USING (cluster) GROUP BY 1""")
+LANG_FIRST = ["src3", "src1"]
+
+
+@query(f"""WITH o AS ({OBSERVATIONS}), m AS (SELECT cluster, min(duration) FILTER (duration > 0) AS lo, max(duration) FILTER (duration > 0) AS hi FROM o GROUP BY 1 HAVING count(*) = 1 OR cluster >= '8' OR count(DISTINCT provider) >= 2 AND count(*) = count(DISTINCT provider)),
+p AS (SELECT cluster, string_agg(provider, ', ' ORDER BY r) AS tellers FROM (SELECT cluster, provider, min(r) AS r FROM o WHERE duration > 0 GROUP BY 1, 2) GROUP BY 1),
+l AS (SELECT *, (CASE provider WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END, provider, record) AS first FROM o)
+SELECT cluster, arg_min(lang, first) FILTER (lang IS NOT NULL) AS lang, arg_min(provider, first) FILTER (lang IS NOT NULL) AS lang_from,
+CASE WHEN any_value(lo) IS NULL THEN arg_min(duration, r) WHEN any_value(lo) = any_value(hi) THEN any_value(lo) END AS duration, CASE WHEN any_value(lo) != any_value(hi) THEN any_value(tellers) ELSE arg_min(provider, r) END AS duration_from,
+CASE WHEN any_value(lo) != any_value(hi) THEN any_value(lo) END AS duration_min, CASE WHEN any_value(lo) != any_value(hi) THEN any_value(hi) END AS duration_max, CASE WHEN any_value(lo) != any_value(hi) THEN any_value(hi) - any_value(lo) > 1 END AS duration_review,
+strftime(CASE WHEN cluster < '8' AND any_value(lo) = any_value(hi) THEN min(released) ELSE arg_min(released, r) END, '%Y-%m-%d') AS released, CASE WHEN cluster < '8' AND any_value(lo) = any_value(hi) THEN arg_min(provider, (released, r)) ELSE arg_min(provider, r) END AS released_from,
+arg_min(provider, r) AS lead_provider, arg_min(record, r) AS lead_record, count(*) AS n, count(DISTINCT provider) AS providers, arg_min(record, (NOT established, priority, record::VARCHAR))::VARCHAR AS canonical_id
+FROM l JOIN m USING (cluster) LEFT JOIN p USING (cluster) GROUP BY cluster""")
 def field_merge(spark, sf_dir):
-    merged, _ = reconcile.reconciled(observations(spark, sf_dir), {"lang": "string", "duration": "bigint"})
-    return merged
+    """Documents of the same words as observations of one release, half of the clusters by title, the others by URL."""
+    rows = observations(spark, sf_dir).withColumns({"titled": F.col("cluster") < "8", "linked": F.lit(True)})
+    fields = {"lang": "string", "duration": "bigint", "released": "date"}
+    merged, _ = reconcile.reconciled(rows, fields, priority={"lang": LANG_FIRST}, duration="duration", oldest="released")
+    return merged.withColumn("released", F.col("released").cast("string"))
 
 
 @query(f"""SELECT cluster, CASE WHEN lo = hi THEN lo END AS value, CASE WHEN lo != hi THEN lo END AS min_value, CASE WHEN lo != hi THEN hi END AS max_value, hi - lo > 1 AS review FROM (SELECT cluster, min(duration) AS lo, max(duration) AS hi FROM ({OBSERVATIONS}) WHERE duration > 0 GROUP BY 1)""")

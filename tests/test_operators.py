@@ -58,10 +58,22 @@ def test_multipart_is_all_or_nothing(spark):
 def test_merge(spark):
     rows = [("c", "b", "1", "i1", 2, None, 10, D(2026, 1, 2), True, 0), ("c", "a", "1", "i2", 1, "", 12, D(2026, 1, 1), False, 3), ("d", "a", "1", "i3", 1, "x", 5, D(2026, 1, 1), False, 0), ("d", "a", "2", "i4", 1, "y", 6, D(2026, 1, 1), False, 0)]
     df = spark.createDataFrame(rows, "cluster string, provider string, record string, release_id string, priority int, title string, n int, released date, established boolean, live int")
-    out, ids = reconcile.reconciled(df, {"title": "string", "n": "int", "released": "date"}, date="released")
+    fields = {"title": "string", "n": "int", "released": "date"}
+    out, ids = reconcile.reconciled(df.withColumn("titled", F.lit(True)), fields, duration="n", oldest="released")
     (r,) = out.collect()
-    assert (r.title, r.n, r.n_from, r.released, r.providers, r.canonical_id) == (None, 12, "a", D(2026, 1, 1), "a, b", "i1")
+    assert (r.title, r.n, r.n_min, r.n_max, r.n_review, r.n_from, r.providers, r.canonical_id) == (None, None, 10, 12, True, "a, b", 2, "i1")
+    assert (r.lead_provider, r.lead_record, r.released, r.released_from) == ("a", "1", D(2026, 1, 1), "a")
     assert {tuple(x) for x in ids.collect()} == {("i1", "i1"), ("i2", "i1")}
+    # two records of one provider merge under one URL, and a single one is a release
+    out, ids = reconcile.reconciled(df.withColumn("linked", F.lit(True)), fields, priority={"title": ["b", "a"], "n": ["b"]})
+    got = {r.cluster: (r.title, r.title_from, r.n, r.n_from, r.canonical_id) for r in out.collect()}
+    assert got == {"c": (None, None, 10, "b", "i1"), "d": ("x", "a", 5, "a", "i3")}
+    single = reconcile.reconciled(df.where("release_id = 'i3'"), fields)[0].collect()
+    assert [(r.title, r.canonical_id) for r in single] == [("x", "i3")]
+    # the oldest date counts where all are titled and agree on the duration
+    same = df.where("cluster = 'c'").withColumns({"n": F.lit(7), "titled": F.lit(True), "released": F.date_sub("released", F.when(F.col("provider") == "b", 9).otherwise(0))})
+    assert [(r.n, r.n_min, r.released, r.released_from) for r in reconcile.merged(same, fields, duration="n", oldest="released").collect()] == [(7, None, D(2025, 12, 24), "b")]
+    assert [r.released_from for r in reconcile.merged(same.withColumn("titled", F.lit(False)), fields, duration="n", oldest="released").collect()] == ["a"]
     c = {r.cluster: (r.value, r.min_value, r.max_value, r.review) for r in reconcile.consensus(df, "cluster", "n").collect()}
     assert c == {"c": (None, 10, 12, True), "d": (None, 5, 6, False)}
 
