@@ -132,6 +132,29 @@ def split_names(text: Column) -> Column:
     return distinct_names(F.split(F.coalesce(text, F.lit("")), r"(?i),|\s+(?:and|&)\s+"))
 
 
+#: References that names are written with, decoded in this order.
+NAME_REFERENCES = (("&amp;", "&"), ("&#39;", "'"), ("&#x27;", "'"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def listed_names(value: Column) -> Column:
+    """Names of a JSON value: a text, an object's ``name``, or a list of either; texts are split, references decoded."""
+    own = F.try_parse_json(value)
+    of = lambda x, kind: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False))
+    entries = F.when(of(own, "ARRAY"), F.try_variant_get(own, "$", "array<variant>")).otherwise(F.array(own))
+    none = F.array().cast("array<string>")
+
+    def names(x: Column) -> Column:
+        name = F.try_variant_get(x, "$.name", "string")
+        return F.when(of(x, "STRING"), F.split(F.try_variant_get(x, "$", "string"), r"(?i),|\s+(?:and|&)\s+")).when(of(x, "OBJECT") & name.isNotNull(), F.array(name)).otherwise(none)
+
+    def clean(x: Column) -> Column:
+        for reference, char in NAME_REFERENCES:
+            x = F.regexp_replace(x, f"(?i){reference}", char)
+        return x
+
+    return distinct_names(F.transform(F.flatten(F.transform(F.filter(entries, lambda x: x.isNotNull()), names)), clean))
+
+
 def absolute_url(path: Column, base: str) -> Column:
     return F.when(path.rlike("(?i)^https?://"), path).when(path.startswith("//"), F.concat(F.lit("https:"), path)).when(path.startswith("/"), F.concat(F.lit(base), path))
 

@@ -59,7 +59,7 @@ def merged(
     in ``<duration>_from``.  The date ``oldest`` is the oldest one where all observations are ``titled``
     and their durations agree.  ``picks`` adds (order, value) pairs: the value of the first row.
 
-    ``n`` and ``providers`` count observations and providers.  Two aggregates, by provider and then by
+    ``observations`` and ``providers`` count what there is of either.  Two aggregates, by provider and then by
     cluster: no cluster is gathered, and lists hold one entry a provider.
     """
     first, names = F.struct(*order), list(fields)
@@ -68,7 +68,7 @@ def merged(
         listed = (priority or {}).get(name)
         place = F.array_position(F.array(*map(F.lit, listed)), F.col("provider")) if listed else None
         by = first if place is None else F.struct(F.when(place > 0, place).otherwise(len(listed) + 1), "provider", "record")
-        low[f"_{name}"] = F.when(present(F.col(name), kind), F.struct(by.alias("by"), F.col(name).alias("value"), F.col("provider").alias("who")))
+        low[f"_of_{name}"] = F.when(present(F.col(name), kind), F.struct(by.alias("by"), F.col(name).alias("value"), F.col("provider").alias("who")))
     if oldest:
         low["_oldest"] = F.when(F.col(oldest).isNotNull(), F.struct(F.struct(F.col(oldest).alias("date"), first.alias("by")).alias("by"), F.col(oldest).alias("value"), F.col("provider").alias("who")))
     for name, (by, value) in (picks or {}).items():
@@ -77,7 +77,7 @@ def merged(
     titled = F.col("titled") if "titled" in rows.columns else F.lit(False)
     one = rows.groupBy(key, "provider").agg(
         *(F.min(c).alias(name) for name, c in low.items()),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("_n"),
         F.min(measured).alias("_low"),
         F.max(measured).alias("_high"),
         F.min(F.when(measured.isNotNull(), first)).alias("_first"),
@@ -86,7 +86,7 @@ def merged(
     told = F.sort_array(F.collect_list(F.when(F.col("_first").isNotNull(), F.struct(F.col("_first").alias("by"), F.col("provider").alias("who")))))
     out = one.groupBy(key).agg(
         *(F.min(name).alias(name) for name in low),
-        F.sum("n").alias("n"),
+        F.sum("_n").alias("observations"),
         F.count(F.lit(1)).alias("providers"),
         F.min("_low").alias("_low"),
         F.max("_high").alias("_high"),
@@ -96,7 +96,7 @@ def merged(
     agree, measured = F.col("_low") == F.col("_high"), F.col("_low").isNotNull()
     columns = []
     for name in names:
-        value, who = F.col(f"_{name}.value"), F.col(f"_{name}.who")
+        value, who = F.col(f"_of_{name}.value"), F.col(f"_of_{name}.who")
         if name == duration:
             value = F.when(~measured, value).when(agree, F.col("_low"))
             who = F.when(measured & ~agree, F.array_join(F.col("_told.who"), ", ")).otherwise(who)
@@ -108,7 +108,7 @@ def merged(
         range_of = {"min": F.when(~agree, F.col("_low")), "max": F.when(~agree, F.col("_high")), "review": F.when(~agree, F.col("_high") - F.col("_low") > 1)}
         columns += [c.alias(f"{duration}_{name}") for name, c in range_of.items()]
     lead = [F.col("_lead.value.provider").alias("lead_provider"), F.col("_lead.value.record").alias("lead_record")]
-    return out.select(key, *columns, *lead, "n", "providers", *(F.col(f"_pick_{name}.value").alias(name) for name in picks or {}))
+    return out.select(key, *columns, *lead, "observations", "providers", *(F.col(f"_pick_{name}.value").alias(name) for name in picks or {}))
 
 
 def consensus(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -151,7 +151,7 @@ def reconciled(rows: DataFrame, fields: dict[str, str], **how) -> tuple[DataFram
     """
     loose = F.lit(True) if "linked" not in rows.columns else ~F.col("linked") | (F.col("titled") if "titled" in rows.columns else F.lit(False))
     firsts = {"canonical_id": (canonical_order(), F.col("release_id")), "_linked": (F.struct((~loose).alias("a")), ~loose)}
-    out = merged(rows, fields, picks=firsts, **how).where("n = 1 or _linked or (providers >= 2 and n = providers)").drop("_linked")
+    out = merged(rows, fields, picks=firsts, **how).where("observations = 1 or _linked or (providers >= 2 and observations = providers)").drop("_linked")
     ids = rows.select("cluster", "release_id").distinct().join(out.select("cluster", "canonical_id"), "cluster")
     return out, ids.select("release_id", "canonical_id")
 

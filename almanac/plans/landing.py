@@ -275,11 +275,31 @@ def suffix_releases(spark, sf_dir):
     return lookup.suffix_owners(own, items.where("l_returnflag = 'R'").select(C("l_orderkey").alias("record")))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey, p_partkey AS code, NULL::INT AS tier, 'high' AS confidence FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_size <= 10")
+@query("""WITH c AS (SELECT l_partkey * 100000 + l_suppkey AS code, l_orderkey, l_linenumber, l_extendedprice AS duration, CASE WHEN l_suppkey % 2 = 0 THEN 'one' ELSE l_returnflag END AS publisher, l_orderkey % 5 != 0 AS sound, l_returnflag = 'R' AS dead,
+CASE l_orderkey % 9 WHEN 0 THEN NULL ELSE l_linenumber END AS number FROM lineitem),
+g AS (SELECT code, count(*) >= 2 AND count(DISTINCT publisher) = 1 AND count(DISTINCT duration) = count(*) AND count(DISTINCT number) = count(*) AS multi FROM c GROUP BY 1)
+SELECT code AS release_id, l_orderkey, l_linenumber, CASE WHEN multi THEN number END::BIGINT AS part, NULL::INT AS tier, 'high' AS confidence FROM c JOIN g USING (code) WHERE sound AND NOT dead""")
 def exact_code_lane(spark, sf_dir):
-    part, items = tables(spark, sf_dir, "part", "lineitem")
-    releases = part.where("p_size <= 10").select(C("p_partkey").alias("code"))
-    return matching.exact_code(releases, items.select(C("l_partkey").alias("code"), "l_orderkey", "l_linenumber", "l_suppkey"))
+    """Line items as uploads that carry the code of part and supplier; some addresses are no watch pages, some are dead."""
+    (items,) = tables(spark, sf_dir, "lineitem")
+    code, own, n = C("l_partkey") * 100000 + C("l_suppkey"), F.concat("l_orderkey", F.lit("x"), "l_linenumber"), C("l_linenumber").cast("string")
+    url = F.concat(F.when(C("l_orderkey") % 5 == 0, "https://tube.example/hd/").otherwise("https://tube.example/video-"), own, F.lit("/"))
+    title = F.when(C("l_orderkey") % 9 == 0, F.concat(F.lit("part "), n, F.lit(" and part "), (C("l_linenumber") + 1).cast("string"))).when(C("l_orderkey") % 2 == 0, F.concat(F.lit("Show Part ["), n, F.lit("]"))).otherwise(F.concat(F.lit("x "), code.cast("string"), F.lit("_"), n))
+    publisher = F.when(C("l_suppkey") % 2 == 0, "one").otherwise(C("l_returnflag"))
+    rows = items.select(code.alias("code"), "l_orderkey", "l_linenumber", url.alias("url"), title.alias("title"), publisher.alias("publisher"), C("l_extendedprice").alias("duration"), (C("l_returnflag") == "R").alias("dead"))
+    releases = rows.select(C("code").alias("release_id"), "code").distinct()
+    found = matching.exact_code(releases, rows.drop("dead"), rows.where("dead").select(C("code").alias("release_id"), "url"), urls.has_shape(C("url"), "tube.example", "/video-[0-9x]+/"))
+    return found.select("release_id", "l_orderkey", "l_linenumber", "part", "tier", "confidence")
+
+
+@query("""SELECT p_partkey, array_to_string(CASE p_partkey % 5 WHEN 0 THEN [p_name, p_brand] WHEN 1 THEN [p_name || ' & Co''s "x"'] WHEN 2 THEN [p_name, p_type, p_brand, '7'] WHEN 3 THEN [p_name] ELSE [] END, '|') AS names FROM part""")
+def listed_names(spark, sf_dir):
+    (rows,) = tables(spark, sf_dir, "part")
+    n, text_of = C("p_partkey") % 5, lambda *parts: F.to_json(F.array(F.concat(*parts)))
+    named = F.to_json(F.struct(F.concat("p_name", F.lit(" &amp; Co&#39;s &QUOT;x&quot; ")).alias("name")))
+    mixed = F.concat(F.lit('["'), "p_name", F.lit(' and "'), F.lit(',{"name":"'), "p_type", F.lit('"},3,null,["x"],{"name":"'), "p_brand", F.lit('"},"'), "p_name", F.lit('",{"name":7}]'))
+    value = F.when(n == 0, F.concat(F.lit('"'), "p_name", F.lit(", "), "p_brand", F.lit(' & "'))).when(n == 1, named).when(n == 2, mixed).when(n == 3, text_of("p_name")).otherwise("12")
+    return rows.select("p_partkey", F.array_join(parse.listed_names(value), "|").alias("names"))
 
 
 @query("SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'REGION_' || n_regionkey ELSE n_name END AS label FROM nation")

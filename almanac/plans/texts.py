@@ -61,7 +61,7 @@ SELECT cluster, arg_min(lang, first) FILTER (lang IS NOT NULL) AS lang, arg_min(
 CASE WHEN any_value(lo) IS NULL THEN arg_min(duration, r) WHEN any_value(lo) = any_value(hi) THEN any_value(lo) END AS duration, CASE WHEN any_value(lo) != any_value(hi) THEN any_value(tellers) ELSE arg_min(provider, r) END AS duration_from,
 CASE WHEN any_value(lo) != any_value(hi) THEN any_value(lo) END AS duration_min, CASE WHEN any_value(lo) != any_value(hi) THEN any_value(hi) END AS duration_max, CASE WHEN any_value(lo) != any_value(hi) THEN any_value(hi) - any_value(lo) > 1 END AS duration_review,
 strftime(CASE WHEN cluster < '8' AND any_value(lo) = any_value(hi) THEN min(released) ELSE arg_min(released, r) END, '%Y-%m-%d') AS released, CASE WHEN cluster < '8' AND any_value(lo) = any_value(hi) THEN arg_min(provider, (released, r)) ELSE arg_min(provider, r) END AS released_from,
-arg_min(provider, r) AS lead_provider, arg_min(record, r) AS lead_record, count(*) AS n, count(DISTINCT provider) AS providers, arg_min(record, (NOT established, priority, record::VARCHAR))::VARCHAR AS canonical_id
+arg_min(provider, r) AS lead_provider, arg_min(record, r) AS lead_record, count(*) AS observations, count(DISTINCT provider) AS providers, arg_min(record, (NOT established, priority, record::VARCHAR))::VARCHAR AS canonical_id
 FROM l JOIN m USING (cluster) LEFT JOIN p USING (cluster) GROUP BY cluster""")
 def field_merge(spark, sf_dir):
     """Documents of the same words as observations of one release, half of the clusters by title, the others by URL."""
