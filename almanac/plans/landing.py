@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse, text, urls
 from almanac.operators import links, lookup, matching, readmodel, reconcile, upsert
+from almanac.operators.staging import scratch_path
 from almanac.plans.registry import query, tables
-from almanac.sources import feeds
+from almanac.sources import feeds, landed
+from almanac.streaming import cycle
 
 C = F.col
 
@@ -539,6 +541,38 @@ def cursor_records(spark, sf_dir):
     return feeds.distinct_records(items.select(C("l_suppkey").alias("id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("ordinal")), "id", "ordinal")
 
 
+EVENT = "event_id long, user_id long, event_type string, at string, value double"
+
+
+def event_rows(spark, sf_dir) -> DataFrame:
+    (events,) = tables(spark, sf_dir, "events")
+    return events.select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "value")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE ts >= '2024-01-05' AND ts < '2024-01-20 12:00:00' AND event_type != 'view'")
+def feed_window(spark, sf_dir):
+    """All events landed as a paged feed, and read up to the edges of a window."""
+    folder = scratch_path(spark, "feed")
+    landed.land(event_rows(spark, sf_dir), folder, "at", "event_id")
+    rows = landed.feed(spark, folder, EVENT, date="at", key="event_id")
+    return rows.where("at >= '2024-01-05' and at < '2024-01-20 12:00:00' and event_type != 'view'").select("event_id", "user_id", "value")
+
+
+@query("SELECT event_id, user_id, CASE WHEN ts < '2024-01-10' THEN 0 WHEN ts < '2024-01-20' THEN 1 ELSE 2 END::BIGINT AS batch FROM events")
+def feed_growth(spark, sf_dir):
+    """A feed that is scanned three times while it grows, as a stream: each batch has what its scan has that is new."""
+    folder, out = scratch_path(spark, "scans"), scratch_path(spark, "stream")
+    events, stream = event_rows(spark, sf_dir), landed.feed_stream(spark, folder, EVENT, date="at", key="event_id")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")  # a batch that is repeated replaces itself
+
+    for scan, end in enumerate(("2024-01-10", "2024-01-20", "9999"), 1):
+        landed.land(events.where(C("at") < end), f"{folder}/scan={scan}", "at", "event_id")
+        cycle.run_cycle(stream, f"{out}/checkpoint", keep).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "user_id", C("batch").cast("long").alias("batch"))
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 10 < 4 THEN 'new' ELSE 'old' END AS state FROM part")
 def snapshot_refresh(spark, sf_dir):
     (part,) = tables(spark, sf_dir, "part")

@@ -220,10 +220,24 @@ def page_gaps(rows: DataFrame, page: str) -> DataFrame:
 
 
 def whole_cursors(pages: DataFrame, most: int = 1000) -> DataFrame:
-    """Pages (cursor, next_cursor) of one walk: no cursor twice, not too many, and one that ends it."""
-    facts = pages.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cursor").alias("distinct"), F.count_if(F.col("next_cursor").isNull()).alias("ends"))
-    problem = F.when(F.col("n") > most, "too many pages").when(F.col("n") != F.col("distinct"), "a cursor is repeated").when(F.col("ends") != 1, "the walk does not end")
-    ensure(facts, problem)
+    """Pages (cursor, next_cursor) of one walk: from the first one, which none names, over all of them to the end.
+
+    Not too many, no cursor twice, none that leads back or nowhere.  At most ``most`` pairs reach the driver.
+    """
+    walk = pages.select("cursor", "next_cursor").limit(most + 1).collect()
+    following = dict(map(tuple, walk))
+    if len(walk) > most:
+        raise FeedError("too many pages")
+    if len(following) < len(walk):
+        raise FeedError("a cursor is repeated")
+    first = [x for x in following if x not in set(following.values())]
+    if walk and len(first) != 1:
+        raise FeedError("the walk has no beginning, or several")
+    at, steps = (first or [None])[0], 0
+    while at in following:
+        at, steps = following[at], steps + 1
+    if at is not None or steps != len(walk):
+        raise FeedError("the walk does not reach all pages, or does not end")
     return pages
 
 

@@ -140,19 +140,50 @@ def test_strikes_in_batch(spark):
 
 
 def test_strikes_as_a_stream(spark, tmp_path):
-    source = str(tmp_path / "in")
-    schema = "link long, at long, outcome string"
-    got = {}
+    source, schema, got, due = str(tmp_path / "in"), "link long, at timestamp, outcome string", {}, []
+    day = lambda n: T(2026, 1, n)
 
     def apply(batch, _):
-        got.update({r.link: (r.strikes, r.dead, r.dead_at) for r in batch.collect()})
+        for r in batch.collect():
+            if r.due_at is None:
+                got[r.link] = (r.strikes, r.dead, r.dead_at and r.dead_at.day)
+            else:
+                due.append((r.link, r.due_at))
+
+    for name, value in cycle.STORE.items():
+        spark.conf.set(name, value)
+    try:
+        for at in (1, 2, 3, 4, 9):
+            rows = [(link, day(n), outcome) for link, n, outcome in (CHECKS if at < 9 else [(7, 9, "live")]) if n == at]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = cycle.strike_states(spark.readStream.schema(schema).parquet(source))
+            query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(apply).start()
+            query.awaitTermination(120)
+    finally:
+        for name in cycle.STORE:
+            spark.conf.unset(name)
+    assert got == {**STATES, 7: (0, False, None)}
+    # 1 died on day 3; 3 and 4 were checked on day 1 alone, 2 on days 1 to 3
+    assert set(due) == {(3, day(2)), (4, day(2)), (2, day(4))}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_strikes_of_a_batch_equal_the_loop(seed):
+    import random
 
-    for at in (1, 2, 3, 4):
-        spark.createDataFrame([c for c in CHECKS if c[1] == at], schema).coalesce(1).write.mode("append").parquet(source)
-        stream = cycle.strike_states(spark.readStream.schema(schema).parquet(source))
-        query = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(apply).start()
-        query.awaitTermination(120)
-    assert got == STATES
+    import numpy as np
+
+    rng = random.Random(seed)
+    for _ in range(300):
+        start, checks = rng.randint(0, 1), [rng.random() < 0.4 for _ in range(rng.randint(0, 8))]
+        strikes, died = start, None
+        for n, dead in enumerate(checks):
+            strikes = strikes + 1 if dead else 0
+            if strikes == links.STRIKES:
+                died = n
+                break
+        found, when = cycle.struck(start, np.arange(len(checks)).astype("datetime64[us]"), np.array(checks, dtype=bool))
+        assert (found, None if when is None else int(when.astype(int))) == (strikes, died)
 
 
 def test_struck_and_requeued(spark):
@@ -277,6 +308,13 @@ def test_feeds(spark, tmp_path):
     assert {(r.id, r.v) for r in feeds.refreshed(snapshot, listing, "page", "id", False).collect()} == {("a", 1), ("b", 1), ("c", 0)}
     with pytest.raises(feeds.FeedError):
         feeds.whole_cursors(spark.createDataFrame([("a", "b"), ("a", None)], "cursor string, next_cursor string"))
+    cursors = lambda rows, **how: feeds.whole_cursors(spark.createDataFrame(rows, "cursor string, next_cursor string"), **how).count()
+    assert cursors([("b", "c"), ("a", "b"), ("c", None)]) == 3 and cursors([]) == 0
+    for bad in ([("a", None), ("b", "c"), ("c", "b")], [("a", "b"), ("b", "c")], [("a", "b"), ("b", "a")], [("a", "c"), ("b", "c"), ("c", None)]):
+        with pytest.raises(feeds.FeedError):
+            cursors(bad)
+    with pytest.raises(feeds.FeedError):
+        cursors([("a", "b"), ("b", None)], most=1)
     with pytest.raises(feeds.FeedError):
         feeds.search_union(spark.createDataFrame([(1, False)], "query int, ok boolean"), spark.createDataFrame([(1, "u", 1)], "query int, url string, ordinal int"))
     results = spark.createDataFrame([("a", 0, 0, False, None), ("b", 0, 0, True, None), ("c", 3, 0, False, None), ("d", 3, 1, False, None)], "f string, fetched int, valid int, verified_empty boolean, error string")
