@@ -53,8 +53,14 @@ def run_status(outcomes: DataFrame, key: str = "run_id") -> DataFrame:
     return outcomes.groupBy(key).agg(F.bool_and("ok").alias("ok"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("ordinal"))).alias("error"))
 
 
+def haystack(columns: list[str]) -> Column:
+    """What a search looks at: the columns' texts in lower case, in one."""
+    return F.lower(F.concat_ws(" ", *columns))
+
+
 def searched(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    return rows.where(F.lower(F.concat_ws(" ", *columns)).contains(query.lower()))
+    """Rows that hold a text, by one pass over all; many searches of the same rows go by postings.Index."""
+    return rows.where(haystack(columns).contains(query.lower()))
 
 
 def month_groups(rows: DataFrame, date: str) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 from almanac.operators.dedupe import first_by
 
@@ -151,18 +153,88 @@ class VersionedTable:
 
     def read(self) -> DataFrame | None:
         n = self.version()
-        return self.spark.read.parquet(f"{self.root}/v{n}") if n else None
+        return self.spark.read.parquet(self._folder(n)) if n else None
+
+    def _folder(self, n: int) -> str:
+        return f"{self.root}/{json.loads(self.spark.read.text(f'{self.root}/current-{n}.json', wholetext=True).first()[0])['folder']}"
 
     def write(self, rows: DataFrame, partition_by: list[str] | None = None) -> int:
-        n = self.version() + 1
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/v{n}")
-        draft = self._path(f"{self.root}/draft-{n}.json")
+        # a folder of its own: two writers of one version never write into each other's
+        n, folder = self.version() + 1, f"v-{uuid.uuid4().hex}"
+        (rows.write.partitionBy(*partition_by) if partition_by else rows.write).parquet(f"{self.root}/{folder}")
+        self._point(n, {"version": n, "folder": folder})
+        return n
+
+    def _point(self, n: int, manifest: dict) -> None:
+        draft = self._path(f"{self.root}/draft-{uuid.uuid4().hex}.json")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": n}).encode()))
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
         # a name that is taken means that another writer was first: its version counts, and this one never does
         pointer = self._path(f"{self.root}/current-{n}.json")
         if self._fs.exists(pointer) or not self._fs.rename(draft, pointer):
             raise FileExistsError(f"version {n} of {self.root} was written by another, or its pointer cannot be made")
+
+
+class BucketedTable(VersionedTable):
+    """A keyed table in buckets by the hash of its keys, of which an upsert rewrites only those that it touches.
+
+    A version is a manifest: the folder of each bucket, and the schema.  New folders are written beside
+    the old ones, which no version ever changes, and the manifest's pointer is made last (see
+    VersionedTable).  The driver handles bucket numbers and folder names, as many as there are buckets.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = 64):
+        super().__init__(spark, root)
+        self.keys, self.buckets = list(keys), buckets
+
+    def manifest(self) -> dict:
+        n = self.version()
+        if not n:
+            return {"version": 0, "keys": self.keys, "buckets": self.buckets, "folders": {}, "schema": None}
+        found = json.loads(self.spark.read.text(f"{self.root}/current-{n}.json", wholetext=True).first()[0])
+        if (found["keys"], found["buckets"]) != (self.keys, self.buckets):
+            raise ValueError(f"{self.root} is kept by {found['keys']} in {found['buckets']} buckets")
+        return found
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame | None:
+        """The rows of the version in force, or of some of its buckets."""
+        now = self.manifest()
+        return self._rows(now, [str(b) for b in buckets] if buckets is not None else list(now["folders"])) if now["schema"] else None
+
+    def lookup(self, keys: DataFrame) -> DataFrame | None:
+        """The rows under ``keys``, out of their buckets alone."""
+        own = self.read(self._touched(keys))
+        return None if own is None else own.join(keys.select(*self.keys).distinct(), self.keys, "left_semi")
+
+    def _rows(self, now: dict, buckets: list[str]) -> DataFrame:
+        schema = StructType.fromJson(now["schema"])
+        folders = [now["folders"][b] for b in buckets if b in now["folders"]]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(row[0] for row in rows.select(self._bucket().alias("b")).distinct().collect())
+
+    def upsert(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> int:
+        """A version with the rows of ``new`` under their keys; ``merge`` says what old and new rows make (upserted by default)."""
+        now = self.manifest()
+        touched = self._touched(new)
+        old = self._rows(now, [str(b) for b in touched]) if now["schema"] else new.limit(0)
+        rows = merge(old, new) if merge else upserted(old, new, self.keys)
+        return self._replace(now, touched, rows)
+
+    def delete(self, gone: DataFrame) -> int:
+        """A version without the rows under the keys of ``gone``."""
+        now, touched = self.manifest(), self._touched(gone)
+        return self._replace(now, touched, self._rows(now, [str(b) for b in touched]).join(gone.select(*self.keys).distinct(), self.keys, "left_anti")) if now["schema"] else 0
+
+    def _replace(self, now: dict, touched: list[int], rows: DataFrame) -> int:
+        n, folder = now["version"] + 1, f"{self.root}/data-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        written = {x.getPath().getName().split("=")[1]: f"{folder}/{x.getPath().getName()}" for x in self._fs.globStatus(self._path(f"{folder}/_bucket=*")) or []}
+        kept = {b: path for b, path in now["folders"].items() if int(b) not in touched}
+        self._point(n, {"version": n, "keys": self.keys, "buckets": self.buckets, "folders": kept | written, "schema": json.loads(rows.schema.json())})
         return n

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse
-from almanac.operators import dedupe, links, lookup, matching, readmodel, reconcile, upsert
+from almanac.operators import dedupe, links, lookup, matching, postings, readmodel, reconcile, upsert
 from almanac.plans.registry import query, tables
 from almanac.sources import feeds
 
@@ -91,6 +91,18 @@ def band_match(spark, sf_dir):
     return band_pairs(spark, sf_dir).select("release_id", "url")
 
 
+@query("""SELECT o_orderkey AS release_id, concat_ws('/', l_orderkey, l_linenumber) AS url FROM (SELECT *, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1.01 WHEN 2 THEN 1.2 ELSE 3 END AS high FROM orders) JOIN lineitem
+ON l_extendedprice BETWEEN o_totalprice - 1 AND high + 1 AND l_shipdate >= o_orderdate - INTERVAL 1 DAY AND l_shipdate < o_orderdate + INTERVAL 3 DAY""")
+def band_ranges(spark, sf_dir):
+    """Releases whose durations are known to the second, roughly, or hardly at all, and uploads within two days."""
+    (items,) = tables(spark, sf_dir, "lineitem")
+    n = F.col("release_id") % 4
+    high = F.col("duration") * F.when(n == 0, 1).when(n == 1, 1.01).when(n == 2, 1.2).otherwise(3).cast("double")
+    left = releases(spark, sf_dir).select("release_id", "released", F.col("duration").alias("low"), high.alias("high"))
+    right = items.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("url"), F.col("l_shipdate").alias("uploaded"), F.col("l_extendedprice").alias("duration"))
+    return matching.band_join(left, right, days=2).select("release_id", "url")
+
+
 def tiered_pairs(spark, sf_dir) -> DataFrame:
     (part,) = tables(spark, sf_dir, "part")
     pairs = band_pairs(spark, sf_dir).join(part.select(F.col("p_partkey").alias("part"), F.col("p_name").alias("stem"), "p_size"), "part")
@@ -281,6 +293,22 @@ def search(spark, sf_dir):
     return readmodel.searched(part, "RED", ["p_name", "p_brand", "p_type"]).select("p_partkey")
 
 
+#: What is searched for: rare and frequent texts, with blanks and marks, a short one, one that stands nowhere.
+TERMS = ["license", "all rights reserved", "the ", "ing the", "@", "private key", "!!", "no such words at all"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{x}' AS term, doc_id FROM documents WHERE contains(lower(concat_ws(' ', text, source)), '{x}')" for x in TERMS))
+def posting_hits(spark, sf_dir):
+    """Documents that hold each of several texts, found in an index of three-letter postings."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    index = postings.Index.of(docs, "doc_id", ["text", "source"])
+    hits = [index.search(x).select(F.lit(x).alias("term"), F.col("key").alias("doc_id")) for x in TERMS]
+    out = hits[0]
+    for more in hits[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query("SELECT o_orderkey AS release_id, o_orderstatus IN ('F', 'O') AS main FROM orders")
 def catalogue_split(spark, sf_dir):
     main, other = readmodel.source_split(releases(spark, sf_dir), "source", ["F", "O"])

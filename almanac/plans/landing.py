@@ -504,6 +504,18 @@ def feed_verdicts(spark, sf_dir):
     return feeds.verified_empty(results).select("user_id", "error")
 
 
+@query("""SELECT o_orderkey AS release_id, CASE WHEN l.price IS NOT NULL THEN l.price ELSE o_totalprice END AS price, l.price IS NOT NULL AS changed FROM orders LEFT JOIN (SELECT l_orderkey, max(l_extendedprice) AS price FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l_orderkey = o_orderkey WHERE o_orderstatus != 'P'""")
+def bucketed_store(spark, sf_dir):
+    """All orders as a bucketed store, after one upsert and one deletion, each of which rewrites the buckets that it touches."""
+    orders, items = tables(spark, sf_dir, "orders", "lineitem")
+    store = upsert.BucketedTable(spark, scratch_path(spark, "store"), ["release_id"], 16)
+    store.upsert(orders.select(C("o_orderkey").alias("release_id"), C("o_totalprice").alias("price"), F.lit(False).alias("changed")))
+    prices = items.where("l_returnflag = 'R'").groupBy(C("l_orderkey").alias("release_id")).agg(F.max("l_extendedprice").alias("price")).withColumn("changed", F.lit(True))
+    store.upsert(prices)
+    store.delete(orders.where("o_orderstatus = 'P'").select(C("o_orderkey").alias("release_id")))
+    return store.read()
+
+
 @query("SELECT s_suppkey, 'all' AS umbrella, s_suppkey % 4 = 0 AS missing FROM supplier")
 def label_policies(spark, sf_dir):
     (rows,) = tables(spark, sf_dir, "supplier")

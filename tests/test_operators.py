@@ -380,3 +380,69 @@ def test_walk_fills_its_budget_in_page_order(spark):
     for bound in (0, 4, 11):
         got = feeds.related_walk(first, frame, bound=bound, nodes=nodes, admits=(F.col("start") + F.col("id")) % 5 != 0)
         assert sorted(tuple(r) for r in got.collect()) == queued(starts, edges, bound, admits)
+
+
+def test_bucketed_store_rewrites_what_it_touches(spark, tmp_path):
+    root = str(tmp_path / "store")
+    store = upsert.BucketedTable(spark, root, ["k"], 8)
+    assert store.read() is None and store.version() == 0
+    rows = lambda ks, v: spark.createDataFrame([(k, v) for k in ks], "k long, v string")
+    store.upsert(rows(range(100), "old"))
+    before = store.manifest()["folders"]
+    names = {b: sorted(p.name for p in (tmp_path / "store").glob(f"data-*/_bucket={b}/*.parquet")) for b in before}
+    store.upsert(rows([5, 200], "new"))
+    after = store.manifest()["folders"]
+    moved = {b for b in before if before[b] != after[b]}
+    assert 1 <= len(moved) <= 2 and len(before) == 8
+    assert all(sorted(p.name for p in (tmp_path / "store").glob(f"data-*/_bucket={b}/*.parquet")) == names[b] for b in set(before) - moved)
+    assert {r.k: r.v for r in store.read().collect()} == {**dict.fromkeys(range(100), "old"), 5: "new", 200: "new"}
+    assert {r.k for r in store.lookup(rows([5, 7, 999], "")).collect()} == {5, 7}
+    store.delete(rows([5, 6], ""))
+    assert store.version() == 3 and {r.k for r in store.read().collect()} == {*range(100), 200} - {5, 6}
+    with pytest.raises(ValueError):
+        upsert.BucketedTable(spark, root, ["k"], 9).read()
+    # a writer that comes second fails, and what it wrote never counts
+    late = upsert.BucketedTable(spark, root, ["k"], 8)
+    stale = late.manifest()
+    store.upsert(rows([300], "first"))
+    with pytest.raises(FileExistsError):
+        late._replace(stale, [0], rows([400], "late"))
+    assert {r.k for r in store.read().where("k >= 300").collect()} == {300}
+
+
+def test_versions_of_two_writers(spark, tmp_path):
+    table = upsert.VersionedTable(spark, str(tmp_path / "t"))
+    table.write(spark.range(3))
+    with pytest.raises(FileExistsError):
+        table._point(1, {"version": 1, "folder": "v-none"})
+    assert table.read().count() == 3 and table.version() == 1
+
+
+def test_search_by_postings(spark):
+    from almanac.operators import postings, readmodel
+
+    texts = ["The License applies", "no licence", "ALL the\nlicenses é", "", None, "li ce ns e", "the the the", "x" * 5000 + "license", "\U0001f600abc\U0001f600"]
+    rows = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)] + [(0, "License again", "src"), (None, "license", "src")], "id long, text string, source string")
+    index = postings.Index.of(rows, "id", ["text", "source"])
+    for term in ("license", "LICENSE", "the", "th", "", "e\nlic", "zzz", "icensez", "\U0001f600abc", "src", "é s"):
+        want = readmodel.searched(rows.where("id is not null"), term, ["text", "source"]).collect()
+        assert sorted(r.key for r in index.search(term).collect()) == sorted(r.id for r in want)
+
+
+@pytest.mark.parametrize("days", [None, 2])
+def test_band_join_of_any_width(spark, days):
+    import random
+
+    rng = random.Random(3)
+    ranges = [(i, D(2026, 3, rng.randint(1, 28)), low, low + rng.choice([0, 0.5, 3, 70, 5000, 1e6, 1e17, -9])) for i in range(60) for low in [round(rng.uniform(-50, 4000), 1)]]
+    ranges += [(90, D(2026, 3, 3), None, 5.0), (91, D(2026, 3, 3), float("nan"), 5.0), (92, None, 1.0, 9.0), (93, D(2026, 3, 3), float("-inf"), float("inf"))]
+    uploads = [(j, T(2026, 3, rng.randint(1, 28)), round(rng.uniform(-60, 9000), 1)) for j in range(80)] + [(90, None, 5.0), (91, T(2026, 3, 3), None), (92, T(2026, 3, 3), float("nan")), (93, T(2026, 3, 3), 1e12)]
+    left = spark.createDataFrame(ranges, "r int, released date, low double, high double")
+    right = spark.createDataFrame(uploads, "u int, uploaded timestamp_ntz, duration double")
+    near = lambda a, b: days is None or a is not None and b is not None and T(a.year, a.month, a.day) - datetime.timedelta(days=1) <= b < T(a.year, a.month, a.day) + datetime.timedelta(days=days + 1)
+    real = lambda *x: all(v is not None and v == v for v in x)
+    want = {(r, u) for r, a, low, high in ranges for u, b, d in uploads if real(low, high, d) and low <= high and near(a, b) and low - 1 <= d <= high + 1}
+    got = matching.band_join(left, right, days=days)
+    pairs = [(r.r, r.u) for r in got.collect()]
+    assert set(pairs) == want and len(pairs) == len(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
