@@ -268,9 +268,19 @@ def embedded_json(page: Column, attribute_name: str = "data-page") -> Column:
     return F.coalesce(F.when(F.try_parse_json(raw).isNotNull(), raw), F.when(F.try_parse_json(plain).isNotNull(), plain))
 
 
-@pandas_udf(StructType([*(StructField(x, StringType()) for x in ("name", "description", "date_published", "duration", "url")), StructField("actors", ArrayType(StringType()))]))
-def json_ld(pages: pd.Series) -> pd.DataFrame:
-    """First values of a video object found anywhere in a page's JSON-LD blocks."""
+VIDEO = StructType([*(StructField(x, StringType()) for x in ("name", "description", "date_published", "duration", "url")), StructField("actors", ArrayType(StringType()))])
+
+
+def json_ld(page: Column) -> Column:
+    """First values of a video object found anywhere in a page's JSON-LD blocks; pages without one never leave the JVM."""
+    some = page.rlike("(?i)application/ld\\+json")
+    none = F.struct(*(F.array().cast(f.dataType).alias(f.name) if f.name == "actors" else F.lit(None).cast(f.dataType).alias(f.name) for f in VIDEO.fields))
+    return F.when(some, _json_ld(F.when(some, page))).otherwise(none)
+
+
+@pandas_udf(VIDEO)
+def _json_ld(pages: pd.Series) -> pd.DataFrame:
+    """The walk itself, in document order, which JSON objects lose as values inside the JVM."""
     fields = {"name": "name", "description": "description", "date_published": "datePublished", "duration": "duration", "url": "url"}
 
     def walk(node, out):

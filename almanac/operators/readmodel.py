@@ -138,13 +138,15 @@ def feed_order(feeds: DataFrame, source: str = "source_id", label: str = "label_
     return feeds.orderBy(source, label)
 
 
-def observation_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("provider", "label", "record")
+def observation_order() -> list[Column]:
+    return [F.asc("provider"), F.asc("label"), F.asc("record")]
 
 
-def capped_samples(samples: Column, most: int = 5) -> Column:
-    """The first few entries of a diagnostic list."""
-    return F.slice(samples, 1, most)
+def samples(rows: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The first few rows of each key in order, with ``n``, how many it has; a limit per group, and no key is gathered."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*observation_order()))
+    return rows.withColumn("_nth", nth).where(F.col("_nth") <= most).drop("_nth").join(counts, key)
 
 
 def winner_split(winners: DataFrame, first: str, second: str) -> DataFrame:

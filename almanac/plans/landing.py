@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse, text, urls
-from almanac.operators import links, lookup, matching, readmodel, reconcile, upsert
+from almanac.operators import counters, links, lookup, matching, readmodel, reconcile, upsert
 from almanac.operators.staging import scratch_path
 from almanac.plans.registry import query, tables
 from almanac.sources import feeds, landed
@@ -516,6 +516,21 @@ def bucketed_store(spark, sf_dir):
     return store.read()
 
 
+@query("""SELECT o_orderstatus AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'moved' ELSE o_orderpriority END AS label, count(*) AS n, count(*) FILTER (o_totalprice > 100000) AS dear FROM orders WHERE o_orderstatus != 'P' AND o_orderdate >= '1996-01-01' GROUP BY 1, 2""")
+def kept_counts(spark, sf_dir):
+    """Counts by feed and label after a third of all releases changed their label, old ones expired and a feed was retired."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    rows = orders.select(C("o_orderkey").alias("release_id"), C("o_orderstatus").alias("source"), C("o_orderpriority").alias("label"), C("o_totalprice").alias("price"), C("o_orderdate").alias("released"))
+    store = upsert.BucketedTable(spark, scratch_path(spark, "store"), ["release_id"], 16)
+    kept = counters.Counters(upsert.BucketedTable(spark, scratch_path(spark, "counts"), ["source", "label"], 8), {"n": F.lit(1), "dear": (C("price") > 100000).cast("int")})
+    counters.counted_upsert(store, kept, rows)
+    counters.counted_upsert(store, kept, rows.where("release_id % 3 = 0").withColumn("label", F.lit("moved")))
+    counters.counted_delete(store, kept, upsert.expired(store.read(), "released", F.lit("1996-01-01").cast("timestamp"))[1])
+    counters.counted_delete(store, kept, store.read().where("source = 'P'"))
+    feeds.ensure(kept.drift(store.read()), F.lit("counts have drifted from the store"))
+    return kept.read()
+
+
 @query("SELECT s_suppkey, 'all' AS umbrella, s_suppkey % 4 = 0 AS missing FROM supplier")
 def label_policies(spark, sf_dir):
     (rows,) = tables(spark, sf_dir, "supplier")
@@ -630,8 +645,8 @@ def label_errors(spark, sf_dir):
     return readmodel.feed_order(readmodel.errors_only(rows.withColumn("ok", C("s_acctbal") > 5000)).select("s_nationkey", "s_suppkey"), "s_nationkey", "s_suppkey")
 
 
-@query("SELECT o_custkey AS label, count(*) AS n, least(count(*), 5) AS shown FROM orders GROUP BY 1")
+@query("""SELECT o_custkey AS label, n, o_orderkey AS record FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS nth FROM orders) WHERE nth <= 5""")
 def diagnostic_samples(spark, sf_dir):
+    """Per label how many observations there are, and the first five of them in order."""
     rows = order_observations(spark, sf_dir).withColumnRenamed("cluster", "label")
-    ordered = readmodel.observation_order(rows)
-    return ordered.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.size(readmodel.capped_samples(F.sort_array(F.collect_list("record")))).cast("long").alias("shown"))
+    return readmodel.samples(rows, "label").select("label", "n", "record")

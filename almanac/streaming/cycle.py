@@ -92,9 +92,16 @@ def first_records(records: DataFrame, key: str, at: str, late: str = "1 day") ->
     return records.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(records: DataFrame, at: str, by: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Counts by event-time window; an addition to the batch operators, which have no event time."""
-    return records.withWatermark(at, late).groupBy(F.window(at, width).alias("window"), by).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(records: DataFrame, at: str, by: str, width: str = "1 day", late: str = "1 day", slide: str | None = None) -> DataFrame:
+    """Counts by event-time window, one after the other or, with ``slide``, overlapping; an addition to
+    the batch operators, which have no event time.  Records later than the watermark are dropped."""
+    own = F.window(at, width, slide) if slide else F.window(at, width)
+    return records.withWatermark(at, late).groupBy(own.alias("window"), by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_counts(records: DataFrame, at: str, by: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
+    """Counts by session: records of one key with no more than ``gap`` between them; an addition too."""
+    return records.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("window"), by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_cycle(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:

@@ -446,3 +446,32 @@ def test_band_join_of_any_width(spark, days):
     pairs = [(r.r, r.u) for r in got.collect()]
     assert set(pairs) == want and len(pairs) == len(want)
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counters_follow_changes(spark, tmp_path):
+    from almanac.operators import counters
+
+    store = upsert.BucketedTable(spark, str(tmp_path / "s"), ["k"], 4)
+    kept = counters.Counters(upsert.BucketedTable(spark, str(tmp_path / "c"), ["feed"], 4), {"n": F.lit(1), "live": F.col("live").cast("int")})
+    rows = lambda *x: spark.createDataFrame(x, "k int, feed string, live boolean")
+    read = lambda: {r.feed: (r.n, r.live) for r in kept.read().collect()}
+    counters.counted_upsert(store, kept, rows((1, "a", True), (2, "a", False), (3, "b", True)))
+    assert read() == {"a": (2, 1), "b": (1, 1)}
+    counters.counted_upsert(store, kept, rows((1, "b", False), (4, "c", True)))
+    assert read() == {"a": (1, 0), "b": (2, 1), "c": (1, 1)} and kept.drift(store.read()).isEmpty()
+    counters.counted_delete(store, kept, rows((2, "", None), (9, "", None)))
+    assert read() == {"b": (2, 1), "c": (1, 1)} and kept.drift(store.read()).isEmpty()
+    assert [r.feed for r in kept.drift(rows((1, "b", False), (4, "c", True))).collect()] == ["b"]
+
+
+def test_sessions_and_sliding_windows(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.sql("select * from values (timestamp'2026-01-01 10:00', 'a'), (timestamp'2026-01-01 10:20', 'a'), (timestamp'2026-01-01 11:00', 'a'), (timestamp'2026-01-01 10:05', 'b'), (timestamp'2026-01-03 00:00', 'z') t(at, kind)").coalesce(1).write.parquet(source)
+    batch = spark.read.parquet(source)
+    for name, f in (("sessions", lambda x: cycle.session_counts(x, "at", "kind")), ("sliding", lambda x: cycle.windowed_counts(x, "at", "kind", "1 hour", "1 hour", "30 minutes"))):
+        query = f(spark.readStream.schema("at timestamp, kind string").parquet(source)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        rows = lambda x: {(r.window.start, r.window.end, r["kind"], r.n) for r in x.collect() if r["kind"] != "z"}
+        assert rows(spark.table(name)) == rows(f(batch)) and len(rows(f(batch))) > 2
+    late = cycle.session_counts(batch, "at", "kind").where("kind = 'a'")
+    assert sorted(r.n for r in late.collect()) == [1, 2]
