@@ -40,7 +40,7 @@ WORD = re.compile(f" +[^ {SPACE}]*|{SPACE}[^ {SPACE}]*")
 #: Added to ranks in the rank-frequency law; micro-nats of a nat; extra cost of a byte, in nats.
 FLAT, UNIT, BYTE_COST = 10, 1_000_000, 2.0
 #: Bytes of text whose words are looked up together; characters of distinct words in one lattice.
-TOGETHER, LATTICE = 4 << 20, 1 << 18
+TOGETHER, LATTICE = 2 << 20, 1 << 18
 #: A cost that no choice has.
 NONE = 1 << 60
 BEST = 3
