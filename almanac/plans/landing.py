@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse, text, urls
@@ -545,13 +545,18 @@ def json_report(spark, sf_dir):
     return feeds.json_lines(rows.select("r_regionkey", "r_name"))
 
 
-@query("SELECT conv_id, count(*) AS turns, true AS whole FROM conversations GROUP BY 1 HAVING min(turn) = 0")
+@query("""SELECT o_custkey AS scan, count(*) AS pages, CASE WHEN o_custkey % 5 = 3 AND max(o_orderkey) > min(o_orderkey) THEN 'pages disagree about the last page' WHEN (count(*) + o_custkey % 2) > 12 THEN 'too many pages'
+WHEN o_custkey % 2 = 1 OR o_custkey % 3 = 0 AND count(*) > 1 THEN 'pages are missing or repeated' END AS problem FROM orders GROUP BY o_custkey""")
 def page_invariants(spark, sf_dir):
-    """Turns as the pages of one scan, held against the operator's rule, and their number per conversation."""
-    (turns,) = tables(spark, sf_dir, "conversations")
-    high = turns.agg(F.max("turn") + 1).first()[0]
-    feeds.whole_pages(turns.select((C("turn") + 1).alias("page")).distinct().withColumn("last_page", F.lit(high)))
-    return turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), (F.min("turn") == 0).alias("whole")).where("whole")
+    """A customer's orders as the pages of one scan: some scans lack their last page, some have a page twice, some contradict themselves."""
+    (orders,) = tables(spark, sf_dir, "orders")
+    own = Window.partitionBy("o_custkey")
+    n, nth = F.count(F.lit(1)).over(own), F.row_number().over(own.orderBy("o_orderkey"))
+    page = F.when((C("o_custkey") % 3 == 0) & (nth == 2), 1).otherwise(nth)
+    last = n + C("o_custkey") % 2 + F.when((C("o_custkey") % 5 == 3) & (nth == 1), -1).otherwise(0)
+    # one page alone cannot disagree, so it says what its scan has
+    last = F.when(n == 1, n + C("o_custkey") % 2).otherwise(last)
+    return feeds.page_problems(orders.select(C("o_custkey").alias("scan"), page.alias("page"), last.alias("last_page")), ["scan"], most=12)
 
 
 @query("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey % 5 != 0 AND (o_orderkey - 1) % 5 = 0 AND o_orderkey != (SELECT min(o_orderkey) FROM orders WHERE o_orderkey % 5 != 0)")

@@ -34,15 +34,21 @@ def filter_applied(filtered: int, unfiltered: int) -> None:
         raise FeedError("the feed ignored its filter")
 
 
-def whole_pages(pages: DataFrame, most: int = 1000) -> DataFrame:
-    """Pages (page, last_page, records) that are complete: 1 to the last page, each once, one last page, not too many."""
-    facts = pages.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("distinct"), F.min("page").alias("low"), F.max("page").alias("high"), F.min("last_page").alias("last_low"), F.max("last_page").alias("last_high"))
+def page_problems(pages: DataFrame, by: list[str], most: int = 1000) -> DataFrame:
+    """Per scan (``by``) its number of pages, and what contradicts that it is whole: 1 to the last page,
+    each once, one last page, not too many; null if nothing does.  ``pages``: page, last_page."""
+    facts = pages.groupBy(*by).agg(F.count(F.lit(1)).alias("pages"), F.count_distinct("page").alias("distinct"), F.min("page").alias("low"), F.max("page").alias("high"), F.min("last_page").alias("last_low"), F.max("last_page").alias("last_high"))
     problem = (
         F.when(F.col("last_low") != F.col("last_high"), "pages disagree about the last page")
         .when(F.col("last_high") > most, "too many pages")
-        .when((F.col("n") != F.col("distinct")) | (F.col("low") != 1) | (F.col("high") != F.col("last_high")) | (F.col("n") != F.col("last_high")), "pages are missing or repeated")
+        .when((F.col("pages") != F.col("distinct")) | (F.col("low") != 1) | (F.col("high") != F.col("last_high")) | (F.col("pages") != F.col("last_high")), "pages are missing or repeated")
     )
-    ensure(facts, problem)
+    return facts.select(*by, "pages", problem.alias("problem"))
+
+
+def whole_pages(pages: DataFrame, most: int = 1000) -> DataFrame:
+    """The pages of one scan, which fails unless it is whole (see page_problems)."""
+    ensure(page_problems(pages, [], most), F.col("problem"))
     return pages
 
 
