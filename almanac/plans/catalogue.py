@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse
 from almanac.operators import dedupe, links, lookup, matching, postings, readmodel, reconcile, upsert
+from almanac.operators.staging import staged
 from almanac.plans.registry import query, tables
 from almanac.sources import feeds
 
@@ -141,7 +142,7 @@ FROM orders LEFT JOIN ({LIVE_WINNERS}) ON o_orderkey = release_id"""
 
 
 def resolved_rows(spark, sf_dir) -> DataFrame:
-    pairs = tiered_pairs(spark, sf_dir)
+    pairs = staged(tiered_pairs(spark, sf_dir), "pairs")  # for the dead ones and for both sets of candidates
     dead = pairs.where("flag = 'R'").select("release_id", "url")
     out = matching.resolved(releases(spark, sf_dir).select("release_id"), [pairs.where("source = 'F'"), pairs.where("source != 'F'")], dead, F.lit("2026-03-10").cast("timestamp"))
     return out.withColumn("fallback", F.coalesce("fallback", F.lit(False)))

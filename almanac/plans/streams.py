@@ -13,6 +13,8 @@ from almanac.plans.registry import ORACLE_SQL, query, tables
 from almanac.streaming import cycle
 
 C = F.col
+#: Second of the first check: a time of zero would be as late as the first watermark.
+EPOCH = 1_700_000_000
 
 
 def streamed(spark, sf_dir: str, name: str) -> DataFrame:
@@ -55,10 +57,10 @@ def whole(stream: DataFrame) -> DataFrame:
 def stream_strikes(spark, sf_dir):
     """Events as checks of links: the state that a stream with timers leaves, the same as that of the batch fold."""
     outcome = F.when(C("event_type") == "error", "dead").when(C("event_type") == "view", "live").otherwise("inconclusive")
-    checks = streamed(spark, sf_dir, "events").select(C("user_id").alias("link"), F.timestamp_seconds(C("event_id")).alias("at"), outcome.alias("outcome"))
+    checks = streamed(spark, sf_dir, "events").select(C("user_id").alias("link"), F.timestamp_seconds(C("event_id") + EPOCH).alias("at"), outcome.alias("outcome"))
     rows = ended(cycle.strike_states(checks), "update", cycle.STORE).where("due_at is null")
     last = F.max(F.struct("batch", "strikes", "dead", "dead_at")).alias("r")
-    return rows.groupBy("link").agg(last).select("link", "r.strikes", "r.dead", F.unix_seconds("r.dead_at").alias("dead_at"))
+    return rows.groupBy("link").agg(last).select("link", "r.strikes", "r.dead", (F.unix_seconds("r.dead_at") - EPOCH).alias("dead_at"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
