@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions import classify, parse, text, urls
-from almanac.operators import counters, links, lookup, matching, readmodel, reconcile, upsert
+from almanac.operators import counters, links, lookup, matching, projection, readmodel, reconcile, upsert
 from almanac.operators.staging import scratch_path
 from almanac.plans.registry import query, tables
 from almanac.sources import feeds, landed
@@ -435,6 +435,26 @@ def exact_details(spark, sf_dir):
     return lookup.exact_details(orders.select("o_orderkey", F.concat(F.lit("c-"), "o_custkey").alias("slug")), details).select("o_orderkey", "c_name")
 
 
+@query("""SELECT c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ':' || c_mktsegment END || ':' || c_custkey AS release_id, coalesce(n_name, c_nationkey::VARCHAR) AS source, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey::VARCHAR ELSE c_mktsegment END AS label_id,
+coalesce(n_name, c_nationkey::VARCHAR) AS label, c_name AS title, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal)::BIGINT END AS duration, false AS duration_review, '' AS poster_url, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS tags,
+CASE WHEN c_custkey % 4 != 0 THEN 'https://x.y/' || c_custkey END AS release_url, CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END AS links, CASE WHEN c_custkey % 5 = 0 THEN '2024-01-01' END AS checked_at,
+CASE WHEN c_custkey % 7 = 0 THEN '2024-02-02' WHEN c_custkey % 5 = 0 THEN '2024-01-03' END AS metadata_checked_at, coalesce(n_name, c_nationkey::VARCHAR) || '/' || c_custkey AS provenance
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 6 != 0) ON n_nationkey = c_nationkey""")
+def normalised_releases(spark, sf_dir):
+    """Customers as records of feeds, a fifth of which the store has already; some feeds have no name."""
+    customers, nation = tables(spark, sf_dir, "customer", "nation")
+    n, key = C("c_custkey"), C("c_custkey").cast("string")
+    day = lambda x: F.lit(x).cast("timestamp")
+    label = F.when(n % 3 != 0, C("c_mktsegment"))
+    records = customers.select(C("c_nationkey").alias("source_id"), key.alias("record_id"), label.alias("label_id"), C("c_name").alias("title"), F.when(C("c_acctbal") > 0, F.floor("c_acctbal")).alias("duration"), F.when(n % 2 == 0, F.array("c_mktsegment")).alias("tags"), F.when(n % 4 != 0, F.concat(F.lit("https://x.y/"), key)).otherwise("").alias("release_url"), F.when(n % 7 == 0, day("2024-02-02")).alias("metadata_checked_at"))
+    known = customers.where("c_custkey % 5 = 0").select(reconcile.release_id(C("c_nationkey").cast("string"), label, key).alias("release_id"), F.array(F.lit("a"), F.lit("b")).alias("links"), day("2024-01-01").alias("checked_at"), day("2024-01-03").alias("metadata_checked_at"))
+    feeds_ = nation.where("n_nationkey % 6 != 0").select(C("n_nationkey").alias("source_id"), C("n_name").alias("name"))
+    out = projection.releases_of(records, feeds_, known, day("2024-03-03"))
+    at = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    entry = F.concat_ws("/", C("provenance")[0]["source"], C("provenance")[0]["record_id"])
+    return out.select("release_id", "source", "label_id", "label", "title", "duration", "duration_review", "poster_url", F.size("tags").alias("tags"), "release_url", F.size("links").alias("links"), at("checked_at"), at("metadata_checked_at"), entry.alias("provenance"))
+
+
 @query("SELECT o_orderkey AS release_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS checked FROM orders")
 def carried_columns(spark, sf_dir):
     (orders,) = tables(spark, sf_dir, "orders")

@@ -475,3 +475,19 @@ def test_sessions_and_sliding_windows(spark, tmp_path):
         assert rows(spark.table(name)) == rows(f(batch)) and len(rows(f(batch))) > 2
     late = cycle.session_counts(batch, "at", "kind").where("kind = 'a'")
     assert sorted(r.n for r in late.collect()) == [1, 2]
+
+
+def test_records_become_releases(spark):
+    from almanac.operators import projection
+
+    feeds_ = spark.createDataFrame([("f", "Feed")], "source_id string, name string")
+    records = spark.createDataFrame([("f", "1", "T", None), ("g", "2", None, "C-1"), ("f", "3", "", "")], "source_id string, record_id string, title string, code string")
+    previous = spark.createDataFrame([("f:1", ["u"], T(2026, 1, 1)), ("f:9", ["v"], T(2026, 1, 1))], "release_id string, links array<string>, checked_at timestamp")
+    now = F.lit("2026-03-10").cast("timestamp")
+    got = {r.release_id: r for r in projection.releases_of(records, feeds_, previous, now).collect()}
+    assert set(got) == {"f:1", "g:2", "f:3"}
+    one, two = got["f:1"], got["g:2"]
+    assert (one.source, one.label, one.label_id, one.links, one.checked_at, one.dead_links, one.tags, one.poster_url, one.duration_review) == ("Feed", "Feed", "f", ["u"], T(2026, 1, 1), [], [], "", False)
+    assert (two.source, two.links, two.checked_at, two.title, two.code, got["f:3"].code, got["f:3"].title, one.field_provenance) == ("g", [], None, None, "C-1", None, "", {})
+    assert [tuple(x) for x in one.provenance] == [("Feed", T(2026, 3, 10), None, None, "1")]
+    assert projection.releases_of(records.limit(0), feeds_, previous, now).count() == 0
