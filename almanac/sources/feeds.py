@@ -90,11 +90,22 @@ def new_pages(listing: DataFrame, snapshot: DataFrame, page: str, key: str) -> D
 def refreshed(snapshot: DataFrame, listing: DataFrame, page: str, key: str, full: bool) -> DataFrame:
     """The new snapshot: the whole listing in a full run, else new pages laid over the old records."""
     if full:
-        return listing.drop(page)
+        return listing.drop(page).dropDuplicates([key])
     new = new_pages(listing, snapshot, page, key).drop(page).dropDuplicates([key])
     return new.unionByName(snapshot.join(new.select(key), key, "left_anti"))
 
 
+def full_due(last_full: Column, now: Column, days: int = 7) -> Column:
+    """Whether the whole listing is due: never read, or ``days`` ago."""
+    return last_full.isNull() | (now >= last_full + F.make_dt_interval(F.lit(days)))
+
+
+def refreshed_when_due(snapshot: DataFrame, listing: DataFrame, page: str, key: str, last_full: Column, now: Column) -> tuple[DataFrame, bool]:
+    """(new snapshot, whether the listing was read as a whole); a whole reading drops what the listing lacks."""
+    full = bool(snapshot.sparkSession.range(1).select(full_due(last_full, now)).first()[0])
+    return refreshed(snapshot, listing, page, key, full), full
+
+
 def category_scan(categories: DataFrame, key: str = "record", verdict: str = "decision", ordinal: str = "ordinal") -> DataFrame:
     """One verdict per record over all categories: review beats admission, whichever came first."""
     return by_precedence(categories, [key], verdict, {"review": 0, "admit": 1, "excluded": 2}, ordinal)

@@ -306,6 +306,10 @@ def test_feeds(spark, tmp_path):
     snapshot = spark.createDataFrame([("b", 0), ("c", 0)], "id string, v int")
     listing = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("b", 1, 2), ("c", 1, 2), ("d", 1, 3)], "id string, v int, page int")
     assert {(r.id, r.v) for r in feeds.refreshed(snapshot, listing, "page", "id", False).collect()} == {("a", 1), ("b", 1), ("c", 0)}
+    at = lambda day: F.lit(day).cast("timestamp")
+    for last, rows, whole in ((None, {("a", 1), ("b", 1), ("c", 1), ("d", 1)}, True), ("2026-03-03", {("a", 1), ("b", 1), ("c", 1), ("d", 1)}, True), ("2026-03-04", {("a", 1), ("b", 1), ("c", 0)}, False)):
+        found, full = feeds.refreshed_when_due(snapshot, listing, "page", "id", at(last), at("2026-03-10"))
+        assert full is whole and {(r.id, r.v) for r in found.collect()} == rows
     with pytest.raises(feeds.FeedError):
         feeds.whole_cursors(spark.createDataFrame([("a", "b"), ("a", None)], "cursor string, next_cursor string"))
     cursors = lambda rows, **how: feeds.whole_cursors(spark.createDataFrame(rows, "cursor string, next_cursor string"), **how).count()
