@@ -43,9 +43,11 @@ def zero_filled(feeds: DataFrame, counts: DataFrame, keys: list[str], column: st
     return feeds.join(counts, keys, "left").fillna(0, [column])
 
 
-def tier_histogram(rows: DataFrame, tier: str = "tier") -> DataFrame:
-    """One row with a count for each of the four tiers, zeros included."""
-    return rows.agg(*(F.count_if(F.col(tier) == t).alias(f"tier_{t}") for t in range(4)))
+def tier_histogram(rows: DataFrame, tier: str = "tier", weight: Column | None = None) -> DataFrame:
+    """One row with a count for each of the four tiers, zeros included; a row counts as often as ``weight`` says, or once."""
+    if weight is None:
+        weight = F.lit(1)
+    return rows.agg(*(F.coalesce(F.sum(F.when(F.col(tier) == t, weight)), F.lit(0)).cast("long").alias(f"tier_{t}") for t in range(4)))
 
 
 def run_status(outcomes: DataFrame, key: str = "run_id") -> DataFrame:
