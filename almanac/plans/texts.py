@@ -95,7 +95,7 @@ def coverage_pairs(spark, sf_dir):
 @query(f"""{COVERAGE} SELECT id_1, provider_1, id_2, provider_2 FROM pairs WHERE (id_1, provider_2) IN (SELECT (id_1, provider_2) FROM pairs GROUP BY id_1, provider_2 HAVING count(*) = 1)
 AND (id_2, provider_1) IN (SELECT (id_2, provider_1) FROM pairs GROUP BY id_2, provider_1 HAVING count(*) = 1)""".replace("(id_1, provider_2) IN (SELECT (id_1, provider_2)", "concat(id_1, provider_2) IN (SELECT concat(id_1, provider_2)").replace("(id_2, provider_1) IN (SELECT (id_2, provider_1)", "concat(id_2, provider_1) IN (SELECT concat(id_2, provider_1)"))
 def coverage_unambiguous(spark, sf_dir):
-    return coverage.unambiguous(coverage.fuzzy_pairs(coverage_records(spark, sf_dir), days=None))
+    return coverage.unambiguous(staged(coverage.fuzzy_pairs(coverage_records(spark, sf_dir), days=None), "fuzzy-pairs"))
 
 
 def dated_records(spark, sf_dir) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from almanac import plans
-from almanac.operators import matching
+from almanac.operators import coverage, matching
 
 SHIFT = {"orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "part": ["p_partkey"]}
 
@@ -51,3 +51,24 @@ def test_ranges_of_all_widths_share_few_levels(spark):
     (levels,) = re.findall(r"explode\(cast\(array\(([^)]*)\)", got._jdf.queryExecution().analyzed().toString())
     assert len(levels.split(",")) <= 20
     assert got.count() == sum(7 - 1 <= 1000 * j <= 7 + 2**i + 1 for i in range(40) for j in range(5))
+
+
+def test_copies_meet_once_and_all_pairs_come(spark, monkeypatch):
+    """Copies within a provider are compared once for all; pairs are those of the definition, rare words or not."""
+    import random
+
+    rng = random.Random(5)
+    texts = [sorted(rng.sample([f"w{i}" for i in range(40)], 18)) for _ in range(12)]
+    texts += [t[:-1] + ["own" + t[0]] for t in texts]
+    rows = [(i, "abc"[i % 3], 50 + i % 5, texts[rng.randrange(24)]) for i in range(90)] + [(90 + i, "d", 51, texts[0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, provider string, duration int, words array<string>")
+    near = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[1] < b[1] and abs(a[2] - b[2]) <= 3 and near(a[3], b[3]))
+    kept, stage = {}, coverage.staged
+    monkeypatch.setattr(coverage, "staged", lambda df, name: kept.setdefault(name, stage(df, name)))
+    for frequent in (20_000, 5):
+        kept.clear()
+        monkeypatch.setattr(coverage, "FREQUENT", frequent)
+        got = sorted((r.id_1, r.id_2) for r in coverage.fuzzy_pairs(df, days=None).collect())
+        assert got == want
+        assert kept["keyed"].where("provider = 'd'").select("id").distinct().count() == 1
