@@ -72,3 +72,8 @@ def test_copies_meet_once_and_all_pairs_come(spark, monkeypatch):
         got = sorted((r.id_1, r.id_2) for r in coverage.fuzzy_pairs(df, days=None).collect())
         assert got == want
         assert kept["keyed"].where("provider = 'd'").select("id").distinct().count() == 1
+
+
+def test_part_numbers_are_read_once(spark, small):
+    """Parts are told from all candidates of a release; their titles are not read again for that."""
+    assert "regexp" not in plans.QUERIES["exact_code_lane"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
