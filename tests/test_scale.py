@@ -98,3 +98,33 @@ def test_words_follow_only_where_enough_rare_ones_are_shared(spark, monkeypatch)
 def test_part_numbers_are_read_once(spark, small):
     """Parts are told from all candidates of a release; their titles are not read again for that."""
     assert "regexp" not in plans.QUERIES["exact_code_lane"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["ranked_winner", "resolve_releases", "match_telemetry", "playback_status"])
+def test_winners_move_no_pairs(spark, small, name):
+    """Pairs grow with the square of a table: of each release's only the smallest number leaves the join, so none is sorted or staged."""
+    plan = plans.QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    (pairs,) = [i for i, x in enumerate(lines) if "Join" in x and "_band" in x]
+    assert "Project" in lines[pairs - 1] and "partial_min(number" in lines[pairs - 2] and " HashAggregate" in lines[pairs - 2]
+    assert "Window" not in plan
+
+
+def test_winners_in_bands_are_the_winners_of_all_pairs(spark):
+    """One order of the candidates gives what ranking all pairs gives, whatever is missing or alike."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(11)
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    left = [(i, day(rng.randrange(20)) if rng.random() < 0.95 else None, float(low := rng.randrange(1, 60)) if rng.random() < 0.95 else None, float(low + rng.randrange(3))) for i in range(150)]
+    right = [(f"u{i}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(480)) if rng.random() < 0.95 else None, float(rng.randrange(60)) if rng.random() < 0.95 else None, rng.choice([0, 0, 0, 1, 2, None]), rng.choice([None, 5, 7]), rng.choice(["a", "b", "", None])) for i in range(120)]
+    releases = spark.createDataFrame(left, "release_id long, released date, low double, high double")
+    candidates = spark.createDataFrame(right, "url string, uploaded timestamp, duration double, tier int, views long, stem string")
+    columns = ["release_id", "url", "tier", "views", "lag", "fallback"]
+    by = ["released", "low", "high"]
+    pairs = matching.band_join(releases, candidates).withColumn("lag", F.datediff("uploaded", "released").cast("long"))
+    want = sorted(map(tuple, matching.winners(pairs).select(columns).collect()))
+    got = matching.for_each(releases, matching.winners_in_bands(releases, candidates, *by), *by)
+    assert sorted(map(tuple, got.select(columns).collect())) == want
+    assert {r[-1] for r in want} == {True, False} and len(want) > 50
