@@ -20,8 +20,9 @@ def grams(text: Column) -> Column:
 class Index:
     """Three staged tables: texts by key, postings by gram, and how many of each there are.
 
-    Postings are dealt by range of gram and key and sorted, so the postings of one gram are a few row
-    groups, and a gram that every text holds is many files, never one task's.
+    Each part of the texts, a range of keys, has its postings beside it, sorted by the hash of the gram:
+    they move nowhere, the postings of one gram are a few row groups of each part, and those of a gram
+    that every text holds are in all files, never one task's.  Grams whose hashes meet only add candidates.
     """
 
     def __init__(self, texts: DataFrame, postings: DataFrame, sizes: DataFrame):
@@ -32,13 +33,14 @@ class Index:
         """The index of rows with a key by the text of ``columns``; rows without one cannot be found."""
         texts = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), haystack(columns).alias("text"))
         texts = staged(texts.repartitionByRange("key").sortWithinPartitions("key"), "texts")
-        entries = texts.select(F.explode(grams(F.col("text"))).alias("gram"), "key")
-        postings = staged(entries.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key"), "postings")
+        entries = texts.select(F.explode(grams(F.col("text"))).alias("gram"), "key").withColumn("gram", F.xxhash64("gram"))
+        postings = staged(entries.sortWithinPartitions("gram"), "postings")
         return cls(texts, postings, staged(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "sizes"))
 
     def candidates(self, term: str) -> DataFrame:
         """Keys of the texts that have the rarest grams of a term: each joins what the rarer ones have left."""
-        own = sorted({term[i : i + GRAM] for i in range(len(term) - GRAM + 1)})
+        texts = sorted({term[i : i + GRAM] for i in range(len(term) - GRAM + 1)})
+        own = list(self.sizes.sparkSession.range(1).select(F.array(*(F.xxhash64(F.lit(x)) for x in texts))).first()[0])
         known = dict(map(tuple, self.sizes.where(F.col("gram").isin(own)).collect()))  # a row a gram of the term
         found = None
         for gram in sorted(own, key=lambda x: known.get(x, 0))[:USED]:

@@ -128,3 +128,19 @@ def test_winners_in_bands_are_the_winners_of_all_pairs(spark):
     got = matching.for_each(releases, matching.winners_in_bands(releases, candidates, *by), *by)
     assert sorted(map(tuple, got.select(columns).collect())) == want
     assert {r[-1] for r in want} == {True, False} and len(want) > 50
+
+
+def test_postings_stay_beside_their_texts(spark, monkeypatch):
+    """Postings, many times as many rows as texts, are neither dealt out by gram nor made twice for that; hashes that meet lose nothing."""
+    from almanac.operators import postings
+
+    made, stage = {}, postings.staged
+    monkeypatch.setattr(postings, "staged", lambda df, name: made.setdefault(name, df) and stage(df, name))
+    rows = spark.createDataFrame([(i, f"text number {i} of many") for i in range(300)], "id long, text string")
+    index = postings.Index.of(rows, "id", ["text"])
+    assert "Exchange" not in made["postings"]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(postings.F, "xxhash64", lambda *x: F.lit(7).cast("long"))
+    met = postings.Index.of(rows, "id", ["text"])
+    assert sorted(r.key for r in met.search("number 29").collect()) == [29, *range(290, 300)]
+    monkeypatch.undo()
+    assert sorted(r.key for r in index.search("number 29").collect()) == [29, *range(290, 300)]
