@@ -144,3 +144,27 @@ def test_postings_stay_beside_their_texts(spark, monkeypatch):
     assert sorted(r.key for r in met.search("number 29").collect()) == [29, *range(290, 300)]
     monkeypatch.undo()
     assert sorted(r.key for r in index.search("number 29").collect()) == [29, *range(290, 300)]
+
+
+def test_views_are_ranked_where_pairs_meet(spark, small):
+    """Nothing is dealt out anew above the join that makes all pairs."""
+    plan = plans.QUERIES["views_ranking"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    (pairs,) = [i for i, x in enumerate(lines) if "Join" in x and "_band" in x]
+    assert any("Window" in x for x in lines[:pairs]) and not any("Exchange" in x for x in lines[:pairs])
+
+
+@pytest.mark.parametrize("days", [2, 7])
+def test_pairs_that_stay_together(spark, monkeypatch, days):
+    """The same pairs come when each release has one bucket, for ranges of all widths, and in more partitions when they are many."""
+    import random
+
+    rng = random.Random(3)
+    left = spark.createDataFrame([(i, f"2026-01-{rng.randrange(1, 29):02}", float(low := rng.randrange(400)), low + rng.choice([0.0, 1.5, 20.0, 90.0, 2000.0])) for i in range(120)], "release_id long, released string, low double, high double").withColumn("released", F.to_date("released"))
+    right = spark.createDataFrame([(f"u{i}", f"2026-01-{rng.randrange(1, 31):02} 0{rng.randrange(10)}:00:00", rng.randrange(8000) / 10) for i in range(300)], "url string, uploaded string, duration double").withColumn("uploaded", F.to_timestamp("uploaded"))
+    want = sorted(map(tuple, matching.band_join(left, right, days=days).select("release_id", "url").collect()))
+    monkeypatch.setattr(matching, "PART_PAIRS", 50)
+    got = matching.band_join(left, right, days=days, together=True)
+    assert got.rdd.getNumPartitions() > 4
+    assert sorted(map(tuple, got.select("release_id", "url").collect())) == want and len(want) > 500
+    assert got.select("release_id", *matching.BUCKET).distinct().count() == len({x[0] for x in want})
