@@ -168,3 +168,39 @@ def test_pairs_that_stay_together(spark, monkeypatch, days):
     assert got.rdd.getNumPartitions() > 4
     assert sorted(map(tuple, got.select("release_id", "url").collect())) == want and len(want) > 500
     assert got.select("release_id", *matching.BUCKET).distinct().count() == len({x[0] for x in want})
+
+
+def test_statuses_need_no_order_of_uploads(spark, small, monkeypatch):
+    """A status asks only whether some upload is named: no upload is numbered or staged for that, nor is its address read."""
+    staged = []
+    monkeypatch.setattr(matching, "staged", lambda df, name: staged.append(name) or df)
+    plan = plans.QUERIES["playback_status"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert not staged and "l_linenumber" not in plan and "l_quantity" not in plan
+
+
+def test_entries_of_a_bucket_are_bounded(spark, monkeypatch):
+    """However many uploads are near a release, those that it meets are bounded by days and stretches; its least number comes."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(13)
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    left = [(i, day(rng.randrange(12)), float(low := rng.randrange(80)), low + rng.choice([0.0, 3.5, 20.0])) for i in range(60)]
+    right = [(dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(288)), rng.randrange(1000) / 10, rng.choice([0, 0, 1, 1, 1, 2]) if i % 7 else None) for i in range(6000)]
+    right += [(dt.datetime(2026, 1, 3), x, 0) for x in (1e300, float("inf"), -1e17)]
+    left += [(60, day(2), 9e299, 2e300), (61, day(2), -1e17, -1e17), (62, day(2), 1e301, 1e301)]
+    releases = spark.createDataFrame(left, "release_id long, released date, low double, high double")
+    candidates = spark.createDataFrame(right, "uploaded timestamp, duration double, tier int").selectExpr("*", "'s' AS stem")
+    by = ["released", "low", "high"]
+    for tol in (4.0, 0.0):
+        near = [(r, t) for *r, low, high in left for u, d, t in right if -1 <= (u.date() - r[1]).days <= 7 and max(low - d, d - high) <= tol]
+        want = {r[0]: True for r, _ in near} | {r[0]: False for r, t in near if t}
+        join, met = matching.band_join, []
+        with monkeypatch.context() as m:
+            m.setattr(matching, "band_join", lambda *x, **y: met.append(join(*x, **y)) or met[0])
+            found = matching.fallbacks_in_bands(releases, candidates, *by, tol=tol)
+        got = {r.release_id: r.fallback for r in matching.for_each(releases, found, *by).collect()}
+        assert got == want and 60 in got and 61 in got and 62 not in got
+        if tol:
+            assert 0 < met[0].count() < len(near) / 3
+            assert met[0].groupBy("release_id").count().where("count > 9 * 2 * 2 * 9").isEmpty()
