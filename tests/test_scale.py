@@ -204,3 +204,18 @@ def test_entries_of_a_bucket_are_bounded(spark, monkeypatch):
         if tol:
             assert 0 < met[0].count() < len(near) / 3
             assert met[0].groupBy("release_id").count().where("count > 9 * 2 * 2 * 9").isEmpty()
+
+
+@pytest.mark.parametrize("name", ["band_ranges"])
+def test_listed_pairs_follow_one_another(spark, monkeypatch, thrice, name):
+    """All pairs are a result of many rows over few ids: an upload's pairs in a bucket come together, in partitions of few uploads."""
+    monkeypatch.setattr(matching, "PART_ROWS", 20_000)
+    got = plans.QUERIES[name](spark, thrice)
+    parts = got.rdd.map(lambda r: r.url).glom().collect()
+    assert len(parts) > 8
+    runs = sum(a != b for part in parts for a, b in zip([None, *part], part))
+    assert runs <= len({url for part in parts for url in part}) * (1 if name == "band_match" else 5)
+    con = duckdb.connect()
+    for table in SHIFT:
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{thrice}/{table}.parquet'")
+    assert got.count() == len(con.sql(plans.ORACLE_SQL[name]).fetchall())
