@@ -219,3 +219,30 @@ def test_listed_pairs_follow_one_another(spark, monkeypatch, thrice, name):
     for table in SHIFT:
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{thrice}/{table}.parquet'")
     assert got.count() == len(con.sql(plans.ORACLE_SQL[name]).fetchall())
+
+
+def test_candidates_are_ranked_where_pairs_meet(spark, small):
+    """Of a stem's candidates the first is kept while pairs are made; nothing is dealt out anew above the join."""
+    lines = plans.QUERIES["ranked_candidates"](spark, small)._jdf.queryExecution().executedPlan().toString().split("\n")
+    pairs = max(i for i, x in enumerate(lines) if "Join" in x and "_band" in x)
+    assert any("partial_min(number" in x for x in lines[:pairs]) and not any("Exchange" in x for x in lines[:pairs])
+
+
+def test_ranking_in_bands_is_the_ranking_of_all_pairs(spark):
+    """One order of a bucket's candidates ranks those of each release, whatever is missing, alike or at odd hours."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(17)
+    day = lambda n: dt.date(2026, 1, 1) + dt.timedelta(days=n)
+    left = [(i, day(rng.randrange(12)) if i % 17 else None, float(low := rng.randrange(1, 60)) if (i + 1) % 19 else None, float(low + rng.choice([0, 2, 40, 700]))) for i in range(150)]
+    left += [(200 + i, *left[i][1:]) for i in range(40)] + [(300, day(3), 5.0, float("inf"))]
+    right = [(f"u{i}", dt.datetime(2026, 1, 1) + dt.timedelta(hours=rng.randrange(290)) if i % 23 else None, float(rng.randrange(60)) if i % 29 else None, rng.choice([0, 1, 2, 3, None]), rng.choice([None, 5, 7]), rng.choice(["a", "b", "c", "", None])) for i in range(300)]
+    releases = spark.createDataFrame(left, "release_id long, released date, low double, high double")
+    candidates = spark.createDataFrame(right, "url string, uploaded timestamp, duration double, tier int, views long, stem string")
+    columns = ["release_id", "url", "tier", "place"]
+    pairs = matching.band_join(releases, candidates).withColumn("lag", F.datediff("uploaded", "released").cast("long"))
+    want = sorted(map(tuple, matching.ranked(pairs).select(columns).collect()))
+    got = matching.ranked_in_bands(releases, candidates, "released", "low", "high")
+    assert sorted(map(tuple, got.select(columns).collect())) == want
+    assert len(want) > 300 and {x[-1] for x in want} == {1, 2, 3} and 300 in {x[0] for x in want}
