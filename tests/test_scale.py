@@ -246,3 +246,10 @@ def test_ranking_in_bands_is_the_ranking_of_all_pairs(spark):
     got = matching.ranked_in_bands(releases, candidates, "released", "low", "high")
     assert sorted(map(tuple, got.select(columns).collect())) == want
     assert len(want) > 300 and {x[-1] for x in want} == {1, 2, 3} and 300 in {x[0] for x in want}
+
+
+def test_coded_candidates_are_sent_twice_at_most(spark, small):
+    """By their code and by their release: neither parts nor tombstones send them anew, and titles stay behind."""
+    plan = plans.QUERIES["exact_code_lane"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.split("\n") if "Exchange hashpartitioning" in x]) <= 4 and "Expand" not in plan
+    assert not any("title" in x for x in plan.split("\n") if "FileScan" in x and "coded" in x)
