@@ -253,3 +253,14 @@ def test_coded_candidates_are_sent_twice_at_most(spark, small):
     plan = plans.QUERIES["exact_code_lane"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert len([x for x in plan.split("\n") if "Exchange hashpartitioning" in x]) <= 4 and "Expand" not in plan
     assert not any("title" in x for x in plan.split("\n") if "FileScan" in x and "coded" in x)
+
+
+def test_few_buckets_hold_a_candidate_twice(spark):
+    """Where releases stay in one bucket, a candidate is entered only where a release can reach it."""
+    left = spark.range(300).selectExpr("id AS release_id", "date_add(date'2026-01-01', int(id % 60)) AS released", "double(id * 7) AS low", "double(id * 7 + 2) AS high")
+    right = spark.range(4000).selectExpr("id AS number", "timestamp(date_add(date'2026-01-01', int(id % 61))) AS uploaded", "double(id % 2100) AS duration")
+    made = []
+    got = matching.band_join(left, right, tol=5.0, together=True, dealt=lambda rows: made.append(rows.count()) or rows)
+    assert made[0] < 2.5 * 4000
+    want = matching.band_join(left, right, tol=5.0)
+    assert sorted(map(tuple, got.select("release_id", "number").collect())) == sorted(map(tuple, want.select("release_id", "number").collect())) != []
